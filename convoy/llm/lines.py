@@ -54,10 +54,12 @@ def _sorted_rows(table: pa.Table) -> pa.Table:
     return table.sort_by([("id", "ascending"), ("text", "ascending")])
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, least_lines: int = 2) -> DataFrame:
-    """Per document: id, n_lines, n_removed (lines) and the text that stays."""
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, least_lines: int = 2, keep: list[str] | None = None) -> DataFrame:
+    """Per document: id, n_lines, n_removed (lines), the text that stays and `keep`'s columns."""
     blocks = block_count(docs.select(id_col, text_col))
-    texts = in_blocks(docs, blocks, id_col, text_col)
+    keep = keep or []
+    texts = in_blocks(docs, blocks, id_col, text_col, keep)
+    carried = [f"carry_{i}" for i in range(len(keep))]
     digests = "block long, digest binary, n long"
 
     def survey(key: tuple, table: pa.Table) -> pa.Table:
@@ -99,7 +101,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     held = materialise(held.withColumn("at", F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "block", "row", "chunk")), "line-chunks")
     first = held.groupBy("digest", "body").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
     gone = held.join(first, ["digest", "body"]).filter("at <> first").groupBy("block").agg(F.collect_list(F.struct("row", "chunk")).alias("gone"))
-    schema = "id long, n_lines long, n_removed long, text string"
+    schema = ", ".join(["id long, n_lines long, n_removed long, text string", *(f"{c} {docs.schema[k].dataType.simpleString()}" for c, k in zip(carried, keep))])
 
     def cut(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
@@ -119,8 +121,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     text = b"\n".join(x for x, k in zip(lines, keep) if k).decode()
             for column, value in zip(out, (own, n, removed, text)):
                 column.append(value)
-        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["id", "n_lines", "n_removed", "text"])
+        columns = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+        return pa.table([*columns, *(table.column(c) for c in carried)], names=["id", "n_lines", "n_removed", "text", *carried])
 
-    out = texts.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_with_left_key(cut, schema), schema)
-    return out.select(F.col("id").alias(id_col), "n_lines", "n_removed", F.col("text").alias(text_col))
+    out = texts.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(cut, schema)  # what goes is of blocks that exist
+    own = [F.col(c).alias(k) for c, k in zip(carried, keep)]
+    return out.select(F.col("id").alias(id_col), "n_lines", "n_removed", F.col("text").alias(text_col), *own)
 

@@ -186,11 +186,13 @@ def block_count(docs: DataFrame) -> int:
     return max(24, int(total / min(32 << 20, max(3 << 19, 70 * math.sqrt(total)))))
 
 
-def in_blocks(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame:
-    """id, text and block; the same exchange serves every pass."""
+def in_blocks(docs: DataFrame, blocks: int, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """block, id, text and carried columns (named carry_0 and so on, so that no name
+    clashes); the same exchange serves every pass."""
     key = F.col(id_col).cast("long")
     return docs.select(
-        F.pmod(F.xxhash64(key, F.length(F.col(text_col).cast("string"))), F.lit(blocks)).alias("block"), key.alias("id"), F.col(text_col).cast("string").alias("text")
+        F.pmod(F.xxhash64(key, F.length(F.col(text_col).cast("string"))), F.lit(blocks)).alias("block"), key.alias("id"), F.col(text_col).cast("string").alias("text"),
+        *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry or [])),
     )
 
 
