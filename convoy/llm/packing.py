@@ -19,6 +19,8 @@ each on their own; an empty table gives no pieces; extra columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import zlib
 from collections import deque
@@ -39,33 +41,34 @@ SENTENCE_PENALTY, INSIDE_PENALTY = 2, 32
 #: Shortest window that may end early because its length is a power of two.
 LEAST_EXACT = 128
 #: Distinct words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
+#: The pattern of byte-level pre-tokens (a fixed value of this kind of tokenizer).
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space after any white space: there a pre-token may hold several spaces.
 _SPACES = [chr(c) + " " for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 class _Words(dict):
-    """Ids of words, in one flat array."""
+    """Places of words in one flat array of ids."""
 
     def __init__(self):
-        self.flat, self.starts, self.lengths, self.used = np.empty(1 << 16, np.uint32), [], [], 0
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def add(self, words: list[str], ids: list[list[int]]) -> None:
-        for word, own in zip(words, ids):
-            n = len(own)
-            if self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(n, len(self.flat)), np.uint32)])
-            self.flat[self.used : self.used + n] = own
-            self[word] = len(self.starts)
-            self.starts.append(self.used)
-            self.lengths.append(n)
-            self.used += n
+    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
 
 
 class IdMaker:
-    """Ids of whole texts. A byte-level pre-token never reaches over a space that
-    stands behind a character that is no white space, so such texts are put together from
-    remembered words; all others go to the tokenizer as they are."""
+    """Ids of whole texts. A byte-level pre-token never reaches over a space behind a
+    character that is no white space, so such texts are put together from remembered
+    words; all others go to the tokenizer as they are.
+
+    New words are encoded by a faster merger of the same vocabulary where the
+    tokenizer file proves the two alike: its merges, in order, make the ids 256, 257
+    and so on. Any other file, and any word with a special token's string in it, is
+    encoded by the tokenizer itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,38 +77,88 @@ class IdMaker:
         self.tokenizer = Tokenizer.from_file(path)
         self.words = _Words()
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.n_bytes = np.array([len(t) for t in tokens], np.int64)  # byte-level tokens have a character for each byte
         self.ends_sentence = np.array([t[-1:] in (".", "!", "?", "Ċ") for t in tokens], bool)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.fast = self._same_merger(spec)
+
+    def _same_merger(self, spec: dict):
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        vocab, merges = model.get("vocab", {}), [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        plain = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        if not plain or model.get("type") != "BPE" or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+            return None
+        import tiktoken
+
+        letters = [c for c in range(256) if chr(c).isprintable() and c not in (32, 0xA0, 0xAD)]  # the rest are written as 256, 257, ...
+        byte_of = {chr(c): c for c in letters} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in letters)}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in self.special}
+        return tiktoken.Encoding("same", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their numbers, of words that follow a space. Put behind one
+        another they are a text that is cut just before these spaces, and the ids'
+        bytes tell which word each belongs to."""
+        texts = ["".join(" " + w for w in words[k : k + 2000]) for k in range(0, len(words), 2000)]
+        if self.fast is not None:
+            flat = np.concatenate([self.fast.encode_to_numpy(t, disallowed_special=()).astype(np.uint32) for t in texts])
+        else:
+            flat = np.concatenate([np.array(own, np.uint32) for own in self._encode(texts)])
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        token_ends = np.cumsum(self.n_bytes[flat])
+        at = np.searchsorted(token_ends, ends) + 1
+        if not np.array_equal(token_ends[at - 1], ends):
+            raise ValueError("a token reaches over the space between two words")
+        return flat, np.diff(at, prepend=0)
+
+    def _learn(self, words: list[str]) -> None:
+        odd = lambda w: not w or w[-1].isspace() or any(s in w for s in self.special)  # noqa: E731  first words, too, end in a space
+        alone = [w for w in words if odd(w)]
+        if alone:
+            ids = self._encode([w[:-1] if w[-1:] == " " else " " + w for w in alone])
+            self.words.add(alone, np.array([i for own in ids for i in own], np.uint32), np.array([len(own) for own in ids], np.int64))
+        usual = [w for w in words if not odd(w)]
+        if usual:
+            self.words.add(usual, *self._encode_words(usual))
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
-        plan: list[list[str] | None] = []
+        flat: list[str] = []
+        n_words = []  # of each text; 0: the tokenizer takes it whole
         for t in texts:
             parts = t.split(" ")
-            plain = len(parts) > 1 and not any(s in t for s in _SPACES)
-            plan.append([parts[0] + " ", *parts[1:]] if plain else None)  # marked: no space stands before the first word
-        need = {w for p in plan if p for w in p}
-        new = [w for w in need if w not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words = _Words()
-            new = list(need)
-        if new:
-            self.words.add(new, self._encode([w[:-1] if w[-1:] == " " else " " + w for w in new]))
-        whole = iter(self._encode([t for t, p in zip(texts, plan) if p is None]))
-        get, starts, lengths = self.words.__getitem__, np.array(self.words.starts, np.int64), np.array(self.words.lengths, np.int64)
-        pieces, counts = [], []
-        for p in plan:
-            if p is None:
-                pieces.append(np.array(next(whole), np.uint32))
+            if len(parts) > 1 and not any(s in t for s in _SPACES):
+                parts[0] += " "  # marked: no space stands before the first word
+                flat += parts
+                n_words.append(len(parts))
             else:
-                at = np.fromiter(map(get, p), np.int64, len(p))
-                n = lengths[at]
-                first = np.cumsum(n) - n
-                pieces.append(self.words.flat[np.arange(n.sum()) + np.repeat(starts[at] - first, n)])
-            counts.append(len(pieces[-1]))
-        return (np.concatenate(pieces) if pieces else np.empty(0, np.uint32)), np.array(counts, np.int64)
+                n_words.append(0)
+        at = np.fromiter(map(self.words.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys([flat[i] for i in unknown]))
+            if len(self.words) + len(new) > REMEMBERED:
+                self.words = _Words()
+                new = list(dict.fromkeys(flat))
+                unknown = range(len(flat))
+            self._learn(new)
+            at[unknown] = [self.words[flat[i]] for i in unknown]
+        ends = self.words.ends
+        starts, lengths = ends[at], ends[at + 1] - ends[at]
+        ids = self.words.flat[np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]
+        words = np.array(n_words, np.int64)
+        counts = np.diff(np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(words))])
+        if (words == 0).any():
+            whole = iter(self._encode([t for t, n in zip(texts, n_words) if not n]))
+            pieces = np.split(ids, np.cumsum(counts)[:-1])
+            pieces = [np.array(next(whole), np.uint32) if not n else x for x, n in zip(pieces, n_words)]
+            ids, counts = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
+        return ids, counts
 
 
 @functools.lru_cache(maxsize=2)
