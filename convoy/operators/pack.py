@@ -52,16 +52,17 @@ def batch_estimate(df: DataFrame, text_col: str, limit: int) -> DataFrame:
     return df.agg((F.floor(F.sum(F.floor(F.length(text_col) / 4)) / limit) + 1).cast("long").alias("batches"))
 
 
-def split_text(text: str, size: int, overlap: int, metric=lambda s: len(s) // 4) -> list[tuple[int, str]]:
-    """Chunks of at most `size` tokens with about `overlap` shared, cut at the coarsest
-    separator that fits, and where each starts."""
+def split_text(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
+    """Chunks of at most `size` tokens (of four characters) that share up to `overlap`
+    with the one before, cut at the coarsest separator that fits, and where each starts."""
+    most, shared = 4 * size, 4 * overlap
 
     def atoms(s: str, at: int, seps: tuple[str, ...]) -> Iterator[tuple[int, str]]:
-        if metric(s) <= size or not seps:
+        if len(s) <= most:
             yield at, s
             return
         sep = seps[0]
-        parts = [p + sep for p in s.split(sep)] if sep else [s[i : i + 4 * size] for i in range(0, len(s), 4 * size)]
+        parts = [p + sep for p in s.split(sep)] if sep else [s[i : i + most] for i in range(0, len(s), most)]
         if sep:
             parts[-1] = parts[-1][: -len(sep)]
         for p in parts:
@@ -71,15 +72,15 @@ def split_text(text: str, size: int, overlap: int, metric=lambda s: len(s) // 4)
 
     out: list[tuple[int, str]] = []
     held: list[tuple[int, str]] = []
-    tokens = 0
+    length = 0
     for at, s in atoms(text, 0, SEPARATORS):
-        n = max(1, metric(s))
-        if held and tokens + n > size:
+        if held and length + len(s) > most:
             out.append((held[0][0], "".join(x for _, x in held)))
-            while held and (tokens > overlap or tokens + n > size):
-                tokens -= max(1, metric(held.pop(0)[1]))
-        held.append((at, s))
-        tokens += n
+            while held and (length > shared or length + len(s) > most):
+                length -= len(held.pop(0)[1])
+        if s:
+            held.append((at, s))
+            length += len(s)
     if held:
         out.append((held[0][0], "".join(x for _, x in held)))
     return out

@@ -77,7 +77,7 @@ def best_neighbourhood(df: DataFrame, x: str, y: str) -> DataFrame:
     """The x of the least y, and the x before and after it."""
     w = W.orderBy(x)
     return df.withColumn("previous", F.lag(x).over(w)).withColumn("following", F.lead(x).over(w)).agg(
-        F.min_by(x, y).alias("optimal"), F.min_by("previous", y).alias("previous"), F.min_by("following", y).alias("following")
+        F.min_by(x, F.struct(y, x)).alias("optimal"), F.min_by("previous", F.struct(y, x)).alias("previous"), F.min_by("following", F.struct(y, x)).alias("following")
     )
 
 

@@ -30,7 +30,7 @@ def sniff(head: bytes) -> tuple[str, str, list[str]]:
         body[: body.rfind(b"\n") + 1 or None].decode("utf-8")
         encoding = "utf-8"
     except UnicodeDecodeError:
-        encoding = "latin-1"
+        encoding = "iso-8859-1"
     line = body.decode(encoding, "replace").split("\n", 1)[0].rstrip("\r")
     names = {sep: [x.strip().strip('"') for x in line.split(sep)] for sep in (";", ",")}
     sep = max(names, key=lambda s: (sum(r in names[s] for r in REQUIRED), len(names[s]) * (s == ";")))
