@@ -2,7 +2,7 @@
 
 Removes each byte covered by a string of `length` bytes that also starts in a document
 with a smaller id. Anchors bring together the suffixes that can share that string; a
-bucket's suffixes are then put in order by mergesort, comparing two of them by the
+bucket's suffixes, dealt by the hash of their first half, are put in order by mergesort, comparing two of them by the
 length of their common extension, which binary search over polynomial prefix hashes
 finds in log(length) steps. Neighbours that agree over `length` bytes are compared
 byte by byte before they count as equal, so no hash decides alone.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .repeats import Windows, _batch, _with_left_key
-from .spans import HashCollision, Prefix, Units, block_count, blob, by_key, ids_of, in_blocks, ragged, same_bytes, unblob
+from .spans import HashCollision, Prefix, Units, block_count, blob, by_key, in_blocks, mix, ragged, same_bytes, unblob
 
 #: Suffixes that one sort holds at a time, unless a single group has more.
 SORT_STEP = 400_000
@@ -91,7 +91,15 @@ def least_ids(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarr
         own = order[k:e]
         starts = ragged(first[own], windows[own])
         slots = ragged(ends[own] - windows[own], windows[own])
-        _, bounds = by_key(np.repeat(group[own], windows[own]))
+        # suffixes are dealt by the hash of their first half; what is alone there has no equal
+        half = mix(prefix.of(starts, length // 2) + mix(np.repeat(group[own], windows[own]).astype(np.uint64)))
+        dealt, bounds = by_key(half)
+        sizes = np.diff(bounds)
+        dealt = dealt[np.repeat(sizes > 1, sizes)]
+        starts, slots, bounds = starts[dealt], slots[dealt], np.append(0, np.cumsum(sizes[sizes > 1]))
+        if not len(starts):
+            k = e
+            continue
         perm = sort_suffixes(units.data, prefix, starts, np.diff(bounds), length)
         a, b = starts[perm[:-1]], starts[perm[1:]]
         same = common_extension(prefix, a, b, length) == length
