@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one step of a vectorised kernel holds at a time.
 STEP_BYTES = 1 << 21
@@ -42,14 +44,19 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         start = end
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the input, without running a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Estimates beyond this (a petabyte) are Catalyst's way of saying that it doesn't know.
+UNKNOWN_BYTES = 1 << 50
 
 
-def n_blocks(df: DataFrame, block_bytes: int = 2 << 20, least: int = 32) -> int:
-    """Number of blocks of about `block_bytes` of input; grows with the data."""
-    return max(least, min(1 << 30, table_bytes(df) // block_bytes))
+def table_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the input, without running a job; where it has none,
+    the bytes of the text columns, counted."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < UNKNOWN_BYTES:
+        return known
+    texts = [F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    total = sum((F.coalesce(t, F.lit(0)).cast("long") for t in texts), F.lit(8))
+    return int(df.agg(F.sum(total)).first()[0] or 0)
 
 
 def shared_dir(spark: SparkSession) -> str:
