@@ -60,13 +60,14 @@ def table_bytes(df: DataFrame) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    folder of our own where the session names none (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session
+    names none: a temporary folder in a single JVM, else a folder beside the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None) or (
         spark.sparkContext._jsc.sc().getCheckpointDir().get() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
     )
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="convoy-")
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        path = "file://" + tempfile.mkdtemp(prefix="convoy-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 

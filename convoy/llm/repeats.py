@@ -34,7 +34,6 @@ from .spans import (
     contains,
     ids_of,
     known_keys,
-    mix,
     ragged,
     runs_of,
     same_bytes,
