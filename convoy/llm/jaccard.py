@@ -5,18 +5,21 @@ den * |A & B| >= num * |A | B|. The join is exact:
 
 * Equal sets are joined by their digests first; only one of them goes on.
 * Sets of similar size are dealt into cells. For a size class in which linked sets
-  differ by at most D shingles, each set is split by hash into D + 4 parts: linked sets
-  have at least four equal parts, so they meet in a cell of (class, part, its content),
-  or, if all those are empty, in the class's cell for sets with four empty parts.
-* Shingles are also hashed into 32 groups, and the counts in the groups make a point.
-  The sum of two points' coordinate minima bounds the overlap from above. In a cell
-  whose sets aren't connected yet, an R-tree over the points finds the pairs that the
-  bound leaves.
-* Pairs that are left are verified on the whole sets.
-
-A cell is first linked to its least document (a star), so a group of m near copies
-costs m verifications and not m * m / 2; the R-tree then only pairs sets of one cell
-that are in different components.
+  differ by at most D shingles, each set is split by hash into D + 1 + s parts: linked
+  sets have more than s equal parts, so they meet in a cell of (class, part, its
+  content), or, if all those are empty, in the class's cell for sets with more than s
+  empty parts. s grows with D, so that hardly any set has so many.
+* Cells that share a set make a neighbourhood, which links never leave. The sets of a
+  neighbourhood meet in one task, each sent once, if they have at most `most_shingles`
+  shingles together.
+* Shingles are also hashed into groups, and the counts in the groups make a point. The
+  sum of two points' coordinate minima bounds the overlap from above. An R-tree over the
+  points finds the pairs that the bound leaves, and these are verified on the whole
+  sets; pairs that are connected already are skipped, so a group of m near copies costs
+  about m verifications and not m * m / 2.
+* A neighbourhood over that bound is taken cell by cell: first a star around each cell's
+  least document, then the pairs that the R-tree finds between a cell's parts that
+  aren't connected yet.
 
 Edge cases: null or empty text has an empty set and links with nothing; a text with
 fewer words than a shingle is one shingle; a null id links with nothing and has a null
@@ -37,7 +40,7 @@ from .components import connected_components
 from .repeats import _batch
 from .spans import Prefix, blob, by_key, mix, ragged, unblob, word_units
 
-GROUPS, SPARE, FAN_OUT = 32, 3, 16
+GROUPS, FINE_GROUPS, FAN_OUT = 32, 256, 16
 #: Documents that a map task gathers before it sends keys: bounds the blobs in memory.
 GATHER_BYTES = 16 << 20
 #: Ids that are broadcast at most (8 bytes each); beyond it the join shuffles.
@@ -64,23 +67,24 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return hashes, np.searchsorted(doc, np.arange(len(words) + 1))
 
 
-def size_classes(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First sizes of the classes, and the parts of each. The larger of two linked sets
-    is in the class of the smaller or in the next."""
-    firsts, parts = [1], []
+def size_classes(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sizes of the classes, the parts of each, and how many of them may be empty.
+    The larger of two linked sets is in the class of the smaller or in the next."""
+    firsts, parts, spares = [1], [], []
     while firsts[-1] <= largest:
         low = firsts[-1]
         firsts.append(low * den // num + 1)
         small = firsts[-1] - 1  # |A ^ B| <= (den - num) * |A | B| / den and |A | B| <= |A| * den / num
         most = (den - num) * small // num
-        parts.append(most + 1 + SPARE if most else 1)
-    return np.array(firsts[:-1], np.int64), np.array(parts, np.int64)
+        spares.append(3 + -(-3 * most // 100) if most else 0)
+        parts.append(most + 1 + spares[-1])
+    return np.array(firsts[:-1], np.int64), np.array(parts, np.int64), np.array(spares, np.int64)
 
 
 def cell_keys(hashes: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the cells that each set is in, and their sets."""
     sizes = np.diff(offsets)
-    firsts, parts = size_classes(num, den, int(sizes.max(initial=0)))
+    firsts, parts, spares = size_classes(num, den, int(sizes.max(initial=0)))
     own = np.searchsorted(firsts, sizes, side="right") - 1
     keys, sets = [np.empty(0, U64)], [np.empty(0, np.int64)]
     for step in (0, 1):  # its own class, and the one below, where it is the larger partner
@@ -107,7 +111,7 @@ def cell_keys(hashes: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tu
         label = mix(cls[owner].astype(U64) * U64(1 << 32) + nth.astype(U64))
         keys.append(mix(content + label)[filled])
         sets.append(who[owner[filled]])
-        sparse = np.flatnonzero(parts[cls] - np.bincount(owner[filled], minlength=len(who)) > SPARE)
+        sparse = np.flatnonzero(parts[cls] - np.bincount(owner[filled], minlength=len(who)) > spares[cls])
         keys.append(mix(cls[sparse].astype(U64) + U64(1 << 62)))
         sets.append(who[sparse])
     return np.concatenate(keys), np.concatenate(sets)
@@ -240,10 +244,8 @@ def _meet(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.ones(n, np.int32)), *(pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())), members], names=list(out))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, members) of the documents with these ids. Few ids are broadcast."""
     few = ids.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
@@ -255,22 +257,59 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
                 own = [hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(own, pa.binary())], names=["id", "members"])
 
+    return wanted.mapInArrow(sets, "id long, members binary")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets link."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _neighbourhoods(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(vertex, component) of the sets (id, place) that meet by place."""
+    sets = _sets_of(docs, members.select("id"), k).join(members, "id")
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids = table.column("id").to_numpy()
+        own = [np.frombuffer(m.as_py(), U64) for m in table.column("members")]
+        sizes = np.array([len(x) for x in own], np.int64)
+        points = np.zeros((len(own), FINE_GROUPS), np.int64)
+        for i, x in enumerate(own):
+            points[i] = np.bincount((x >> U64(56)).astype(np.int64), minlength=FINE_GROUPS)
+        tree, label = RTree(points, sizes), np.arange(len(own))
+        for q in range(len(own)):
+            for p in tree.search(q, num, den).tolist():
+                if label[p] != label[q] and _linked(own[p], own[q], num, den):
+                    a, b = sorted((int(label[p]), int(label[q])))
+                    label[label == b] = a
+        return pa.table({"vertex": ids, "component": ids[label]})
+
+    return sets.groupBy("place").applyInArrow(join, "vertex long, component long")
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+    pairs = materialise(pairs, "pairs")
+    held = materialise(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k), "sets")
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(den * both >= num * (len(x) + len(y) - both))
+                good.append(_linked(np.frombuffer(x, U64), np.frombuffer(y, U64), num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    held = materialise(wanted.mapInArrow(sets, "id long, members binary"), "sets")
     one = pairs.join(held.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
     both = one.join(held.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     return materialise(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, most_shingles: int = 32_000_000) -> DataFrame:
     """Per document: id, n_shingles and component_id (least id reachable by links)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = max(16, min(1 << 20, table_bytes(rows) >> 23))
@@ -281,6 +320,30 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     profile = met.filter("kind = 0").select("id", "valid", "n", "tag", "tag2", "point")
     cells = materialise(met.filter("kind = 1").select("members").distinct().select(F.xxhash64("members").alias("cell"), "members"), "cell-lists")
 
+    points = profile.filter("valid and n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    spokes = cells.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b")).distinct()
+    places = connected_components(spokes, "a", "b").select(F.col("vertex").alias("id"), F.col("component").alias("place"))
+    weights = places.join(points.select("id", "n"), "id").groupBy("place").agg(F.sum("n").alias("weight"))
+    places = materialise(places.join(weights, "place"), "places")
+    parts = materialise(_neighbourhoods(rows, places.filter(F.col("weight") <= most_shingles).select("id", "place"), k, num, den), "parts")
+    if not places.filter(F.col("weight") > most_shingles).isEmpty():
+        large = places.filter(F.col("weight") > most_shingles).select("id")
+        cells = cells.join(large, cells["members"][0] == large["id"], "left_semi")
+        parts = parts.unionByName(_cell_by_cell(rows, cells, points, k, num, den))
+    usable = F.col("valid") & (F.col("n") > 0)
+    least = profile.filter(usable).groupBy("tag", "tag2", F.col("n").alias("size")).agg(F.min("id").alias("least"))
+    out = profile.join(least.withColumnsRenamed({"tag": "t", "tag2": "t2"}), usable & (F.col("tag") == F.col("t")) & (F.col("tag2") == F.col("t2")) & (F.col("n") == F.col("size")), "left")
+    out = out.join(parts, F.col("least") == F.col("vertex"), "left")
+    return out.select(
+        F.when(F.col("valid"), F.col("id")).alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("valid"), F.coalesce("component", "least", "id")).alias("component_id"),
+    )
+
+
+def _cell_by_cell(rows: DataFrame, cells: DataFrame, points: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(vertex, component) of sets that are too many for one task."""
+
     def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs whose points and sizes leave the link possible."""
         for batch in batches:
@@ -289,7 +352,6 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             keep = np.minimum(p, q).sum(axis=1) >= overlap_needed(n, m, num, den)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    points = profile.filter("valid and n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("point").alias("point"))
     star = cells.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b")).distinct()
     star = star.join(points.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("point").alias("p")), "a")
     star = star.join(points.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")), "b")
@@ -317,13 +379,4 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     more = _verify(rows, rest.groupBy("cell").applyInArrow(search, "a long, b long").distinct(), k, num, den)
-    parts = connected_components(links.unionByName(more), "a", "b")
-    usable = F.col("valid") & (F.col("n") > 0)
-    least = profile.filter(usable).groupBy("tag", "tag2", F.col("n").alias("size")).agg(F.min("id").alias("least"))
-    out = profile.join(least.withColumnsRenamed({"tag": "t", "tag2": "t2"}), usable & (F.col("tag") == F.col("t")) & (F.col("tag2") == F.col("t2")) & (F.col("n") == F.col("size")), "left")
-    out = out.join(parts, F.col("least") == F.col("vertex"), "left")
-    return out.select(
-        F.when(F.col("valid"), F.col("id")).alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("valid"), F.coalesce("component", "least", "id")).alias("component_id"),
-    )
+    return connected_components(links.unionByName(more), "a", "b")
