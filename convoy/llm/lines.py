@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .repeats import _with_left_key
-from .spans import block_count, in_blocks
+from .repeats import _batch, _with_left_key
+from .spans import HashCollision, block_count, in_blocks
 
 #: Lines in the rolling hash's window; the factor of the older line.
 WINDOW, FACTOR = 2, 31
+#: Stands for a null id: less than any.
+NO_ID = -(1 << 63)
 
 
 def line_hash(line: bytes) -> int:
@@ -69,7 +71,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 lines, chunks = chunks_of(text, modulus)
                 for s, e in chunks:
                     if e - s >= least_lines:
-                        d = hashlib.md5(b"\n".join(lines[s:e])).digest()
+                        d = hashlib.sha256(b"\n".join(lines[s:e])).digest()
                         seen[d] = seen.get(d, 0) + 1
         return pa.table({"block": pa.array([key[0].as_py()] * len(seen), pa.int64()), "digest": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
@@ -77,42 +79,53 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = texts.groupBy("block").applyInArrow(survey, digests)
     again = found.groupBy("digest").agg(F.sum("n").alias("total")).filter("total > 1")
     repeated = found.join(again, "digest", "left_semi").groupBy("block").agg(F.collect_list("digest").alias("digests"))
-    places = "block long, row long, chunk long, id long, digest binary, body binary"
+    places = "block long, id long, row long, chunk long, n long, digest binary, body binary"
 
     def fetch(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
-        rows: list[list] = [[], [], [], [], [], []]
+        """Each repeating chunk of the block once, with its first place here."""
         wanted = {d for ds in known.column("digests").to_pylist() for d in ds}
+        seen: dict[bytes, list] = {}
         table = _sorted_rows(table)
-        if wanted:
-            for r, (own, text) in enumerate(zip(table.column("id").to_pylist(), table.column("text").to_pylist())):
-                if text is None:
-                    continue
-                lines, chunks = chunks_of(text, modulus)
-                for c, (s, e) in enumerate(chunks):
-                    if e - s >= least_lines:
-                        body = b"\n".join(lines[s:e])
-                        if (d := hashlib.md5(body).digest()) in wanted:
-                            for column, value in zip(rows, (key[0].as_py(), r, c, own, d, body)):
-                                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(rows, kinds)], names=["block", "row", "chunk", "id", "digest", "body"])
+        for r, (own, text) in enumerate(zip(table.column("id").to_pylist(), table.column("text").to_pylist())) if wanted else ():
+            if text is None:
+                continue
+            lines, chunks = chunks_of(text, modulus)
+            for c, (s, e) in enumerate(chunks):
+                if e - s >= least_lines:
+                    body = b"\n".join(lines[s:e])
+                    if body in seen or hashlib.sha256(body).digest() in wanted:
+                        place = (NO_ID if own is None else own, r, c)
+                        got = seen.setdefault(body, [place, 0])
+                        got[0], got[1] = min(got[0], place), got[1] + 1
+        rows = [[key[0].as_py()] * len(seen), *([g[0][i] for g in seen.values()] for i in range(3)), [g[1] for g in seen.values()], [hashlib.sha256(x).digest() for x in seen], list(seen)]
+        return _batch(places, rows)
 
     held = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_with_left_key(fetch, places), places)
-    held = materialise(held.withColumn("at", F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "block", "row", "chunk")), "line-chunks")
-    first = held.groupBy("digest", "body").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = held.join(first, ["digest", "body"]).filter("at <> first").groupBy("block").agg(F.collect_list(F.struct("row", "chunk")).alias("gone"))
+    held = materialise(held, "line-chunks")
+    # grouped by their bytes; a block sends a chunk once, so a hot one makes a row a block
+    first = held.groupBy("digest", "body").agg(F.min(F.struct("id", "block", "row", "chunk")).alias("first"), F.sum("n").alias("n")).filter("n > 1")
+    gone = held.select("block", "digest", "body").join(first, ["digest", "body"]).groupBy("block").agg(F.collect_list(F.struct("digest", "first")).alias("gone"))
     schema = ", ".join(["id long, n_lines long, n_removed long, text string", *(f"{c} {docs.schema[k].dataType.simpleString()}" for c, k in zip(carried, keep))])
 
     def cut(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
-        goes = {(g["row"], g["chunk"]) for gs in found.column("gone").to_pylist() for g in gs}
+        stays: dict[bytes, tuple] = {}
+        for g in (g for gs in found.column("gone").to_pylist() for g in gs):
+            if stays.setdefault(g["digest"], place := tuple(g["first"][c] for c in ("block", "row", "chunk"))) != place:
+                raise HashCollision("two different chunks have one digest")
+        block = key[0].as_py()
         table = _sorted_rows(table)
         for r, (own, text) in enumerate(zip(table.column("id").to_pylist(), table.column("text").to_pylist())):
             n = removed = 0
             if text is not None:
                 lines, chunks = chunks_of(text, modulus)
                 n = len(lines)
-                drop = [(s, e) for c, (s, e) in enumerate(chunks) if (r, c) in goes]
+                drop = []
+                for c, (s, e) in enumerate(chunks) if stays else ():
+                    if e - s >= least_lines:
+                        place = stays.get(hashlib.sha256(b"\n".join(lines[s:e])).digest())
+                        if place is not None and place != (block, r, c):
+                            drop.append((s, e))
                 if drop:
                     keep = np.ones(n, bool)
                     for s, e in drop:
