@@ -119,7 +119,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     windows = Windows(False, length, k)
     blocks = block_count(docs.select(id_col, text_col))
     texts = in_blocks(docs, blocks, id_col, text_col)
-    buckets = max(16, blocks // 4)
+    buckets = max(16, blocks // 2)
 
     def flag(key: tuple, table: pa.Table) -> pa.Table:
         once, more = (unblob(table.column(c), np.uint32) for c in ("once", "more"))
