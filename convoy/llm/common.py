@@ -3,9 +3,11 @@ folders and sizing."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,20 @@ from pyspark.sql import types as T
 STEP_BYTES = 1 << 21
 
 
+#: Functions that empty what a Python worker remembers; operators add theirs.
+CACHES: list[Callable[[], None]] = []
+
+
+def release_caches() -> None:
+    """Called where another operator's work starts in a worker: workers are reused, and
+    what an earlier stage remembered would count against this one's memory."""
+    for clear in CACHES:
+        clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # give freed heap back to the system
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n+1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

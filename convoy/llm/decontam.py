@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, utf8
+from .common import release_caches, steps, utf8
 from .spans import ragged
 
 LEAST = 16
@@ -181,6 +181,7 @@ def contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in got], [plain(r["text"]) for r in got]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release_caches()
             names, texts = shared.value
             find = Matcher(texts, rate)
             for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import release_caches, utf8
 
 WINDOW, WIDTHS, EMBED, FILTERS = 256, (2, 3, 4), 8, 12
 #: Windows that one step of the forward pass holds.
@@ -163,6 +163,7 @@ def predict(docs: DataFrame, net: ByteCNN | None, *, id_col: str = "doc_id", tex
     chosen = docs.select(*carried, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             data, offsets = utf8(batch.column(len(carried)))
             letters = batch.column(len(carried) + 1).to_numpy(zero_copy_only=False)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, utf8
+from .common import CACHES, steps, utf8
 
 #: Tokens that one run of the dynamic programme covers, at least (a partition's rest may be fewer).
 RUN_TOKENS = 1 << 20
@@ -166,6 +166,9 @@ def _maker(path: str) -> IdMaker:
     return IdMaker(path)
 
 
+CACHES.append(_maker.cache_clear)
+
+
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, size: int) -> np.ndarray:
     """Indexes into `places` (ascending; the first is the stream's start, the last its
     end) at which windows end, for the least padding plus penalties. Neighbouring

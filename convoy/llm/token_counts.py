@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, utf8
+from .common import CACHES, steps, utf8
 
 MARK = "▁"
 #: Pre-tokens longer than this are merged with a heap, whose cost is n log n.
@@ -167,6 +167,9 @@ def _merger(model_path: str) -> tuple[PieceMerger, _Counts]:
     return PieceMerger(model_path), _Counts()
 
 
+CACHES.append(_merger.cache_clear)
+
+
 def pre_tokens(text: str) -> list[str]:
     """A text's pre-tokens: a run of boundary marks and what follows it."""
     if not text:
