@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, steps, table_bytes, utf8
+from .common import materialise, release_caches, steps, table_bytes, utf8
 from .components import connected_components
 from .repeats import _batch
 from .spans import Prefix, blob, by_key, mix, ragged, unblob, word_units
 
 GROUPS, FINE_GROUPS, FAN_OUT = 32, 256, 16
 #: Documents that a map task gathers before it sends keys: bounds the blobs in memory.
-GATHER_BYTES = 16 << 20
+GATHER_BYTES = 8 << 20
 #: Ids that are broadcast at most (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -178,11 +178,12 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
             own = order[s:e]
             used, ref = np.unique(sets[own], return_inverse=True)
             who = first[used]
-            for column, value in zip(rows, (int(bucket[own[0]]), blob(keys[own].astype(np.uint32)), blob(ref.astype(np.uint32)), blob(ids[who]), None, blob(tag[who]), None, None)):
+            for column, value in zip(rows, (int(bucket[own[0]]), blob(keys[own]), blob(ref.astype(np.uint32)), blob(ids[who]), None, blob(tag[who]), None, None)):
                 column.append(value)
         yield from _batch(schema, rows).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         parts, held = [], 0
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -221,7 +222,7 @@ def _meet(key: tuple, table: pa.Table) -> pa.Table:
             + [pa.array([p.tobytes() for p in points], pa.binary()), pa.nulls(n, pa.list_(pa.int64()))],
             names=list(out),
         )
-    keys, refs, ids, tags = (unblob(table.column(c), t) for c, t in (("keys", np.uint32), ("refs", np.uint32), ("ids", np.int64), ("tags", np.uint64)))
+    keys, refs, ids, tags = (unblob(table.column(c), t) for c, t in (("keys", np.uint64), ("refs", np.uint32), ("ids", np.int64), ("tags", np.uint64)))
     base = np.cumsum([0, *map(len, ids)])
     doc = np.concatenate([r.astype(np.int64) + b for r, b in zip(refs, base)])
     key_, ids_, tags_ = np.concatenate(keys), np.concatenate(ids), np.concatenate(tags)
@@ -250,6 +251,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for s, e in steps(offsets):
@@ -312,7 +314,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, most_shingles: int = 32_000_000) -> DataFrame:
     """Per document: id, n_shingles and component_id (least id reachable by links)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(16, min(1 << 20, table_bytes(rows) >> 23))
+    buckets = max(24, min(1 << 20, table_bytes(rows) >> 25))
     met = _sketch(rows, k, num, den, buckets)
     # profiles are of all documents: they're dealt out by their own salt, not to one task
     salt = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("ids"), F.lit(buckets))).otherwise(F.col("bucket"))
