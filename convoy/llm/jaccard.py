@@ -168,8 +168,9 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
         for column, value in zip(rows, (-1, None, blob(valid), blob(ids), blob(sizes), blob(tag), blob(tag2), blob(points))):
             column.append(value)
         usable = np.flatnonzero(valid & (sizes > 0))
+        usable = usable[np.argsort(ids[usable], kind="stable")]
         _, first = np.unique(np.stack([tag[usable], tag2[usable]]), axis=1, return_index=True)
-        first = np.sort(usable[first])  # one of each set sends keys
+        first = np.sort(usable[first])  # of each set its least id sends keys; it names the set from here to the result
         inner = ragged(offsets[:-1][first], sizes[first])
         keys, sets = cell_keys(hashes[inner], np.append(0, np.cumsum(sizes[first])), num, den)
         bucket = ((keys >> U64(32)) % U64(buckets)).astype(np.int64)

@@ -13,6 +13,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 import public_tokenizers as P  # noqa: E402
 
+import corpus_pipeline  # noqa: E402
 from convoy.llm import decontam, jaccard, langid, neardup, packing, queries, token_counts, warc  # noqa: E402
 from convoy.llm.spans import slide  # noqa: E402
 
@@ -98,6 +99,27 @@ def test_op2_chains(spark):
         assert got == {d: find(d) for d in sets}
 
 
+def test_op2_equal_sets_in_any_row_order(spark):
+    """Many equal sets that link to other texts, in one partition whose rows aren't ascending by id."""
+    rng, texts = random.Random(11), []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for v in range(3):
+            texts += [" ".join([*words, f"v{v}"])] * rng.randint(1, 6)
+    rows = list(zip(rng.sample(range(1000), len(texts)), texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def least(k, num):
+        sets = {d: shingles(t, k) for d, t in rows}
+        find = components((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]))
+        return {d: find(d) for d in sets}
+
+    for most in (32_000_000, 0):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs, k=4, num=85, den=100, most_shingles=most).collect()}
+        assert got == least(4, 85)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dup(spark, docs, "").collect()} == set(least(5, 80).values())
+
+
 def edits(item, text):
     row = np.zeros(len(text) + 1, int)
     for i, ch in enumerate(item, 1):
