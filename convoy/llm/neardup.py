@@ -73,8 +73,8 @@ def join_cell(home_ids, home, ids, members, counts, threshold: float) -> tuple[n
     """Links of each resident (weighted by counts), and a label for each resident and
     member: nodes that are connected by links found here have one label."""
     n, links = len(home_ids), np.zeros(len(home_ids), np.int64)
-    nodes = np.concatenate([home_ids, ids])
-    label = nodes.copy()
+    names, node = np.unique(np.concatenate([home_ids, ids]), return_inverse=True)
+    root = np.arange(len(names))  # a union-find over all tiles, in which every node points to its root
     h32, m32 = home.astype(np.float32), members.astype(np.float32)
     for s in range(0, n, 512):
         for t in range(0, len(ids), 4096):
@@ -91,15 +91,15 @@ def join_cell(home_ids, home, ids, members, counts, threshold: float) -> tuple[n
             other = home_ids[s + i] != ids[t + j]
             i, j = s + i[other], t + j[other]
             np.add.at(links, i, counts[j])
-            a, b = i, n + j
-            while len(a):  # every link pulls both labels to the lesser one until all agree
-                low = np.minimum(label[a], label[b])
-                np.minimum.at(label, a, low)
-                np.minimum.at(label, b, low)
-                rest = label[a] != label[b]
-                if not rest.any():
-                    break
-    return links, label
+            a, b = node[i], node[n + j]
+            while len(a):  # of two roots the lesser becomes the other's
+                a, b = root[a], root[b]
+                apart = a != b
+                a, b = a[apart], b[apart]
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (root[root] != root).any():
+                    root = root[root]
+    return links, names[root][node]
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:

@@ -65,6 +65,21 @@ def test_op1_many_cells(spark, monkeypatch):
     assert got.component_id.tolist() == [find(i) for i in range(len(x))]
 
 
+def test_op1_links_of_all_tiles_stay_connected():
+    """The chain 5 - 7 - 1 over tiles, of which the last doesn't hold 5."""
+    def at(degrees):
+        return [np.cos(np.radians(degrees)), np.sin(np.radians(degrees)), 0.0]
+
+    filler = [[0.0, 0.0, 1.0]]
+    home_ids = np.array([5, 7, *range(10_000, 10_510), 1])
+    home = np.array([at(0), at(15), *filler * 510, at(30)])
+    ids = np.array([7, 5, *range(20_000, 24_094), 1])
+    members = np.array([at(15), at(0), *[[0.0, 0.0, -1.0]] * 4094, at(30)])
+    links, label = neardup.join_cell(home_ids, home, ids, members, np.ones(len(ids), np.int64), 0.95)
+    find = components(zip(np.concatenate([home_ids, ids]).tolist(), label.tolist()))
+    assert find(5) == find(7) == find(1) == 1 and links[:2].tolist() == [1, 2] and links[-1] == 1
+
+
 def shingles(text, k):
     w = text.encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
