@@ -8,9 +8,10 @@ guest in just these cells. All neighbours of a vector are then in its own cell,
 join independently; large cells are dealt out by slices of residents and members.
 
 Edge cases: a vector that is null, empty, zero or has a null or non-finite component
-links with nothing; vectors of different dimensions don't link; equal vectors are joined
-as one with a count; a null id is never linked; repeated rows count as vectors of their
-own; an empty table gives an empty result; extra columns are not read.
+links with nothing; vectors of different dimensions don't link, and there may be any
+number of dimensions; equal vectors are joined as one with a count; a null id is never
+linked; repeated rows count as vectors of their own; an empty table gives an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, work_dir
 from .components import connected_components
 
 #: Vectors a pivot stands for, most pivots, and vectors on either side of one task.
@@ -31,6 +32,7 @@ PER_PIVOT, MOST_PIVOTS, RESIDENTS, MEMBERS = 4096, 512, 4096, 8192
 #: Slack of bounds and of the single-precision filter; the decision is in double precision.
 SLACK, COARSE = 1e-7, 1e-4
 _UNITS = "id long, unit binary"
+_LINKS = "id long, links long, other long"
 
 
 def unit_vectors(column: pa.Array) -> list[bytes | None]:
@@ -114,14 +116,17 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     units = materialise(rows.mapInArrow(scale, _UNITS), "units")
     usable = units.filter("id is not null and unit is not null")
     reps = materialise(usable.groupBy("unit").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "reps")
-    by_size = [(row["d"], row["n"]) for row in reps.groupBy((F.octet_length("unit") / 8).cast("int").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(1000).collect()]
-    edges, links = None, None
-    for d, n in by_size:  # a dimension each; in practice one
-        got = materialise(_join(reps.filter(F.octet_length("unit") == 8 * d), n, threshold, r), "links")
-        e, k = got.select("id", "other").filter("id <> other"), got.filter("links > 0").select("id", "links")
-        edges, links = (e, k) if edges is None else (edges.unionByName(e), links.unionByName(k))
-    if edges is None:
-        return units.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    reps = reps.withColumn("d", (F.octet_length("unit") / 8).cast("int"))
+    # dimensions with vectors for two pivots or more are joined one by one, all others in one join
+    sizes = reps.groupBy("d").agg(F.count("*").alias("n"))
+    large = [(row["d"], row["n"]) for row in sizes.filter(F.col("n") >= 2 * PER_PIVOT).orderBy("d").collect()]
+    path = work_dir(vectors.sparkSession, "links")
+    few = _join_small(reps.filter(~F.col("d").isin([d for d, _ in large])), threshold)
+    few.write.parquet(path)
+    for d, n in large:
+        _join(reps.filter(F.col("d") == d), n, threshold, r).write.mode("append").parquet(path)
+    got = vectors.sparkSession.read.schema(few.schema).parquet(path)
+    edges, links = got.select("id", "other").filter("id <> other"), got.filter("links > 0").select("id", "links")
     parts = connected_components(edges, "id", "other")
     total = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = reps.join(total, reps["rep"] == total["id"], "left").drop("id").join(parts, F.col("rep") == F.col("vertex"), "left")
@@ -190,12 +195,27 @@ def _join(reps: DataFrame, n: int, threshold: float, r: float) -> DataFrame:
 
     def join(table: pa.Table) -> pa.Table:
         resident = table.column("resident").to_numpy()
-        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-        units = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-        links, label = join_cell(ids[resident], units[resident], ids[~resident], units[~resident], n[~resident], threshold)
-        nodes = np.concatenate([ids[resident], ids[~resident]])
-        every = np.concatenate([links, np.zeros(len(nodes) - len(links), np.int64)])
-        keep = (every > 0) | (label != nodes)
-        return pa.table({"id": nodes[keep], "links": every[keep], "other": label[keep]})
-
-    return dealt.groupBy("cell", "x", "y").applyInArrow(join, "id long, links long, other long")
+        return _links(table, resident, ~resident, threshold)
+
+    return dealt.groupBy("cell", "x", "y").applyInArrow(join, _LINKS)
+
+
+def _join_small(reps: DataFrame, threshold: float) -> DataFrame:
+    """As _join, for any number of dimensions of less than two pivots: a cell each."""
+
+    def join(table: pa.Table) -> pa.Table:
+        every = np.ones(len(table), bool)
+        return _links(table, every, every, threshold)
+
+    return reps.select("d", F.col("rep").alias("id"), "n", "unit").groupBy("d").applyInArrow(join, _LINKS)
+
+
+def _links(table: pa.Table, resident: np.ndarray, member: np.ndarray, threshold: float) -> pa.Table:
+    """Links of a cell's residents to its members, and the label of each of them."""
+    ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+    units = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
+    links, label = join_cell(ids[resident], units[resident], ids[member], units[member], n[member], threshold)
+    nodes = np.concatenate([ids[resident], ids[member]])
+    every = np.concatenate([links, np.zeros(len(nodes) - len(links), np.int64)])
+    keep = (every > 0) | (label != nodes)
+    return pa.table({"id": nodes[keep], "links": every[keep], "other": label[keep]})

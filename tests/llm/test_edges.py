@@ -87,6 +87,12 @@ def test_vectors(spark):
     assert neardup.near_duplicates(df.filter("vec_id = -1")).count() == 0
 
 
+def test_vectors_of_many_dimensions(spark):
+    rows = [(2 * d + i, [1.0] * (d - 1) + [1.0 + i / 10]) for d in range(1, 1006) for i in (0, 1)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got.collect()} == {i: (1, i & ~1, i % 2 == 0) for i, _ in rows}
+
+
 def test_no_labels(spark, docs):
     got = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in got.collect()} == {"und"}
