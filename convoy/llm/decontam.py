@@ -8,8 +8,10 @@ harms one of them at most, so a region holds floor(m / q) - e of them, on diagon
 overlapping bands of 2 (e + 1); a band that reaches the count is verified by banded
 alignment of the whole item, with free ends in the text.
 
-Edge cases: null or empty text holds no item; null and empty items are in no document;
-an item of fewer than 16 characters counts only where it is the whole document; items
+An item of fewer than 16 characters has to begin and end where words do: not between two
+letters or digits, unless one of them is of a script that's written without spaces.
+
+Edge cases: null or empty text holds no item; null and empty items are in no document; items
 with equal texts are all reported; repeated rows are reported each; a null document id
 is reported as null; without items or documents the result is empty; extra columns are
 not read. Items are taken in blocks of at most `block_bytes`, each block against all
@@ -42,6 +44,19 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+#: Scripts without spaces between words: Thai to Myanmar, Khmer, and from CJK radicals on.
+_UNSPACED = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xFFFF), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+def word_edges(points: np.ndarray) -> np.ndarray:
+    """For each place before, between and after the characters, whether a word may begin or end there."""
+    distinct, at = np.unique(points, return_inverse=True)
+    letter = np.array([chr(c).isalnum() and not any(a <= c <= b for a, b in _UNSPACED) for c in distinct.tolist()], bool)[at]
+    edges = np.ones(len(points) + 1, bool)
+    edges[1:-1] = ~(letter[1:] & letter[:-1])
+    return edges
+
+
 def _grams(points: np.ndarray, q: int) -> np.ndarray:
     """Each place's q characters, a byte each; equal characters have equal bytes."""
     folded = (points ^ (points >> np.uint32(8)) ^ (points >> np.uint32(16))).astype(np.uint8)
@@ -89,12 +104,16 @@ class Index:
         return np.repeat(place, n), self.item[inner], self.offset[inner]
 
 
-def banded_distance(item: np.ndarray, text: np.ndarray, low: np.ndarray, width: int, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def banded_distance(item: np.ndarray, text: np.ndarray, low: np.ndarray, width: int, first: np.ndarray, end: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Least edits between the item and a region of each document whose diagonals are in
-    [low, low + width), and where that region ends. first and end delimit documents."""
+    [low, low + width), and where that region ends. first and end delimit documents; with
+    edges, regions begin and end only there."""
     t = np.arange(width)
     cost = np.zeros((len(low), width), np.int32)
     cost[(low[:, None] + t < first[:, None]) | (low[:, None] + t > end[:, None])] = 1 << 20
+    if edges is not None:
+        cost[~edges[np.clip(low[:, None] + t, 0, len(text))]] = 1 << 20
+        cost = np.minimum.accumulate(cost - t, axis=1) + t
     for i in range(1, len(item) + 1):
         at = low[:, None] + (i - 1) + t  # the text's character that the item's i-th meets
         inside = (at >= first[:, None]) & (at < end[:, None])
@@ -102,6 +121,8 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: np.ndarray, width:
         step = np.where(inside, cost + ~meets, 1 << 20)
         step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)  # the item's character is missing in the text
         cost = np.minimum.accumulate(step - t, axis=1) + t  # characters of the text that the item lacks
+    if edges is not None:
+        cost[~edges[np.clip(low[:, None] + len(item) + t, 0, len(text))]] = 1 << 20
     best = cost.argmin(axis=1)
     return cost[np.arange(len(low)), best], low + best + len(item)
 
@@ -112,24 +133,31 @@ class Matcher:
     def __init__(self, texts: list[str], rate: float):
         self.items = [code_points(t) for t in texts]
         self.edits = [int(rate * len(x) + 1e-9) for x in self.items]
-        self.short = {}
-        by_q: dict[int, list[int]] = {8: [], 4: []}
+        by_q: dict[tuple[int, bool], list[int]] = {}
         for n, t in enumerate(texts):
-            if 0 < len(t) < LEAST:
-                self.short.setdefault(t, []).append(n)
+            if 0 < len(t) < LEAST:  # the longest grams of which a region holds one
+                q = next((q for q in (4, 3, 2) if len(t) // q > self.edits[n]), 1)
+                by_q.setdefault((q, True), []).append(n)
             elif t:
-                by_q[8 if len(t) // 8 - self.edits[n] >= 2 else 4].append(n)
-        self.indexes = [Index.of(self.items, own, q) for q, own in by_q.items() if own]
-        self.need = {q: np.array([max(1, len(x) // q - e) for x, e in zip(self.items, self.edits)]) for q in by_q}
+                by_q.setdefault((8 if len(t) // 8 - self.edits[n] >= 2 else 4, False), []).append(n)
+        self.indexes = [(Index.of(self.items, own, q), short) for (q, short), own in by_q.items()]
+        self.need = {q: np.array([max(1, len(x) // q - e) for x, e in zip(self.items, self.edits)]) for q, _ in by_q}
 
     def __call__(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, end of the region) of each pair that matches."""
-        out = [(r, n, 0, len(t)) for r, t in enumerate(texts) for n in self.short.get(t, ())]
+        out = []
         points = code_points("\n".join(texts) + "\n")
         offsets = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
-        edits = np.array(self.edits, np.int64)
-        for index in self.indexes:
+        edits, lengths = np.array(self.edits, np.int64), np.array([len(x) for x in self.items], np.int64)
+        edges = word_edges(points) if any(short for _, short in self.indexes) else None
+        for index, short in self.indexes:
             place, item, offset = index.hits(points)
+            if short:  # where nothing may be edited, both ends are known
+                start = place - offset
+                end = start + lengths[item]
+                inside = (start >= 0) & (end <= len(points))
+                good = (edits[item] > 0) | (inside & edges[np.where(inside, start, 0)] & edges[np.where(inside, end, 0)])
+                place, item, offset = place[good], item[good], offset[good]
             row = np.searchsorted(offsets, place, side="right") - 1
             band = (place - offset) // (edits[item] + 1)
             keys = np.concatenate([np.stack([row, item, b, offset]) for b in (band, band - 1)], axis=1)
@@ -148,7 +176,7 @@ class Matcher:
                 for k in range(0, len(own), 256):
                     part = own[k : k + 256]
                     low = band[part] * (e + 1) - e
-                    distance, end = banded_distance(self.items[n], points, low, 2 * (e + 1) + 2 * e, offsets[row[part]], offsets[row[part] + 1] - 1)
+                    distance, end = banded_distance(self.items[n], points, low, 2 * (e + 1) + 2 * e, offsets[row[part]], offsets[row[part] + 1] - 1, edges if short else None)
                     for r, d, at in zip(row[part].tolist(), distance.tolist(), end.tolist()):
                         if d <= e:
                             best[r, n] = min(best.get((r, n), (d, at)), (d, at))

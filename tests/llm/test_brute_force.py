@@ -164,6 +164,38 @@ def test_op3(spark):
         assert got == want and len(want) > 10
 
 
+def word_edits(item, text):
+    cuts = [i for i in range(len(text) + 1) if not (0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum())]
+    least = len(item)
+    for a in cuts:
+        row = list(range(len(item) + 1))  # distances of the item's beginnings to text[a:b]
+        for b in range(a, min(len(text), a + len(item) + 3)):
+            new = [b - a + 1]
+            for i, ch in enumerate(item, 1):
+                new.append(min(row[i - 1] + (ch != text[b]), row[i] + 1, new[-1] + 1))
+            row = new
+            if b + 1 in cuts:
+                least = min(least, row[-1])
+    return least
+
+
+def test_op3_short_items():
+    """Short items inside longer texts, as whole words."""
+    rng = random.Random(4)
+    items = ["a", "ab", "cat", "be d", "no way", "tie bow", "the cats", "on a mat c", "tie tie tie", "a-b c-d e-f g"]
+    texts = ["", "cat", "x cat.", "concatenate", "(no way)", "tie tie tie", "xtie tie tie", "xxtie tie tie", "a tie tye tie b"]
+    for _ in range(150):
+        s = list(rng.choice(items))
+        for _ in range(rng.randint(0, 2)):
+            p = rng.randrange(len(s) + 1)
+            s[p : p + 1] = rng.choice([[], ["z"], ["z", " "], ["z", *s[p : p + 1]]])
+        texts.append(decontam.plain(rng.choice(["", "on ", "tie", "a, "]) + "".join(s) + rng.choice(["", " x y", "s", "!"])))
+    got = {(r, n): d for r, n, d, _ in decontam.Matcher(items, 0.1)(texts)}
+    want = {(r, n): d for r, t in enumerate(texts) for n, x in enumerate(items) if t and (d := word_edits(x, t)) <= len(x) // 10}
+    assert got == want and len(want) > 100
+    assert decontam.Matcher(["東京タワー"], 0.1)(["これは東京タワーです"]) == [(0, 0, 0, 8)]
+
+
 def test_op3_finds_every_planted_item(spark, small, table):
     bench = pd.read_parquet(f"{small}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontamination(spark, small).collect()}
