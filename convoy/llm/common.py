@@ -98,7 +98,16 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     the loss of any executor."""
     path = work_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialised tables that no later plan reads."""
+    for df in tables:
+        if getattr(df, "work_folder", None):
+            remove_dir(df.sparkSession, df.work_folder)
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:

@@ -1,34 +1,49 @@
 """Connected components of an edge list, by alternating large-star and small-star
-steps. Every step is joins and aggregations; nothing is collected."""
+steps. Every step is joins and aggregations; nothing is collected.
+
+A round joins only the vertices that it changes: those between two others, and those
+below which there are several. Where these are few (counted before), they're broadcast,
+so that the hub of a large star is never a join key.
+
+Edge cases: loops and repeated edges don't count, an empty list gives an empty result,
+edges with a null end join nothing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
+
+#: Vertices (two longs each) that a round broadcasts at most; beyond it the join shuffles.
+BROADCAST_VERTICES = 1_000_000
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+def _few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_VERTICES else df
 
 
 def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(vertex, component) for each vertex with an edge to another; a component's name
     is its least vertex. The edges become stars around the least vertices in a number
     of rounds that grows with the logarithm of the components' diameter."""
-    edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct()
-    edges = materialise(edges, "edges")
-    before = _signature(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = _signature(edges)
-        if after == before:
+    edges = materialise(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges")
+    while True:
+        down = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        between = down.join(edges.select(F.col("v").alias("x")).distinct(), F.col("u") == F.col("x"), "left_semi").select(F.col("u").alias("x"), "m")
+        between = materialise(between, "between")
+        n = between.count()
+        if not n and down.filter("m < most").isEmpty():
             break
-        before = after
-    return edges.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+        before = (edges, between)
+        large = edges.join(_few(between, n), F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = materialise(large, "edges")
+        discard(*before)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        several = materialise(least.filter("m < most").select(F.col("u").alias("x"), "m"), "several")
+        small = large.join(_few(several, several.count()), F.col("u") == F.col("x")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(large, several)
+    centres = edges.select("v").distinct()
+    return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(centres.select(F.col("v").alias("vertex"), F.col("v").alias("component")))

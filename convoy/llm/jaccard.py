@@ -3,27 +3,32 @@
 A document's set holds hashes of its distinct word shingles. Two sets link when
 den * |A & B| >= num * |A | B|. The join is exact:
 
-* Equal sets are joined by their digests first; only one of them goes on.
+* Equal sets are joined by their digests; the least document of each goes on.
 * Sets of similar size are dealt into cells. For a size class in which linked sets
   differ by at most D shingles, each set is split by hash into D + 1 + s parts: linked
   sets have more than s equal parts, so they meet in a cell of (class, part, its
   content), or, if all those are empty, in the class's cell for sets with more than s
   empty parts. s grows with D, so that hardly any set has so many.
-* Cells that share a set make a neighbourhood, which links never leave. The sets of a
-  neighbourhood meet in one task, each sent once, if they have at most `most_shingles`
-  shingles together.
 * Shingles are also hashed into groups, and the counts in the groups make a point. The
-  sum of two points' coordinate minima bounds the overlap from above. An R-tree over the
-  points finds the pairs that the bound leaves, and these are verified on the whole
-  sets; pairs that are connected already are skipped, so a group of m near copies costs
-  about m verifications and not m * m / 2.
-* A neighbourhood over that bound is taken cell by cell: first a star around each cell's
-  least document, then the pairs that the R-tree finds between a cell's parts that
-  aren't connected yet.
+  sum of two points' coordinate minima bounds the overlap from above. In each cell an
+  R-tree over the points finds the pairs that the bound leaves. There are a quarter to an
+  eighth as many groups as shingles, so that the bound tells unlike sets of any size
+  apart; what it leaves makes neighbourhoods, which links never leave.
+* The sets of a neighbourhood, each sent once, are verified: an R-tree finds the pairs,
+  and their whole sets are compared. Pairs that are connected already are skipped, so a
+  group of m near copies costs about m verifications. Components are of verified links.
+* Cells and neighbourhoods of any size are cut into slices of bounded size. A slice
+  meets the group's least member first; then those pairs of slices meet that aren't of
+  one component already. A group of near copies is thus settled by its slices alone.
+
+Words and shingles are held as 64-bit hashes by a bijective mix of each eight bytes (or
+BLAKE2b); two different shingles with one hash are as rare as chance makes them, 2^-64 a
+pair. Equal sets are found by 128-bit digests and sizes.
 
 Edge cases: null or empty text has an empty set and links with nothing; a text with
 fewer words than a shingle is one shingle; a null id links with nothing and has a null
-component; rows with equal ids count as one vertex; extra columns are not read.
+component; rows with equal ids are vertices of one name, each row in the component of its
+own set; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,16 +40,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release_caches, steps, table_bytes, utf8
+from .common import discard, materialise, release_caches, steps, table_bytes, utf8
 from .components import connected_components
 from .repeats import _batch
-from .spans import Prefix, blob, by_key, mix, ragged, unblob, word_units
+from .spans import blob, by_key, mix, ragged, unblob, word_units
 
-GROUPS, FINE_GROUPS, FAN_OUT = 32, 256, 16
+FAN_OUT = 16
 #: Documents that a map task gathers before it sends keys: bounds the blobs in memory.
 GATHER_BYTES = 8 << 20
-#: Ids that are broadcast at most (8 bytes each); beyond it the join shuffles.
+#: Rows of two longs that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: Members in a slice of a cell, shingles in a slice of a neighbourhood, and what a task holds of either.
+CELL_MEMBERS, SLICE_SHINGLES = 4096, 1_000_000
+TASK_ENTRIES, TASK_SHINGLES = 400_000, 2_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 U64 = np.uint64
@@ -53,12 +61,15 @@ U64 = np.uint64
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, and the offsets of the sets."""
     units = word_units(_LOWER[data], offsets)
-    prefix, words = Prefix(units.codes), np.diff(units.offsets)
+    words = np.diff(units.offsets)
     count = np.where(words >= k, words - k + 1, np.minimum(words, 1))
     doc = np.repeat(np.arange(len(words)), count)
     start = ragged(units.offsets[:-1], count)
     size = np.minimum(words[doc], k)
-    hashes = mix(prefix.of(start, size) + mix(size.astype(U64)))
+    hashes = mix(size.astype(U64) + U64(0x51ED270B))
+    for i in range(k):
+        inner = np.flatnonzero(size > i) if len(size) and size.min() <= i else slice(None)
+        hashes[inner] = mix(hashes[inner] * U64(3) ^ units.codes[start[inner] + i])
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     first = np.ones(len(doc), bool)
@@ -67,6 +78,29 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return hashes, np.searchsorted(doc, np.arange(len(words) + 1))
 
 
+def group_bits(sizes: np.ndarray) -> np.ndarray:
+    """Binary logarithm of the groups for sets of these sizes: 16 groups, and at least an eighth of the size."""
+    return np.maximum(4, np.ceil(np.log2(np.maximum(sizes, 1) / 8)).astype(np.int64))
+
+
+def count_points(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts of each set's shingles in its groups, one set after the other."""
+    sizes = np.diff(offsets)
+    bits = group_bits(sizes)
+    base = np.append(0, np.cumsum(1 << bits))
+    at = np.repeat(base[:-1], sizes) + (hashes >> np.repeat(U64(64) - bits.astype(U64), sizes)).astype(np.int64)
+    return np.bincount(at, minlength=int(base[-1])).astype(np.uint32)
+
+
+def folded(points: np.ndarray, base: np.ndarray, bits: np.ndarray, own: np.ndarray, to: int) -> np.ndarray:
+    """A row of 2^to counts for each of these sets; finer groups are added up."""
+    out = np.zeros((len(own), 1 << to), np.int32)
+    for b in np.unique(bits[own]).tolist():
+        at = np.flatnonzero(bits[own] == b)
+        out[at] = points[base[own[at]][:, None] + np.arange(1 << b)].reshape(len(at), 1 << to, -1).sum(axis=2)
+    return out
+
+
 def size_classes(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First sizes of the classes, the parts of each, and how many of them may be empty.
     The larger of two linked sets is in the class of the smaller or in the next."""
@@ -139,21 +173,62 @@ class RTree:
             high, low, most = np.maximum.reduceat(high, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(most, cuts)
             self.levels.append((high, low, most))
 
-    def search(self, query: int, num: int, den: int) -> np.ndarray:
-        """Points whose overlap with the query's may suffice."""
+    def search(self, query: int, num: int, den: int, wanted: np.ndarray) -> np.ndarray:
+        """Wanted points whose overlap with the query's may suffice."""
         q, n = self.points[query], int(self.sizes[query])
+        live = [wanted[self.order]]
+        for high, _, _ in self.levels:
+            live.append(np.logical_or.reduceat(live[-1], np.arange(0, len(live[-1]), FAN_OUT)))
         nodes = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            high, low, most = (x[nodes] for x in self.levels[depth])
-            bound = np.minimum(high, q).sum(axis=1)
-            good = (bound >= overlap_needed(n, low, num, den)) & (most * den >= num * n) & (num * low <= den * n)
-            below = len(self.levels[depth - 1][0]) if depth else len(self.order)
-            nodes = (nodes[good][:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-            nodes = nodes[nodes < below]
-        found = self.order[nodes]
+            high, low, most = self.levels[depth]
+            nodes = nodes[live[depth + 1][nodes] & (most[nodes] * den >= num * n) & (num * low[nodes] <= den * n)]
+            nodes = nodes[np.minimum(high[nodes], q).sum(axis=1) >= overlap_needed(n, low[nodes], num, den)]
+            nodes = (nodes[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
+            nodes = nodes[nodes < len(live[depth])]
+        found = self.order[nodes[live[0][nodes]]]
+        found = found[linkable(n, self.sizes[found], num, den)]
         return found[np.minimum(self.points[found], q).sum(axis=1) >= overlap_needed(n, self.sizes[found], num, den)]
 
 
+def linkable(a, b, num: int, den: int):
+    """Whether sets of these sizes may link."""
+    return (num * a <= den * b) & (num * b <= den * a)
+
+
+def sweep(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, num: int, den: int, links=None) -> None:
+    """Give one label to all that are connected by pairs that the bound leaves, and that
+    `links(query, others)` approves."""
+    tree, place = RTree(points, sizes), np.arange(len(label))
+    for q in range(len(label)):
+        wanted = label != label[q]
+        wanted &= place > q
+        if not wanted.any():
+            continue
+        found = tree.search(q, num, den, wanted)
+        if links is not None and len(found):
+            found = found[links(q, found)]
+        if len(found):
+            label[np.isin(label, np.append(label[found], label[q]))] = min(label[q], label[found].min())
+
+
+def _set_sums(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(x) + 1, U64)
+    np.cumsum(x, out=sums[1:])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join nodes a and b in a union-find in which every node points to its root, the least."""
+    while len(a):  # of two roots the lesser becomes the other's
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
     """Blobs of keys for buckets >= 0, and of profiles (id, size, digests, point) for bucket -1."""
     schema = "bucket long, keys binary, refs binary, ids binary, sizes binary, tags binary, tags2 binary, points binary"
@@ -161,15 +236,13 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
     def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, valid, hashes, sizes = (np.concatenate([p[i] for p in parts]) for i in range(4))
         offsets = np.append(0, np.cumsum(sizes))
-        doc = np.repeat(np.arange(len(ids)), sizes)
         tag, tag2 = (_set_sums(mix(hashes ^ U64(c)), offsets) for c in (0x1234567, 0x89ABCDEF0123))
-        points = np.bincount(doc * GROUPS + (hashes >> U64(59)).astype(np.int64), minlength=len(ids) * GROUPS).astype(np.uint32)
         rows: list[list] = [[] for _ in schema.split(", ")]
-        for column, value in zip(rows, (-1, None, blob(valid), blob(ids), blob(sizes), blob(tag), blob(tag2), blob(points))):
+        for column, value in zip(rows, (-1, None, blob(valid), blob(ids), blob(sizes), blob(tag), blob(tag2), blob(count_points(hashes, offsets)))):
             column.append(value)
         usable = np.flatnonzero(valid & (sizes > 0))
         usable = usable[np.argsort(ids[usable], kind="stable")]
-        _, first = np.unique(np.stack([tag[usable], tag2[usable]]), axis=1, return_index=True)
+        _, first = np.unique(np.stack([tag[usable], tag2[usable], sizes[usable].astype(U64)]), axis=1, return_index=True)
         first = np.sort(usable[first])  # of each set its least id sends keys; it names the set from here to the result
         inner = ragged(offsets[:-1][first], sizes[first])
         keys, sets = cell_keys(hashes[inner], np.append(0, np.cumsum(sizes[first])), num, den)
@@ -179,7 +252,8 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
             own = order[s:e]
             used, ref = np.unique(sets[own], return_inverse=True)
             who = first[used]
-            for column, value in zip(rows, (int(bucket[own[0]]), blob(keys[own]), blob(ref.astype(np.uint32)), blob(ids[who]), None, blob(tag[who]), None, None)):
+            values = (int(bucket[own[0]]), blob(keys[own]), blob(ref.astype(np.uint32)), blob(ids[who]), blob(sizes[who]), blob(tag[who]), blob(tag2[who]), None)
+            for column, value in zip(rows, values):
                 column.append(value)
         yield from _batch(schema, rows).to_batches()
 
@@ -202,35 +276,31 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
     return docs.mapInArrow(run, schema)
 
 
-def _set_sums(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(x) + 1, U64)
-    np.cumsum(x, out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
-
-
-_MEET = "kind int, id long, valid boolean, n long, tag long, tag2 long, point binary, members array<long>"
+_MEET = "kind int, id long, valid boolean, n long, tag long, tag2 long, point binary, cell long, members array<long>"
 
 
-def _meet(key: tuple, table: pa.Table) -> pa.Table:
-    """Cells of two sets or more, each list of members once; profiles pass through."""
-    out: dict[str, list] = {f.split()[0]: [] for f in _MEET.split(", ")}
+def _meet(key: tuple, table: pa.Table, cell_members: int) -> pa.Table:
+    """Cells of two sets or more, each list of members once, in slices that share the
+    least member; only these carry the cell's name. Profiles pass through."""
+    names = [f.split()[0] for f in _MEET.split(", ")]
+    got = {c: unblob(table.column(c), t) for c, t in (("ids", np.int64), ("sizes", np.int64), ("tags", np.uint64), ("tags2", np.uint64))}
+    ids, sizes, tags, tags2 = (np.concatenate(got[c]) for c in ("ids", "sizes", "tags", "tags2"))
     if key[0].as_py() < 0:
-        got = {c: np.concatenate(unblob(table.column(c), t)) for c, t in (("ids", np.int64), ("refs", np.bool_), ("sizes", np.int64), ("tags", np.int64), ("tags2", np.int64))}
-        points = np.concatenate(unblob(table.column("points"), np.uint32)).reshape(-1, GROUPS)
-        n = len(got["ids"])
-        return pa.table(
-            [pa.array(np.zeros(n, np.int32)), pa.array(got["ids"]), pa.array(got["refs"]), pa.array(got["sizes"]), pa.array(got["tags"]), pa.array(got["tags2"])]
-            + [pa.array([p.tobytes() for p in points], pa.binary()), pa.nulls(n, pa.list_(pa.int64()))],
-            names=list(out),
-        )
-    keys, refs, ids, tags = (unblob(table.column(c), t) for c, t in (("keys", np.uint64), ("refs", np.uint32), ("ids", np.int64), ("tags", np.uint64)))
-    base = np.cumsum([0, *map(len, ids)])
+        valid, points = np.concatenate(unblob(table.column("refs"), np.bool_)), b"".join(v.as_py() for v in table.column("points"))
+        n = len(ids)
+        ends = np.cumsum(4 << group_bits(sizes)).tolist()
+        point = [points[a:b] for a, b in zip([0, *ends], ends)]
+        values = [np.zeros(n, np.int32), ids, valid, sizes, tags.view(np.int64), tags2.view(np.int64)]
+        return pa.table([*map(pa.array, values), pa.array(point, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+    keys, refs = unblob(table.column("keys"), np.uint64), unblob(table.column("refs"), np.uint32)
+    base = np.cumsum([0, *map(len, got["ids"])])
     doc = np.concatenate([r.astype(np.int64) + b for r, b in zip(refs, base)])
-    key_, ids_, tags_ = np.concatenate(keys), np.concatenate(ids), np.concatenate(tags)
+    key_ = np.concatenate(keys)
     # one name for each set: its least id here
-    _, group = np.unique(tags_, return_inverse=True)
+    _, group = np.unique(np.stack([tags, tags2, sizes.view(np.uint64)]), axis=1, return_inverse=True)
+    group = group.ravel()
     least = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, ids_)
+    np.minimum.at(least, group, ids)
     name = least[group][doc]
     order = np.lexsort((name, key_))
     key_, name = key_[order], name[order]
@@ -238,18 +308,112 @@ def _meet(key: tuple, table: pa.Table) -> pa.Table:
     fresh[1:] = (key_[1:] != key_[:-1]) | (name[1:] != name[:-1])
     key_, name = key_[fresh], name[fresh]
     starts = np.append(np.flatnonzero(np.r_[True, key_[1:] != key_[:-1]]) if len(key_) else np.empty(0, np.int64), len(key_))
-    sizes = np.diff(starts)
-    several = np.flatnonzero(sizes > 1)
-    lists = {name[starts[c] : starts[c + 1]].tobytes() for c in several.tolist()}
+    count = np.diff(starts)
+    lists: dict[bytes, int | None] = {}
+    for c in np.flatnonzero(count > 1).tolist():
+        own = name[starts[c] : starts[c + 1]]
+        if len(own) <= cell_members:
+            lists.setdefault(own.tobytes(), None)
+            continue
+        slices = -(-len(own) // cell_members)
+        which = mix(own[1:].view(U64)) % U64(slices)
+        for x in range(slices):
+            lists.setdefault(np.append(own[0], own[1:][which == U64(x)]).tobytes(), int(key_[starts[c]].view(np.int64)))
     members = pa.array([np.frombuffer(x, np.int64) for x in lists], pa.list_(pa.int64()))
     n = len(members)
-    return pa.table([pa.array(np.ones(n, np.int32)), *(pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())), members], names=list(out))
+    empty = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+    return pa.table([pa.array(np.ones(n, np.int32)), *empty, pa.array(list(lists.values()), pa.int64()), members], names=names)
+
+
+_EDGES = "a long, b long"
+
+
+def _edges(ids: np.ndarray, label: np.ndarray) -> pa.Table:
+    """An edge to its label's first for each that has another's label."""
+    other = np.flatnonzero(ids != ids[label])
+    return pa.table({"a": ids[other], "b": ids[label[other]]})
+
+
+def _close(cells: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges that connect, in each cell (`members`), what pairs within the bound connect.
+    Cells with the same least member meet in one task, where a point is sent once."""
+    entries = cells.agg(F.sum(F.size("members"))).first()[0] or 0
+    tasks = max(8, int(entries) // TASK_ENTRIES)
+    lists = cells.select(F.pmod(F.xxhash64(F.col("members")[0], F.when(F.col("cell").isNotNull(), F.xxhash64("members"))), F.lit(tasks)).alias("task"), "members")
+    wanted = lists.select("task", F.explode("members").alias("id")).distinct().join(points, "id").select((F.col("task") + 0).alias("task"), "id", "n", "point")
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("id")
+        ids, sizes = right.column("id").to_numpy(), right.column("n").to_numpy()
+        points = np.frombuffer(b"".join(v.as_py() for v in right.column("point")), np.uint32)
+        bits = group_bits(sizes)
+        base = np.append(0, np.cumsum(1 << bits))
+        root = np.searchsorted(ids, ids)  # rows with equal ids are one node
+        members = left.column("members").combine_chunks()
+        flat, ends = members.flatten().to_numpy(), np.append(0, np.cumsum(members.value_lengths().to_numpy()))
+        low, high = np.searchsorted(ids, flat), np.searchsorted(ids, flat, side="right")
+        at, cell = ragged(low, high - low), np.repeat(np.repeat(np.arange(len(members)), np.diff(ends)), high - low)
+        starts = np.searchsorted(cell, np.arange(len(members) + 1))
+        least = np.minimum.reduceat(bits[at], starts[:-1]) if len(at) else np.empty(0, np.int64)
+        size = np.diff(starts)
+        for c in sorted(np.flatnonzero(size > FAN_OUT).tolist(), key=lambda c: -size[c]):
+            own = at[starts[c] : starts[c + 1]]
+            if (root[own] != root[own[0]]).any():
+                label = root[own]
+                sweep(folded(points, base, bits, own, int(least[c])), sizes[own], label, num, den)
+                unite(root, own, label)
+        for b in np.unique(least).tolist():
+            small = np.flatnonzero((size <= FAN_OUT) & (least == b))
+            ahead = np.append(0, np.cumsum(size[small]))
+            k = 0
+            while k < len(small):  # some cells at a time
+                e = max(k + 1, int(np.searchsorted(ahead, ahead[k] + (1 << 23 >> b), side="right")) - 1)
+                own = at[ragged(starts[:-1][small[k:e]], size[small[k:e]])]
+                which = np.repeat(np.arange(e - k), size[small[k:e]])
+                rows, row = np.unique(own, return_inverse=True)
+                point = folded(points, base, bits, rows, b)
+                for shift in range(1, min(FAN_OUT, len(own))):
+                    i = np.flatnonzero((which[shift:] == which[:-shift]) & (root[own[shift:]] != root[own[:-shift]]))
+                    x, y = own[i], own[i + shift]
+                    good = np.flatnonzero(linkable(sizes[x], sizes[y], num, den))
+                    i, x, y = i[good], x[good], y[good]
+                    good = np.minimum(point[row[i]], point[row[i + shift]]).sum(axis=1) >= overlap_needed(sizes[x], sizes[y], num, den)
+                    unite(root, x[good], y[good])
+                k = e
+        return _edges(ids, root)
+
+    def call(left: pa.Table, right: pa.Table) -> pa.Table:
+        return join(left, right) if left.num_rows and right.num_rows else _edges(np.empty(0, np.int64), np.empty(0, np.int64))
+
+    return lists.groupBy("task").cogroup(wanted.groupBy("task")).applyInArrow(call, _EDGES)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _tiles(rows: DataFrame, limit: int) -> DataFrame:
+    """(grp, x, y, id): pairs of slices that cover all pairs of different parts of each
+    group of the rows (grp, id, part, weight). The largest part has slices of its own."""
+    parts = rows.groupBy("grp", "part").agg(F.sum("weight").alias("w"))
+    largest = parts.groupBy("grp").agg(F.max_by("part", "w").alias("largest"), F.count("*").alias("parts"), F.sum("w").alias("w"), F.max("w").alias("top")).filter("parts > 1")
+    largest = materialise(largest.select("grp", "largest", F.ceil(F.col("top") / limit).alias("inner"), F.ceil((F.col("w") - F.col("top")) / limit).alias("outer")), "groups")
+    spread = F.xxhash64("id", F.lit(7))
+    sliced = rows.join(_few(largest), "grp").select(
+        "grp", "id", "part", F.when(F.col("part") == F.col("largest"), -1 - F.pmod(spread, F.col("inner"))).otherwise(F.pmod(spread, F.col("outer"))).alias("s")
+    )
+    sliced = materialise(sliced, "slices")
+    pure = sliced.groupBy("grp", "s").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    a, b = pure.toDF("grp", "x", "low", "high"), pure.toDF("grp", "y", "low2", "high2")
+    pairs = a.join(b, "grp").filter("x <= y and not (low = high and low2 = high2 and low = low2)")
+    ends = pairs.select("grp", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("s"))
+    return sliced.join(ends, ["grp", "s"]).select("grp", "x", "y", "id")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, members) of the documents with these ids. Few ids are broadcast."""
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    """(id, members) of the documents with these ids."""
+    wanted = docs.join(_few(ids), "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
@@ -267,72 +431,124 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """Whether two sorted sets link."""
     if len(x) > len(y):
         x, y = y, x
+    if num * len(y) > den * len(x):
+        return False
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     both = int((y[at] == x).sum())
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _neighbourhoods(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(vertex, component) of the sets (id, place) that meet by place."""
-    sets = _sets_of(docs, members.select("id"), k).join(members, "id")
+def link_sets(own: list[np.ndarray], label: np.ndarray, num: int, den: int) -> None:
+    """Give one label to the sets that links connect."""
+    if len(own) <= FAN_OUT:
+        for i in range(1, len(own)):
+            for j in range(i):
+                if label[i] != label[j] and _linked(own[i], own[j], num, den):
+                    label[(label == label[i]) | (label == label[j])] = min(label[i], label[j])
+        return
+    sizes = np.array([len(x) for x in own], np.int64)
+    hashes, offsets = np.concatenate(own), np.append(0, np.cumsum(sizes))
+    shingles, word = np.unique(hashes, return_inverse=True)
+    mine = np.zeros(len(shingles), np.uint8)
+    bits = group_bits(sizes)
+    point = folded(count_points(hashes, offsets), np.append(0, np.cumsum(1 << bits)), bits, np.arange(len(own)), int(bits.min()))
+
+    def links(q: int, others: np.ndarray) -> np.ndarray:
+        mine[word[offsets[q] : offsets[q + 1]]] = 1
+        good = []
+        for k in range(0, len(others), 2048):
+            part = others[k : k + 2048]
+            n = sizes[part]
+            both = np.add.reduceat(mine[word[ragged(offsets[part], n)]], np.cumsum(n) - n, dtype=np.int64)
+            good.append(den * both >= num * (sizes[q] + n - both))
+        mine[word[offsets[q] : offsets[q + 1]]] = 0
+        return np.concatenate(good)
+
+    sweep(point, sizes, label, num, den, links)
+
+
+def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges that connect what links connect in each group of the rows (grp, x, y, id, members)."""
 
     def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids = table.column("id").to_numpy()
-        own = [np.frombuffer(m.as_py(), U64) for m in table.column("members")]
-        sizes = np.array([len(x) for x in own], np.int64)
-        points = np.zeros((len(own), FINE_GROUPS), np.int64)
-        for i, x in enumerate(own):
-            points[i] = np.bincount((x >> U64(56)).astype(np.int64), minlength=FINE_GROUPS)
-        tree, label = RTree(points, sizes), np.arange(len(own))
-        for q in range(len(own)):
-            for p in tree.search(q, num, den).tolist():
-                if label[p] != label[q] and _linked(own[p], own[q], num, den):
-                    a, b = sorted((int(label[p]), int(label[q])))
-                    label[label == b] = a
-        return pa.table({"vertex": ids, "component": ids[label]})
-
-    return sets.groupBy("place").applyInArrow(join, "vertex long, component long")
-
-
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    pairs = materialise(pairs, "pairs")
-    held = materialise(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k), "sets")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                good.append(_linked(np.frombuffer(x, U64), np.frombuffer(y, U64), num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    one = pairs.join(held.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-    both = one.join(held.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
-
-
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, most_shingles: int = 32_000_000) -> DataFrame:
-    """Per document: id, n_shingles and component_id (least id reachable by links)."""
+        table = table.sort_by([("grp", "ascending"), ("x", "ascending"), ("y", "ascending"), ("id", "ascending")])
+        grp, x, y, ids = (table.column(c).to_numpy() for c in ("grp", "x", "y", "id"))
+        sets = [np.frombuffer(m.as_py(), U64) for m in table.column("members")]
+        new = np.ones(len(ids), bool)
+        new[1:] = (grp[1:] != grp[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        starts = np.append(np.flatnonzero(new), len(ids)).tolist()
+        out = [pa.table({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})]
+        for s, e in zip(starts[:-1], starts[1:]):
+            label = np.searchsorted(ids[s:e], ids[s:e])
+            link_sets(sets[s:e], label, num, den)
+            out.append(_edges(ids[s:e], label))
+        return pa.concat_tables(out)
+
+    return rows.groupBy("task").applyInArrow(join, _EDGES)
+
+
+def _links(rows: DataFrame, places: DataFrame, points: DataFrame, k: int, num: int, den: int, slice_shingles: int) -> DataFrame:
+    """Edges that connect what links connect, given the neighbourhoods (vertex, component)."""
+    member = places.join(points.select(F.col("id").alias("vertex"), F.col("n").alias("weight")), "vertex")
+    member = materialise(member.select(F.col("component").alias("grp"), F.col("vertex").alias("id"), "weight"), "members")
+    total = int(member.agg(F.sum("weight")).first()[0] or 0)
+    tasks = max(8, total // TASK_SHINGLES)
+    sets = materialise(_sets_of(rows, member.select("id").distinct(), k), "sets")
+    weights = member.groupBy("grp").agg(F.sum("weight").alias("w")).filter(F.col("w") > slice_shingles)
+    weights = materialise(weights.select("grp", F.ceil(F.col("w") / slice_shingles).alias("slices")), "weights")
+    # each slice with the neighbourhood's least member, which names it
+    slices = F.coalesce("slices", F.lit(1).cast("long"))
+    everywhere = F.sequence(F.lit(0).cast("long"), slices - 1)
+    own = F.when(F.col("id") == F.col("grp"), everywhere).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(3)), slices)))
+    sliced = member.join(_few(weights), "grp", "left").select("grp", "id", F.explode(own).alias("x"))
+    task = F.pmod(F.xxhash64("grp", "x", "y"), F.lit(tasks)).alias("task")
+    met = sliced.withColumn("y", F.col("x")).join(sets, "id").select(task, "grp", "x", "y", "id", "members")
+    links = materialise(_verified(met, num, den), "links")
+    if weights.isEmpty():
+        discard(member, sets, weights)
+        return links
+    parts = materialise(connected_components(links, "a", "b"), "parts")
+    large = member.join(_few(weights), "grp", "left_semi").join(parts, F.col("id") == F.col("vertex"), "left")
+    tiles = _tiles(large.select("grp", "id", F.coalesce("component", "id").alias("part"), "weight"), slice_shingles)
+    more = _verified(tiles.join(sets, "id").select(task, "grp", "x", "y", "id", "members"), num, den)
+    return materialise(links.unionByName(more), "links")
+
+
+def _neighbourhoods(cells: DataFrame, points: DataFrame, num: int, den: int, cell_members: int) -> DataFrame:
+    """(vertex, component) of what pairs within the bound connect."""
+    edges = materialise(_close(cells, points, num, den), "close")
+    sliced = cells.filter("cell is not null")
+    if not sliced.isEmpty():
+        parts = materialise(connected_components(edges, "a", "b"), "parts")
+        rows = sliced.select(F.col("cell").alias("grp"), F.explode("members").alias("id")).distinct()
+        rows = rows.join(parts, F.col("id") == F.col("vertex"), "left").select("grp", "id", F.coalesce("component", "id").alias("part"), F.lit(1).alias("weight"))
+        tiles = _tiles(rows, cell_members).groupBy("grp", "x", "y").agg(F.sort_array(F.collect_list("id")).alias("members"))
+        tiles = materialise(tiles.select(F.col("grp").alias("cell"), "members"), "tiles")
+        edges = materialise(edges.unionByName(_close(tiles, points, num, den)), "close")
+    return materialise(connected_components(edges, "a", "b"), "places")
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, cell_members: int = CELL_MEMBERS, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
+    """Per document: id, n_shingles and component_id (least id reachable by links). The
+    last two bound the slices that cells and neighbourhoods are cut into; the result
+    doesn't depend on them."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = max(24, min(1 << 20, table_bytes(rows) >> 25))
     met = _sketch(rows, k, num, den, buckets)
     # profiles are of all documents: they're dealt out by their own salt, not to one task
     salt = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("ids"), F.lit(buckets))).otherwise(F.col("bucket"))
-    met = materialise(met.withColumn("bucket", salt).groupBy("bucket").applyInArrow(_meet, _MEET), "cells")
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        return _meet(key, table, cell_members)
+
+    met = materialise(met.withColumn("bucket", salt).groupBy("bucket").applyInArrow(meet, _MEET), "cells")
     profile = met.filter("kind = 0").select("id", "valid", "n", "tag", "tag2", "point")
-    cells = materialise(met.filter("kind = 1").select("members").distinct().select(F.xxhash64("members").alias("cell"), "members"), "cell-lists")
-
-    points = profile.filter("valid and n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    spokes = cells.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b")).distinct()
-    places = connected_components(spokes, "a", "b").select(F.col("vertex").alias("id"), F.col("component").alias("place"))
-    weights = places.join(points.select("id", "n"), "id").groupBy("place").agg(F.sum("n").alias("weight"))
-    places = materialise(places.join(weights, "place"), "places")
-    parts = materialise(_neighbourhoods(rows, places.filter(F.col("weight") <= most_shingles).select("id", "place"), k, num, den), "parts")
-    if not places.filter(F.col("weight") > most_shingles).isEmpty():
-        large = places.filter(F.col("weight") > most_shingles).select("id")
-        cells = cells.join(large, cells["members"][0] == large["id"], "left_semi")
-        parts = parts.unionByName(_cell_by_cell(rows, cells, points, k, num, den))
+    cells = materialise(met.filter("kind = 1").select("cell", "members").distinct(), "cell-lists")
+    points = profile.filter("valid and n > 0").select("id", "n", "point")
+    places = _neighbourhoods(cells, points, num, den, cell_members)
+    links = _links(rows, places, points, k, num, den, slice_shingles)
+    parts = materialise(connected_components(links, "a", "b"), "parts")
+    discard(cells, places, links)
     usable = F.col("valid") & (F.col("n") > 0)
     least = profile.filter(usable).groupBy("tag", "tag2", F.col("n").alias("size")).agg(F.min("id").alias("least"))
     out = profile.join(least.withColumnsRenamed({"tag": "t", "tag2": "t2"}), usable & (F.col("tag") == F.col("t")) & (F.col("tag2") == F.col("t2")) & (F.col("n") == F.col("size")), "left")
@@ -342,44 +558,3 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.col("n").alias("n_shingles"),
         F.when(F.col("valid"), F.coalesce("component", "least", "id")).alias("component_id"),
     )
-
-
-def _cell_by_cell(rows: DataFrame, cells: DataFrame, points: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(vertex, component) of sets that are too many for one task."""
-
-    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose points and sizes leave the link possible."""
-        for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS) for i in (4, 5))
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            keep = np.minimum(p, q).sum(axis=1) >= overlap_needed(n, m, num, den)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    star = cells.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("b")).distinct()
-    star = star.join(points.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("point").alias("p")), "a")
-    star = star.join(points.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("point").alias("q")), "b")
-    links = _verify(rows, star.select("a", "b", "n", "m", "p", "q").mapInArrow(coarse, "a long, b long"), k, num, den)
-    parts = materialise(connected_components(links, "a", "b"), "parts")
-
-    # cells whose members aren't all connected
-    flat = cells.select("cell", F.explode("members").alias("id")).join(parts, F.col("id") == F.col("vertex"), "left")
-    flat = flat.select("cell", "id", F.coalesce("component", "id").alias("part"))
-    mixed = flat.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("cell")
-    rest = flat.join(mixed, "cell", "left_semi").join(points, "id")
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        ids, part, n = (table.column(c).to_numpy() for c in ("id", "part", "n"))
-        tree = RTree(np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64), n)
-        names, count = np.unique(part, return_counts=True)
-        most = names[count.argmax()]  # pairs with the largest part are found from the other side
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for q in np.flatnonzero(part != most).tolist():
-            found = tree.search(q, num, den)
-            found = found[part[found] != part[q]]
-            a.append(np.full(len(found), ids[q]))
-            b.append(ids[found])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    more = _verify(rows, rest.groupBy("cell").applyInArrow(search, "a long, b long").distinct(), k, num, den)
-    return connected_components(links.unionByName(more), "a", "b")

@@ -10,6 +10,7 @@ moves: no window is sampled away.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+LONG_WORD = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = np.ones(1, U64)
@@ -83,6 +85,27 @@ def byte_units(data: np.ndarray, offsets: np.ndarray) -> Units:
     return Units(data, _CODES[data], offsets, None, None)
 
 
+def word_hashes(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes a round with a bijection between rounds (a
+    polynomial modulo 2^64 has one value for many repetitive words); words of more than
+    `LONG_WORD` bytes by BLAKE2b."""
+    codes = mix(sizes.astype(U64) ^ U64(0x2545F4914F6CDD1D))
+    if not len(begins):
+        return codes
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    live, done = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(live):
+        rest = np.minimum(sizes[live] - done, 8).astype(U64)
+        own = lanes[begins[live] + done] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * rest))
+        codes[live] = mix(codes[live] ^ own)
+        done += 8
+        live = live[sizes[live] > done]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[begins[i] : begins[i] + sizes[i]].tobytes(), digest_size=8).digest()
+        codes[i] = U64(int.from_bytes(digest, "little"))
+    return codes
+
+
 def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
     """Words are runs of bytes other than ASCII white space; `data` becomes the words,
     each with one space behind it."""
@@ -98,7 +121,7 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
     begins, ends = np.flatnonzero(begin), np.flatnonzero(stop)
     sizes = ends - begins
     word_offsets = np.searchsorted(begins, offsets)
-    codes = mix(Prefix(_CODES[data]).of(begins, sizes) + sizes.astype(U64)) if len(begins) else np.empty(0, U64)
+    codes = word_hashes(data, begins, sizes)
     new_begins = np.cumsum(sizes + 1) - (sizes + 1)
     joined = np.full(int((sizes + 1).sum()), 32, np.uint8)
     joined[ragged(new_begins, sizes)] = data[letter]

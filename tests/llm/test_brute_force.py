@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -14,7 +15,7 @@ pytest.importorskip("public_tokenizers")
 import public_tokenizers as P  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from convoy.llm import decontam, jaccard, langid, neardup, packing, queries, token_counts, warc  # noqa: E402
+from convoy.llm import decontam, jaccard, langid, neardup, packing, queries, spans, token_counts, warc  # noqa: E402
 from convoy.llm.spans import slide  # noqa: E402
 
 
@@ -85,10 +86,14 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("k, num, most", [(4, 85, 32_000_000), (4, 85, 0), (5, 80, 32_000_000)])
-def test_op2(spark, small, table, k, num, most):
+#: Slices as they are, and so small that most groups are cut.
+SLICES = [{}, {"cell_members": 3, "slice_shingles": 150}]
+
+
+@pytest.mark.parametrize("k, num, slices", [(4, 85, SLICES[0]), (4, 85, SLICES[1]), (5, 80, SLICES[0])])
+def test_op2(spark, small, table, k, num, slices):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    got = jaccard.similar_groups(docs, k=k, num=num, den=100, most_shingles=most).toPandas().set_index("doc_id")
+    got = jaccard.similar_groups(docs, k=k, num=num, den=100, **slices).toPandas().set_index("doc_id")
     sets = {d: shingles(t, k) for d, t in table.items()}
     ids = sorted(sets)
     links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
@@ -109,8 +114,8 @@ def test_op2_chains(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = {d: shingles(t, 4) for d, t in rows}
     find = components((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
-    for most in (32_000_000, 0):
-        got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(df, k=4, num=85, den=100, most_shingles=most).collect()}
+    for slices in SLICES:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(df, k=4, num=85, den=100, **slices).collect()}
         assert got == {d: find(d) for d in sets}
 
 
@@ -129,12 +134,44 @@ def test_op2_equal_sets_in_any_row_order(spark):
         find = components((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]))
         return {d: find(d) for d in sets}
 
-    for most in (32_000_000, 0):
-        got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs, k=4, num=85, den=100, most_shingles=most).collect()}
+    for slices in SLICES:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs, k=4, num=85, den=100, **slices).collect()}
         assert got == least(4, 85)
     assert {r["doc_id"] for r in corpus_pipeline.near_dup(spark, docs, "").collect()} == set(least(5, 80).values())
 
 
+def thue_morse(a, b, n):
+    return (a + b) if n == 0 else thue_morse(a, b, n - 1) + thue_morse(b, a, n - 1)
+
+
+def test_op2_words_that_collide_in_polynomials(spark):
+    x, y = thue_morse("a", "b", 11), thue_morse("b", "a", 11)
+    df = spark.createDataFrame([(1, f"one two three {x}"), (2, f"one two three {y}"), (3, x[:-1]), (4, x[:-2])], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.similar_groups(df, k=4, num=85, den=100).collect()} == {1, 2, 3, 4}
+    words = b" ".join(w.encode() for w in (x, y, "abcdefgh", "abcdefghi", "a", "b", "abcdefgha"))
+    units = spans.word_units(np.frombuffer(words, np.uint8), np.array([0, len(words)]))
+    assert len(set(units.codes.tolist())) == 7
+
+
+def test_op2_many_near_copies_take_few_comparisons():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+    own = [np.sort(np.append(base[rng.permutation(len(base))[:395]], rng.integers(0, 1 << 62, 5, dtype=np.int64).astype(np.uint64))) for _ in range(4000)]
+    label = np.arange(4000)
+    began = time.process_time()
+    jaccard.link_sets(own, label, 85, 100)
+    assert not label.any() and time.process_time() - began < 4
+
+
+def test_op2_group_of_twenty_thousand(spark):
+    """Near copies in many slices, beside texts that share half of their words with them."""
+    rng, words = random.Random(2), [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words + [f"n{i}"])) for i in range(20_000)] + [(20_000 + i, " ".join(words[:20] + [f"o{i}x{j}" for j in range(20)])) for i in range(500)]
+    rng.shuffle(rows)
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=4, num=85, den=100, slice_shingles=100_000)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: 0 if i < 20_000 else i for i, _ in rows}
+
+
 def edits(item, text):
     row = np.zeros(len(text) + 1, int)
     for i, ch in enumerate(item, 1):
