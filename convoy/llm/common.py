@@ -24,9 +24,16 @@ STEP_BYTES = 1 << 21
 CACHES: list[Callable[[], None]] = []
 
 
-def release_caches() -> None:
-    """Called where another operator's work starts in a worker: workers are reused, and
-    what an earlier stage remembered would count against this one's memory."""
+_owner = ""
+
+
+def release_caches(owner: str) -> None:
+    """Called where an operator's work starts in a worker: workers are reused, and what
+    another operator remembered there would count against this one's memory."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
     for clear in CACHES:
         clear()
     pa.default_memory_pool().release_unused()

@@ -209,7 +209,7 @@ def contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in got], [plain(r["text"]) for r in got]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            release_caches()
+            release_caches("decontam")
             names, texts = shared.value
             find = Matcher(texts, rate)
             for batch in batches:

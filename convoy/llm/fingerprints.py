@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import remove_dir, work_dir
+from .common import release_caches, remove_dir, work_dir
 from .repeats import KEYS, Windows, _batch, _with_left_key
 from .spans import HashCollision, Prefix, Units, block_count, blob, by_key, in_blocks, mix, ragged, same_bytes, unblob
 
@@ -179,6 +179,7 @@ def dedup_windows(
     schema = "id long, n_words long, n_removed long, kept_sha256 string, kept binary"
 
     def cut(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        release_caches("repeats")
         rows: list[list] = [[], [], [], [], []]
         ids = table.column("id").to_pylist()
         for start, end, units, gone in repeats.removed_symbols(table, found, windows, lambda value, own: value == 1):

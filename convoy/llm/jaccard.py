@@ -258,7 +258,7 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
         yield from _batch(schema, rows).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
+        release_caches("jaccard")
         parts, held = [], 0
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -383,6 +383,7 @@ def _close(cells: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame
         return _edges(ids, root)
 
     def call(left: pa.Table, right: pa.Table) -> pa.Table:
+        release_caches("jaccard")
         return join(left, right) if left.num_rows and right.num_rows else _edges(np.empty(0, np.int64), np.empty(0, np.int64))
 
     return lists.groupBy("task").cogroup(wanted.groupBy("task")).applyInArrow(call, _EDGES)
@@ -416,7 +417,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     wanted = docs.join(_few(ids), "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
+        release_caches("jaccard")
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for s, e in steps(offsets):
@@ -471,6 +472,7 @@ def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Edges that connect what links connect in each group of the rows (grp, x, y, id, members)."""
 
     def join(table: pa.Table) -> pa.Table:
+        release_caches("jaccard")
         table = table.sort_by([("grp", "ascending"), ("x", "ascending"), ("y", "ascending"), ("id", "ascending")])
         grp, x, y, ids = (table.column(c).to_numpy() for c in ("grp", "x", "y", "id"))
         sets = [np.frombuffer(m.as_py(), U64) for m in table.column("members")]
@@ -539,6 +541,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     salt = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("ids"), F.lit(buckets))).otherwise(F.col("bucket"))
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
+        release_caches("jaccard")
         return _meet(key, table, cell_members)
 
     met = materialise(met.withColumn("bucket", salt).groupBy("bucket").applyInArrow(meet, _MEET), "cells")

@@ -136,6 +136,7 @@ def fit(
     chosen = keyed.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share * 1_000_000)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("langid")
         for batch in batches:
             windows, row, _ = windows_of(*utf8(batch.column(2)))
             nth = np.arange(len(row)) - np.searchsorted(row, row)
@@ -163,7 +164,7 @@ def predict(docs: DataFrame, net: ByteCNN | None, *, id_col: str = "doc_id", tex
     chosen = docs.select(*carried, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
+        release_caches("langid")
         for batch in batches:
             data, offsets = utf8(batch.column(len(carried)))
             letters = batch.column(len(carried) + 1).to_numpy(zero_copy_only=False)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release_caches
 from .repeats import _batch, _with_left_key
 from .spans import HashCollision, block_count, in_blocks
 
@@ -65,6 +65,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     digests = "block long, digest binary, n long"
 
     def survey(key: tuple, table: pa.Table) -> pa.Table:
+        release_caches("lines")
         seen: dict[bytes, int] = {}
         for text in table.column("text").to_pylist():
             if text is not None:
@@ -83,6 +84,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def fetch(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         """Each repeating chunk of the block once, with its first place here."""
+        release_caches("lines")
         wanted = {d for ds in known.column("digests").to_pylist() for d in ds}
         seen: dict[bytes, list] = {}
         table = _sorted_rows(table)
@@ -108,6 +110,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     schema = ", ".join(["id long, n_lines long, n_removed long, text string", *(f"{c} {docs.schema[k].dataType.simpleString()}" for c, k in zip(carried, keep))])
 
     def cut(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        release_caches("lines")
         out: list[list] = [[], [], [], []]
         stays: dict[bytes, tuple] = {}
         for g in (g for gs in found.column("gone").to_pylist() for g in gs):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, work_dir
+from .common import materialise, release_caches, work_dir
 from .components import connected_components
 
 #: Vectors a pivot stands for, most pivots, and vectors on either side of one task.
@@ -110,6 +110,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("neardup")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(unit_vectors(b.column(1)), pa.binary())], names=["id", "unit"])
 
@@ -171,6 +172,7 @@ def _join(reps: DataFrame, n: int, threshold: float, r: float) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A resident goes to its slice beside all slices of members; a member the other way round."""
+        release_caches("neardup")
         for batch in batches:
             row, cell, lives = _cells(_pivot_distances(batch.column(0).to_pylist(), pivots), radius, r)
             ids = batch.column(1).to_numpy()[row].astype(np.uint64)
@@ -194,6 +196,7 @@ def _join(reps: DataFrame, n: int, threshold: float, r: float) -> DataFrame:
     dealt = reps.select("unit", "rep", "n").mapInArrow(deal, "cell long, x long, y long, resident boolean, id long, n long, unit binary")
 
     def join(table: pa.Table) -> pa.Table:
+        release_caches("neardup")
         resident = table.column("resident").to_numpy()
         return _links(table, resident, ~resident, threshold)
 
@@ -204,6 +207,7 @@ def _join_small(reps: DataFrame, threshold: float) -> DataFrame:
     """As _join, for any number of dimensions of less than two pivots: a cell each."""
 
     def join(table: pa.Table) -> pa.Table:
+        release_caches("neardup")
         every = np.ones(len(table), bool)
         return _links(table, every, every, threshold)
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, steps, utf8
+from .common import CACHES, release_caches, steps, utf8
 
 #: Tokens that one run of the dynamic programme covers, at least (a partition's rest may be fewer).
 RUN_TOKENS = 1 << 20
@@ -261,6 +261,7 @@ def pack(
         return pa.RecordBatch.from_arrays(columns, names=names), first + len(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("packing")
         maker = _maker(tokenizer_path)
         at = TaskContext.get().partitionId() << 32
         keys, parts, counts, held = [], [], [], 0

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import steps
+from .common import release_caches, steps
 from .spans import (
     HashCollision,
     Prefix,
@@ -82,6 +82,7 @@ def anchors(texts: DataFrame, windows: Windows, buckets: int, across_docs: bool)
     (in more than one document if `across_docs`, else at more than one place)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        release_caches("repeats")
         found, docs = [], []
         for start, _, _, _, runs in windows.scan(table):
             anchor, doc = runs.anchors_at
@@ -122,6 +123,7 @@ def segments(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int)
     """Distinct segments of each block's runs with repeating keys, by bucket."""
 
     def run(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
+        release_caches("repeats")
         rows: list[list] = [[] for _ in SEGMENTS.split(", ")]
         wanted, ids, parts = known_keys(known), ids_of(table), []
         if not len(wanted):
@@ -186,6 +188,7 @@ def verdicts(sent: DataFrame, windows: Windows, judge: Callable) -> DataFrame:
     each window; values return to each block that sent a segment, in stretches."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        release_caches("repeats")
         cols = {c: unblob(table.column(c), t) for c, t in (("hash", np.uint64), ("anchor", np.uint64), ("low", np.int64), ("high", np.int64), ("count", np.int64), ("windows", np.int64), ("sizes", np.int64))}
         rows_of = np.repeat(np.arange(table.num_rows), [len(x) for x in cols["hash"]])
         got = {c: np.concatenate(v) for c, v in cols.items()}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, steps, utf8
+from .common import CACHES, release_caches, steps, utf8
 
 MARK = "▁"
 #: Pre-tokens longer than this are merged with a heap, whose cost is n log n.
@@ -201,6 +201,7 @@ def token_counts(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("tokens")
         for batch in batches:
             _, offsets = utf8(batch.column(1))
             for start, end in steps(offsets):

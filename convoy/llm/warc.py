@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove_dir, utf8, work_dir
+from .common import release_caches, remove_dir, utf8, work_dir
 
 #: Bytes read from an archive, and inflated, at a time.
 CHUNK = 1 << 20
@@ -124,6 +124,7 @@ def write_monolithic(rows: DataFrame, folder: str) -> DataFrame:
     beside the archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("warc")
         out, n, deflate, path = None, 0, zlib.compressobj(4, zlib.DEFLATED, 31), f"{folder}/mono/{uuid.uuid4().hex}.warc.gz"
         for batch in batches:
             data, offsets = utf8(batch.column(2))
@@ -160,6 +161,7 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
     archive. A task for each archive; an archive is read once, from front to back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("warc")
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 name = f"{folder}/warc/{uuid.uuid4().hex}.warc.gz"
@@ -186,6 +188,7 @@ def read_archives(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     computed from the block and compared with its headers), refers_to, payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("warc")
         import hashlib
 
         schema = pa.schema([(c, pa.string()) for c in ("page_id", "url", "record_type", "payload_digest")] + [("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())])
