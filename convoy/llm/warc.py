@@ -25,10 +25,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release_caches, remove_dir, utf8, work_dir
+from .common import materialise, release_caches, remove_dir, utf8, work_dir
 
 #: Bytes read from an archive, and inflated, at a time.
 CHUNK = 1 << 20
+#: Rows of a digest and two ids that are broadcast at most (about 20 MB).
+BROADCAST_ROWS = 200_000
 MANIFEST = "archive string, index string, records long"
 
 
@@ -99,8 +101,9 @@ def records_of(stream) -> Iterator[bytes]:
 
 
 def with_revisits(pages: DataFrame, *, id_col: str, payload_col: str, url_col: str | None, least: int) -> DataFrame:
-    """id, url, payload, digest, n_bytes and refers_to. Only digests and ids are
-    aggregated; partial aggregation bounds what a payload's many copies send."""
+    """id, url, payload, digest, n_bytes and refers_to. Digests and ids find the revisits,
+    which are broadcast if they're few (counted before); payloads move only if they
+    aren't, and then by id, so that a payload's many copies don't meet in one task."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(id_col).alias("id"),
@@ -115,8 +118,15 @@ def with_revisits(pages: DataFrame, *, id_col: str, payload_col: str, url_col: s
         .agg(F.min("id").alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1 and first is not null")
     )
-    rows = rows.join(first, F.col("digest") == F.col("d"), "left")
-    return rows.select("id", "url", "payload", "digest", "n_bytes", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
+    first = materialise(first.select("d", "first"), "first-copies")
+    refs = rows.select(F.col("id").alias("own"), "digest").join(_few(first), F.col("digest") == F.col("d")).filter("own <> first").select("own", "d", "first").distinct()
+    refs = materialise(refs, "revisits")
+    rows = rows.join(_few(refs), (F.col("id") == F.col("own")) & (F.col("digest") == F.col("d")), "left")
+    return rows.select("id", "url", "payload", "digest", "n_bytes", F.col("first").alias("refers_to"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def write_monolithic(rows: DataFrame, folder: str) -> DataFrame:
