@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import repeats
 from .common import release_caches, remove_dir, work_dir
 from .repeats import KEYS, Windows, _batch, _with_left_key
-from .spans import HashCollision, Prefix, Units, block_count, blob, by_key, in_blocks, mix, ragged, same_bytes, unblob
+from .spans import Prefix, Units, block_count, blob, by_key, equal_groups, in_blocks, mix, ragged, unblob
 
 RUN = "bucket long, keys binary, owners binary, more binary"
 
@@ -145,15 +145,8 @@ def repeated_windows(units: Units, prefix: Prefix, first: np.ndarray, windows: n
     slots = ragged(ends[own] - windows[own], windows[own])
     hashes = mix(prefix.of(starts, length)) ^ mix(np.repeat(group[own], windows[own]).astype(np.uint64) + np.uint64(1))
     weight = np.repeat(count[own], windows[own])
-    order, bounds = by_key(hashes)
-    heads = bounds[:-1]
-    total = np.add.reduceat(weight[order], heads)
-    leader = np.repeat(order[heads], np.diff(bounds))
-    a, size = units.stretch(starts[order], np.full(len(order), length))
-    b, size_b = units.stretch(starts[leader], np.full(len(order), length))
-    other = order != leader
-    if (size != size_b).any() or not same_bytes(units.data, a[other], b[other], size[other]):
-        raise HashCollision("two different windows have one hash")
+    order, bounds, _ = equal_groups(hashes, units.data, *units.stretch(starts, np.full(len(starts), length)))
+    total = np.add.reduceat(weight[order], bounds[:-1])
     value[slots[order]] = np.repeat(total, np.diff(bounds)) > 1
     return value
 

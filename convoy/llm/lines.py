@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, release_caches
 from .repeats import _batch, _with_left_key
-from .spans import HashCollision, block_count, in_blocks
+from .spans import block_count, in_blocks
 
 #: Lines in the rolling hash's window; the factor of the older line.
 WINDOW, FACTOR = 2, 31
@@ -115,7 +115,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         stays: dict[bytes, tuple] = {}
         for g in (g for gs in found.column("gone").to_pylist() for g in gs):
             if stays.setdefault(g["digest"], place := tuple(g["first"][c] for c in ("block", "row", "chunk"))) != place:
-                raise HashCollision("two different chunks have one digest")
+                raise RuntimeError("two different chunks have one SHA-256")
         block = key[0].as_py()
         table = _sorted_rows(table)
         for r, (own, text) in enumerate(zip(table.column("id").to_pylist(), table.column("text").to_pylist())):

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 
 from .common import release_caches, steps
 from .spans import (
-    HashCollision,
     Prefix,
     Runs,
     Units,
@@ -32,11 +31,12 @@ from .spans import (
     by_key,
     byte_units,
     contains,
+    digests,
+    equal_groups,
     ids_of,
     known_keys,
     ragged,
     runs_of,
-    same_bytes,
     segment_hashes,
     squeeze,
     texts_of,
@@ -68,6 +68,10 @@ class Windows:
     def units(self, data: np.ndarray, offsets: np.ndarray) -> Units:
         return (word_units if self.words else byte_units)(data, offsets)
 
+    def hashes(self, runs: Runs, prefix: Prefix) -> np.ndarray:
+        """A hash for the segment of each run."""
+        return segment_hashes(runs, prefix, self.length)
+
     def scan(self, table: pa.Table) -> Iterator[tuple[int, int, Units, Prefix, Runs]]:
         """Steps through the texts of a block: first and last row, units, hashes and runs."""
         data, offsets = texts_of(table)
@@ -134,8 +138,9 @@ def segments(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int)
             kept = Runs(runs.anchor[at], runs.start[at], runs.windows[at], runs.doc[at], runs.anchors_at)
             first, size = units.stretch(kept.start, kept.windows + windows.length - 1)
             own_ids = ids[kept.doc + start]
-            one = _distinct(segment_hashes(kept, prefix, windows.length), units.data, first, size, own_ids, own_ids, np.ones(len(at), np.int64))
+            one = _distinct(windows.hashes(kept, prefix), units.data, first, size, own_ids, own_ids, np.ones(len(at), np.int64))
             rep = one.pop("rep")
+            one.pop("which")
             parts.append(one | {"anchor": kept.anchor[rep], "windows": kept.windows[rep], "bucket": bucket[at][rep], "sizes": size[rep], "data": units.data[ragged(first[rep], size[rep])]})
         got = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else None
         if got is None or not len(got["hash"]):
@@ -143,6 +148,7 @@ def segments(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int)
         first = np.cumsum(got["sizes"]) - got["sizes"]
         one = _distinct(got["hash"], got["data"], first, got["sizes"], got["low"], got["high"], got["count"])
         rep = one.pop("rep")
+        one.pop("which")
         one |= {c: got[c][rep] for c in ("anchor", "windows", "bucket", "sizes")}
         first = first[rep]
         order, starts = by_key(one["bucket"])
@@ -168,24 +174,27 @@ def _with_left_key(run: Callable, schema: str) -> Callable:
 
 
 def _distinct(hashes, data, first, sizes, low, high, count) -> dict[str, np.ndarray]:
-    """One of each hash, after comparison of bytes: hash, rep (its place), least low,
-    greatest high, total count."""
-    order, starts = by_key(hashes)
+    """One of each segment, told apart by hash and bytes: hash, rep (its place), least
+    low, greatest high and total count; `which` has the number of each place's."""
+    order, starts, _ = equal_groups(hashes, data, first, sizes)
     begin = starts[:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(begin)), np.diff(starts))
     if not len(begin):
-        return {"hash": hashes, "rep": begin, "low": low, "high": high, "count": count}
+        return {"hash": hashes, "rep": begin, "low": low, "high": high, "count": count, "which": which}
     rep = order[begin]
-    other = order[np.setdiff1d(np.arange(len(order)), begin, assume_unique=True)]
-    leader = np.repeat(rep, np.diff(starts) - 1)
-    if (sizes[other] != sizes[leader]).any() or not same_bytes(data, first[other], first[leader], sizes[other]):
-        raise HashCollision("two different segments have one hash")
-    return {"hash": hashes[rep], "rep": rep, "low": np.minimum.reduceat(low[order], begin), "high": np.maximum.reduceat(high[order], begin), "count": np.add.reduceat(count[order], begin)}
+    return {
+        "hash": hashes[rep], "rep": rep, "low": np.minimum.reduceat(low[order], begin), "high": np.maximum.reduceat(high[order], begin),
+        "count": np.add.reduceat(count[order], begin), "which": which,
+    }
 
 
 def verdicts(sent: DataFrame, windows: Windows, judge: Callable) -> DataFrame:
     """Judge the windows of each bucket. `judge` gets the distinct segments (units,
     prefix, first symbol, windows, group by anchor, low, count) and returns a value for
-    each window; values return to each block that sent a segment, in stretches."""
+    each window; values return to each block that sent a segment, in stretches, by its
+    hash. A hash that different segments have returns without stretches, and each of these
+    segments by its digest."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         release_caches("repeats")
@@ -210,14 +219,19 @@ def verdicts(sent: DataFrame, windows: Windows, judge: Callable) -> DataFrame:
         length = np.diff(np.append(begin, len(values)))
         parts_end = np.searchsorted(begin, ends)
         parts = np.diff(np.append(0, parts_end))
-        at = np.searchsorted(one["hash"], got["hash"])
+        at = one["which"]
+        shared = np.isin(one["hash"], one["hash"][1:][one["hash"][1:] == one["hash"][:-1]])
+        name = one["hash"].copy()
+        name[shared] = digests(data, (np.cumsum(sizes) - sizes)[shared], sizes[shared])
         blocks = table.column("block").to_pylist()
         rows: list[list] = [[], [], [], [], []]
         for r in range(table.num_rows):
             own = at[rows_of == r] if table.num_rows < 8 else at[np.searchsorted(rows_of, r) : np.searchsorted(rows_of, r + 1)]
             n = parts[own]
             inner = ragged(parts_end[own] - n, n)
-            for column, value in zip(rows, (blocks[r], blob(one["hash"][own]), blob(n.astype(np.int32)), blob(length[inner].astype(np.int32)), blob(values[begin[inner]]))):
+            ask = np.unique(one["hash"][own[shared[own]]])
+            names, counts = np.append(name[own], ask), np.append(n, np.zeros(len(ask), np.int64)).astype(np.int32)
+            for column, value in zip(rows, (blocks[r], blob(names), blob(counts), blob(length[inner].astype(np.int32)), blob(values[begin[inner]]))):
                 column.append(value)
         return _batch(VERDICTS, rows)
 
@@ -239,8 +253,12 @@ def removed_symbols(
     for start, end, units, prefix, runs in windows.scan(table):
         gone = np.zeros(len(units.codes), bool)
         if len(hashes) and len(runs.start):
-            own = segment_hashes(runs, prefix, windows.length)
+            own = windows.hashes(runs, prefix)
             at = np.minimum(np.searchsorted(hashes, own, sorter=order), len(hashes) - 1)
+            ask = np.flatnonzero((hashes[order[at]] == own) & (parts[order[at]] == 0))
+            if len(ask):  # one hash of different segments
+                own[ask] = digests(units.data, *units.stretch(runs.start[ask], runs.windows[ask] + windows.length - 1))
+                at = np.minimum(np.searchsorted(hashes, own, sorter=order), len(hashes) - 1)
             hit = np.flatnonzero(hashes[order[at]] == own)
             which = order[at[hit]]
             n = parts[which]

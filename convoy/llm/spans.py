@@ -186,17 +186,47 @@ def segment_hashes(runs: Runs, prefix: Prefix, length: int) -> np.ndarray:
     return mix(prefix.of(runs.start, size) + mix(size.astype(U64)))
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
-    """Whether all pairs of stretches hold equal bytes."""
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs of stretches of one size hold equal bytes."""
+    same = np.ones(len(a), bool)
     for k in range(0, len(a), 20_000):
         s = slice(k, k + 20_000)
-        if not np.array_equal(data[ragged(a[s], sizes[s])], data[ragged(b[s], sizes[s])]):
-            return False
-    return True
-
-
-class HashCollision(RuntimeError):
-    """Two different stretches have one hash. Nothing wrong is returned."""
+        unlike = data[ragged(a[s], sizes[s])] != data[ragged(b[s], sizes[s])]
+        if unlike.any():
+            same[k + np.repeat(np.arange(len(sizes[s])), sizes[s])[unlike]] = False
+    return same
+
+
+def by_bytes(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each stretch, equal for equal bytes: decides where hashes are equal
+    and bytes aren't."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(data[a : a + n].tobytes(), len(seen)) for a, n in zip(first.tolist(), sizes.tolist())], np.int64)
+
+
+def digests(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits of the stretches' BLAKE2b: names for stretches with one polynomial hash."""
+    return np.frombuffer(b"".join(hashlib.blake2b(data[a : a + n].tobytes(), digest_size=8).digest() for a, n in zip(first.tolist(), sizes.tolist())), U64)
+
+
+def equal_groups(hashes: np.ndarray, data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by hash and, where one hash has different bytes, by these; the starts of
+    equal stretches in it (with the end); and which places have such a hash."""
+    order, starts = by_key(hashes)
+    leader = np.repeat(order[starts[:-1]], np.diff(starts))
+    other = np.flatnonzero(order != leader)
+    good = sizes[order[other]] == sizes[leader[other]]
+    good[good] = same_bytes(data, first[order[other[good]]], first[leader[other[good]]], sizes[leader[other[good]]])
+    mixed = np.zeros(len(hashes), bool)
+    if not good.all():
+        mixed = np.isin(hashes, hashes[order[other[~good]]])
+        own = np.flatnonzero(mixed)
+        number = np.zeros(len(hashes), np.int64)
+        number[own] = by_bytes(data, first[own], sizes[own])
+        order = np.lexsort((number, hashes))
+        new = (hashes[order][1:] != hashes[order][:-1]) | (number[order][1:] != number[order][:-1])
+        starts = np.append(np.flatnonzero(np.r_[True, new]), len(order))
+    return order, starts, mixed
 
 
 # --- blocks and blobs

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .repeats import Windows, _batch, _with_left_key
-from .spans import HashCollision, Prefix, Units, block_count, blob, by_key, in_blocks, mix, ragged, same_bytes, unblob
+from .spans import Prefix, Units, block_count, blob, by_bytes, by_key, in_blocks, mix, ragged, same_bytes, unblob
 
 #: Suffixes that one sort holds at a time, unless a single group has more.
 SORT_STEP = 400_000
@@ -104,8 +104,14 @@ def least_ids(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarr
         a, b = starts[perm[:-1]], starts[perm[1:]]
         same = common_extension(prefix, a, b, length) == length
         same[bounds[1:-1] - 1] = False
-        if not same_bytes(units.data, a[same], b[same], np.full(int(same.sum()), length)):
-            raise HashCollision("two different strings have one hash")
+        agree = same_bytes(units.data, a[same], b[same], np.full(int(same.sum()), length))
+        if not agree.all():  # hashes misled the order of these groups: their bytes decide
+            wrong = np.unique(np.searchsorted(bounds, np.flatnonzero(same)[~agree], side="right") - 1)
+            for s, e in zip(bounds[wrong].tolist(), bounds[wrong + 1].tolist()):
+                number = by_bytes(units.data, starts[perm[s:e]], np.full(e - s, length))
+                new = np.argsort(number, kind="stable")
+                perm[s:e] = perm[s:e][new]
+                same[s : e - 1] = number[new][1:] == number[new][:-1]
         heads = np.flatnonzero(np.append(True, ~same))
         least = np.minimum.reduceat(value[slots[perm]], heads)
         value[slots[perm]] = np.repeat(least, np.diff(np.append(heads, len(perm))))
