@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import CACHES, release_caches, steps, utf8
 
 MARK = "▁"
-#: Pre-tokens longer than this are merged with a heap, whose cost is n log n.
+#: Pre-tokens longer than this are merged one by one, with the places of each rank in arrays.
 LONG = 96
 #: Distinct pre-tokens whose counts a worker remembers; beyond it, it starts anew.
 REMEMBERED = 300_000
@@ -62,8 +62,16 @@ class PieceMerger:
         )
         self.keys = np.array([k for k, _ in pairs], np.int64)
         self.made = np.array([i for _, i in pairs], np.int64)
-        self.table = dict(pairs)
         self.unknown = size
+        # pieces in the order of their scores; -1 for no piece
+        made = np.unique(self.made)
+        order = np.unique(-scores[made], return_inverse=True)[1].ravel()
+        self.ranks = np.full(size + 1, -1)
+        self.ranks[made] = order
+        # merges that may make a pair of an earlier rank
+        self.turns_back = np.zeros(size + 1, bool)
+        for part in (self.keys >> 32, self.keys & 0xFFFFFFFF):
+            self.turns_back[part[self.ranks[part] >= self.ranks[self.made]]] = True
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece each pair merges to, or `unknown`."""
@@ -75,28 +83,58 @@ class PieceMerger:
         return sum(len(c.encode("utf-8", "surrogatepass")) - 1 for c in text if c not in self.ids)
 
     def _count_long(self, token: str) -> int:
-        ids, get = [self.ids.get(c, self.unknown) for c in token], self.table.get
-        n, alive = len(ids), len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, int, int, int]] = []
-
-        def push(i: int, j: int) -> None:
-            if i >= 0 and j < n and (made := get(ids[i] << 32 | ids[j])) is not None:
-                heapq.heappush(heap, (-self.scores[made], i, j, ids[i] << 32 | ids[j], made))
-
-        for i in range(n - 1):
-            push(i, i + 1)
-        while heap:
-            _, i, j, key, made = heapq.heappop(heap)
-            if ids[i] < 0 or ids[j] < 0 or after[i] != j or ids[i] << 32 | ids[j] != key:
+        """As `count`, for one long sequence: all places of its lowest-ranking pair at once,
+        the places of each rank held in arrays. A merge that makes pairs of later ranks only
+        doesn't disturb the rank's other places, but for overlaps: of these every second
+        goes, from the left. A round ends with the place that makes a pair of an earlier
+        rank, if there is one."""
+        symbols = np.array([self.ids.get(c, self.unknown) for c in token] + [self.unknown], np.int64)
+        n = len(token)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        alive = np.ones(n + 1, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def push(at: np.ndarray) -> None:
+            rank = self.ranks[self._pairs(symbols[at], symbols[after[at]])]
+            at, rank = at[rank >= 0], rank[rank >= 0]
+            order = np.argsort(rank, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(rank[order])) + 1) if len(order) else ():
+                r = int(rank[own[0]])
+                if r not in places:
+                    heapq.heappush(ranks, r)
+                places.setdefault(r, []).append(at[own])
+
+        push(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at]]
+            made = self._pairs(symbols[at], symbols[after[at]])
+            good = self.ranks[made] == r
+            at, made = at[good], made[good]
+            if not len(at):
                 continue
-            ids[i], ids[j], alive = made, -1, alive - 1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(before[i], i)
-            push(i, after[i])
-        return alive + self._bytes_of_unknown(token)
+            chained = np.append(False, after[at[:-1]] == at[1:])
+            nth = np.arange(len(at)) - np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            at, made = at[nth % 2 == 0], made[nth % 2 == 0]
+            if self.turns_back[made].any():
+                joined = np.append(False, before[at[1:]] == after[at[:-1]])  # the symbol before is a merge of this round
+                left = np.where(joined, np.append(self.unknown, made[:-1]), np.where(before[at] >= 0, symbols[before[at]], self.unknown))
+                ranks_made = np.stack([self.ranks[self._pairs(left, made)], self.ranks[self._pairs(made, symbols[after[after[at]]])]])
+                back = ((ranks_made >= 0) & (ranks_made < r)).any(axis=0)
+                last = int(back.argmax()) + 1 if back.any() else len(at)
+                if last < len(at):
+                    heapq.heappush(ranks, r)
+                    places[r] = [at[last:]]
+                    at, made = at[:last], made[:last]
+            gone = after[at]
+            symbols[at] = made
+            alive[gone] = False
+            after[at] = after[gone]
+            before[after[at]] = at
+            push(np.unique(np.concatenate([before[at][before[at] >= 0], at])))
+        return int(alive[:n].sum()) + self._bytes_of_unknown(token)
 
     def count(self, tokens: list[str]) -> list[int]:
         """Tokens of each pre-token."""
