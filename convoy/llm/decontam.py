@@ -15,7 +15,8 @@ Edge cases: null or empty text holds no item; null and empty items are in no doc
 with equal texts are all reported; repeated rows are reported each; a null document id
 is reported as null; without items or documents the result is empty; extra columns are
 not read. Items are taken in blocks of at most `block_bytes`, each block against all
-documents, so what is broadcast stays bounded however large the benchmark is.
+documents and let go before the next, so what is broadcast stays bounded however large
+the benchmark is.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_caches, steps, utf8
+from .common import materialise, release_caches, steps, utf8
 from .spans import ragged
 
 LEAST = 16
@@ -91,8 +92,9 @@ class Index:
         table[(grams * _MULTIPLY) >> np.uint64(64 - TABLE_BITS)] = True
         return Index(q, grams, np.append(starts, len(gram)), item[order], offset[order], table)
 
-    def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in the text, item and place in the item of all shared q-grams."""
+    def hits(self, points: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Place in the text, item and place in the item of all shared q-grams; about
+        `most` at a time, as a repetitive text meets a repetitive item everywhere."""
         gram = _grams(points, self.q)
         place = np.flatnonzero(self.table[(gram * _MULTIPLY) >> np.uint64(64 - TABLE_BITS)])
         gram = gram[place]
@@ -100,8 +102,13 @@ class Index:
         same = self.grams[at] == gram
         place, at = place[same], at[same]
         n = self.starts[at + 1] - self.starts[at]
-        inner = ragged(self.starts[at], n)
-        return np.repeat(place, n), self.item[inner], self.offset[inner]
+        total = np.cumsum(n)
+        k = 0
+        while k < len(place):
+            e = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + most, side="right")))
+            inner = ragged(self.starts[at[k:e]], n[k:e])
+            yield np.repeat(place[k:e], n[k:e]), self.item[inner], self.offset[inner]
+            k = e
 
 
 def banded_distance(item: np.ndarray, text: np.ndarray, low: np.ndarray, width: int, first: np.ndarray, end: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -151,20 +158,22 @@ class Matcher:
         edits, lengths = np.array(self.edits, np.int64), np.array([len(x) for x in self.items], np.int64)
         edges = word_edges(points) if any(short for _, short in self.indexes) else None
         for index, short in self.indexes:
-            place, item, offset = index.hits(points)
-            if short:  # where nothing may be edited, both ends are known
-                start = place - offset
-                end = start + lengths[item]
-                inside = (start >= 0) & (end <= len(points))
-                good = (edits[item] > 0) | (inside & edges[np.where(inside, start, 0)] & edges[np.where(inside, end, 0)])
-                place, item, offset = place[good], item[good], offset[good]
-            row = np.searchsorted(offsets, place, side="right") - 1
-            band = (place - offset) // (edits[item] + 1)
-            keys = np.concatenate([np.stack([row, item, b, offset]) for b in (band, band - 1)], axis=1)
-            keys = keys[:, np.lexsort(keys[::-1])]
-            fresh = np.ones(keys.shape[1], bool)
-            fresh[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
-            row, item, band, _ = keys[:, fresh]
+            keys = np.empty((4, 0), np.int64)
+            for place, item, offset in index.hits(points):
+                if short:  # where nothing may be edited, both ends are known
+                    start = place - offset
+                    end = start + lengths[item]
+                    inside = (start >= 0) & (end <= len(points))
+                    good = (edits[item] > 0) | (inside & edges[np.where(inside, start, 0)] & edges[np.where(inside, end, 0)])
+                    place, item, offset = place[good], item[good], offset[good]
+                row = np.searchsorted(offsets, place, side="right") - 1
+                band = (place - offset) // (edits[item] + 1)
+                keys = np.concatenate([keys, *(np.stack([row, item, b, offset]) for b in (band, band - 1))], axis=1)
+                keys = keys[:, np.lexsort(keys[::-1])]
+                fresh = np.ones(keys.shape[1], bool)
+                fresh[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+                keys = keys[:, fresh]
+            row, item, band, _ = keys
             heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]) if len(row) else np.empty(0, np.int64)
             count = np.diff(np.append(heads, len(row)))
             row, item, band = row[heads], item[heads], band[heads]
@@ -223,5 +232,8 @@ def contaminated(
                     yield pa.RecordBatch.from_arrays(columns, names=[id_col, item_col, "edits", "region_end"])
 
         found = chosen.mapInArrow(run, schema)
+        if blocks > 1:  # a block's items are let go before the next comes
+            found = materialise(found, "found")
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out

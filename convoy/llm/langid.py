@@ -8,7 +8,7 @@ probability, weighted by the windows' bytes.
 
 Edge cases: null text and text without a letter are `und` with score 0; a null id
 is never learned from and is not held out; without any labelled document every text
-is `und`; very long texts go through in steps of windows; repeated rows give repeated
+is `und`; texts of any length go through in steps of a fixed number of windows; repeated rows give repeated
 rows; extra columns are not read.
 """
 
@@ -51,12 +51,20 @@ class ByteCNN:
         return np.ascontiguousarray(patches).reshape(-1, max(WIDTHS) * EMBED) @ self.filters, wide
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        out = np.empty((len(windows), len(self.classes)))
-        for k in range(0, len(windows), STEP_WINDOWS):
-            part = windows[k : k + STEP_WINDOWS]
-            best = self.pooled(part)[0].reshape(len(part), WINDOW, -1).max(axis=1)
-            out[k : k + len(part)] = _softmax(np.maximum(best + self.bias, 0) @ self.dense + self.dense_bias)
-        return out
+        best = self.pooled(windows)[0].reshape(len(windows), WINDOW, -1).max(axis=1)
+        return _softmax(np.maximum(best + self.bias, 0) @ self.dense + self.dense_bias)
+
+    def of_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Mean probabilities of each row's windows, weighted by their bytes. A step holds
+        `STEP_WINDOWS` windows, however long a row is."""
+        row, start, used = places_of(offsets)
+        total = np.zeros((len(offsets) - 1, len(self.classes)))
+        for k in range(0, len(row), STEP_WINDOWS):
+            s = slice(k, k + STEP_WINDOWS)
+            p = self.probabilities(windows_at(data, start[s], used[s])) * used[s][:, None]
+            heads = np.flatnonzero(np.r_[True, row[s][1:] != row[s][:-1]])
+            total[row[s][heads]] += np.add.reduceat(p, heads)
+        return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -64,19 +72,22 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fixed windows over all bytes of each row, the last filled up with zeros; the
-    row and the bytes of each."""
+def places_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte and bytes of the fixed windows over all bytes of each row."""
     sizes = np.diff(offsets)
     count = -(-sizes // WINDOW)
     row = np.repeat(np.arange(len(sizes)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     start = offsets[:-1][row] + nth * WINDOW
-    used = np.minimum(WINDOW, offsets[1:][row] - start)
-    at = start[:, None] + np.arange(WINDOW)
-    windows = np.append(data, np.uint8(0))[np.minimum(at, len(data))]
+    return row, start, np.minimum(WINDOW, offsets[1:][row] - start)
+
+
+def windows_at(data: np.ndarray, start: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The windows that start there, filled up with zeros."""
+    at = np.minimum(start[:, None] + np.arange(WINDOW), max(len(data) - 1, 0))
+    windows = data[at]
     windows[np.arange(WINDOW) >= used[:, None]] = 0
-    return windows, row, used
+    return windows
 
 
 def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], *, epochs: int = 6, seed: int = 7) -> ByteCNN:
@@ -138,12 +149,14 @@ def fit(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches("langid")
         for batch in batches:
-            windows, row, _ = windows_of(*utf8(batch.column(2)))
+            data, offsets = utf8(batch.column(2))
+            row, start, used = places_of(offsets)
             nth = np.arange(len(row)) - np.searchsorted(row, row)
             count = np.bincount(row, minlength=batch.num_rows)[row]
             keep = np.flatnonzero((nth * windows_per_doc) % count < windows_per_doc)
+            windows = windows_at(data, start[keep], used[keep])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i).take(pa.array(row[keep])) for i in (0, 1)] + [pa.array([w.tobytes() for w in windows[keep]], pa.binary())],
+                [batch.column(i).take(pa.array(row[keep])) for i in (0, 1)] + [pa.array([w.tobytes() for w in windows], pa.binary())],
                 names=["k", "label", "window"],
             )
 
@@ -157,11 +170,13 @@ def fit(
 
 
 def predict(docs: DataFrame, net: ByteCNN | None, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: id, `keep`'s columns, lang_pred and score. A narrow map over the scan."""
-    carried = [id_col, *(keep or [])]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    """Per row: id, `keep`'s columns (but lang_pred and score), lang_pred and score. A
+    narrow map over the scan."""
+    own = [id_col, *(c for c in keep or [] if c not in ("lang_pred", "score"))]
+    carried = [f"carry_{i}" for i in range(len(own))]
+    kinds = ", ".join(f"{c} {docs.schema[k].dataType.simpleString()}" for c, k in zip(carried, own))
     text = F.col(text_col).cast("string")
-    chosen = docs.select(*carried, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    chosen = docs.select(*(F.col(k).alias(c) for c, k in zip(carried, own)), text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches("langid")
@@ -171,14 +186,7 @@ def predict(docs: DataFrame, net: ByteCNN | None, *, id_col: str = "doc_id", tex
             n = batch.num_rows
             pred, score = np.full(n, "und", object), np.zeros(n)
             if net is not None and letters.any():
-                total = np.zeros((n, len(net.classes)))
-                for start in range(0, n, 512):  # the windows of some rows at a time
-                    end = min(start + 512, n)
-                    windows, row, used = windows_of(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
-                    p = net.probabilities(windows) * used[:, None]
-                    for c in range(len(net.classes)):
-                        total[start:end, c] = np.bincount(row, weights=p[:, c], minlength=end - start)
-                total /= np.maximum(np.diff(offsets), 1)[:, None]
+                total = net.of_rows(data, offsets)
                 best = total.argmax(axis=1)
                 pred[letters] = np.array(net.classes, object)[best[letters]]
                 score[letters] = np.clip(total[np.arange(n), best], 0, 1)[letters]
@@ -186,7 +194,8 @@ def predict(docs: DataFrame, net: ByteCNN | None, *, id_col: str = "doc_id", tex
                 [batch.column(i) for i in range(len(carried))] + [pa.array(pred, pa.string()), pa.array(score)], names=[*carried, "lang_pred", "score"]
             )
 
-    return chosen.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = chosen.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return out.select(*(F.col(c).alias(k) for c, k in zip(carried, own)), "lang_pred", "score")
 
 
 def held_out(id_col: str):
