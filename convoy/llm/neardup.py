@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialise, release_caches, work_dir
 from .components import connected_components
 
-#: Vectors a pivot stands for, most pivots, and vectors on either side of one task.
-PER_PIVOT, MOST_PIVOTS, RESIDENTS, MEMBERS = 4096, 512, 4096, 8192
+#: Most pivots, and what a task holds at most of residents and of members: vectors and bytes.
+MOST_PIVOTS, RESIDENTS, MEMBERS, RESIDENT_BYTES, MEMBER_BYTES = 512, 16384, 32768, 32 << 20, 64 << 20
 #: Slack of bounds and of the single-precision filter; the decision is in double precision.
 SLACK, COARSE = 1e-7, 1e-4
 _UNITS = "id long, unit binary"
@@ -120,12 +120,12 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     reps = reps.withColumn("d", (F.octet_length("unit") / 8).cast("int"))
     # dimensions with vectors for two pivots or more are joined one by one, all others in one join
     sizes = reps.groupBy("d").agg(F.count("*").alias("n"))
-    large = [(row["d"], row["n"]) for row in sizes.filter(F.col("n") >= 2 * PER_PIVOT).orderBy("d").collect()]
+    large = [(row["d"], row["n"]) for row in sizes.filter(F.col("n") >= 2 * _per_task(F.col("d"))).orderBy("d").collect()]
     path = work_dir(vectors.sparkSession, "links")
     few = _join_small(reps.filter(~F.col("d").isin([d for d, _ in large])), threshold)
     few.write.parquet(path)
     for d, n in large:
-        _join(reps.filter(F.col("d") == d), n, threshold, r).write.mode("append").parquet(path)
+        _join(reps.filter(F.col("d") == d), d, n, threshold, r).write.mode("append").parquet(path)
     got = vectors.sparkSession.read.schema(few.schema).parquet(path)
     edges, links = got.select("id", "other").filter("id <> other"), got.filter("links > 0").select("id", "links")
     parts = connected_components(edges, "id", "other")
@@ -145,9 +145,15 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     )
 
 
-def _join(reps: DataFrame, n: int, threshold: float, r: float) -> DataFrame:
+def _per_task(d):
+    """Residents that a task holds, for a column of dimensions."""
+    return F.greatest(F.lit(1), F.least(F.lit(RESIDENTS), F.floor(F.lit(RESIDENT_BYTES) / (8 * d))))
+
+
+def _join(reps: DataFrame, d: int, n: int, threshold: float, r: float) -> DataFrame:
     """(id, links, other): links of residents by slice; other is a node each is connected to."""
-    n_pivots = max(1, min(MOST_PIVOTS, n // PER_PIVOT))
+    n_residents, n_members = max(1, min(RESIDENTS, RESIDENT_BYTES // (8 * d))), max(1, min(MEMBERS, MEMBER_BYTES // (8 * d)))
+    n_pivots = max(1, min(MOST_PIVOTS, n // n_residents))
     chosen = reps.select("unit").orderBy(F.xxhash64("unit")).limit(n_pivots).collect()  # a bounded number of vectors
     pivots = np.frombuffer(b"".join(bytes(p["unit"]) for p in chosen), np.float64).reshape(len(chosen), -1)
 
@@ -168,7 +174,7 @@ def _join(reps: DataFrame, n: int, threshold: float, r: float) -> DataFrame:
     members = np.zeros(n_pivots, np.int64)
     for row in reps.select("unit").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         members[row["cell"]] = row["n"]
-    a, b = np.maximum(1, -(-residents // RESIDENTS)), np.maximum(1, -(-members // MEMBERS))  # slices of residents and of members
+    a, b = np.maximum(1, -(-residents // n_residents)), np.maximum(1, -(-members // n_members))  # slices of residents and of members
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A resident goes to its slice beside all slices of members; a member the other way round."""
