@@ -200,9 +200,11 @@ def sweep(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, num: int, de
     """Give one label to all that are connected by pairs that the bound leaves, and that
     `links(query, others)` approves."""
     tree, place = RTree(points, sizes), np.arange(len(label))
-    for q in range(len(label)):
+    names, count = np.unique(label, return_counts=True)
+    asked = label == names[count.argmax()]  # pairs with the largest part are found from the other side
+    for q in np.flatnonzero(~asked).tolist():
         wanted = label != label[q]
-        wanted &= place > q
+        wanted &= asked | (place > q)
         if not wanted.any():
             continue
         found = tree.search(q, num, den, wanted)
@@ -553,11 +555,13 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     parts = materialise(connected_components(links, "a", "b"), "parts")
     discard(cells, places, links)
     usable = F.col("valid") & (F.col("n") > 0)
-    least = profile.filter(usable).groupBy("tag", "tag2", F.col("n").alias("size")).agg(F.min("id").alias("least"))
-    out = profile.join(least.withColumnsRenamed({"tag": "t", "tag2": "t2"}), usable & (F.col("tag") == F.col("t")) & (F.col("tag2") == F.col("t2")) & (F.col("n") == F.col("size")), "left")
-    out = out.join(parts, F.col("least") == F.col("vertex"), "left")
+    least = profile.filter(usable).groupBy(F.col("tag").alias("t"), F.col("tag2").alias("t2"), F.col("n").alias("size")).agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    named = least.join(parts, F.col("least") == F.col("vertex"), "left").select("t", "t2", "size", F.coalesce("component", "least").alias("name"), "copies", "component")
+    # sets without a copy or a link need no name; the others are broadcast if they're few
+    named = materialise(named.filter("copies > 1 or component is not null").select("t", "t2", "size", "name"), "names")
+    out = profile.join(_few(named), usable & (F.col("tag") == F.col("t")) & (F.col("tag2") == F.col("t2")) & (F.col("n") == F.col("size")), "left")
     return out.select(
         F.when(F.col("valid"), F.col("id")).alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("valid"), F.coalesce("component", "least", "id")).alias("component_id"),
+        F.when(F.col("valid"), F.coalesce("name", "id")).alias("component_id"),
     )
