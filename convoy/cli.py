@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .operators import cache, cost, joins, prepare
 from .plans import jobs
 from .functions.text import KEYWORD_RULES
-from .sources import tables
+from .sources import reports, tables
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -59,15 +59,14 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | None:
         stored = spark.read.parquet(args.table)
         if args.what == "status":
             return stored.agg(F.count("*").alias("entries"), F.count_distinct("key").alias("keys"))
-        if args.what == "cleanup":  # beside the table, as a table that is read can't be overwritten
-            cache.live(stored, F.current_timestamp(), args.max_age_hours).write.mode("overwrite").parquet(f"{args.table}-live")
-            return spark.read.parquet(f"{args.table}-live")
-        stored.limit(0).write.mode("overwrite").parquet(f"{args.table}-live")
-        return spark.read.parquet(f"{args.table}-live")
+        kept = cache.live(stored, F.current_timestamp(), args.max_age_hours) if args.what == "cleanup" else stored.limit(0)
+        tables.replace_table(kept, args.table.rstrip("/"))
+        return spark.read.parquet(args.table)
     out = args.output.rstrip("/")
     names = {i + 1: n for i, (n, _) in enumerate(KEYWORD_RULES)}
     if args.command in ("categorize", "all"):
-        jobs.categorise(_tickets(spark, args), names).orderBy("ticket_id").write.mode("overwrite").parquet(f"{out}/categorized")
+        jobs.categorise(_tickets(spark, args), names).write.mode("overwrite").parquet(f"{out}/categorized")
+        reports.write_categorised(spark.read.parquet(f"{out}/categorized"), f"{out}/categorized_tickets.csv")
     if args.command in ("summarize", "all"):
         jobs.summarise(_tickets(spark, args)).write.mode("overwrite").parquet(f"{out}/summarized")
     if args.command in ("merge", "all"):

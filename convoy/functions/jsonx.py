@@ -50,9 +50,26 @@ def array_length(c: Column) -> Column:
     return F.json_array_length(c)
 
 
-def canonical(columns: list[Column]) -> Column:
-    """One text for equal values, for keys: fields in the order of their names."""
-    return F.to_json(F.struct(*columns))
+def canonical(columns: dict[str, Column]) -> Column:
+    """One text for equal values, for keys: fields in the order of their names, nulls too."""
+    return F.to_json(F.struct(*(columns[name].alias(name) for name in sorted(columns))), {"ignoreNullFields": "false"})
+
+
+def batch_items(c: Column) -> Column:
+    """Items of a batch's response that have a ticket_id, categories and a summary."""
+    cut = F.regexp_extract(c, r"(?s)\[.*\]", 0)
+    rows = F.from_json(cut, "array<struct<ticket_id:string,categorias:array<string>,resumo:string>>")
+    return F.filter(rows, lambda x: x["ticket_id"].isNotNull() & (F.size(x["categorias"]) > 0) & (F.length(x["resumo"]) > 0))
+
+
+def bullets_of(c: Column, expected: int = 15) -> Column:
+    """struct(bullets, resumo, issues) of a summary response: bullets trimmed, blank ones
+    gone; issues name another number than expected, no bullets, or no summary."""
+    got = F.from_json(first_object(c), "bullets array<struct<bullet:string>>, resumo string")
+    bullets = F.filter(F.transform(F.coalesce(got["bullets"], F.array().cast("array<struct<bullet:string>>")), lambda b: F.trim(b["bullet"])), lambda b: b.isNotNull() & (b != ""))
+    resumo = F.trim(F.coalesce(got["resumo"], F.lit("")))
+    issues = F.array_compact(F.array(F.when(F.size(bullets) == 0, "no bullets").when(F.size(bullets) != expected, "another number of bullets"), F.when(resumo == "", "no summary")))
+    return F.struct(bullets.alias("bullets"), resumo.alias("resumo"), issues.alias("issues"))
 
 
 def items_of(c: Column) -> Column:

@@ -20,6 +20,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def round_even(c: Column, places: int = 0) -> Column:
+    """Rounded, halves to the even neighbour."""
+    return F.bround(c, places)
+
+
 def change_percent(new: Column, old: Column) -> Column:
     return F.when(old != 0, (new - old) / old * 100).otherwise(0.0)
 

@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 ALERT = "alert_type string, level string, ts timestamp_ntz, value double, threshold double"
 
 
+# Default rules (alert_type, level, threshold).
+RULES = [("budget_threshold", "warning", 0.5), ("budget_threshold", "critical", 0.75), ("budget_threshold", "emergency", 0.95), ("daily_limit", "critical", 10.0), ("hourly_spike", "warning", 2.0)]
+
+
+def rules(spark: SparkSession, own: list[tuple[str, str, float]] | None = None) -> DataFrame:
+    """The rules as a table; rules of a type and threshold replace each other."""
+    every = {(t, v): (t, level, v) for t, level, v in [*RULES, *(own or [])]}
+    return spark.createDataFrame(sorted(every.values()), "alert_type string, level string, threshold double")
+
+
+def without_rule(table: DataFrame, alert_type: str, threshold: float) -> DataFrame:
+    return table.filter(~((F.col("alert_type") == alert_type) & (F.col("threshold") == threshold)))
+
+
+def check(values: DataFrame, table: DataFrame) -> DataFrame:
+    """Alerts of values (alert_type, ts, value) that reach a rule of their type; an
+    emergency suspends. Rules are few and broadcast."""
+    from .joins import dimension
+
+    hit = values.join(dimension(table), "alert_type").filter(F.col("value") >= F.col("threshold"))
+    name = F.sha2(F.concat_ws(":", "alert_type", "threshold", F.col("ts").cast("string")), 256)
+    return hit.select(name.alias("alert_id"), "alert_type", "level", "ts", "value", "threshold", F.lit(False).alias("acknowledged"), (F.col("level") == "emergency").alias("suspends"))
+
+
 def daily_limit(usage_cost: DataFrame, limit: float) -> DataFrame:
     """Days whose cost reaches the limit."""
     return usage_cost.groupBy(F.to_date("ts").alias("day")).agg(F.sum("cost_usd").alias("cost")).filter(F.col("cost") >= limit)
@@ -23,10 +46,10 @@ def hourly_spikes(points: DataFrame, value: str, seconds: str, limit: float) ->
     return trailing_range(points, value, seconds).filter(F.col("spread") >= limit)
 
 
-def predictive(points: DataFrame, budget: float) -> DataFrame:
+def predictive(points: DataFrame, budget: float, group: str | None = None) -> DataFrame:
     """Points (progress, cost) whose cost at this progress leads over the budget; from a
-    tenth of the work and the fifth point on."""
-    w = W.orderBy("ts")
+    tenth of the work and the fifth point on. Without a group, the points are of one job."""
+    w = (W.partitionBy(group) if group else W.partitionBy()).orderBy("ts")
     out = points.withColumn("n", F.row_number().over(w)).withColumn("projected", F.try_divide("cost", "progress"))
     return out.filter((F.col("progress") > 0.1) & (F.col("n") >= 5) & (F.col("projected") > budget))
 

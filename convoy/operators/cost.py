@@ -122,8 +122,9 @@ def processing_hours(n: Column, workers: Column, efficiency: Column) -> Column:
 
 def scenario_grid(spark: SparkSession, sizes: list[int], options: list[str], workers: list[int]) -> DataFrame:
     """All combinations of a few sizes, options and workers."""
-    make = lambda values, name, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    return make(sizes, "dataset_size", "long").crossJoin(make(options, "option", "string")).crossJoin(make(workers, "workers", "int"))
+    row = spark.range(1).select(F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))).alias("dataset_size"))
+    row = row.select("dataset_size", F.explode(F.array(*map(F.lit, options))).alias("option"))
+    return row.select("dataset_size", "option", F.explode(F.array(*(F.lit(w).cast("int") for w in workers))).alias("workers"))
 
 
 def project(grid: DataFrame, cost_per_ticket: float = COST_PER_TICKET, chunk: float = 1.0) -> DataFrame:
@@ -202,7 +203,8 @@ def roi(projected: DataFrame, manual_cost: float = 50.0, manual_hours: float = 0
 def sensitivity(base: DataFrame, cost_per_ticket: float = COST_PER_TICKET) -> DataFrame:
     """ROI with size, workers and tokens changed, and its distance to the unchanged one."""
     cases = [("base", 1.0, None, 1.0), ("size_half", 0.5, None, 1.0), ("size_more", 1.5, None, 1.0), ("workers_2", 1.0, 2, 1.0), ("workers_8", 1.0, 8, 1.0), ("tokens_less", 1.0, None, 0.7), ("tokens_more", 1.0, None, 1.3)]
-    grid = base.crossJoin(F.broadcast(base.sparkSession.createDataFrame(cases, "case string, size double, w int, tokens double")))
+    each = F.array(*(F.struct(F.lit(c).alias("case"), F.lit(s).alias("size"), F.lit(w).cast("int").alias("w"), F.lit(t).alias("tokens")) for c, s, w, t in cases))
+    grid = base.select("*", F.inline(each))
     grid = grid.withColumn("dataset_size", (F.col("dataset_size") * F.col("size")).cast("long")).withColumn("workers", F.coalesce("w", "workers"))
     out = project(grid, cost_per_ticket).withColumn("cost", F.col("cost") * F.col("tokens")).withColumn("cost_per_ticket", F.col("cost_per_ticket") * F.col("tokens"))
     out = roi(out)

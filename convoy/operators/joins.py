@@ -66,7 +66,7 @@ def merge_taxonomies(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def range_lookup(df: DataFrame, value: str, ranges: DataFrame) -> DataFrame:
     """Rows of a small table (low, high, ...) whose range holds the value."""
-    return df.join(F.broadcast(ranges), (F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")))
+    return df.join(dimension(ranges), (F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")))
 
 
 def union_all(*parts: DataFrame) -> DataFrame:

@@ -38,6 +38,28 @@ def greedy_batches(df: DataFrame, id_col: str, tokens_col: str, limit: int = 50_
     return out.select("shard", F.col("id").alias(id_col), "batch_id")
 
 
+def sequential_batches(df: DataFrame, id_col: str, tokens_col: str, limit: int = 50_000, most: int = 50, shard_col: str | None = None) -> DataFrame:
+    """Batch number of each row, in the order of ids: a batch ends after the row that reaches
+    the token limit or `most` rows; the header counts in the first batch only. Rows are
+    folded within shards, as in `greedy_batches`."""
+    shard = F.col(shard_col) if shard_col else F.lit(0)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        batch, tokens, n, out = 0, HEADER_TOKENS, 0, []
+        for t in pdf["tokens"]:
+            tokens, n = tokens + t, n + 1
+            out.append(batch)
+            if tokens >= limit or n >= most:
+                batch, tokens, n = batch + 1, 0, 0
+        return pdf.assign(batch_id=out)[["shard", "id", "batch_id"]]
+
+    rows = df.select(shard.cast("string").alias("shard"), F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("tokens"))
+    out = rows.groupBy("shard").applyInPandas(fold, f"shard string, id {kind}, batch_id long")
+    return out.select("shard", F.col("id").alias(id_col), "batch_id")
+
+
 def fixed_batches(df: DataFrame, order: str, size: int) -> DataFrame:
     """Consecutive batches of equal size. Ranks are counted by range of the order column:
     per-partition counts are summed, so that no task holds all rows."""

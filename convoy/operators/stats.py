@@ -225,7 +225,7 @@ def baseline_comparison(runs: DataFrame, lower_is_better: tuple[str, ...] = ("co
     flat = runs.unpivot(["name"], metrics, "metric", "value")
     base = flat.filter("name = 'baseline'").select("metric", F.col("value").alias("base"))
     better = F.when(F.col("metric").isin(list(higher_is_better)), F.col("value") > F.col("base")).otherwise(F.col("value") < F.col("base"))
-    return flat.filter("name <> 'baseline'").join(F.broadcast(base), "metric").select("name", "metric", "base", "value", (F.col("value") - F.col("base")).alias("delta"), better.alias("improved"))
+    return flat.filter("name <> 'baseline'").join(base, "metric").select("name", "metric", "base", "value", (F.col("value") - F.col("base")).alias("delta"), better.alias("improved"))
 
 
 def bullet_coverage(df: DataFrame, column: str = "bullets") -> DataFrame:

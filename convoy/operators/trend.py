@@ -15,14 +15,17 @@ def _over(group: str | None):
     return W.partitionBy(group) if group else W.partitionBy()
 
 
-def half_split_trend(df: DataFrame, value: str, order: str, group: str | None = None, percent: float = 5.0, least: int = 3) -> DataFrame:
-    """Mean of the later half against the earlier one: improving, declining or stable."""
+def half_split_trend(df: DataFrame, value: str, order: str, group: str | None = None, percent: float = 5.0, least: int = 3, floor: float | None = None) -> DataFrame:
+    """Mean of the later half against the earlier one. With a floor, changes are relative to
+    no less than it, and short series are stable."""
     w = _over(group)
     rows = df.withColumn("__r", F.row_number().over(w.orderBy(order))).withColumn("__n", F.count("*").over(w))
     first = F.col("__r") <= F.floor(F.col("__n") / 2)
     g = rows.groupBy(*([group] if group else [])).agg(F.count("*").alias("n"), F.avg(F.when(first, F.col(value))).alias("before"), F.avg(F.when(~first, F.col(value))).alias("after"))
     change = F.when(F.col("before") != 0, (F.col("after") - F.col("before")) / F.col("before") * 100).otherwise(0.0)
-    label = F.when(F.col("n") < least, "insufficient_data").when(change > percent, "increasing").when(change < -percent, "decreasing").otherwise("stable")
+    if floor is not None:
+        change = (F.col("after") - F.col("before")) / F.greatest(F.col("before"), F.lit(floor)) * 100
+    label = F.when(F.col("n") < least, "insufficient_data" if floor is None else "stable").when(change > percent, "increasing").when(change < -percent, "decreasing").otherwise("stable")
     return g.withColumn("change", change).withColumn("trend", label)
 
 
@@ -51,6 +54,18 @@ def trailing_mean(df: DataFrame, value: str, seconds_col: str, group: str | None
     return df.withColumn("trailing", F.avg(value).over(_over(group).orderBy(seconds_col).rangeBetween(-seconds, 0)))
 
 
+def recent_trend(df: DataFrame, value: str, seconds_col: str, group: str, minutes: int = 10, last: int = 10) -> DataFrame:
+    """Mean and trend (10 per cent, floor 0.01) of each group's last minutes, or of its last
+    rows if these hold less than two."""
+    w = W.partitionBy(group)
+    rows = df.withColumn("__t", F.max(seconds_col).over(w)).withColumn("__r", F.row_number().over(w.orderBy(F.desc(seconds_col))))
+    rows = rows.withColumn("__in", F.col(seconds_col) >= F.col("__t") - 60 * minutes)
+    rows = rows.withColumn("__k", F.sum(F.col("__in").cast("int")).over(w))
+    kept = rows.filter(F.when(F.col("__k") >= 2, F.col("__in")).otherwise(F.col("__r") <= last))
+    trend = half_split_trend(kept, value, seconds_col, group, percent=10.0, least=2, floor=0.01)
+    return trend.join(kept.groupBy(group).agg(F.avg(value).alias("mean")), group).select(group, "n", "mean", "trend")
+
+
 def slope(value: str, order: str, group: str | None = None, n: int = 5) -> Column:
     """(last - first) / n over the last n values."""
     return (F.col(value) - F.lag(value, n - 1).over(_over(group).orderBy(order))) / n

@@ -428,7 +428,10 @@ def roi_grid(spark, d):
     return _round(_round(out, "saved", "hours_saved", "roi_percent", "payback", places=4), "break_even_items")
 
 
-@query()
+@query("""WITH o AS (SELECT * FROM (VALUES ('discovery_only', 0.6), ('application_only', 0.8), ('parallel_discovery', 0.7), ('optimized_application', 0.85), ('discovery_application', 1.0)) a(option, f)),
+    c AS (SELECT * FROM (VALUES ('base', 1.0, 4, 1.0), ('size_half', 0.5, 4, 1.0), ('size_more', 1.5, 4, 1.0), ('workers_2', 1.0, 2, 1.0), ('workers_8', 1.0, 8, 1.0), ('tokens_less', 1.0, 4, 0.7), ('tokens_more', 1.0, 4, 1.3)) b(c, s, w, t)),
+    g AS (SELECT option, c, CAST(10000 * s AS BIGINT) AS n, w, CAST(t AS DOUBLE) * 0.048 * f * CASE WHEN 10000 * s <= 10000 THEN 1.0 ELSE 0.95 END * CASE WHEN w <= 4 THEN 0.95 ELSE 0.98 END AS each FROM o, c), r AS (SELECT *, n * each AS cost, (n * 50 - n * each) / (n * each) * 100 AS roi FROM g)
+    SELECT option, c AS "case", n AS dataset_size, w AS workers, round(cost, 4) AS cost, round(roi, 4) AS roi_percent, round(roi - max(CASE WHEN c = 'base' THEN roi END) OVER (PARTITION BY option), 4) AS change FROM r""")
 def roi_sensitivity(spark, d):
     base = cost.scenario_grid(spark, [10000], list(cost.OPTION_FACTORS), [4])
     return _round(cost.sensitivity(base), "cost", "roi_percent", "change", places=4)
@@ -541,20 +544,6 @@ def chunk_overlap(spark, d):
     return pack.chunk_texts(table(spark, d, "documents"), "doc_id", "text", size=200, overlap=40).select("doc_id", "chunk_id", "start_index", "estimated_tokens")
 
 
-@query()
-def classify_tickets(spark, d):
-    from . import jobs
-
-    return jobs.classify(prepare.prepare_tickets(messages(spark, d)))
-
-
-@query()
-def discover_taxonomy(spark, d):
-    from . import jobs
-
-    return jobs.discover(prepare.prepare_tickets(messages(spark, d)))
-
-
 @query("""SELECT source, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(text, '[0-9]') THEN 1 ELSE 0 END) AS BIGINT) AS with_digits FROM documents GROUP BY GROUPING SETS ((source), ())""")
 def source_rollup(spark, d):
     docs = table(spark, d, "documents")

@@ -110,7 +110,7 @@ def age_labels(spark, d):
     return e.select("event_id", format_age(F.col("value")).alias("age"))
 
 
-@query()
+@query(f"""WITH {USAGE} SELECT event_id, CASE WHEN cost_usd < 0.001 THEN CAST(CAST(round(CAST(CAST(cost_usd * 1000 AS VARCHAR) AS DECIMAL(38, 24)), 3) AS DECIMAL(18, 3)) AS VARCHAR) || 'm¢' WHEN cost_usd < 0.10 THEN CAST(CAST(round(CAST(CAST(cost_usd * 100 AS VARCHAR) AS DECIMAL(38, 24)), 2) AS DECIMAL(18, 2)) AS VARCHAR) || '¢' ELSE '$' || CAST(CAST(round(CAST(CAST(cost_usd AS VARCHAR) AS DECIMAL(38, 24)), 3) AS DECIMAL(18, 3)) AS VARCHAR) END AS label FROM uc""")
 def cost_labels(spark, d):
     return cost.with_cost(usage(spark, d)).select("event_id", format_cost(F.col("cost_usd")).alias("label"))
 
@@ -133,10 +133,11 @@ def calibration(spark, d):
 
 
 @query("""WITH h AS (SELECT o_orderkey AS run_id, o_custkey AS n, 1 + o_orderkey % 16 AS w, o_totalprice / 1000 AS hours FROM orders), s AS (SELECT *, abs(n - 1000) AS d FROM h WHERE abs(n - 1000) / CAST(greatest(n, 1000) AS DOUBLE) <= 0.3 ORDER BY d, run_id LIMIT 5), x AS (
-    SELECT hours, (1 - d / CAST(greatest(n, 1000) AS DOUBLE)) * (1 - abs(w - 4) / CAST(greatest(w, 4) AS DOUBLE)) AS weight FROM s) SELECT round(sum(weight * hours) / sum(weight), 6) AS hours, round(least(1, sum(weight) / 5), 6) AS confidence FROM x""")
+    SELECT hours * w / 4 AS hours, (1 - d / CAST(greatest(n, 1000) AS DOUBLE)) * (1 - abs(w - 4) / CAST(greatest(w, 4) AS DOUBLE)) AS weight FROM s), c AS (SELECT count(*) AS k FROM h WHERE abs(n - 1000) / CAST(greatest(n, 1000) AS DOUBLE) <= 0.3)
+    SELECT coalesce(round(sum(weight * hours) / sum(weight), 6), round(10 / 60.0, 6)) AS hours, CASE WHEN max(k) = 0 THEN 0.1 ELSE round(least(1, sum(weight) / max(k)), 6) END AS confidence FROM c LEFT JOIN x ON TRUE""")
 def predicted_hours(spark, d):
     h = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("dataset_size"), (1 + F.col("o_orderkey") % 16).alias("workers"), (F.col("o_totalprice") / 1000).alias("hours"))
-    return _round(planning.predict(h, 1000, 4), "hours", "confidence")
+    return _round(planning.predict(h, 1000, 4).drop("similar"), "hours", "confidence")
 
 
 @query("SELECT event_type AS trigger, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END), 6) AS success_rate FROM events GROUP BY 1")

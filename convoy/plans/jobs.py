@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import first_object, parse_classification
+from ..functions.jsonx import bullets_of, extract_json, items_of, parse_classification
 from ..functions.text import estimate_tokens, ticket_block
-from ..operators import joins, pack, prepare, sample, stats
-from ..sources import tables
+from ..operators import joins, pack, prepare, runs, sample, stats
+from ..sources import reports, tables
 from .model import PROMPTS, KeywordModel, Model, apply_model
 
 TAXONOMY = (
@@ -17,16 +17,36 @@ TAXONOMY = (
 )
 
 
-def map_reduce(chunks: DataFrame, model: Model, order: str = "chunk_id") -> DataFrame:
-    """MAP over chunks, then one reduced text in the order of the chunks. Partial results
-    are joined by group and not on the driver."""
-    done = apply_model(chunks, model, PROMPTS["map"], order, "text").filter("error is null")
-    joined = done.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "result"))), lambda x: x["result"]), "\n\n").alias("text"))
-    return apply_model(joined.withColumn("id", F.lit(0)), model, PROMPTS["combine"], "id", "text").select("result", "tokens_in", "tokens_out")
+#: Partial results that one call combines at most.
+FAN_IN = 50
+#: What stands between the analyses that discovery combines.
+ANALYSES = "\n\n---ANÁLISE---\n\n"
 
 
-def ticket_chunks(tickets: DataFrame, tokens: int = 100_000, shards: int = 1) -> DataFrame:
-    """Tickets as blocks, put together into chunks of at most so many tokens."""
+def map_reduce(chunks: DataFrame, model: Model, order: str = "chunk_id", separator: str = "\n\n", fan_in: int = FAN_IN) -> DataFrame:
+    """MAP over chunks, then COMBINE in the order of the chunks, at most `fan_in` results a
+    call, in as many rounds as that takes; chunks whose call failed are left out."""
+    done = apply_model(chunks, model, PROMPTS["map"], order, "text")
+    parts = done.filter("error is null").select(F.col(order).alias("nr"), F.col("result").alias("text"), "tokens_in", "tokens_out")
+    while True:
+        n = parts.count()
+        grouped = parts.withColumn("batch_id", F.lit(0).cast("long")) if n <= fan_in else pack.fixed_batches(parts, "nr", fan_in)
+        joined = grouped.groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "text"))), lambda x: x["text"]), separator).alias("text"), F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"))
+        called = apply_model(joined, model, PROMPTS["combine"], "batch_id", "text").join(joined.select("batch_id", "i", "o"), "batch_id")
+        called = called.select("batch_id", "result", (F.col("tokens_in") + F.col("i")).alias("tokens_in"), (F.col("tokens_out") + F.col("o")).alias("tokens_out"))
+        if n <= fan_in:
+            return called.select("result", "tokens_in", "tokens_out")
+        parts = called.select(F.col("batch_id").alias("nr"), F.col("result").alias("text"), "tokens_in", "tokens_out")
+
+
+#: Tickets that one fold puts into chunks, at scale.
+SHARD_TICKETS = 20_000
+
+
+def ticket_chunks(tickets: DataFrame, tokens: int = 100_000, shards: int | None = None) -> DataFrame:
+    """Tickets as blocks, put together into chunks of at most so many tokens; folds run
+    within shards, as many as the tickets need."""
+    shards = shards or max(1, tickets.count() // SHARD_TICKETS)
     blocks = tickets.select("ticket_id", ticket_block(F.col("ticket_id"), F.col("text")).alias("text"))
     blocks = blocks.withColumn("tokens", estimate_tokens(F.col("text"))).withColumn("shard", F.pmod(F.xxhash64("ticket_id"), F.lit(shards)))
     batch = pack.greedy_batches(blocks, "ticket_id", "tokens", limit=tokens, most=1 << 30, shard_col="shard")
@@ -34,10 +54,10 @@ def ticket_chunks(tickets: DataFrame, tokens: int = 100_000, shards: int = 1) ->
     return grouped.withColumn("chunk_id", F.concat_ws("-", F.lpad("shard", 6, "0"), F.lpad(F.col("batch_id").cast("string"), 12, "0")))
 
 
-def classify(tickets: DataFrame, model: Model | None = None, most: int = 3) -> DataFrame:
+def classify(tickets: DataFrame, model: Model | None = None, most: int = 3, prompt: str = PROMPTS["classify"]) -> DataFrame:
     """ticket_id, category_ids, confidence, tokens_used: a failed call gives none at 0."""
     model = model or KeywordModel()
-    got = apply_model(tickets, model, PROMPTS["classify"], "ticket_id", "text")
+    got = apply_model(tickets, model, prompt, "ticket_id", "text")
     parsed = parse_classification(F.col("result"))
     ids = F.array_join(F.slice(parsed["categories"], 1, most).cast("array<string>"), ",")
     return got.select("ticket_id", F.coalesce(ids, F.lit("")).alias("category_ids"), F.coalesce(parsed["confidence"], F.lit(0.0)).alias("confidence"), (F.col("tokens_in") + F.col("tokens_out")).alias("tokens_used"))
@@ -49,24 +69,77 @@ def categorise(tickets: DataFrame, names: dict[int, str], model: Model | None =
     return out.select("ticket_id", F.explode(joins.names_of(F.col("ids"), names)).alias("categoria"))
 
 
-def summarise(tickets: DataFrame, model: Model | None = None) -> DataFrame:
-    """The reduced text, with its bullets where the response has them."""
-    reduced = map_reduce(ticket_chunks(tickets), model or KeywordModel())
-    got = F.from_json(first_object(F.col("result")), "bullets array<struct<bullet:string>>, resumo string")
-    return reduced.select("result", F.filter(F.transform(got["bullets"], lambda b: F.trim(b["bullet"])), lambda b: b != "").alias("bullets"), got["resumo"].alias("resumo"))
+def classify_batches(tickets: DataFrame, model: Model | None = None, size: int = 5) -> DataFrame:
+    """Long rows (ticket_id, categoria), three a ticket at most: one call for each batch of
+    `size` tickets in the order of their ids. Items without id or categories, and failed
+    batches, give no rows."""
+    rows = pack.fixed_batches(tickets.select(F.col("ticket_id").cast("string").alias("ticket_id"), "text"), "ticket_id", size)
+    block = F.struct("ticket_id", ticket_block(F.col("ticket_id"), F.col("text")).alias("text"))
+    batches = rows.groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["text"]), "\n\n").alias("text"))
+    got = apply_model(batches, model or KeywordModel(), PROMPTS["classify_batch"], "batch_id", "text")
+    items = got.select(F.explode(items_of(F.col("result"))).alias("i"))
+    return items.select(F.col("i.id").alias("ticket_id"), F.explode("i.cat").alias("categoria"))
+
 
+def summarise(tickets: DataFrame, model: Model | None = None, bullets: int = 15) -> DataFrame:
+    """The reduced text, then a call that gives its bullets and summary, and what is wrong
+    with them."""
+    model = model or KeywordModel()
+    reduced = map_reduce(ticket_chunks(tickets), model).withColumn("id", F.lit(0))
+    called = apply_model(reduced.select("id", F.col("result").alias("text")), model, PROMPTS["summarise"], "id", "text").select("id", F.col("result").alias("response"))
+    return reduced.join(called, "id").withColumn("b", bullets_of(F.col("response"), bullets)).select("result", "b.bullets", "b.resumo", "b.issues")
 
-def discover(tickets: DataFrame, k: int = 25) -> DataFrame:
-    """A taxonomy from the keyword categories of the tickets: the k most frequent, with
-    keywords and example tickets."""
-    from ..functions.text import KEYWORD_RULES, keyword_category
 
-    named = tickets.select("ticket_id", keyword_category(F.col("text")).alias("categoria"))
-    top = stats.top_categories(named, "categoria", "ticket_id", k)
-    words = F.create_map(*(x for name, ws in KEYWORD_RULES for x in (F.lit(name), F.array(*map(F.lit, ws)))))
-    technical = F.regexp_replace(F.lower("categoria"), r"[^a-z0-9]+", "_")
-    return top.select(F.col("rank").cast("int").alias("id"), technical.alias("technical_name"), F.col("categoria").alias("display_name"), F.concat(F.lit("Tickets: "), F.col("n")).alias("description"),
-                      F.coalesce(F.try_element_at(words, F.col("categoria")), F.array().cast("array<string>")).alias("keywords"), F.split("sample_ids", ", ").alias("examples"))
+def compress(analysis: DataFrame, model: Model | None = None) -> DataFrame:
+    """A shorter text of a reduced analysis (column `result`), by one more call."""
+    rows = analysis.select(F.lit(0).alias("id"), F.col("result").alias("text"))
+    return apply_model(rows, model or KeywordModel(), PROMPTS["compress"], "id", "text").select("result", "tokens_in", "tokens_out")
+
+
+def discover(tickets: DataFrame, model: Model | None = None, tokens: int = 100_000) -> DataFrame:
+    """A taxonomy: MAP over chunks of tickets, COMBINE, then EXTRACT as JSON; the document
+    with its statistics, in one row. A response that holds no JSON leaves no row."""
+    model = model or KeywordModel()
+    combined = map_reduce(ticket_chunks(tickets, tokens), model, separator=ANALYSES)
+    called = apply_model(combined.select(F.lit(0).alias("id"), F.col("result").alias("text")), model, PROMPTS["extract"], "id", "text")
+    whole = F.from_json("result", TAXONOMY)
+    parsed = called.select(F.when(whole["categories"].isNotNull(), whole).otherwise(F.from_json(extract_json(F.col("result")), TAXONOMY)).alias("t")).select("t.*").filter("categories is not null")
+    return with_statistics(parsed, tickets)
+
+
+def with_statistics(taxonomy: DataFrame, tickets: DataFrame, least: int = 5, most: int = 25) -> DataFrame:
+    """A taxonomy document with counts of tickets and categories, mean keywords, a level of
+    confidence that grows with the categories, and whether their number is as expected."""
+    counts = tickets.agg(F.count("*").alias("total_tickets_analyzed"), F.count_distinct("ticket_id").alias("unique_tickets"))
+    n = F.size("categories")
+    keywords = F.aggregate("categories", F.lit(0), lambda s, c: s + F.coalesce(F.size(c["keywords"]), F.lit(0))) / F.greatest(n, F.lit(1))
+    subs = F.size(F.filter("categories", lambda c: F.coalesce(F.size(c["subcategories"]), F.lit(0)) > 0))
+    found = F.struct(
+        F.col("total_tickets_analyzed"), F.col("unique_tickets"), n.alias("categories_created"), F.round(keywords, 1).alias("avg_keywords_per_category"), subs.alias("categories_with_subcategories"),
+        F.least(F.lit(0.95), 0.6 + n * 0.02).alias("confidence_level"), F.when(n < least, "few").when(n > most, "many").otherwise("expected").alias("category_count"),
+    )
+    return taxonomy.crossJoin(F.broadcast(counts)).select("version", "categories", found.alias("discovery_stats"))  # single rows
+
+
+def categories_of(taxonomy: DataFrame) -> DataFrame:
+    """The categories of a taxonomy document, a row each."""
+    return taxonomy.select(F.inline("categories"))
+
+
+def classify_with(tickets: DataFrame, taxonomy: DataFrame, model: Model | None = None, most: int = 3) -> DataFrame:
+    """Classification with the categories of a taxonomy: their lines stand in the prompt, and
+    results carry their names; ids that the taxonomy lacks go. The taxonomy has tens of
+    rows and comes to the driver."""
+    from ..functions.text import category_line
+
+    model = model or KeywordModel()
+    rows = categories_of(taxonomy).select("id", "display_name", category_line(F.col("id"), F.col("display_name"), F.col("description"), F.col("examples")).alias("line")).orderBy("id").collect()
+    names = {r["id"]: r["display_name"] for r in rows}
+    got = classify(tickets, model, most, "\n".join([PROMPTS["classify"], *(r["line"] for r in rows)]))
+    ids = F.transform(F.filter(F.split("category_ids", ","), lambda x: x != ""), lambda x: x.cast("int"))
+    known = F.filter(ids, lambda i: i.isin(list(names))) if names else F.array().cast("array<int>")
+    out = got.withColumn("known", known)
+    return out.select("ticket_id", F.array_join(F.col("known").cast("array<string>"), ",").alias("category_ids"), F.array_join(joins.names_of(F.col("known"), names), ",").alias("category_names"), "confidence", "tokens_used", F.lit(model.name).alias("model_used"))
 
 
 def valid_taxonomy(c: str = "categories") -> "F.Column":
@@ -90,15 +163,44 @@ def orchestrate(spark: SparkSession, messages: DataFrame, folder: str, fraction:
     def taxonomy() -> DataFrame:
         n = tickets.count()
         drawn = sample.stratified(tickets, sample.target_size(n, fraction), "ticket_id", "ticket_created_at") if n else tickets
-        return discover(drawn)
+        return discover(drawn, model)
 
-    once("taxonomy", taxonomy)
-    results = once("results", lambda: classify(tickets, model))
+    found = once("taxonomy", taxonomy)
+    results = once("results", lambda: classify_with(tickets, found, model))
     return stats.classification_stats(results)
 
 
-def report(spark: SparkSession, categorised: DataFrame, folder: str, column: str = "categoria") -> None:
-    """The report's tables, a folder each: distribution, summary, quality, diversity."""
-    parts = {"distribution": stats.category_distribution(categorised, column), "summary": stats.category_summary(categorised, column), "quality": stats.naming_quality(categorised, column), "diversity": stats.shannon_diversity(categorised, column)}
-    for name, df in parts.items():
-        tables.write_csv(df, f"{folder}/{name}")
+def report_tables(categorised: DataFrame, column: str = "categoria", key: str = "ticket_id", final: DataFrame | None = None, summarised: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of a report: what the sheets of a workbook and the sections of a text hold."""
+    out = {
+        "summary": stats.category_summary(categorised, column),
+        "distribution": stats.category_distribution(categorised, column),
+        "top_categories": stats.top_categories(categorised, column, key),
+        "histogram": stats.size_histogram(categorised, column),
+        "thresholds": stats.threshold_counts(categorised, column),
+        "quality": stats.naming_quality(categorised, column),
+        "diversity": runs.category_analysis(categorised, column),
+    }
+    if final is not None:
+        out["data_flow"] = runs.data_flow(categorised, final)
+        out["integrity"] = runs.integrity(categorised, final, column, key)
+    if summarised is not None and "bullets" in summarised.columns:
+        out["summaries"] = runs.summary_quality(summarised)
+    return out
+
+
+def report(spark: SparkSession, categorised: DataFrame, folder: str, column: str = "categoria", key: str | None = None, formats: tuple[str, ...] = ("csv", "text", "json"), **others: DataFrame) -> None:
+    """The report: a CSV folder for each table, a text with a section for each, and a JSON
+    document. Samples of the ten largest categories are a table of their own."""
+    key = key or next(c for c in categorised.columns if c != column)
+    parts = report_tables(categorised, column, key, **others)
+    if "csv" in formats:
+        for name, df in parts.items():
+            tables.write_csv(df, f"{folder}/{name}")
+        top = parts["top_categories"].select(column)
+        samples = stats.first_rows(categorised.join(top, column, "left_semi"), column, key, 5)
+        tables.write_csv(samples, f"{folder}/samples")
+    if "text" in formats:
+        reports.write_text_report(spark, "Ticket report", parts, f"{folder}/report_text")
+    if "json" in formats:
+        reports.write_json_report(spark, parts, f"{folder}/report_json")

@@ -3,6 +3,8 @@ batches, with retries, usage rows and stored results."""
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -18,7 +20,9 @@ from ..operators.cache import cache_key
 PROMPTS = {
     "map": "Describe the recurring subjects of these tickets.",
     "combine": "Join these descriptions into one.",
+    "compress": "Shorten this analysis and keep every subject.",
     "classify": "Name up to three categories for each ticket, as JSON {\"categories\": [...], \"confidence\": x}.",
+    "classify_batch": "Name up to three categories for each of these tickets, as JSON {\"cat\": [{\"id\": ..., \"cat\": [...]}]}.",
     "summarise": "Give fifteen bullets and a summary, as JSON {\"bullets\": [{\"bullet\": ...}], \"resumo\": ...}.",
     "extract": "Give the taxonomy as JSON.",
 }
@@ -31,15 +35,48 @@ class Model(Protocol):
 
 
 class KeywordModel:
-    """A deterministic model: the keyword rules, answered as JSON."""
+    """A deterministic model: the keyword rules, in the form that each prompt asks for. The
+    descriptions that it makes are lists of category names, a line each."""
 
     name = "keywords"
 
     def __call__(self, prompt: str, text: str) -> str:
         low = (text or "").lower()
-        hits = [i + 1 for i, (_, words) in enumerate(KEYWORD_RULES) if any(w in low for w in words)][:3]
-        names = [KEYWORD_RULES[i - 1][0] for i in hits] or [DEFAULT_CATEGORY]
-        return '{"categories": [%s], "confidence": %s, "names": "%s"}' % (", ".join(map(str, hits)), 0.9 if hits else 0.5, "; ".join(names))
+        hits = [i for i, (_, words) in enumerate(KEYWORD_RULES) if any(w in low for w in words)]
+        kind = next((k for k in ("map", "combine", "compress", "classify_batch", "summarise", "extract") if prompt.startswith(PROMPTS[k])), "classify")
+        if kind == "map":
+            return "\n".join(KEYWORD_RULES[i][0] for i in hits) or DEFAULT_CATEGORY
+        if kind == "classify_batch":
+            return json.dumps({"cat": [{"id": i, "cat": self._names(t)[:3]} for i, t in self._blocks(text or "")]}, ensure_ascii=False)
+        if kind in ("combine", "compress", "extract", "summarise"):
+            lines = {line.strip() for line in (text or "").splitlines()}
+            found = [(n, words) for n, words in KEYWORD_RULES if n in lines]
+            if kind == "extract":
+                return json.dumps({"version": "1.0", "categories": [self._category(i + 1, n, words) for i, (n, words) in enumerate(found)]}, ensure_ascii=False)
+            if kind == "summarise":
+                every = [n for n, _ in KEYWORD_RULES] + [DEFAULT_CATEGORY]
+                bullets = [n for n, _ in found] + [n for n in every if n not in lines]
+                return json.dumps({"bullets": [{"bullet": b} for b in (bullets * 2)[:15]], "resumo": "; ".join(n for n, _ in found) or DEFAULT_CATEGORY}, ensure_ascii=False)
+            return "\n".join(n for n, _ in found) or DEFAULT_CATEGORY
+        known = {n: int(i) for i, n in re.findall(r"(?m)^(\d+)\. (.+?): ", prompt)}  # the taxonomy's lines, if there are any
+        ids = [known[KEYWORD_RULES[i][0]] for i in hits if KEYWORD_RULES[i][0] in known] if known else [i + 1 for i in hits]
+        names = [KEYWORD_RULES[i][0] for i in hits][:3] or [DEFAULT_CATEGORY]
+        return json.dumps({"categories": ids[:3], "confidence": 0.9 if ids else 0.5, "names": "; ".join(names)}, ensure_ascii=False)
+
+    @staticmethod
+    def _names(text: str) -> list[str]:
+        low = text.lower()
+        return [n for n, words in KEYWORD_RULES if any(w in low for w in words)] or [DEFAULT_CATEGORY]
+
+    @staticmethod
+    def _blocks(text: str) -> list[tuple[str, str]]:
+        parts = re.split(r"(?m)^Ticket (.+?):\n", text)
+        return list(zip(parts[1::2], parts[2::2]))
+
+    @staticmethod
+    def _category(number: int, name: str, words: list[str]) -> dict:
+        technical = re.sub(r"[^a-z0-9]+", "_", name.lower())
+        return {"id": number, "technical_name": technical, "display_name": name, "description": f"Tickets: {name}", "keywords": words, "examples": words[:2], "subcategories": []}
 
 
 class CallableModel:

@@ -42,7 +42,9 @@ def read_messages(spark: SparkSession, path: str, *, limit: int | None = None, n
     columns are text. Rows with too many fields are skipped, short ones filled with nulls;
     the words for missing values are null."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if suffix in ("xlsx", "xls"):
+    if suffix == "xls":
+        raise ValueError("old workbooks (.xls) can't be read: save the file as .xlsx")
+    if suffix == "xlsx":
         spark.dataSource.register(XlsxSource)
         out = spark.read.format("xlsx").load(path)
     elif suffix == "json":
@@ -110,7 +112,7 @@ def sheet_rows(path: str) -> Iterator[list[str | None]]:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.parse(z.open("xl/sharedStrings.xml")).iter(f"{ns}si")]
-        sheet = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))[0]
+        sheet = min((n for n in z.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))  # sheet2 before sheet10
         for _, row in ElementTree.iterparse(z.open(sheet)):
             if row.tag == f"{ns}row":
                 out: list[str | None] = []
@@ -152,5 +154,18 @@ def metric_rows(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)).unpivot([], df.columns, "metric", "value")
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Put `df`, which may be made from the table at `path`, in that table's place: it is
+    written beside it first, then the folders change places."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}-new")
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}-new", path))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{path}-new could not take the place of {path}")
+    spark.catalog.refreshByPath(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)

@@ -4,7 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
+import convoy.plans.catalogue_functions  # noqa: F401
 import convoy.plans.catalogue_more  # noqa: F401
+import convoy.plans.catalogue_runs  # noqa: F401
 from convoy.plans.catalogue import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

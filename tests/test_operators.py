@@ -115,21 +115,104 @@ def test_planning(spark):
     assert 1.0 <= planning.predict(history, 1000, 4).first()["hours"] <= 5.0
 
 
-class Failing:
-    name = "failing"
+def failing():
+    """A model whose calls fail for some texts, made on the executor."""
 
-    def __call__(self, prompt, text):
-        if "bad" in text:
-            raise ValueError("bad row")
-        return '{"categories": [1], "confidence": 0.9}'
+    def build():
+        def call(prompt, text):
+            if "bad" in text:
+                raise ValueError("bad row")
+            return '{"categories": [1], "confidence": 0.9}'
+
+        return call
+
+    return model.CallableModel("failing", build)
 
 
 def test_model_rows_fail_alone(spark):
     df = spark.createDataFrame([("1", "good"), ("2", "bad")], "ticket_id string, text string")
-    got = {r["ticket_id"]: (r["category_ids"], r["confidence"]) for r in jobs.classify(df, Failing()).collect()}
+    got = {r["ticket_id"]: (r["category_ids"], r["confidence"]) for r in jobs.classify(df, failing()).collect()}
     assert got == {"1": ("1", 0.9), "2": ("", 0.0)}
 
 
+def test_failed_batches_and_chunks_are_left_out(spark):
+    df = spark.createDataFrame([(f"{i:02}", "problema" if i < 5 else "bad") for i in range(10)], "ticket_id string, text string")
+    keywords = model.KeywordModel()
+
+    def build():
+        return lambda prompt, text: keywords(prompt, text) if "bad" not in text else 1 / 0
+
+    picky = model.CallableModel("picky", build)
+    assert {r["ticket_id"] for r in jobs.classify_batches(df, picky, size=5).collect()} == {f"{i:02}" for i in range(5)}
+    chunks = spark.createDataFrame([(i, "oi problema" if i % 2 else "bad") for i in range(12)], "chunk_id int, text string")
+    assert jobs.map_reduce(chunks, picky, fan_in=2).first()["result"] == "Saudação\nProblema Técnico"
+
+
+def test_discovery_and_classification_are_connected(spark):
+    df = spark.createDataFrame([("1", "quero ajuda"), ("2", "problema"), ("3", "nada")], "ticket_id string, text string")
+    found = jobs.discover(df)
+    got = found.first()
+    assert [c["id"] for c in got["categories"]] == [1, 2, 3] and got["discovery_stats"]["category_count"] == "few" and got["discovery_stats"]["unique_tickets"] == 3
+    rows = {r["ticket_id"]: r for r in jobs.classify_with(df, found).collect()}
+    assert rows["2"]["category_names"] == "Problema Técnico" and rows["2"]["category_ids"] == "1"
+    assert rows["1"]["category_ids"] == "2,3" and rows["3"]["category_ids"] == "" and rows["3"]["confidence"] == 0.5
+
+    def build():
+        return lambda prompt, text: "no JSON"
+
+    assert jobs.discover(df, model.CallableModel("mute", build)).count() == 0
+
+
+def test_summary_has_its_bullets(spark):
+    df = spark.createDataFrame([("1", "quero ajuda"), ("2", "problema")], "ticket_id string, text string")
+    got = jobs.summarise(df).first()
+    assert len(got["bullets"]) == 15 and got["resumo"] and got["issues"] == []
+    assert jobs.compress(spark.createDataFrame([("Saudação\nx",)], "result string")).first()["result"] == "Saudação"
+
+
+def test_sequential_batches(spark):
+    from convoy.operators import pack
+
+    df = spark.createDataFrame([(i, 10) for i in range(7)], "id long, tokens long")
+    got = [r["batch_id"] for r in pack.sequential_batches(df, "id", "tokens", 25, 50).orderBy("id").collect()]
+    assert got == [0, 0, 0, 1, 1, 1, 2]  # the header of 2 tokens counts in the first batch only, which needs a third row too
+    assert [r["batch_id"] for r in pack.sequential_batches(df, "id", "tokens", 1000, 3).orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, 2]
+
+
+def test_cache_guard_and_keys(spark, tmp_path):
+    rows = [("a", 60, "2024-01-01 00:00:00"), ("b", 30, "2024-01-04 12:00:00")]
+    entries = spark.createDataFrame(rows, "key string, size long, t string").selectExpr("key", "size", "cast(t as timestamp) created_at")
+    now = F.to_timestamp(F.lit("2024-01-05 00:00:00"))
+    new = lambda n: spark.createDataFrame([("c", n, "2024-01-05 00:00:00")], "key string, size long, t string").selectExpr("key", "size", "cast(t as timestamp) created_at")
+    kept = lambda n: {r["key"] for r in cache.guarded(entries, new(n), 100, now).collect()}
+    assert kept(10) == {"a", "b", "c"} and kept(20) == {"b", "c"}
+    path = tmp_path / "m.csv"
+    path.write_text("a")
+    first = cache.source_key(spark, f"file://{path}", "x")
+    assert first == cache.source_key(spark, f"file://{path}", "x") != cache.source_key(spark, f"file://{path}", "y")
+    path.write_text("ab")
+    assert cache.source_key(spark, f"file://{path}", "x") != first
+    (tmp_path / "z.gz").write_text("")
+    assert cache.file_counts(spark, f"file://{tmp_path}") == (1, 1)
+    assert cache.retained(entries.withColumnRenamed("created_at", "ts"), now).count() == 1
+
+
+def test_prediction_prefers_recent_runs(spark):
+    history = spark.createDataFrame([(1, 1000, 4, 2.0, 1), (2, 1000, 4, 4.0, 300)], "run_id long, dataset_size long, workers int, hours double, days int")
+    assert abs(planning.predict(history, 1000, 4).first()["hours"] - (2 + 0.1 * 4) / 1.1) < 1e-9
+    assert planning.predict(history, 10, 4).first()["confidence"] == 0.1
+
+
+def test_comprehensive_analysis(spark):
+    from convoy.operators import roi
+
+    got = roi.comprehensive(spark, 5000, budget=1000.0, hours=10.0)
+    assert set(got) == {"projection", "scenarios", "recommendations", "automation", "scaling", "budget", "time"}
+    assert all(df.count() > 0 for df in got.values()) and got["projection"].count() == 3
+    parts = spark.range(1).select(*(c.alias(n) for n, c in roi.cost_parts(F.lit(1e6), F.lit(1e6), F.lit(2), F.lit(10.0), F.lit(1.0), "cloud", transfer=F.lit(1.0)).items())).first()
+    assert abs(parts["total"] - (0.375 + 1.0 + 0.023 + 0.09 + 0.2 + 0.10)) < 1e-9
+
+
 def test_cached_results(spark, tmp_path):
     df = spark.createDataFrame([(1, "problema"), (2, "problema"), (3, None)], "id long, text string")
     path = f"file://{tmp_path}/cache"
