@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.jsonx import bullets_of, extract_json, items_of, parse_classification
 from ..functions.text import estimate_tokens, ticket_block
 from ..operators import joins, pack, prepare, runs, sample, stats
-from ..sources import reports, tables
+from ..sources import reports, tables, work
 from .model import PROMPTS, KeywordModel, Model, apply_model
 
 TAXONOMY = (
@@ -29,6 +29,7 @@ def map_reduce(chunks: DataFrame, model: Model, order: str = "chunk_id", separat
     done = apply_model(chunks, model, PROMPTS["map"], order, "text")
     parts = done.filter("error is null").select(F.col(order).alias("nr"), F.col("result").alias("text"), "tokens_in", "tokens_out")
     while True:
+        parts = work.materialise(parts, "partials")
         n = parts.count()
         grouped = parts.withColumn("batch_id", F.lit(0).cast("long")) if n <= fan_in else pack.fixed_batches(parts, "nr", fan_in)
         joined = grouped.groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "text"))), lambda x: x["text"]), separator).alias("text"), F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"))

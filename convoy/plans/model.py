@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import retry_delay
-from ..functions.text import DEFAULT_CATEGORY, KEYWORD_RULES, estimate_tokens
+from ..functions.text import DEFAULT_CATEGORY, KEYWORD_RULES
 from ..operators.cache import cache_key
 
 PROMPTS = {
@@ -114,12 +114,11 @@ def apply_model(df: DataFrame, model: Model, prompt: str, key: str, text_col: st
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             got = [with_retry(lambda t=t: model(prompt, t), attempts) for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["key"], "result": [g[0] for g in got], "error": [g[1] for g in got]})
+            used = [len(t or "") // 4 + len(prompt) // 4 for t in pdf["text"]]
+            yield pd.DataFrame({"key": pdf["key"], "result": [g[0] for g in got], "error": [g[1] for g in got], "tokens_in": used, "tokens_out": [len(g[0] or "") // 4 for g in got]})
 
     rows = df.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(run, f"key {kind}, result string, error string").withColumnRenamed("key", key)
-    usage = df.select(F.col(key), (estimate_tokens(F.coalesce(F.col(text_col), F.lit(""))) + len(prompt) // 4).alias("tokens_in"))
-    return out.join(usage, key).withColumn("tokens_out", F.coalesce(estimate_tokens(F.col("result")), F.lit(0)))
+    return rows.mapInPandas(run, f"key {kind}, result string, error string, tokens_in long, tokens_out long").withColumnRenamed("key", key)
 
 
 def apply_cached(df: DataFrame, model: Model, prompt: str, text_col: str, cache_path: str) -> DataFrame:
