@@ -5,17 +5,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.work import discard, materialise, remove_dir, shared_dir, work_dir  # noqa: F401  operators find them here
+
 #: Bytes of text that one step of a vectorised kernel holds at a time.
 STEP_BYTES = 1 << 21
 
@@ -80,44 +80,3 @@ def table_bytes(df: DataFrame) -> int:
     texts = [F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
     total = sum((F.coalesce(t, F.lit(0)).cast("long") for t in texts), F.lit(8))
     return int(df.agg(F.sum(total)).first()[0] or 0)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where the session
-    names none: a temporary folder in a single JVM, else a folder beside the warehouse."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.sparkContext._jsc.sc().getCheckpointDir().get() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
-    )
-    if not path:
-        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        path = "file://" + tempfile.mkdtemp(prefix="convoy-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read again: cuts lineage, survives
-    the loss of any executor."""
-    path = work_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.work_folder = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the folders of materialised tables that no later plan reads."""
-    for df in tables:
-        if getattr(df, "work_folder", None):
-            remove_dir(df.sparkSession, df.work_folder)
-
-
-def remove_dir(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
