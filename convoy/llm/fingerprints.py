@@ -4,8 +4,8 @@
 The index is a list of immutable runs in the shared folder. A run holds, for every
 bucket, the sorted fingerprints of one or more batches of documents with the blocks
 they are in; a window's fingerprint is its anchor (see spans). A new batch becomes a
-sorted run of its own, which is merge-joined with each bucket of the historical runs:
-matches mark the blocks, old and new, that hold a repeating fingerprint. When a level
+sorted run of its own, which is merge-joined, bucket by bucket, with the historical runs,
+none of which moves: matches mark the blocks, old and new, that hold a repeating fingerprint. When a level
 has `fan_in` runs, they're compacted into one run of the next level. Marked windows
 are then compared word by word, and only windows that truly start twice count.
 
@@ -17,6 +17,7 @@ their own; the order of batches doesn't change the result; extra columns are not
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,25 @@ from pyspark.sql import functions as F
 from . import repeats
 from .common import release_caches, remove_dir, work_dir
 from .repeats import KEYS, Windows, _batch, _with_left_key
-from .spans import Prefix, Units, block_count, blob, by_key, equal_groups, in_blocks, mix, ragged, unblob
+from .spans import Prefix, Units, block_count, bucket_count, blob, by_key, contains, equal_groups, in_blocks, mix, ragged, unblob
 
+#: Files of a run at most.
+MOST_FILES = 1024
 RUN = "bucket long, keys binary, owners binary, more binary"
 
 
 class FingerprintIndex:
     """Sorted immutable runs below `path`; a run's folder is named by its level and
-    number, and counts once its write has ended. `buckets` must stay the same."""
+    number, and counts once its write has ended. `buckets` must stay the same: choose it
+    for the index at its largest, so that a bucket's keys (13 bytes each) fit a task.
+
+    Runs are external tables in the same number of files by bucket. A batch is dealt out
+    by bucket once, when its run is written; matching it with a historical run, and
+    merging runs, reads the files of a bucket side by side without moving them."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, fan_in: int = 3):
         self.spark, self.path, self.buckets, self.fan_in = spark, path.rstrip("/"), buckets, fan_in
+        self.files = min(buckets, MOST_FILES)
 
     def runs(self) -> list[tuple[int, int]]:
         """(level, number) of the finished runs."""
@@ -48,42 +57,62 @@ class FingerprintIndex:
         done = [n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs/{n}/_SUCCESS"))]
         return sorted(tuple(map(int, n.split("-")[1:])) for n in done)
 
-    def _read(self, run: tuple[int, int]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(f"{self.path}/runs/run-{run[0]}-{run[1]}")
+    def _table(self, folder: str) -> str:
+        return f"fingerprints_{hashlib.sha256(f'{self.path}/{folder}'.encode()).hexdigest()[:24]}"
+
+    def _read(self, folder: str) -> DataFrame:
+        """A run's table; a session that doesn't know it yet is told of it."""
+        name = self._table(folder)
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (bucket) INTO {self.files} BUCKETS LOCATION '{self.path}/{folder}'")
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame, folder: str) -> DataFrame:
+        self._drop(folder)
+        rows.write.format("parquet").option("path", f"{self.path}/{folder}").bucketBy(self.files, "bucket").saveAsTable(self._table(folder))
+        return self._read(folder)
 
-    def _write(self, rows: DataFrame, level: int, number: int) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.path}/runs/run-{level}-{number}")
-        return self._read((level, number))
+    def _drop(self, folder: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(folder)}")
+        remove_dir(self.spark, f"{self.path}/{folder}")
+
+    def matches(self, new: DataFrame, old: DataFrame) -> DataFrame:
+        """Keys that both runs hold, by block, of either run."""
+        return new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge_join, KEYS)
 
     def add(self, anchors: DataFrame) -> DataFrame:
         """Add a batch's anchors as a run; returns the keys that repeat, by block: those
         of the batch, and those of history that the batch repeats."""
         before = self.runs()
         number = max((n for _, n in before), default=-1) + 1
-        new = self._write(anchors.groupBy("bucket").applyInArrow(_sorted_run, RUN), 0, number)
-        old = self.spark.createDataFrame([], RUN)
-        for run in before:
-            old = old.unionByName(self._read(run))
-        found = f"{self.path}/found-{number}"
-        new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge_join, KEYS).write.mode("overwrite").parquet(found)
+        dealt = anchors.repartition(self.files, "bucket")
+        new = self._write(dealt.groupBy("bucket").applyInArrow(_sorted_run, RUN), f"runs/run-0-{number}")
+        found = new.mapInArrow(_repeats, KEYS)
+        for level, n in before:
+            found = found.unionByName(self.matches(new, self._read(f"runs/run-{level}-{n}")))
+        found.write.mode("overwrite").parquet(f"{self.path}/found-{number}")
         self.compact()
-        return self.spark.read.schema(KEYS).parquet(found)
+        return self.spark.read.schema(KEYS).parquet(f"{self.path}/found-{number}")
 
     def compact(self) -> None:
-        """Merge the runs of each full level into one of the next."""
+        """Merge the runs of each full level into one of the next, two at a time."""
         while True:
             runs = self.runs()
             full = [level for level in {x for x, _ in runs} if sum(level == x for x, _ in runs) >= self.fan_in]
             if not full:
                 return
             level = min(full)
-            own = [r for r in runs if r[0] == level]
-            rows = self._read(own[0])
-            for run in own[1:]:
-                rows = rows.unionByName(self._read(run))
-            self._write(rows.groupBy("bucket").applyInArrow(_merge_runs, RUN), level + 1, own[-1][1])
+            own = [f"runs/run-{x}-{n}" for x, n in runs if x == level]
+            number, merged = max(n for x, n in runs if x == level), own[0]
+            for k, run in enumerate(own[1:], 2):
+                rows = self._read(merged).groupBy("bucket").cogroup(self._read(run).groupBy("bucket")).applyInArrow(_merge_runs, RUN)
+                to = f"runs/run-{level + 1}-{number}" if k == len(own) else f"merge-{level}-{number}-{k}"
+                self._write(rows, to)
+                if k > 2:
+                    self._drop(merged)
+                merged = to
             for run in own:
-                remove_dir(self.spark, f"{self.path}/runs/run-{run[0]}-{run[1]}")
+                self._drop(run)
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,35 +131,44 @@ def _sorted_run(key: tuple, table: pa.Table) -> pa.Table:
     return _batch(RUN, [[key[0].as_py()], [blob(keys[order])], [blob(owners[order])], [blob(more[order])]])
 
 
-def _merge_runs(key: tuple, table: pa.Table) -> pa.Table:
-    keys, owners, more = _columns(table)
-    order = np.lexsort((owners, keys))
-    return _batch(RUN, [[key[0].as_py()], [blob(keys[order])], [blob(owners[order])], [blob(more[order])]])
+def _merge_runs(key: tuple, one: pa.Table, other: pa.Table) -> pa.Table:
+    """Two sorted runs of a bucket as one; the sort merges what is in order already."""
+    keys, owners, more = (np.concatenate(pair) for pair in zip(_columns(one), _columns(other)))
+    order = np.argsort(keys, kind="stable")
+    return _batch(RUN, [[(key[0]).as_py()], [blob(keys[order])], [blob(owners[order])], [blob(more[order])]])
+
+
+def _by_block(bucket: int, keys: np.ndarray, owners: np.ndarray) -> list[tuple]:
+    order, starts = by_key(owners)
+    return [(int(owners[order[s]]), bucket, blob(np.unique(keys[order[s:e]]))) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def _keys_table(rows: list[tuple]) -> pa.Table:
+    return _batch(KEYS, [list(c) for c in zip(*rows)] if rows else [[], [], []])
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that a run holds more than once, by block."""
+    for batch in batches:
+        table, rows = pa.Table.from_batches([batch]), []
+        for r in range(len(table)):
+            keys, owners, more = _columns(table.slice(r, 1))
+            equal = keys[1:] == keys[:-1]
+            again = more.copy()
+            again[1:] |= equal
+            again[:-1] |= equal
+            rows += _by_block(table.column("bucket")[r].as_py(), keys[again], owners[again])
+        yield from _keys_table(rows).to_batches()
 
 
 def _merge_join(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
-    rows: list[list] = [[], [], []]
-    if not new.num_rows:
-        return _batch(KEYS, rows)
-    keys, owners, more = _columns(new)
+    """Keys of a bucket that both sorted runs hold, with the blocks of either."""
+    keys, owners, _ = _columns(new)
     past, past_owners, _ = _columns(old)
-    past_order = np.argsort(past, kind="stable")  # several sorted runs
-    past, past_owners = past[past_order], past_owners[past_order]
-    equal = keys[1:] == keys[:-1]
-    repeats_here = more.copy()
-    repeats_here[1:] |= equal
-    repeats_here[:-1] |= equal
-    at = np.minimum(np.searchsorted(past, keys), max(len(past) - 1, 0))
-    in_past = past[at] == keys if len(past) else np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(keys, past), len(keys) - 1)
-    hit = keys[at] == past
-    found, owner = np.concatenate([keys[repeats_here | in_past], past[hit]]), np.concatenate([owners[repeats_here | in_past], past_owners[hit]])
-    order, starts = by_key(owner)
-    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        own = order[s:e]
-        for column, value in zip(rows, (int(owner[own[0]]), key[0].as_py(), blob(np.unique(found[own])))):
-            column.append(value)
-    return _batch(KEYS, rows)
+    if not len(keys) or not len(past):
+        return _keys_table([])
+    here, there = contains(past, keys), contains(keys, past)
+    return _keys_table(_by_block(key[0].as_py(), np.concatenate([keys[here], past[there]]), np.concatenate([owners[here], past_owners[there]])))
 
 
 def repeated_windows(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarray, group: np.ndarray, low: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
@@ -160,7 +198,7 @@ def dedup_windows(
     windows = Windows(True, length, k)
     blocks = block_count(docs.select(id_col, text_col))
     texts = in_blocks(docs, blocks, id_col, text_col)
-    index = FingerprintIndex(spark, folder or work_dir(spark, "fingerprints"), max(16, blocks // 4))
+    index = FingerprintIndex(spark, folder or work_dir(spark, "fingerprints"), bucket_count(docs.select(id_col, text_col), blocks, 4))
     keys = spark.createDataFrame([], KEYS)
     for b in range(batches):
         batch = texts.filter(F.col("block") % batches == b)

@@ -41,7 +41,7 @@ SENTENCE_PENALTY, INSIDE_PENALTY = 2, 32
 #: Shortest window that may end early because its length is a power of two.
 LEAST_EXACT = 128
 #: Distinct words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: The pattern of byte-level pre-tokens (a fixed value of this kind of tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space after any white space: there a pre-token may hold several spaces.

@@ -234,9 +234,16 @@ def equal_groups(hashes: np.ndarray, data: np.ndarray, first: np.ndarray, sizes:
 
 def block_count(docs: DataFrame) -> int:
     """Blocks of 1.5 MB of input at least, larger with the square root of the data up
-    to 32 MB, so that the blobs between blocks and buckets stay few."""
+    to 256 MB, so that the blobs between blocks and buckets stay few."""
     total = table_bytes(docs)
-    return max(24, int(total / min(32 << 20, max(3 << 19, 70 * math.sqrt(total)))))
+    return max(24, int(total / min(256 << 20, max(3 << 19, 70 * math.sqrt(total)))))
+
+
+def bucket_count(docs: DataFrame, blocks: int, per: int) -> int:
+    """Buckets of anchors: one for `per` blocks up to 1024, then one for 256 MB of input, so
+    that both a bucket's keys (some 36 MB) and what a block sends to it (dozens of keys)
+    keep their size as the data grow."""
+    return max(16, min(blocks // per, 1024), table_bytes(docs) >> 28)
 
 
 def in_blocks(docs: DataFrame, blocks: int, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:

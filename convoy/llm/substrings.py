@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .repeats import Windows, _batch, _with_left_key
-from .spans import Prefix, Units, block_count, blob, by_bytes, by_key, in_blocks, mix, ragged, same_bytes, unblob
+from .spans import Prefix, Units, block_count, bucket_count, blob, by_bytes, by_key, in_blocks, mix, ragged, same_bytes, unblob
 
 #: Suffixes that one sort holds at a time, unless a single group has more.
 SORT_STEP = 400_000
@@ -125,7 +125,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     windows = Windows(False, length, k)
     blocks = block_count(docs.select(id_col, text_col))
     texts = in_blocks(docs, blocks, id_col, text_col)
-    buckets = max(16, blocks // 2)
+    buckets = bucket_count(docs.select(id_col, text_col), blocks, 2)
 
     def flag(key: tuple, table: pa.Table) -> pa.Table:
         once, more = (unblob(table.column(c), np.uint32) for c in ("once", "more"))
