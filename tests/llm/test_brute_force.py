@@ -3,19 +3,24 @@
 import collections
 import hashlib
 import random
+import sys
 import time
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import sentencepiece
+from pyspark import cloudpickle
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers as P  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from convoy.llm import decontam, jaccard, langid, neardup, packing, queries, spans, token_counts, warc  # noqa: E402
+from convoy.llm import components as components_of  # noqa: E402
+from convoy.llm import decontam, fingerprints, jaccard, langid, neardup, packing, queries, repeats, spans, substrings, token_counts, warc  # noqa: E402
 from convoy.llm.spans import slide  # noqa: E402
 
 
@@ -55,7 +60,7 @@ def test_op1_many_cells(spark, monkeypatch):
     centres = rng.normal(size=(30, 8))
     x = np.concatenate([c + rng.normal(scale=s, size=(12, 8)) for c, s in zip(centres, np.linspace(0.01, 0.6, 30))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    for name, value in (("PER_PIVOT", 20), ("RESIDENTS", 16), ("MEMBERS", 32)):
+    for name, value in (("RESIDENTS", 16), ("MEMBERS", 32)):
         monkeypatch.setattr(neardup, name, value)
     got = neardup.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
     u = x / np.linalg.norm(x, axis=1)[:, None]
@@ -349,9 +354,46 @@ def test_op9(spark, small):
     assert (test.lang_pred.to_numpy() == t.loc[test.doc_id].lang.to_numpy()).mean() > 0.97
 
 
+def test_op9_equals_a_plain_convolution():
+    """Every position of every filter of its own width, one after the other."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(1, 256, n).astype(np.uint8) for n in (5, 256, 700, 1)]
+    labels = np.array([0, 1, 2, 1])
+    net = langid.train(np.stack([np.resize(t, langid.WINDOW) for t in texts]), labels, ["a", "b", "c"], epochs=2)
+    got = net.of_rows(np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts])))
+    for text, row in zip(texts, got):
+        mean = np.zeros(3)
+        for s in range(0, len(text), langid.WINDOW):
+            part = text[s : s + langid.WINDOW]
+            padded = np.zeros(langid.WINDOW + max(langid.WIDTHS) - 1, np.uint8)
+            padded[: len(part)] = part
+            pooled = []
+            for n in range(langid.FILTERS * len(langid.WIDTHS)):
+                width = langid.WIDTHS[n // langid.FILTERS]
+                weights = net.filters[: width * langid.EMBED, n].reshape(width, langid.EMBED)
+                assert not net.filters[width * langid.EMBED :, n].any()
+                best = max(sum(float(net.embed[padded[p + w]] @ weights[w]) for w in range(width)) for p in range(langid.WINDOW))
+                pooled.append(max(best + net.bias[n], 0))
+            z = np.exp(np.array(pooled) @ net.dense + net.dense_bias)
+            mean += z / z.sum() * len(part)
+        assert np.allclose(row, mean / len(text), atol=1e-4)
+
+
+def test_op9_long_text_in_bounded_memory():
+    rng = np.random.default_rng(4)
+    net = langid.train(rng.integers(0, 256, (8, langid.WINDOW)).astype(np.uint8), np.arange(8) % 2, ["a", "b"], epochs=1)
+    data = rng.integers(0, 256, 20_000_000).astype(np.uint8)
+    tracemalloc.start()
+    net.of_rows(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+
+
 def test_op9_windows_cover_all_bytes():
     data = np.arange(1000, dtype=np.uint8) % 200 + 1
-    windows, row, used = langid.windows_of(data.astype(np.uint8), np.array([0, 0, 300, 301, 1000]))
+    row, start, used = langid.places_of(np.array([0, 0, 300, 301, 1000]))
+    windows = langid.windows_at(data.astype(np.uint8), start, used)
     assert np.concatenate([w[:u] for w, u in zip(windows, used)]).tolist() == data.tolist() and set(row) == {1, 2, 3}
 
 
@@ -384,6 +426,99 @@ def test_op10_periodic_text_and_compaction(spark):
     for b in range(3):
         index.add(repeats.anchors(texts.filter(f"block % 3 = {b}"), repeats.Windows(True, 35, 8), 16, False))
     assert index.runs() == [(1, 2)]
+    new = index.add(repeats.anchors(texts, repeats.Windows(True, 35, 8), 16, False))
+    assert index.runs() == [(0, 3), (1, 2)] and new.count() > 0
+    # history is read where it lies: only the batch is dealt out
+    again = fingerprints.FingerprintIndex(spark, index.path, 16)
+    for name in ("runs/run-0-3", "runs/run-1-2"):
+        spark.sql(f"DROP TABLE {index._table(name)}")  # as in another session
+    plan = again.matches(again._read("runs/run-0-3"), again._read("runs/run-1-2"))
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() > 0
+
+
+class Weak(repeats.Windows):
+    """Different segments often have one hash."""
+
+    def hashes(self, runs, prefix):
+        return super().hashes(runs, prefix) & np.uint64(3)
+
+
+class WeakPrefix(spans.Prefix):
+    def of(self, start, length):
+        return super().of(start, length) & np.uint64(1)
+
+
+def test_equal_hashes_are_told_apart_by_bytes(spark, small, table, monkeypatch):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        for query, module in ((queries.op10_window_dedup, fingerprints), (queries.op5_substring_dedup, substrings)):
+            right = query(spark, small).toPandas().set_index("doc_id").sort_index()
+            with monkeypatch.context() as m:
+                m.setattr(module, "Windows", Weak)
+                got = query(spark, small).toPandas().set_index("doc_id").sort_index()
+            assert got.equals(right) and right.n_removed.sum() > 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+
+
+def test_equal_window_hashes_are_told_apart_by_bytes():
+    rng = np.random.default_rng(6)
+    parts = [bytes(rng.integers(97, 99, 9).tolist()) for _ in range(60)]
+    data, sizes = np.frombuffer(b"".join(parts), np.uint8), np.full(60, 9)
+    units = spans.byte_units(data, np.append(0, np.cumsum(sizes)))
+    args = (units.offsets[:-1], np.full(60, 5), np.zeros(60, np.int64), np.arange(60)[::-1].copy(), np.ones(60, np.int64), 5)
+    windows = [p[i : i + 5] for p in parts for i in range(5)]
+    count, low = collections.Counter(windows), {}
+    for n, w in enumerate(windows):
+        low[w] = min(low.get(w, 60), 59 - n // 5)
+    weak = WeakPrefix(units.codes)
+    assert fingerprints.repeated_windows(units, weak, *args).tolist() == [int(count[w] > 1) for w in windows]
+    assert substrings.least_ids(units, weak, *args).tolist() == [low[w] for w in windows]
+
+
+def test_op3_repetitive_texts_and_blocks(spark):
+    began = time.process_time()
+    find = decontam.Matcher(["-" * 400, "ab" * 100], 0.1)
+    assert {(r, n) for r, n, _, _ in find(["-" * 100_000, "ab" * 5000])} == {(0, 0), (1, 1)} and time.process_time() - began < 30
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(30))) for i in range(12)]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.contaminated(docs, bench, block_bytes=b).collect()} for b in (1 << 20, 200))
+    assert one == many and {(i, i, 0) for i, _ in items} <= one
+
+
+def test_op7_long_pre_tokens():
+    path, rng = P.path("piece_bpe_32k.model"), random.Random(8)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    words = ["the", "and", "th", "tion", "to", "ne", "con", "St", "return", "a", "t", "日本", "é", "0", "=="]
+    texts = ["".join(rng.choice(words[: rng.randint(1, len(words))]) for _ in range(rng.choice([60, 400]))) for _ in range(120)] + ["a" * 1001, "-=" * 700]
+    assert token_counts.count_texts(texts, path) == [len(library.encode(t)) for t in texts]
+    began = time.process_time()
+    token_counts.count_texts(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))], path)
+    assert time.process_time() - began < 5
+
+
+def test_op8_repeated_ids(spark):
+    rows = [(7, "u", "x" * 200), (7, "u", "x" * 200), (9, "u", "x" * 200), (3, "u", "y" * 100), (3, "u", "x" * 200), (None, "u", "x" * 200)]
+    got = warc.read_archives(warc.archive_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 200 and r["page_id"] != 3) == [(0, "response", None), (7, "revisit", 3), (7, "revisit", 3), (9, "revisit", 3)]
+    assert [r["record_type"] for r in got if r["page_id"] == 3] == ["response"] * 2
+
+
+def test_components(spark):
+    """A hub, a chain and loops, with joins that broadcast and joins that shuffle."""
+    rng = random.Random(1)
+    edges = [(100_000, i) for i in range(1000, 1400)] + [(i, i + 1) for i in range(0, 60)] + [(5, 5), (500, 500), (1000, 59)]
+    edges += [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
+    find = components(edges)
+    df = spark.createDataFrame([(a, b) for a, b in edges] + [(None, 3)], "a long, b long")
+    for limit in (1_000_000, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(components_of, "BROADCAST_VERTICES", limit)
+            got = {r["vertex"]: r["component"] for r in components_of.connected_components(df, "a", "b").collect()}
+        assert got == {v: find(v) for e in edges if e[0] != e[1] for v in e}
+    assert components_of.connected_components(df.filter("a = -1"), "a", "b").count() == 0
 
 
 def test_slide():

@@ -76,6 +76,18 @@ def test_empty_table(spark, docs, name):
     assert operators(spark, docs.filter("doc_id = -1"))[name]().count() == 0
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_million_equal_characters(spark, docs, name):
+    """A text of one long word and one of one character, beside usual ones."""
+    long = docs.limit(1).select(F.lit(21).cast("long").alias("doc_id"), F.lit("a" * 1_000_000).alias("text"), *docs.columns[2:])
+    spaced = docs.limit(1).select(F.lit(22).cast("long").alias("doc_id"), F.lit("- " * 300_000).alias("text"), *docs.columns[2:])
+    rows = long.unionByName(spaced).unionByName(docs.filter("doc_id in (6, 8)"))
+    got = operators(spark, rows)[name]().toPandas()
+    assert len(got) == 4 or name in ("decontam", "packing")
+    if name == "fingerprints":
+        assert got.set_index("doc_id").loc[22].n_removed == 300_000
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.3]), (4, [0.0, 0.0]), (5, None), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (10, [1.0, 0.0]), (None, [1.0, 0.0]), (11, [-1.0, 0.0]), (12, [1e308, 1e308])]
     df = spark.createDataFrame([(i, v, 0, "u") for i, v in rows], "vec_id long, embedding array<double>, id int, unit string")
