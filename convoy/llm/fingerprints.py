@@ -31,7 +31,7 @@ from .spans import Prefix, Units, block_count, bucket_count, blob, by_key, conta
 
 #: Files of a run at most.
 MOST_FILES = 1024
-RUN = "bucket long, keys binary, owners binary, more binary"
+RUN = "bucket long, keys binary, owners binary, counts binary"
 
 
 class FingerprintIndex:
@@ -116,35 +116,51 @@ class FingerprintIndex:
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kinds = (("keys", np.uint32), ("owners", np.int64), ("more", np.bool_))
+    kinds = (("keys", np.uint32), ("owners", np.int64), ("counts", np.uint16))
     return tuple(np.concatenate([np.empty(0, t), *unblob(table.column(c), t)]) for c, t in kinds)
 
 
 def _sorted_run(key: tuple, table: pa.Table) -> pa.Table:
-    keys, owners, more = [], [], []
-    for block, once, often in zip(table.column("block").to_pylist(), unblob(table.column("once"), np.uint32), unblob(table.column("more"), np.uint32)):
+    keys, owners, counts = [], [], []
+    for block, once, often, n in zip(table.column("block").to_pylist(), *(unblob(table.column(c), t) for c, t in (("once", np.uint32), ("more", np.uint32), ("counts", np.uint16)))):
         keys += [once, often]
         owners.append(np.full(len(once) + len(often), block))
-        more.append(np.arange(len(once) + len(often)) >= len(once))
-    keys, owners, more = np.concatenate(keys), np.concatenate(owners), np.concatenate(more)
+        counts += [np.ones(len(once), np.uint16), n]
+    keys, owners, counts = np.concatenate(keys), np.concatenate(owners), np.concatenate(counts)
     order = np.lexsort((owners, keys))
-    return _batch(RUN, [[key[0].as_py()], [blob(keys[order])], [blob(owners[order])], [blob(more[order])]])
+    return _batch(RUN, [[key[0].as_py()], [blob(keys[order])], [blob(owners[order])], [blob(counts[order])]])
 
 
 def _merge_runs(key: tuple, one: pa.Table, other: pa.Table) -> pa.Table:
     """Two sorted runs of a bucket as one; the sort merges what is in order already."""
-    keys, owners, more = (np.concatenate(pair) for pair in zip(_columns(one), _columns(other)))
-    order = np.argsort(keys, kind="stable")
-    return _batch(RUN, [[(key[0]).as_py()], [blob(keys[order])], [blob(owners[order])], [blob(more[order])]])
+    columns = [np.concatenate(pair) for pair in zip(_columns(one), _columns(other))]
+    order = np.argsort(columns[0], kind="stable")
+    return _batch(RUN, [[key[0].as_py()], *([blob(c[order])] for c in columns)])
 
 
-def _by_block(bucket: int, keys: np.ndarray, owners: np.ndarray) -> list[tuple]:
+def _by_block(bucket: int, keys: np.ndarray, owners: np.ndarray, counts: np.ndarray) -> list[tuple]:
     order, starts = by_key(owners)
-    return [(int(owners[order[s]]), bucket, blob(np.unique(keys[order[s:e]]))) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
+    out = []
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        own, first = np.unique(keys[order[s:e]], return_index=True)
+        out.append((int(owners[order[s]]), bucket, blob(own), blob(counts[order[s:e]][first]), b""))
+    return out
 
 
 def _keys_table(rows: list[tuple]) -> pa.Table:
-    return _batch(KEYS, [list(c) for c in zip(*rows)] if rows else [[], [], []])
+    return _batch(KEYS, [list(c) for c in zip(*rows)] if rows else [[] for _ in KEYS.split(", ")])
+
+
+def _with_hot(keys: DataFrame, most: int) -> DataFrame:
+    """The keys with those marked that have more places than `most`."""
+
+    def mark(table: pa.Table) -> pa.Table:
+        own, counts = unblob(table.column("keys"), np.uint32), unblob(table.column("counts"), np.uint16)
+        hot = repeats.hot_keys(own, counts, most)
+        marked = pa.array([blob(k[np.isin(k, hot)]) for k in own], pa.binary())
+        return table.drop_columns(["counts", "hot"]).append_column("counts", pa.array([b""] * len(own), pa.binary())).append_column("hot", marked)
+
+    return keys.groupBy("bucket").applyInArrow(mark, KEYS)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,27 +168,28 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         table, rows = pa.Table.from_batches([batch]), []
         for r in range(len(table)):
-            keys, owners, more = _columns(table.slice(r, 1))
+            keys, owners, counts = _columns(table.slice(r, 1))
             equal = keys[1:] == keys[:-1]
-            again = more.copy()
+            again = counts > 1
             again[1:] |= equal
             again[:-1] |= equal
-            rows += _by_block(table.column("bucket")[r].as_py(), keys[again], owners[again])
+            rows += _by_block(table.column("bucket")[r].as_py(), keys[again], owners[again], counts[again])
         yield from _keys_table(rows).to_batches()
 
 
 def _merge_join(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
     """Keys of a bucket that both sorted runs hold, with the blocks of either."""
-    keys, owners, _ = _columns(new)
-    past, past_owners, _ = _columns(old)
+    keys, owners, counts = _columns(new)
+    past, past_owners, past_counts = _columns(old)
     if not len(keys) or not len(past):
         return _keys_table([])
     here, there = contains(past, keys), contains(keys, past)
-    return _keys_table(_by_block(key[0].as_py(), np.concatenate([keys[here], past[there]]), np.concatenate([owners[here], past_owners[there]])))
+    return _keys_table(_by_block(key[0].as_py(), np.concatenate([keys[here], past[there]]), np.concatenate([owners[here], past_owners[there]]), np.concatenate([counts[here], past_counts[there]])))
 
 
-def repeated_windows(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarray, group: np.ndarray, low: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
-    """1 for each window whose words start at two places or more."""
+def repeated_windows(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarray, group: np.ndarray, low: np.ndarray, count: np.ndarray, mine: np.ndarray, length: int) -> np.ndarray:
+    """1 for each window whose words start at two places or more; of those that aren't
+    `mine`, if its segment does."""
     ends = np.cumsum(windows)
     value = np.repeat((count > 1).astype(np.int64), windows)
     open_ = ~((np.bincount(group)[group] == 1) & (count > 1))
@@ -181,8 +198,11 @@ def repeated_windows(units: Units, prefix: Prefix, first: np.ndarray, windows: n
         return value
     starts = ragged(first[own], windows[own])
     slots = ragged(ends[own] - windows[own], windows[own])
-    hashes = mix(prefix.of(starts, length)) ^ mix(np.repeat(group[own], windows[own]).astype(np.uint64) + np.uint64(1))
-    weight = np.repeat(count[own], windows[own])
+    weight, groups = np.repeat(count[own], windows[own])[mine[slots]], np.repeat(group[own], windows[own])[mine[slots]]
+    starts, slots = starts[mine[slots]], slots[mine[slots]]
+    if not len(slots):
+        return value
+    hashes = mix(prefix.of(starts, length)) ^ mix(groups.astype(np.uint64) + np.uint64(1))
     order, bounds, _ = equal_groups(hashes, units.data, *units.stretch(starts, np.full(len(starts), length)))
     total = np.add.reduceat(weight[order], bounds[:-1])
     value[slots[order]] = np.repeat(total, np.diff(bounds)) > 1
@@ -190,10 +210,11 @@ def repeated_windows(units: Units, prefix: Prefix, first: np.ndarray, windows: n
 
 
 def dedup_windows(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, k: int = 8, batches: int = 3, folder: str | None = None, with_text: bool = False
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, k: int = 8, batches: int = 3, folder: str | None = None, with_text: bool = False, hot_places: int = repeats.HOT_PLACES
 ) -> DataFrame:
     """Per document: id, n_words, n_removed and kept_sha256 of the words that stay,
-    joined by one space (and this text, if asked for)."""
+    joined by one space (and this text, if asked for). Windows around an anchor in more than
+    `hot_places` places are spread; the result doesn't depend on it."""
     spark = docs.sparkSession
     windows = Windows(True, length, k)
     blocks = block_count(docs.select(id_col, text_col))
@@ -227,7 +248,7 @@ def dedup_windows(
             rows[4] += own if with_text else [None] * len(own)
         return _batch(schema, rows)
 
-    found = repeats.verdicts(repeats.segments(texts, keys, windows, index.buckets), windows, judge)
+    found = repeats.verdicts(repeats.segments(texts, _with_hot(keys, hot_places), windows, index.buckets), windows, index.buckets, judge)
     out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_with_left_key(cut, schema), schema)
     columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256"]
     return out.select(*columns, *(["kept"] if with_text else []))

@@ -17,7 +17,9 @@ den * |A & B| >= num * |A | B|. The join is exact:
 * The sets of a neighbourhood, each sent once, are verified: an R-tree finds the pairs,
   and their whole sets are compared. Pairs that are connected already are skipped, so a
   group of m near copies costs about m verifications. Components are of verified links.
-* Cells and neighbourhoods of any size are cut into slices of bounded size. A slice
+* Cells and neighbourhoods of any size are cut into slices of bounded size: members of a
+  cell that a block holds many of are a slice already, of which the cell's task gets the
+  least only. A slice
   meets the group's least member first; then those pairs of slices meet that aren't of
   one component already. A group of near copies is thus settled by its slices alone.
 
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,8 @@ FAN_OUT = 16
 GATHER_BYTES = 8 << 20
 #: Rows of two longs that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: Members of a cell in one block from which on they stay together as a slice of it.
+BLOCK_MEMBERS = 64
 #: Members in a slice of a cell, shingles in a slice of a neighbourhood, and what a task holds of either.
 CELL_MEMBERS, SLICE_SHINGLES = 4096, 1_000_000
 TASK_ENTRIES, TASK_SHINGLES = 400_000, 2_000_000
@@ -231,8 +236,10 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Blobs of keys for buckets >= 0, and of profiles (id, size, digests, point) for bucket -1."""
+def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_members: int) -> DataFrame:
+    """Blobs of keys for buckets >= 0; for bucket -1 profiles (id, size, digests, point), and
+    slices (a key and ids) of cells that a block holds many members of. Such a cell's bucket
+    gets the slice's least member, marked in `points`."""
     schema = "bucket long, keys binary, refs binary, ids binary, sizes binary, tags binary, tags2 binary, points binary"
 
     def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -248,13 +255,22 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFr
         first = np.sort(usable[first])  # of each set its least id sends keys; it names the set from here to the result
         inner = ragged(offsets[:-1][first], sizes[first])
         keys, sets = cell_keys(hashes[inner], np.append(0, np.cumsum(sizes[first])), num, den)
+        order, starts = by_key(keys)
+        sent, marks = np.ones(len(keys), bool), np.zeros(len(keys), np.uint8)
+        for c in np.flatnonzero(np.diff(starts) >= block_members).tolist():
+            own = order[starts[c] : starts[c + 1]]
+            own = own[np.argsort(ids[first[sets[own]]], kind="stable")]
+            sent[own[1:]], marks[own[0]] = False, 1
+            for column, value in zip(rows, (-1, blob(keys[own[:1]]), None, blob(ids[first[sets[own]]]), None, None, None, None)):
+                column.append(value)
+        keys, sets, marks = keys[sent], sets[sent], marks[sent]
         bucket = ((keys >> U64(32)) % U64(buckets)).astype(np.int64)
         order, starts = by_key(bucket)
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
             own = order[s:e]
             used, ref = np.unique(sets[own], return_inverse=True)
             who = first[used]
-            values = (int(bucket[own[0]]), blob(keys[own]), blob(ref.astype(np.uint32)), blob(ids[who]), blob(sizes[who]), blob(tag[who]), blob(tag2[who]), None)
+            values = (int(bucket[own[0]]), blob(keys[own]), blob(ref.astype(np.uint32)), blob(ids[who]), blob(sizes[who]), blob(tag[who]), blob(tag2[who]), blob(marks[own]))
             for column, value in zip(rows, values):
                 column.append(value)
         yield from _batch(schema, rows).to_batches()
@@ -285,6 +301,33 @@ def _meet(key: tuple, table: pa.Table, cell_members: int) -> pa.Table:
     """Cells of two sets or more, each list of members once, in slices that share the
     least member; only these carry the cell's name. Profiles pass through."""
     names = [f.split()[0] for f in _MEET.split(", ")]
+    plain: dict[bytes, None] = {}
+    named: dict[tuple[int, bytes], None] = {}
+
+    def cells() -> pa.Table:
+        lists = [*plain, *(x for _, x in named)]
+        members = pa.array([np.frombuffer(x, np.int64) for x in lists], pa.list_(pa.int64()))
+        n = len(members)
+        empty = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        return pa.table([pa.array(np.ones(n, np.int32)), *empty, pa.array([None] * len(plain) + [c for c, _ in named], pa.int64()), members], names=names)
+
+    def add(own: np.ndarray, cell: int, sliced: bool) -> None:
+        """Members of a cell in order; many are cut into slices."""
+        if len(own) <= cell_members:
+            (named if sliced else plain).setdefault((cell, own.tobytes()) if sliced else own.tobytes())
+            return
+        slices = -(-len(own) // cell_members)
+        which = mix(own[1:].view(U64)) % U64(slices)
+        for x in range(slices):
+            named.setdefault((cell, np.append(own[0], own[1:][which == U64(x)]).tobytes()))
+
+    if key[0].as_py() < 0:
+        slices = table.filter(pc.is_valid(table.column("keys")))
+        for k, own in zip(unblob(slices.column("keys"), np.int64), unblob(slices.column("ids"), np.int64)):
+            add(own, int(k[0]), True)
+        table = table.filter(pc.is_null(table.column("keys")))
+        if not len(table):
+            return cells()
     got = {c: unblob(table.column(c), t) for c, t in (("ids", np.int64), ("sizes", np.int64), ("tags", np.uint64), ("tags2", np.uint64))}
     ids, sizes, tags, tags2 = (np.concatenate(got[c]) for c in ("ids", "sizes", "tags", "tags2"))
     if key[0].as_py() < 0:
@@ -293,11 +336,13 @@ def _meet(key: tuple, table: pa.Table, cell_members: int) -> pa.Table:
         ends = np.cumsum(4 << group_bits(sizes)).tolist()
         point = [points[a:b] for a, b in zip([0, *ends], ends)]
         values = [np.zeros(n, np.int32), ids, valid, sizes, tags.view(np.int64), tags2.view(np.int64)]
-        return pa.table([*map(pa.array, values), pa.array(point, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+        profiles = pa.table([*map(pa.array, values), pa.array(point, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+        return pa.concat_tables([profiles, cells()])
     keys, refs = unblob(table.column("keys"), np.uint64), unblob(table.column("refs"), np.uint32)
     base = np.cumsum([0, *map(len, got["ids"])])
     doc = np.concatenate([r.astype(np.int64) + b for r, b in zip(refs, base)])
     key_ = np.concatenate(keys)
+    sliced = np.unique(key_[np.concatenate(unblob(table.column("points"), np.uint8)) > 0])
     # one name for each set: its least id here
     _, group = np.unique(np.stack([tags, tags2, sizes.view(np.uint64)]), axis=1, return_inverse=True)
     group = group.ravel()
@@ -311,20 +356,11 @@ def _meet(key: tuple, table: pa.Table, cell_members: int) -> pa.Table:
     key_, name = key_[fresh], name[fresh]
     starts = np.append(np.flatnonzero(np.r_[True, key_[1:] != key_[:-1]]) if len(key_) else np.empty(0, np.int64), len(key_))
     count = np.diff(starts)
-    lists: dict[bytes, int | None] = {}
-    for c in np.flatnonzero(count > 1).tolist():
-        own = name[starts[c] : starts[c + 1]]
-        if len(own) <= cell_members:
-            lists.setdefault(own.tobytes(), None)
-            continue
-        slices = -(-len(own) // cell_members)
-        which = mix(own[1:].view(U64)) % U64(slices)
-        for x in range(slices):
-            lists.setdefault(np.append(own[0], own[1:][which == U64(x)]).tobytes(), int(key_[starts[c]].view(np.int64)))
-    members = pa.array([np.frombuffer(x, np.int64) for x in lists], pa.list_(pa.int64()))
-    n = len(members)
-    empty = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-    return pa.table([pa.array(np.ones(n, np.int32)), *empty, pa.array(list(lists.values()), pa.int64()), members], names=names)
+    several = np.flatnonzero(count > 1)
+    flagged = np.isin(key_[starts[:-1][several]], sliced)
+    for c, flag in zip(several.tolist(), flagged.tolist()):
+        add(name[starts[c] : starts[c + 1]], int(key_[starts[c]].view(np.int64)), flag)
+    return cells()
 
 
 _EDGES = "a long, b long"
@@ -518,13 +554,25 @@ def _links(rows: DataFrame, places: DataFrame, points: DataFrame, k: int, num: i
     return materialise(links.unionByName(more), "links")
 
 
-def _neighbourhoods(cells: DataFrame, points: DataFrame, num: int, den: int, cell_members: int) -> DataFrame:
-    """(vertex, component) of what pairs within the bound connect."""
+def _by_name(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """The column's ids replaced by the names (copy, least) of their sets."""
+    return df.join(names, F.col(column) == F.col("copy"), "left").withColumn(column, F.coalesce("least", column)).drop("copy", "least")
+
+
+def _neighbourhoods(cells: DataFrame, profile: DataFrame, points: DataFrame, num: int, den: int, cell_members: int) -> DataFrame:
+    """(vertex, component) of what pairs within the bound connect. Members of sliced cells
+    may be copies of a set's least document: they get its name first."""
     edges = materialise(_close(cells, points, num, den), "close")
     sliced = cells.filter("cell is not null")
     if not sliced.isEmpty():
+        rows = materialise(sliced.select(F.col("cell").alias("grp"), F.explode("members").alias("id")).distinct(), "sliced")
+        named = _least(profile).withColumnsRenamed({"t": "t_", "t2": "t2_", "size": "size_"})
+        copies = profile.join(rows.select("id").distinct(), "id", "left_semi").join(named, (F.col("tag") == F.col("t_")) & (F.col("tag2") == F.col("t2_")) & (F.col("n") == F.col("size_")))
+        names = materialise(copies.filter("id <> least").select(F.col("id").alias("copy"), "least").distinct(), "copies")
+        names = _few(names)
+        edges = materialise(_by_name(_by_name(edges, "a", names), "b", names), "close")
+        rows = _by_name(rows, "id", names).distinct()
         parts = materialise(connected_components(edges, "a", "b"), "parts")
-        rows = sliced.select(F.col("cell").alias("grp"), F.explode("members").alias("id")).distinct()
         rows = rows.join(parts, F.col("id") == F.col("vertex"), "left").select("grp", "id", F.coalesce("component", "id").alias("part"), F.lit(1).alias("weight"))
         tiles = _tiles(rows, cell_members).groupBy("grp", "x", "y").agg(F.sort_array(F.collect_list("id")).alias("members"))
         tiles = materialise(tiles.select(F.col("grp").alias("cell"), "members"), "tiles")
@@ -532,13 +580,19 @@ def _neighbourhoods(cells: DataFrame, points: DataFrame, num: int, den: int, cel
     return materialise(connected_components(edges, "a", "b"), "places")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, cell_members: int = CELL_MEMBERS, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
+def _least(profile: DataFrame) -> DataFrame:
+    """The least document of each set, which is named by digests and size, and its copies."""
+    usable = profile.filter("valid and n > 0")
+    return usable.groupBy(F.col("tag").alias("t"), F.col("tag2").alias("t2"), F.col("n").alias("size")).agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, block_members: int = BLOCK_MEMBERS, cell_members: int = CELL_MEMBERS, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
     """Per document: id, n_shingles and component_id (least id reachable by links). The
-    last two bound the slices that cells and neighbourhoods are cut into; the result
+    last three bound the slices that cells and neighbourhoods are cut into; the result
     doesn't depend on them."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = max(24, min(1 << 20, table_bytes(rows) >> 25))
-    met = _sketch(rows, k, num, den, buckets)
+    met = _sketch(rows, k, num, den, buckets, block_members)
     # profiles are of all documents: they're dealt out by their own salt, not to one task
     salt = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("ids"), F.lit(buckets))).otherwise(F.col("bucket"))
 
@@ -550,13 +604,12 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     profile = met.filter("kind = 0").select("id", "valid", "n", "tag", "tag2", "point")
     cells = materialise(met.filter("kind = 1").select("cell", "members").distinct(), "cell-lists")
     points = profile.filter("valid and n > 0").select("id", "n", "point")
-    places = _neighbourhoods(cells, points, num, den, cell_members)
+    places = _neighbourhoods(cells, profile, points, num, den, cell_members)
     links = _links(rows, places, points, k, num, den, slice_shingles)
     parts = materialise(connected_components(links, "a", "b"), "parts")
     discard(cells, places, links)
     usable = F.col("valid") & (F.col("n") > 0)
-    least = profile.filter(usable).groupBy(F.col("tag").alias("t"), F.col("tag2").alias("t2"), F.col("n").alias("size")).agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    named = least.join(parts, F.col("least") == F.col("vertex"), "left").select("t", "t2", "size", F.coalesce("component", "least").alias("name"), "copies", "component")
+    named = _least(profile).join(parts, F.col("least") == F.col("vertex"), "left").select("t", "t2", "size", F.coalesce("component", "least").alias("name"), "copies", "component")
     # sets without a copy or a link need no name; the others are broadcast if they're few
     named = materialise(named.filter("copies > 1 or component is not null").select("t", "t2", "size", "name"), "names")
     out = profile.join(_few(named), usable & (F.col("tag") == F.col("t")) & (F.col("tag2") == F.col("t2")) & (F.col("n") == F.col("size")), "left")

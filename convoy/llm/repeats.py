@@ -4,6 +4,8 @@
    holds, once each (4 bytes a key). An operator finds the keys that repeat.
 2. `segments`: each block sends the segments of its runs with repeating keys, each
    distinct segment once, with its least and greatest id and its count.
+   The segments of a hot key (in more than `HOT_PLACES` places) go to the buckets of the
+   half hashes of their windows, and not all to one.
 3. An operator judges the windows of a bucket's segments.
 4. `verdicts` come back by block, where runs find them by their segment's hash.
 
@@ -35,6 +37,7 @@ from .spans import (
     equal_groups,
     ids_of,
     known_keys,
+    mix,
     ragged,
     runs_of,
     segment_hashes,
@@ -45,9 +48,11 @@ from .spans import (
     word_units,
 )
 
-ANCHORS = "bucket long, block long, once binary, more binary"
-KEYS = "block long, bucket long, keys binary"
-SEGMENTS = "bucket long, block long, hash binary, anchor binary, low binary, high binary, count binary, windows binary, sizes binary, data binary"
+#: Places of an anchor beyond which the windows around it are dealt out over all buckets.
+HOT_PLACES = 200_000
+ANCHORS = "bucket long, block long, once binary, more binary, counts binary"
+KEYS = "block long, bucket long, keys binary, counts binary, hot binary"
+SEGMENTS = "bucket long, block long, hash binary, anchor binary, low binary, high binary, count binary, windows binary, hot binary, sizes binary, data binary"
 VERDICTS = "block long, hash binary, parts binary, sizes binary, values binary"
 
 
@@ -68,6 +73,10 @@ class Windows:
     def units(self, data: np.ndarray, offsets: np.ndarray) -> Units:
         return (word_units if self.words else byte_units)(data, offsets)
 
+    def halves(self, prefix: Prefix, starts: np.ndarray, buckets: int) -> np.ndarray:
+        """The bucket of each window by the hash of its first half."""
+        return ((mix(prefix.of(starts, self.length // 2)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
     def hashes(self, runs: Runs, prefix: Prefix) -> np.ndarray:
         """A hash for the segment of each run."""
         return segment_hashes(runs, prefix, self.length)
@@ -101,16 +110,17 @@ def anchors(texts: DataFrame, windows: Windows, buckets: int, across_docs: bool)
             more = doc[starts[1:] - 1] != doc[first]
         else:
             more = np.diff(starts) > 1
-        anchor = anchor[order][first]
+        anchor, places = anchor[order][first], np.diff(starts)
         bucket, keys = bucket_of(anchor, buckets)
         order, starts = by_key(bucket)
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
             own = order[s:e]
-            rows[0].append(int(bucket[own[0]]))
-            rows[1].append(key[0].as_py())
-            rows[2].append(blob(np.unique(keys[own[~more[own]]])))
-            rows[3].append(blob(np.unique(keys[own[more[own]]])))
+            often, which = np.unique(keys[own[more[own]]], return_inverse=True)
+            count = np.bincount(which.ravel(), weights=places[own[more[own]]], minlength=len(often))
+            values = (int(bucket[own[0]]), key[0].as_py(), blob(np.unique(keys[own[~more[own]]])), blob(often), blob(np.minimum(count, 65535).astype(np.uint16)))
+            for column, value in zip(rows, values):
+                column.append(value)
         return _batch(ANCHORS, rows)
 
     return texts.groupBy("block").applyInArrow(run, ANCHORS)
@@ -123,13 +133,21 @@ def repeated_keys(once: list[np.ndarray], more: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([twice, *more]))
 
 
+def hot_keys(keys: list[np.ndarray], counts: list[np.ndarray], most: int) -> np.ndarray:
+    """Sorted keys with more places than `most`; counts beside the keys."""
+    every, which = np.unique(np.concatenate(keys), return_inverse=True)
+    return every[np.bincount(which.ravel(), weights=np.concatenate(counts), minlength=len(every)) > most]
+
+
 def segments(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int) -> DataFrame:
     """Distinct segments of each block's runs with repeating keys, by bucket."""
 
     def run(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         release_caches("repeats")
         rows: list[list] = [[] for _ in SEGMENTS.split(", ")]
-        wanted, ids, parts = known_keys(known), ids_of(table), []
+        wanted, hot, ids, parts = known_keys(known), known_keys(known, "hot"), ids_of(table), []
+        segment, target = [np.empty(0, np.int64)], [np.empty(0, np.int64)]  # hot segments and the buckets that they go to
+        n = 0
         if not len(wanted):
             return _batch(SEGMENTS, rows)
         for start, _, units, prefix, runs in windows.scan(table):
@@ -141,7 +159,15 @@ def segments(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int)
             one = _distinct(windows.hashes(kept, prefix), units.data, first, size, own_ids, own_ids, np.ones(len(at), np.int64))
             rep = one.pop("rep")
             one.pop("which")
-            parts.append(one | {"anchor": kept.anchor[rep], "windows": kept.windows[rep], "bucket": bucket[at][rep], "sizes": size[rep], "data": units.data[ragged(first[rep], size[rep])]})
+            is_hot = contains(hot, (bucket << 32 | own.astype(np.int64))[at][rep])
+            parts.append(one | {"anchor": kept.anchor[rep], "windows": kept.windows[rep], "bucket": bucket[at][rep], "hot": is_hot, "sizes": size[rep], "data": units.data[ragged(first[rep], size[rep])]})
+            if is_hot.any():
+                count = kept.windows[rep][is_hot]
+                to = windows.halves(prefix, ragged(kept.start[rep][is_hot], count), buckets)
+                pairs = np.unique(np.stack([np.repeat(np.flatnonzero(is_hot) + n, count), to]), axis=1)
+                segment.append(pairs[0])
+                target.append(pairs[1])
+            n += len(rep)
         got = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else None
         if got is None or not len(got["hash"]):
             return _batch(SEGMENTS, rows)
@@ -149,14 +175,19 @@ def segments(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int)
         one = _distinct(got["hash"], got["data"], first, got["sizes"], got["low"], got["high"], got["count"])
         rep = one.pop("rep")
         one.pop("which")
-        one |= {c: got[c][rep] for c in ("anchor", "windows", "bucket", "sizes")}
+        one |= {c: got[c][rep] for c in ("anchor", "windows", "bucket", "hot", "sizes")}
         first = first[rep]
-        order, starts = by_key(one["bucket"])
+        number = np.full(len(got["hash"]), -1)
+        number[rep] = np.arange(len(rep))
+        segment, target = number[np.concatenate(segment)], np.concatenate(target)
+        cold = np.flatnonzero(~one["hot"])
+        sent, to = np.append(cold, segment[segment >= 0]), np.append(one["bucket"][cold], target[segment >= 0])
+        order, starts = by_key(to)
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            own = order[s:e]
+            own = sent[order[s:e]]
             data = got["data"][ragged(first[own], one["sizes"][own])]
-            values = [int(one["bucket"][own[0]]), key[0].as_py()]
-            values += [blob(one[c][own]) for c in ("hash", "anchor", "low", "high", "count", "windows", "sizes")]
+            values = [int(to[order[s]]), key[0].as_py()]
+            values += [blob(one[c][own]) for c in ("hash", "anchor", "low", "high", "count", "windows", "hot", "sizes")]
             for column, value in zip(rows, [*values, squeeze(data)]):
                 column.append(value)
         return _batch(SEGMENTS, rows)
@@ -189,16 +220,17 @@ def _distinct(hashes, data, first, sizes, low, high, count) -> dict[str, np.ndar
     }
 
 
-def verdicts(sent: DataFrame, windows: Windows, judge: Callable) -> DataFrame:
+def verdicts(sent: DataFrame, windows: Windows, buckets: int, judge: Callable) -> DataFrame:
     """Judge the windows of each bucket. `judge` gets the distinct segments (units,
-    prefix, first symbol, windows, group by anchor, low, count) and returns a value for
-    each window; values return to each block that sent a segment, in stretches, by its
-    hash. A hash that different segments have returns without stretches, and each of these
-    segments by its digest."""
+    prefix, first symbol, windows, group by anchor, low, count) and which windows are this
+    bucket's, and returns a value for each window (for others, that of the segment alone);
+    values return to each block that sent a segment, in stretches, by its
+    hash. A hash that different segments have, or that came to many buckets, returns
+    without stretches, and each of these segments by its digest."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         release_caches("repeats")
-        cols = {c: unblob(table.column(c), t) for c, t in (("hash", np.uint64), ("anchor", np.uint64), ("low", np.int64), ("high", np.int64), ("count", np.int64), ("windows", np.int64), ("sizes", np.int64))}
+        cols = {c: unblob(table.column(c), t) for c, t in (("hash", np.uint64), ("anchor", np.uint64), ("low", np.int64), ("high", np.int64), ("count", np.int64), ("windows", np.int64), ("hot", np.bool_), ("sizes", np.int64))}
         rows_of = np.repeat(np.arange(table.num_rows), [len(x) for x in cols["hash"]])
         got = {c: np.concatenate(v) for c, v in cols.items()}
         data = np.concatenate(unsqueeze(table.column("data")))
@@ -209,7 +241,12 @@ def verdicts(sent: DataFrame, windows: Windows, judge: Callable) -> DataFrame:
         data = data[ragged(first[rep], sizes)]
         units = windows.units(data, np.append(0, np.cumsum(sizes)))
         _, group = np.unique(got["anchor"][rep], return_inverse=True)
-        values = judge(units, Prefix(units.codes), units.offsets[:-1], n_windows, group, one["low"], one["count"])
+        prefix, hot = Prefix(units.codes), got["hot"][rep]
+        mine = np.repeat(~hot, n_windows)
+        if hot.any():
+            some = np.flatnonzero(np.repeat(hot, n_windows))
+            mine[some] = windows.halves(prefix, ragged(units.offsets[:-1], n_windows)[some], buckets) == key[0].as_py()
+        values = judge(units, prefix, units.offsets[:-1], n_windows, group, one["low"], one["count"], mine)
         # stretches of windows with one value
         ends = np.cumsum(n_windows)
         new = np.ones(len(values), bool)
@@ -220,7 +257,7 @@ def verdicts(sent: DataFrame, windows: Windows, judge: Callable) -> DataFrame:
         parts_end = np.searchsorted(begin, ends)
         parts = np.diff(np.append(0, parts_end))
         at = one["which"]
-        shared = np.isin(one["hash"], one["hash"][1:][one["hash"][1:] == one["hash"][:-1]])
+        shared = hot | np.isin(one["hash"], one["hash"][1:][one["hash"][1:] == one["hash"][:-1]])
         name = one["hash"].copy()
         name[shared] = digests(data, (np.cumsum(sizes) - sizes)[shared], sizes[shared])
         blocks = table.column("block").to_pylist()
@@ -249,26 +286,28 @@ def removed_symbols(
     hashes, parts, sizes, values = cat("hash", np.uint64), cat("parts", np.int32).astype(np.int64), cat("sizes", np.int32).astype(np.int64), cat("values", np.int64)
     part_end = np.cumsum(parts)
     before = np.cumsum(sizes) - sizes
-    order = np.argsort(hashes)
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    asked = np.unique(hashes[parts[order] == 0])
     for start, end, units, prefix, runs in windows.scan(table):
         gone = np.zeros(len(units.codes), bool)
         if len(hashes) and len(runs.start):
             own = windows.hashes(runs, prefix)
-            at = np.minimum(np.searchsorted(hashes, own, sorter=order), len(hashes) - 1)
-            ask = np.flatnonzero((hashes[order[at]] == own) & (parts[order[at]] == 0))
-            if len(ask):  # one hash of different segments
+            ask = np.flatnonzero(np.isin(own, asked))
+            if len(ask):
                 own[ask] = digests(units.data, *units.stretch(runs.start[ask], runs.windows[ask] + windows.length - 1))
-                at = np.minimum(np.searchsorted(hashes, own, sorter=order), len(hashes) - 1)
-            hit = np.flatnonzero(hashes[order[at]] == own)
-            which = order[at[hit]]
-            n = parts[which]
-            inner = ragged(part_end[which] - n, n)
-            run = np.repeat(hit, n)
-            shift = before[inner] - np.repeat(before[part_end[which] - n], n)
-            goes = removes(values[inner], ids[runs.doc[run] + start])
-            a = (runs.start[run] + shift)[goes]
+            low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, side="right")
             cover = np.zeros(len(gone) + 1, np.int32)
-            np.add.at(cover, a, 1)
-            np.add.at(cover, a + sizes[inner][goes] + windows.length - 1, -1)
+            for k in range(int((high - low).max())):  # a segment that came to many buckets has a verdict of each
+                hit = np.flatnonzero(high - low > k)
+                which = order[low[hit] + k]
+                n = parts[which]
+                inner = ragged(part_end[which] - n, n)
+                run = np.repeat(hit, n)
+                shift = before[inner] - np.repeat(before[part_end[which] - n], n)
+                goes = removes(values[inner], ids[runs.doc[run] + start])
+                a = (runs.start[run] + shift)[goes]
+                np.add.at(cover, a, 1)
+                np.add.at(cover, a + sizes[inner][goes] + windows.length - 1, -1)
             gone = np.cumsum(cover[:-1]) > 0
         yield start, end, units, gone

@@ -287,9 +287,9 @@ def bucket_of(anchors: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
     return ((spread >> U64(32)) % U64(buckets)).astype(np.int64), spread.astype(np.uint32)
 
 
-def known_keys(table: pa.Table) -> np.ndarray:
+def known_keys(table: pa.Table, column: str = "keys") -> np.ndarray:
     """Sorted bucket << 32 | key of the rows (bucket, keys)."""
-    parts = [keys.astype(np.int64) | b << 32 for b, keys in zip(table.column("bucket").to_pylist(), unblob(table.column("keys"), np.uint32))]
+    parts = [keys.astype(np.int64) | b << 32 for b, keys in zip(table.column("bucket").to_pylist(), unblob(table.column(column), np.uint32))]
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
 
 

@@ -75,8 +75,9 @@ def sort_suffixes(data: np.ndarray, prefix: Prefix, starts: np.ndarray, sizes: n
     return perm
 
 
-def least_ids(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarray, group: np.ndarray, low: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
-    """For each window of each segment, the least id of a document that it starts in."""
+def least_ids(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarray, group: np.ndarray, low: np.ndarray, count: np.ndarray, mine: np.ndarray, length: int) -> np.ndarray:
+    """For each window of each segment, the least id of a document that it starts in; for
+    those that aren't `mine`, of one that holds the segment."""
     ends = np.cumsum(windows)
     value = np.repeat(low, windows)
     alone = np.bincount(group)[group] == 1  # one segment has this anchor: all its windows are in the same documents
@@ -91,8 +92,10 @@ def least_ids(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarr
         own = order[k:e]
         starts = ragged(first[own], windows[own])
         slots = ragged(ends[own] - windows[own], windows[own])
+        groups = np.repeat(group[own], windows[own])[mine[slots]]
+        starts, slots = starts[mine[slots]], slots[mine[slots]]
         # suffixes are dealt by the hash of their first half; what is alone there has no equal
-        half = mix(prefix.of(starts, length // 2) + mix(np.repeat(group[own], windows[own]).astype(np.uint64)))
+        half = mix(prefix.of(starts, length // 2) + mix(groups.astype(np.uint64)))
         dealt, bounds = by_key(half)
         sizes = np.diff(bounds)
         dealt = dealt[np.repeat(sizes > 1, sizes)]
@@ -119,9 +122,10 @@ def least_ids(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarr
     return value
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 20, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 20, with_text: bool = False, hot_places: int = repeats.HOT_PLACES) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans (maximal removed runs) and
-    kept_sha256 of the bytes that stay (and these bytes, if asked for)."""
+    kept_sha256 of the bytes that stay (and these bytes, if asked for). Windows around an
+    anchor in more than `hot_places` places are spread; the result doesn't depend on it."""
     windows = Windows(False, length, k)
     blocks = block_count(docs.select(id_col, text_col))
     texts = in_blocks(docs, blocks, id_col, text_col)
@@ -130,11 +134,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def flag(key: tuple, table: pa.Table) -> pa.Table:
         once, more = (unblob(table.column(c), np.uint32) for c in ("once", "more"))
         again = repeats.repeated_keys(once, more)
-        rows: list[list] = [[], [], []]
+        hot = repeats.hot_keys([*once, *more], [*(np.ones(len(a), np.uint16) for a in once), *unblob(table.column("counts"), np.uint16)], hot_places)
+        rows: list[list] = [[] for _ in repeats.KEYS.split(", ")]
         for block, a, b in zip(table.column("block").to_pylist(), once, more):
-            own = a[np.isin(a, again, assume_unique=True)]
-            if len(own) + len(b):
-                for column, value in zip(rows, (block, key[0].as_py(), blob(np.sort(np.concatenate([own, b]))))):
+            own = np.sort(np.concatenate([a[np.isin(a, again, assume_unique=True)], b]))
+            if len(own):
+                for column, value in zip(rows, (block, key[0].as_py(), blob(own), b"", blob(own[np.isin(own, hot)]))):
                     column.append(value)
         return _batch(repeats.KEYS, rows)
 
@@ -166,7 +171,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return _batch(schema, rows)
 
     keys = repeats.anchors(texts, windows, buckets, across_docs=True).groupBy("bucket").applyInArrow(flag, repeats.KEYS)
-    found = repeats.verdicts(repeats.segments(texts, keys, windows, buckets), windows, judge)
+    found = repeats.verdicts(repeats.segments(texts, keys, windows, buckets), windows, buckets, judge)
     out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_with_left_key(cut, schema), schema)
     columns = [F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return out.select(*columns, *(["kept"] if with_text else []))

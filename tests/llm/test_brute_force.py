@@ -92,10 +92,10 @@ def shingles(text, k):
 
 
 #: Slices as they are, and so small that most groups are cut.
-SLICES = [{}, {"cell_members": 3, "slice_shingles": 150}]
+SLICES = [{}, {"cell_members": 3, "slice_shingles": 150}, {"block_members": 2, "cell_members": 5, "slice_shingles": 400}]
 
 
-@pytest.mark.parametrize("k, num, slices", [(4, 85, SLICES[0]), (4, 85, SLICES[1]), (5, 80, SLICES[0])])
+@pytest.mark.parametrize("k, num, slices", [(4, 85, SLICES[0]), (4, 85, SLICES[1]), (4, 85, SLICES[2]), (5, 80, SLICES[0])])
 def test_op2(spark, small, table, k, num, slices):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = jaccard.similar_groups(docs, k=k, num=num, den=100, **slices).toPandas().set_index("doc_id")
@@ -139,8 +139,8 @@ def test_op2_equal_sets_in_any_row_order(spark):
         find = components((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]))
         return {d: find(d) for d in sets}
 
-    for slices in SLICES:
-        got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs, k=4, num=85, den=100, **slices).collect()}
+    for slices, table in [(s, docs) for s in SLICES] + [(SLICES[2], docs.repartition(5))]:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(table, k=4, num=85, den=100, **slices).collect()}
         assert got == least(4, 85)
     assert {r["doc_id"] for r in corpus_pipeline.near_dup(spark, docs, "").collect()} == set(least(5, 80).values())
 
@@ -461,12 +461,20 @@ def test_equal_hashes_are_told_apart_by_bytes(spark, small, table, monkeypatch):
         cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
 
 
+def test_hot_anchors_are_spread_over_the_buckets(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for operator in (substrings.dedup_substrings, fingerprints.dedup_windows):
+        for hot in (0, 3):
+            got, right = (operator(docs, hot_places=n).toPandas().set_index("doc_id").sort_index() for n in (hot, 1 << 30))
+            assert got.equals(right) and right.n_removed.sum() > 0
+
+
 def test_equal_window_hashes_are_told_apart_by_bytes():
     rng = np.random.default_rng(6)
     parts = [bytes(rng.integers(97, 99, 9).tolist()) for _ in range(60)]
     data, sizes = np.frombuffer(b"".join(parts), np.uint8), np.full(60, 9)
     units = spans.byte_units(data, np.append(0, np.cumsum(sizes)))
-    args = (units.offsets[:-1], np.full(60, 5), np.zeros(60, np.int64), np.arange(60)[::-1].copy(), np.ones(60, np.int64), 5)
+    args = (units.offsets[:-1], np.full(60, 5), np.zeros(60, np.int64), np.arange(60)[::-1].copy(), np.ones(60, np.int64), np.ones(300, bool), 5)
     windows = [p[i : i + 5] for p in parts for i in range(5)]
     count, low = collections.Counter(windows), {}
     for n, w in enumerate(windows):
