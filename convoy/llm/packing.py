@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHES, release_caches, steps, utf8
+from .spans import ragged
 
 #: Tokens that one run of the dynamic programme covers, at least (a partition's rest may be fewer).
 RUN_TOKENS = 1 << 20
@@ -41,11 +42,12 @@ SENTENCE_PENALTY, INSIDE_PENALTY = 2, 32
 #: Shortest window that may end early because its length is a power of two.
 LEAST_EXACT = 128
 #: Distinct words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: The pattern of byte-level pre-tokens (a fixed value of this kind of tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space after any white space: there a pre-token may hold several spaces.
 _SPACES = [chr(c) + " " for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_ASCII_SPACES = [s for s in _SPACES if s.isascii()]
 
 
 class _Words(dict):
@@ -60,6 +62,16 @@ class _Words(dict):
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
 
 
+    def only(self, wanted: dict[str, None]) -> _Words:
+        """A new one with those of the wanted words that are here."""
+        out = _Words()
+        known = [w for w in wanted if w in self]
+        at = np.fromiter(map(self.__getitem__, known), np.int64, len(known))
+        counts = self.ends[at + 1] - self.ends[at]
+        out.add(known, self.flat[ragged(self.ends[at], counts)], counts)
+        return out
+
+
 class IdMaker:
     """Ids of whole texts. A byte-level pre-token never reaches over a space behind a
     character that is no white space, so such texts are put together from remembered
@@ -117,12 +129,16 @@ class IdMaker:
         return flat, np.diff(at, prepend=0)
 
     def _learn(self, words: list[str]) -> None:
-        odd = lambda w: not w or w[-1].isspace() or any(s in w for s in self.special)  # noqa: E731  first words, too, end in a space
-        alone = [w for w in words if odd(w)]
+        every = " ".join(words)
+        special = [s for s in self.special if s in every]
+        odd = [not w or w[-1].isspace() for w in words]  # first words, too, end in a space
+        if special:
+            odd = [o or any(s in w for s in special) for o, w in zip(odd, words)]
+        alone = list(itertools.compress(words, odd))
         if alone:
             ids = self._encode([w[:-1] if w[-1:] == " " else " " + w for w in alone])
             self.words.add(alone, np.array([i for own in ids for i in own], np.uint32), np.array([len(own) for own in ids], np.int64))
-        usual = [w for w in words if not odd(w)]
+        usual = words if not alone else [w for w, o in zip(words, odd) if not o]
         if usual:
             self.words.add(usual, *self._encode_words(usual))
 
@@ -132,7 +148,7 @@ class IdMaker:
         n_words = []  # of each text; 0: the tokenizer takes it whole
         for t in texts:
             parts = t.split(" ")
-            if len(parts) > 1 and not any(s in t for s in _SPACES):
+            if len(parts) > 1 and not any(s in t for s in (_ASCII_SPACES if t.isascii() else _SPACES)):
                 parts[0] += " "  # marked: no space stands before the first word
                 flat += parts
                 n_words.append(len(parts))
@@ -142,10 +158,9 @@ class IdMaker:
         unknown = np.flatnonzero(at < 0).tolist()
         if unknown:
             new = list(dict.fromkeys([flat[i] for i in unknown]))
-            if len(self.words) + len(new) > REMEMBERED:
-                self.words = _Words()
-                new = list(dict.fromkeys(flat))
-                unknown = range(len(flat))
+            if len(self.words) + len(new) > REMEMBERED:  # only what this step needs stays
+                self.words = self.words.only(dict.fromkeys(flat))
+                at = np.fromiter(map(self.words.get, flat, itertools.repeat(-1)), np.int64, len(flat))
             self._learn(new)
             at[unknown] = [self.words[flat[i]] for i in unknown]
         ends = self.words.ends
