@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHES, release_caches, steps, utf8
-from .spans import ragged
+from .spans import ragged, word_hashes
 
 #: Tokens that one run of the dynamic programme covers, at least (a partition's rest may be fewer).
 RUN_TOKENS = 1 << 20
@@ -42,34 +42,85 @@ SENTENCE_PENALTY, INSIDE_PENALTY = 2, 32
 #: Shortest window that may end early because its length is a power of two.
 LEAST_EXACT = 128
 #: Distinct words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: The pattern of byte-level pre-tokens (a fixed value of this kind of tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A space after any white space: there a pre-token may hold several spaces.
-_SPACES = [chr(c) + " " for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_ASCII_SPACES = [s for s in _SPACES if s.isascii()]
+#: Bytes of the longest word that is remembered.
+LONGEST_WORD = 1024
+#: White space beyond ASCII, as numbers of its UTF-8 bytes.
+_TWO_BYTE_SPACES, _WIDE_SPACES = (
+    [int.from_bytes(c.encode(), "big") for c in map(chr, codes)]
+    for codes in ((0x85, 0xA0), (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
 
 
-class _Words(dict):
-    """Places of words in one flat array of ids."""
+class WordTable:
+    """Ids of words, in arrays: an open-addressing table by the words' hashes. Equal hashes
+    count only if sizes and bytes are equal; up to eight bytes the hash decides that, as
+    it is a bijection there."""
 
     def __init__(self):
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.hashes, self.first, self.data = np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.uint8)
+        self.begins, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each word: -1 for none, -2 if another word has its hash."""
+        out, mask, todo = np.full(len(hashes), -1), len(self.slots) - 1, np.arange(len(hashes))
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            entry = self.slots[at[todo]]
+            todo, entry = todo[entry >= 0], entry[entry >= 0]
+            same = self.hashes[entry] == hashes[todo]
+            out[todo[same]] = entry[same]
+            todo = todo[~same]
+            at[todo] = (at[todo] + 1) & mask
+        hit = np.flatnonzero(out >= 0)
+        entry = out[hit]
+        good = _equal(self.data, self.begins[entry], self.sizes[entry], self.first[entry], data, begins[hit], sizes[hit], first[hit])
+        out[hit[~good]] = -2
+        return out
 
-    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words))))
-        self.flat = np.concatenate([self.flat, ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+    def add(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, first: np.ndarray, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Words with different hashes that aren't here."""
+        old, n = len(self), len(hashes)
+        self.begins = np.concatenate([self.begins, len(self.data) + np.cumsum(sizes) - sizes])
+        self.data = np.concatenate([self.data, data[ragged(begins, sizes)]])
+        self.hashes, self.first, self.sizes = np.concatenate([self.hashes, hashes]), np.concatenate([self.first, first]), np.concatenate([self.sizes, sizes])
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+        if 2 * (old + n) > len(self.slots):
+            self.slots = np.full(1 << int(4 * (old + n) - 1).bit_length(), -1, np.int32)
+            old, n = 0, old + n
+        mask, todo = len(self.slots) - 1, np.arange(old, old + n)
+        at = (self.hashes[old:] & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            free = todo[self.slots[at[todo - old]] < 0]
+            slot, claim = np.unique(at[free - old], return_index=True)
+            self.slots[slot] = free[claim]
+            todo = todo[self.slots[at[todo - old]] != todo]
+            at[todo - old] = (at[todo - old] + 1) & mask
+
+    def only(self, entries: np.ndarray) -> WordTable:
+        """A new one with these entries."""
+        out, counts = WordTable(), self.ends[entries + 1] - self.ends[entries]
+        out.add(self.data, self.begins[entries], self.sizes[entries], self.first[entries], self.hashes[entries], self.ids[ragged(self.ends[entries], counts)], counts)
+        return out
 
 
-    def only(self, wanted: dict[str, None]) -> _Words:
-        """A new one with those of the wanted words that are here."""
-        out = _Words()
-        known = [w for w in wanted if w in self]
-        at = np.fromiter(map(self.__getitem__, known), np.int64, len(known))
-        counts = self.ends[at + 1] - self.ends[at]
-        out.add(known, self.flat[ragged(self.ends[at], counts)], counts)
-        return out
+def _equal(one: np.ndarray, a: np.ndarray, m: np.ndarray, p: np.ndarray, other: np.ndarray, b: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether words with equal hashes, m and n bytes at a and b of two buffers, are equal,
+    and are first words or not (p, q) alike."""
+    good = (m == n) & (p == q)
+    long = np.flatnonzero(good & (n > 8))
+    if len(long):
+        sizes = n[long]
+        unlike = one[ragged(a[long], sizes)] != other[ragged(b[long], sizes)]
+        good[long[np.repeat(np.arange(len(long)), sizes)[unlike]]] = False
+    return good
 
 
 class IdMaker:
@@ -87,7 +138,7 @@ class IdMaker:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = _Words()
+        self.words = WordTable()
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.n_bytes = np.array([len(t) for t in tokens], np.int64)  # byte-level tokens have a character for each byte
         self.ends_sentence = np.array([t[-1:] in (".", "!", "?", "Ċ") for t in tokens], bool)
@@ -128,54 +179,96 @@ class IdMaker:
             raise ValueError("a token reaches over the space between two words")
         return flat, np.diff(at, prepend=0)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their numbers of words: those that begin a text end in a space."""
         every = " ".join(words)
         special = [s for s in self.special if s in every]
-        odd = [not w or w[-1].isspace() for w in words]  # first words, too, end in a space
+        odd = [not w or w[-1].isspace() for w in words]
         if special:
             odd = [o or any(s in w for s in special) for o, w in zip(odd, words)]
+        if not any(odd):
+            return self._encode_words(words)
         alone = list(itertools.compress(words, odd))
-        if alone:
-            ids = self._encode([w[:-1] if w[-1:] == " " else " " + w for w in alone])
-            self.words.add(alone, np.array([i for own in ids for i in own], np.uint32), np.array([len(own) for own in ids], np.int64))
-        usual = words if not alone else [w for w, o in zip(words, odd) if not o]
-        if usual:
-            self.words.add(usual, *self._encode_words(usual))
+        usual = [w for w, o in zip(words, odd) if not o]
+        ids = self._encode([w[:-1] if w[-1:] == " " else " " + w for w in alone])
+        flat, counts = self._encode_words(usual) if usual else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        flat = np.concatenate([np.array([i for own in ids for i in own], np.uint32), flat])
+        counts = np.concatenate([np.array([len(own) for own in ids], np.int64), counts])
+        at = np.argsort(np.argsort(~np.array(odd), kind="stable"), kind="stable")  # each word's place in `alone` and `usual`
+        begins = (np.cumsum(counts) - counts)[at]
+        return flat[ragged(begins, counts[at])], counts[at]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
-        flat: list[str] = []
-        n_words = []  # of each text; 0: the tokenizer takes it whole
-        for t in texts:
-            parts = t.split(" ")
-            if len(parts) > 1 and not any(s in t for s in (_ASCII_SPACES if t.isascii() else _SPACES)):
-                parts[0] += " "  # marked: no space stands before the first word
-                flat += parts
-                n_words.append(len(parts))
-            else:
-                n_words.append(0)
-        at = np.fromiter(map(self.words.get, flat, itertools.repeat(-1)), np.int64, len(flat))
-        unknown = np.flatnonzero(at < 0).tolist()
-        if unknown:
-            new = list(dict.fromkeys([flat[i] for i in unknown]))
-            if len(self.words) + len(new) > REMEMBERED:  # only what this step needs stays
-                self.words = self.words.only(dict.fromkeys(flat))
-                at = np.fromiter(map(self.words.get, flat, itertools.repeat(-1)), np.int64, len(flat))
-            self._learn(new)
-            at[unknown] = [self.words[flat[i]] for i in unknown]
-        ends = self.words.ends
-        starts, lengths = ends[at], ends[at + 1] - ends[at]
-        ids = self.words.flat[np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]
-        words = np.array(n_words, np.int64)
-        counts = np.diff(np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(words))])
-        if (words == 0).any():
-            whole = iter(self._encode([t for t, n in zip(texts, n_words) if not n]))
+        return self.of_bytes(*utf8(pa.array(texts, pa.string())))
+
+    def of_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As for texts, for their UTF-8 bytes one after the other."""
+        docs, space = len(offsets) - 1, np.flatnonzero(data == 32)
+        doc = np.searchsorted(offsets, space, side="right") - 1
+        cut = (np.bincount(doc, minlength=docs) > 0) & (np.bincount(doc[_after_space(data, space, offsets[doc])], minlength=docs) == 0)
+        # words of the texts that spaces cut; the tokenizer takes the others whole
+        mine = cut[doc]
+        n_words = np.where(cut, np.bincount(doc, minlength=docs) + 1, 0)
+        last = np.cumsum(n_words)
+        begins, ends, first = np.empty(int(last[-1]) if docs else 0, np.int64), np.empty(int(last[-1]) if docs else 0, np.int64), np.zeros(int(last[-1]) if docs else 0, bool)
+        first[(last - n_words)[cut]] = True
+        final = np.zeros(len(first), bool)
+        final[last[cut] - 1] = True
+        begins[first], begins[~first] = offsets[:-1][cut], space[mine] + 1
+        ends[final], ends[~final] = offsets[1:][cut], space[mine]
+        sizes = ends - begins
+        hashes = word_hashes(data, begins, sizes) ^ np.where(first, np.uint64(0x9D39247E33776D41), np.uint64(0))
+        entry = self.words.find(data, begins, sizes, first, hashes)
+        entry[sizes > LONGEST_WORD] = -2
+        new = np.flatnonzero(entry == -1)
+        if len(new):
+            _, rep, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            rep = new[rep]
+            leader = rep[which]
+            same = _equal(data, begins[leader], sizes[leader], first[leader], data, begins[new], sizes[new], first[new])
+            if len(self.words) + len(rep) > REMEMBERED:  # only what this step needs stays
+                kept, back = np.unique(entry[entry >= 0], return_inverse=True)
+                self.words = self.words.only(kept)
+                entry[entry >= 0] = back
+            ids, counts = self._learn([_word(data, begins[i], ends[i], first[i]) for i in rep.tolist()])
+            entry[new] = np.where(same, len(self.words) + which, -2)
+            self.words.add(data, begins[rep], sizes[rep], first[rep], hashes[rep], ids, counts)
+        flat, bounds = self.words.ids, self.words.ends
+        apart = np.flatnonzero(entry == -2)
+        if len(apart):  # words that aren't remembered
+            ids, counts = self._learn([_word(data, begins[i], ends[i], first[i]) for i in apart.tolist()])
+            entry[apart] = len(self.words) + np.arange(len(apart))
+            flat, bounds = np.concatenate([flat, ids]), np.concatenate([bounds, bounds[-1] + np.cumsum(counts)])
+        lengths = bounds[entry + 1] - bounds[entry]
+        ids = flat[ragged(bounds[entry], lengths)]
+        counts = np.diff(np.append(0, np.cumsum(lengths))[np.append(0, last)])
+        if not cut.all():
+            whole = iter(self._encode([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in np.flatnonzero(~cut).tolist()]))
             pieces = np.split(ids, np.cumsum(counts)[:-1])
-            pieces = [np.array(next(whole), np.uint32) if not n else x for x, n in zip(pieces, n_words)]
+            pieces = [x if c else np.array(next(whole), np.uint32) for x, c in zip(pieces, cut.tolist())]
             ids, counts = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
         return ids, counts
 
 
+def _word(data: np.ndarray, begin: int, end: int, first: bool) -> str:
+    return data[begin:end].tobytes().decode() + (" " if first else "")
+
+
+def _after_space(data: np.ndarray, space: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether white space stands before each space; starts: where its text begins. There
+    a pre-token may hold several spaces."""
+    before = lambda k: np.where(space - k >= starts, data[np.maximum(space - k, 0)], 0)
+    one = before(1)
+    found = (one == 32) | ((one >= 9) & (one <= 13))
+    other = np.flatnonzero(one >= 0x80)
+    if len(other):
+        space, starts = space[other], starts[other]
+        code = before(3).astype(np.int64) << 16 | before(2).astype(np.int64) << 8 | before(1)
+        found[other] = np.isin(code, _WIDE_SPACES) | np.isin(code & 0xFFFF, _TWO_BYTE_SPACES)
+    return found
+
+
 @functools.lru_cache(maxsize=2)
 def _maker(path: str) -> IdMaker:
     return IdMaker(path)
@@ -281,12 +374,11 @@ def pack(
         at = TaskContext.get().partitionId() << 32
         keys, parts, counts, held = [], [], [], 0
         for batch in batches:
-            _, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(1))
             for start, end in steps(offsets):
-                part = batch.slice(start, end - start)
-                flat, n = maker([t or "" for t in part.column(1).to_pylist()])
+                flat, n = maker.of_bytes(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
                 ids = np.insert(flat, np.cumsum(n), end_id)
-                keys.append(part.column(0))
+                keys.append(batch.column(0).slice(start, end - start))
                 parts.append(ids)
                 counts.append(n + 1)
                 held += len(ids)

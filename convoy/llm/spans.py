@@ -93,7 +93,7 @@ def word_hashes(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.n
     if not len(begins):
         return codes
     lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
-    live, done = np.flatnonzero(sizes <= LONG_WORD), 0
+    live, done = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD)), 0
     while len(live):
         rest = np.minimum(sizes[live] - done, 8).astype(U64)
         own = lanes[begins[live] + done] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * rest))
