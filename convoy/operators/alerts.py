@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,18 +62,22 @@ def efficiency_drops(sessions: DataFrame, limit: float = 0.10) -> DataFrame:
 
 def cooldown(alerts: DataFrame, key: str, seconds_col: str, seconds: int = 3600) -> DataFrame:
     """Alerts that pass the cooldown of their key: the first, and each at least so long
-    after the last one that passed. Keys fold apart from each other."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.schema)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, keep = pdf.sort_values(seconds_col, kind="stable"), None, []
-        for t in pdf[seconds_col]:
-            passes = last is None or t - last >= seconds
-            last = t if passes else last
-            keep.append(passes)
-        return pdf[keep]
-
-    return alerts.groupBy(key).applyInPandas(fold, kinds)
+    after the last one that passed. Keys fold apart from each other; rows stream through
+    the fold sorted, so that a hot key needs no more memory than a batch."""
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last = object(), None
+        for pdf in parts:
+            keep = []
+            for k, t in zip(pdf[key], pdf[seconds_col]):
+                if k != current:
+                    current, last = k, None
+                passes = last is None or t - last >= seconds
+                last = t if passes else last
+                keep.append(passes)
+            yield pdf[keep]
+
+    return alerts.repartition(key).sortWithinPartitions(key, seconds_col).mapInPandas(fold, alerts.schema)
 
 
 def statistics(alerts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.numbers import PRICING, token_cost
+from .ordered import running_sum
 
 # Factors and prices of the planning model, in USD.
 OPTION_FACTORS = {"discovery_only": 0.6, "application_only": 0.8, "parallel_discovery": 0.7, "optimized_application": 0.85, "discovery_application": 1.0}
@@ -56,6 +57,47 @@ def efficiency_metrics(s: DataFrame) -> DataFrame:
     return s.agg(F.avg("cost_per_item").alias("mean"), F.min("cost_per_item").alias("least"), F.max("cost_per_item").alias("most"), F.avg("tokens_per_second").alias("throughput"), F.try_divide(F.lit(1000.0), F.avg("cost_per_item")).alias("score"))
 
 
+def record_operation(spark: SparkSession, path: str, operation: str, tokens_in: int, tokens_out: int, phase: str = "") -> None:
+    """Append one operation to the usage log."""
+    row = spark.range(1).select(F.current_timestamp().alias("ts"), F.lit(operation).alias("operation_type"), F.lit(phase).alias("phase"), F.lit(tokens_in).cast("long").alias("input_tokens"), F.lit(tokens_out).cast("long").alias("output_tokens"))
+    row.write.mode("append").parquet(path)
+
+
+def total_spent(sessions: DataFrame) -> DataFrame:
+    return sessions.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spent"))
+
+
+def since(df: DataFrame, seconds_col: str, now: Column, hours: float) -> DataFrame:
+    """The rows of the last hours."""
+    return df.filter(F.col(seconds_col) >= now - hours * 3600)
+
+
+def session_events(events: DataFrame, order: str) -> DataFrame:
+    """Sessions of start and end events (session_id, event, seconds): a start closes the
+    session that is still open, at its own time. The window runs over session events."""
+    starts = events.filter("event = 'start'").withColumn("next", F.lead("seconds").over(W.orderBy("seconds", order)))
+    ends = events.filter("event = 'end'").groupBy(F.col("session_id").alias("s")).agg(F.min("seconds").alias("ended"))
+    out = starts.join(ends, F.col("session_id") == F.col("s"), "left")
+    end = F.least(F.coalesce("ended", "next"), F.coalesce("next", "ended"))
+    return out.select("session_id", F.col("seconds").alias("start"), end.alias("end"), (F.col("next").isNotNull() & (F.col("ended").isNull() | (F.col("next") < F.col("ended")))).alias("auto_closed"))
+
+
+def efficiency_patterns(sessions: DataFrame, order: str) -> DataFrame:
+    """Of sessions (dataset_size, total_cost_usd, tokens, seconds): cost for each item (mean,
+    median, trend of the halves, consistency), tokens for each item and second, and a score."""
+    from ..functions.numbers import efficiency_score
+    from .trend import half_split_trend
+
+    rows = sessions.withColumns(
+        {"c": F.when(F.col("dataset_size") > 0, F.col("total_cost_usd") / F.col("dataset_size")), "t": F.when(F.col("dataset_size") > 0, F.col("tokens") / F.col("dataset_size")), "r": F.when(F.col("seconds") > 0, F.col("tokens") / F.col("seconds"))}
+    )
+    one = rows.agg(F.avg("c").alias("mean_cost"), F.median("c").alias("median_cost"), F.stddev_samp("c").alias("std"), F.avg("t").alias("tokens_per_item"), F.coalesce(F.avg("r"), F.lit(0.0)).alias("tokens_per_second"))
+    trend = half_split_trend(rows.filter("c is not null").select(order, "c"), "c", order).select("trend")
+    out = one.crossJoin(trend)  # single rows
+    steady = F.when(F.col("mean_cost") > 0, 1 - F.col("std") / F.col("mean_cost")).otherwise(0.0)
+    return out.select("mean_cost", "median_cost", "trend", "tokens_per_item", "tokens_per_second", efficiency_score(F.col("mean_cost"), F.col("tokens_per_second")).alias("score"), F.coalesce(steady, F.lit(0.0)).alias("consistency"))
+
+
 def temporal_patterns(s: DataFrame) -> DataFrame:
     v = F.col("seconds")
     return s.filter("seconds > 0").agg(
@@ -74,8 +116,11 @@ def operation_shares(usage: DataFrame) -> DataFrame:
 
 def budget_crossings(usage: DataFrame, budget: float, order: str, group: str | None = None, thresholds: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95)) -> DataFrame:
     """When the cumulative cost first reaches each threshold: once for each."""
-    w = (W.partitionBy(group) if group else W.partitionBy()).orderBy("ts", order).rowsBetween(W.unboundedPreceding, 0)
-    run = with_cost(usage).withColumn("running", F.sum("cost_usd").over(w))
+    if group:
+        w = W.partitionBy(group).orderBy("ts", order).rowsBetween(W.unboundedPreceding, 0)
+        run = with_cost(usage).withColumn("running", F.sum("cost_usd").over(w))
+    else:
+        run = running_sum(with_cost(usage), "cost_usd", "ts", order)
     levels = F.explode(F.array(*(F.lit(t) for t in thresholds))).alias("threshold")
     keys = [group] if group else []
     hit = run.select(*keys, "ts", order, "running", levels).filter(F.col("running") >= F.col("threshold") * budget)

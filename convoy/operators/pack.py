@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .ordered import positions
 
 #: Tokens of the header of each batch.
 HEADER_TOKENS = len("Tickets:\n") // 4
@@ -20,21 +21,35 @@ def greedy_batches(df: DataFrame, id_col: str, tokens_col: str, limit: int = 50_
     reach the token limit or exceed `most` rows; a row over the limit is its own batch.
     Rows are folded within shards (one if none is named), as the fold is sequential; at
     scale name a column with many values."""
+
+    def step(state: tuple[int, int, int], t: int) -> tuple[tuple[int, int, int], int]:
+        batch, tokens, n = state
+        if n and (tokens + t >= limit or n >= most):
+            batch, tokens, n = batch + 1, HEADER_TOKENS, 0
+        return (batch, tokens + t, n + 1), batch
+
+    return _folded(df, id_col, tokens_col, shard_col, step)
+
+
+def _folded(df: DataFrame, id_col: str, tokens_col: str, shard_col: str | None, step: Callable) -> DataFrame:
+    """(shard, id, batch_id) by a fold over each shard in the order of ids. Rows stream
+    through it sorted, so that a shard of any size needs the memory of one batch."""
     shard = F.col(shard_col) if shard_col else F.lit(0)
     kind = df.schema[id_col].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        batch, tokens, n, out = 0, HEADER_TOKENS, 0, []
-        for t in pdf["tokens"]:
-            if n and (tokens + t >= limit or n >= most):
-                batch, tokens, n = batch + 1, HEADER_TOKENS, 0
-            tokens, n = tokens + t, n + 1
-            out.append(batch)
-        return pdf.assign(batch_id=out)[["shard", "id", "batch_id"]]
-
-    rows = df.select(shard.cast("string").alias("shard"), F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("tokens"))
-    out = rows.groupBy("shard").applyInPandas(fold, f"shard string, id {kind}, batch_id long")
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), (0, 0, 0)
+        for pdf in parts:
+            out = []
+            for s, t in zip(pdf["shard"], pdf["tokens"]):
+                if s != current:
+                    current, state = s, (0, HEADER_TOKENS, 0)
+                state, batch = step(state, int(t))
+                out.append(batch)
+            yield pdf.assign(batch_id=out)[["shard", "id", "batch_id"]]
+
+    rows = df.select(F.coalesce(shard.cast("string"), F.lit("")).alias("shard"), F.col(id_col).alias("id"), F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)).alias("tokens"))
+    out = rows.repartition("shard").sortWithinPartitions("shard", "id").mapInPandas(fold, f"shard string, id {kind}, batch_id long")
     return out.select("shard", F.col("id").alias(id_col), "batch_id")
 
 
@@ -42,32 +57,17 @@ def sequential_batches(df: DataFrame, id_col: str, tokens_col: str, limit: int =
     """Batch number of each row, in the order of ids: a batch ends after the row that reaches
     the token limit or `most` rows; the header counts in the first batch only. Rows are
     folded within shards, as in `greedy_batches`."""
-    shard = F.col(shard_col) if shard_col else F.lit(0)
-    kind = df.schema[id_col].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        batch, tokens, n, out = 0, HEADER_TOKENS, 0, []
-        for t in pdf["tokens"]:
-            tokens, n = tokens + t, n + 1
-            out.append(batch)
-            if tokens >= limit or n >= most:
-                batch, tokens, n = batch + 1, 0, 0
-        return pdf.assign(batch_id=out)[["shard", "id", "batch_id"]]
-
-    rows = df.select(shard.cast("string").alias("shard"), F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("tokens"))
-    out = rows.groupBy("shard").applyInPandas(fold, f"shard string, id {kind}, batch_id long")
-    return out.select("shard", F.col("id").alias(id_col), "batch_id")
+    def step(state: tuple[int, int, int], t: int) -> tuple[tuple[int, int, int], int]:
+        batch, tokens, n = state[0], state[1] + t, state[2] + 1
+        return ((batch + 1, 0, 0) if tokens >= limit or n >= most else (batch, tokens, n)), batch
+
+    return _folded(df, id_col, tokens_col, shard_col, step)
 
 
 def fixed_batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Consecutive batches of equal size. Ranks are counted by range of the order column:
-    per-partition counts are summed, so that no task holds all rows."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = sizes.withColumn("__b", F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
-    return ranged.join(F.broadcast(before), "__p").withColumn("batch_id", F.floor((F.col("__b") + F.col("__i")) / size)).drop("__p", "__m", "__i", "__b")
+    """Consecutive batches of equal size."""
+    return positions(df, order, name="__n").withColumn("batch_id", F.floor(F.col("__n") / size)).drop("__n")
 
 
 def batch_estimate(df: DataFrame, text_col: str, limit: int) -> DataFrame:

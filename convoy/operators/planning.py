@@ -116,6 +116,19 @@ def recommend(jobs: DataFrame) -> DataFrame:
     ).drop("__b")
 
 
+def plan_for(texts: DataFrame, history: DataFrame | None, cores: int, memory_gb: float, mode: str = "balanced", text_col: str = "text", cpu: float = 0.0, memory: float = 0.0, disk_gb: float = 1e9) -> DataFrame:
+    """A dataset's complexity, the prediction from earlier runs, the recommendation, and
+    whether it is feasible, in one row."""
+    shape = complexity(texts, text_col)
+    size = shape.first()["rows"]  # a single row
+    known = predict(history, size, cores) if history is not None else texts.sparkSession.range(1).select(F.lit(size * 0.01 / 60).alias("hours"), F.lit(0.1).alias("confidence"), F.lit(0).alias("similar"))
+    job = shape.crossJoin(known).select(  # single rows
+        F.col("rows").alias("tickets"), "seconds_per_ticket", (F.col("hours") * 60).alias("predicted_minutes"), "confidence", F.lit(cores).alias("cores"), F.lit(float(memory_gb)).alias("memory_gb"), F.lit(mode).alias("mode"),
+        F.lit(None).cast("int").alias("max_workers"), F.lit(None).cast("double").alias("max_memory_gb"), F.lit(cpu).alias("cpu"), F.lit(memory).alias("memory"), F.lit(disk_gb).alias("disk_gb"),
+    )
+    return feasibility(recommend(job))
+
+
 def feasibility(recommended: DataFrame) -> DataFrame:
     """Of a recommendation beside cores, memory_gb, cpu, memory (per cent in use) and disk_gb:
     what speaks against it, and whether nothing does."""

@@ -161,6 +161,16 @@ def quality_assessment(df: DataFrame, id_col: str = "ticket_id", text_col: str =
     )
 
 
+def demo_filter(messages: DataFrame) -> DataFrame:
+    """Messages of the category TEXT by a user or an agent that aren't blank."""
+    return messages.filter((F.col("category") == "TEXT") & F.col("sender").isin("USER", "AGENT") & (strip(F.coalesce("text", F.lit(""))) != ""))
+
+
+def parse_time(c: Column, strict: bool = False) -> Column:
+    """A text as a timestamp: what isn't one is null, or an error if strict."""
+    return F.to_timestamp(c) if strict else F.try_to_timestamp(c)
+
+
 def lenient_stream_filter(messages: DataFrame) -> DataFrame:
     """The row filter of streams: no rule about the number of messages, blank senders stay."""
     blank = lambda c: strip(F.coalesce(F.col(c), F.lit(""))) == ""

@@ -121,6 +121,11 @@ def top_categories(df: DataFrame, column: str, id_col: str, k: int = 10, ids: in
     return top.join(sample, column, "left").select("rank", column, "n", "percent", "sample_ids")
 
 
+def in_top(df: DataFrame, column: str, k: int = 10) -> DataFrame:
+    """The rows of the k largest categories."""
+    return df.join(category_distribution(df, column).filter(F.col("rank") <= k).select(column), column, "left_semi")
+
+
 def cross_analysis(categorised: DataFrame, original: DataFrame, key: str) -> DataFrame:
     """Rows and ids of both tables, ids in both, and what share was processed."""
     ids = categorised.select(key).distinct().withColumn("a", F.lit(1)).join(original.select(key).distinct().withColumn("b", F.lit(1)), key, "full_outer")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordered import positions, running_sum
+
 
 def _over(group: str | None):
     return W.partitionBy(group) if group else W.partitionBy()
@@ -18,8 +20,11 @@ def _over(group: str | None):
 def half_split_trend(df: DataFrame, value: str, order: str, group: str | None = None, percent: float = 5.0, least: int = 3, floor: float | None = None) -> DataFrame:
     """Mean of the later half against the earlier one. With a floor, changes are relative to
     no less than it, and short series are stable."""
-    w = _over(group)
-    rows = df.withColumn("__r", F.row_number().over(w.orderBy(order))).withColumn("__n", F.count("*").over(w))
+    if group:
+        w = W.partitionBy(group)
+        rows = df.withColumn("__r", F.row_number().over(w.orderBy(order))).withColumn("__n", F.count("*").over(w))
+    else:
+        rows = positions(df, order, name="__r").withColumn("__r", F.col("__r") + 1).crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))  # a single row
     first = F.col("__r") <= F.floor(F.col("__n") / 2)
     g = rows.groupBy(*([group] if group else [])).agg(F.count("*").alias("n"), F.avg(F.when(first, F.col(value))).alias("before"), F.avg(F.when(~first, F.col(value))).alias("after"))
     change = F.when(F.col("before") != 0, (F.col("after") - F.col("before")) / F.col("before") * 100).otherwise(0.0)
@@ -31,8 +36,8 @@ def half_split_trend(df: DataFrame, value: str, order: str, group: str | None =
 
 def ends_trend(df: DataFrame, value: str, order: str, k: int = 3, margin: float = 5.0) -> DataFrame:
     """Mean of the last k against the first k."""
-    rows = df.withColumn("__a", F.row_number().over(W.orderBy(order))).withColumn("__b", F.row_number().over(W.orderBy(F.desc(order))))
-    g = rows.agg(F.avg(F.when(F.col("__a") <= k, F.col(value))).alias("first"), F.avg(F.when(F.col("__b") <= k, F.col(value))).alias("last"))
+    end = lambda o, name: df.orderBy(o).limit(k).agg(F.avg(value).alias(name))  # noqa: E731  k rows each
+    g = end(F.asc(order), "first").crossJoin(end(F.desc(order), "last"))  # single rows
     d = F.col("last") - F.col("first")
     return g.withColumn("trend", F.when(d > margin, "improving").when(d < -margin, "declining").otherwise("stable"))
 
@@ -72,8 +77,12 @@ def slope(value: str, order: str, group: str | None = None, n: int = 5) -> Colum
 
 
 def running_mean(df: DataFrame, value: str, order: str, group: str | None = None) -> DataFrame:
-    w = _over(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(value).over(w) / F.count(value).over(w))
+    if group:
+        w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn("running", F.sum(value).over(w) / F.count(value).over(w))
+    counted = df.withColumn("__v", F.col(value).isNotNull().cast("int"))
+    out = running_sum(running_sum(counted, value, order, name="__s"), "__v", order, name="__c")
+    return out.withColumn("running", F.try_divide("__s", "__c")).drop("__v", "__s", "__c")
 
 
 def stability_points(df: DataFrame, value: str, order: str, n: int = 5, most: float = 100.0) -> DataFrame:
@@ -108,6 +117,5 @@ def eviction_order(df: DataFrame, size: str, accessed: str, limit: float, keep:
     """Least recently used entries to delete until `keep` of the limit is met; none if
     the limit holds."""
     total = df.agg(F.sum(size).alias("__t"))
-    run = F.sum(size).over(W.orderBy(accessed).rowsBetween(W.unboundedPreceding, -1))
-    out = df.withColumn("__before", F.coalesce(run, F.lit(0))).crossJoin(F.broadcast(total))
+    out = running_sum(df, size, accessed, name="__run").withColumn("__before", F.col("__run") - F.coalesce(F.col(size), F.lit(0))).drop("__run").crossJoin(F.broadcast(total))  # a single row
     return out.filter((F.col("__t") > limit) & (F.col("__t") - F.col("__before") > keep * limit)).drop("__before", "__t")

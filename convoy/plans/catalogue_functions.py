@@ -106,6 +106,22 @@ def canonical_keys(spark, d):
     return a.unionByName(b).agg(F.count_distinct("k").alias("keys"))
 
 
+@query(f"WITH {MESSAGES} SELECT ticket_id, seq FROM m WHERE category = 'TEXT' AND sender IN ('USER', 'AGENT') AND trim(text) <> ''")
+def demo_messages(spark, d):
+    return prepare.demo_filter(messages(spark, d)).select("ticket_id", "seq")
+
+
+@query("WITH t AS (SELECT source FROM documents GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 3) SELECT doc_id FROM documents WHERE source IN (FROM t)")
+def top_source_rows(spark, d):
+    return stats.in_top(table(spark, d, "documents").select("doc_id", "source"), "source", 3).select("doc_id")
+
+
+@query(_case_sql("year", 2024, None, None))
+def parsed_times(spark, d):
+    rows = _cases(spark, d, "2024-01-02 03:04:05", "no time", None)
+    return rows.select("doc_id", F.year(prepare.parse_time(F.col("c"))).alias("year"))
+
+
 # --- scores
 
 

@@ -167,5 +167,15 @@ def replace_table(df: DataFrame, path: str) -> None:
     spark.catalog.refreshByPath(path)
 
 
+def write_spill(df: DataFrame, path: str) -> None:
+    """Intermediate results, packed as small as Parquet gets."""
+    df.write.mode("overwrite").option("compression", "gzip").parquet(path)
+
+
+def row_json(df: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as a JSON text: times in ISO form, nulls left out."""
+    return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias(name))
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
