@@ -53,6 +53,9 @@ FAN_OUT = 16
 GATHER_BYTES = 8 << 20
 #: Rows of two longs that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: Buckets that a block of texts sends keys to at most. Where there are more, coarse ones
+#: are sent to first, whose rows are gathered up to `SPLIT_BYTES` before they're split.
+COARSE, SPLIT_BYTES = 2048, 64 << 20
 #: Members of a cell in one block from which on they stay together as a slice of it.
 BLOCK_MEMBERS = 64
 #: Members in a slice of a cell, shingles in a slice of a neighbourhood, and what a task holds of either.
@@ -236,17 +239,65 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_members: int) -> DataFrame:
+_SKETCH = "bucket long, keys binary, refs binary, ids binary, sizes binary, tags binary, tags2 binary, points binary"
+
+
+def _dealt(keys: np.ndarray, sets: np.ndarray, marks: np.ndarray, bucket: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tag: np.ndarray, tag2: np.ndarray) -> Iterator[tuple]:
+    """A row of blobs for each bucket: keys, and the documents that they are of."""
+    order, starts = by_key(bucket)
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        own = order[s:e]
+        who, ref = np.unique(sets[own], return_inverse=True)
+        yield (int(bucket[own[0]]), blob(keys[own]), blob(ref.astype(np.uint32)), blob(ids[who]), blob(sizes[who]), blob(tag[who]), blob(tag2[who]), blob(marks[own]))
+
+
+def _bucket_of(keys: np.ndarray, buckets: int, coarse: int) -> np.ndarray:
+    """The bucket of each key; `coarse` ones hold the keys of several."""
+    fine = (keys >> U64(32)) % U64(buckets)
+    return (fine % U64(coarse) if buckets > coarse else fine).astype(np.int64)
+
+
+def _split(rows: DataFrame, buckets: int, coarse: int, tasks: int) -> DataFrame:
+    """Rows of coarse buckets as rows of buckets; profiles and slices pass through."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        base = np.cumsum([0] + [len(h[2]) for h in held])
+        keys, ids, sizes, tag, tag2, marks = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3, 4, 5, 6))
+        sets = np.concatenate([h[1].astype(np.int64) + b for h, b in zip(held, base)])
+        out = list(_dealt(keys, sets, marks, _bucket_of(keys, buckets, buckets), ids, sizes, tag, tag2))
+        yield from _batch(_SKETCH, [list(c) for c in zip(*out)]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("jaccard")
+        held, size = [], 0
+        for batch in batches:
+            negative = pc.less(batch.column(0), 0)
+            yield batch.filter(negative)
+            for row in batch.filter(pc.invert(negative)).to_pylist():
+                raw = [row[c] for c in ("keys", "refs", "ids", "sizes", "tags", "tags2", "points")]
+                held.append(tuple(np.frombuffer(r, t) for r, t in zip(raw, (U64, np.uint32, np.int64, np.int64, U64, U64, np.uint8))))
+                size += sum(map(len, raw))
+                if size >= SPLIT_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    salt = F.pmod(F.xxhash64("ids"), F.lit(max(1, -(-tasks // coarse))))
+    dealt = rows.repartition(tasks, "bucket", salt).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, _SKETCH)
+
+
+def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int, coarse: int, block_members: int) -> DataFrame:
     """Blobs of keys for buckets >= 0; for bucket -1 profiles (id, size, digests, point), and
     slices (a key and ids) of cells that a block holds many members of. Such a cell's bucket
     gets the slice's least member, marked in `points`."""
-    schema = "bucket long, keys binary, refs binary, ids binary, sizes binary, tags binary, tags2 binary, points binary"
 
     def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, valid, hashes, sizes = (np.concatenate([p[i] for p in parts]) for i in range(4))
         offsets = np.append(0, np.cumsum(sizes))
         tag, tag2 = (_set_sums(mix(hashes ^ U64(c)), offsets) for c in (0x1234567, 0x89ABCDEF0123))
-        rows: list[list] = [[] for _ in schema.split(", ")]
+        rows: list[list] = [[] for _ in _SKETCH.split(", ")]
         for column, value in zip(rows, (-1, None, blob(valid), blob(ids), blob(sizes), blob(tag), blob(tag2), blob(count_points(hashes, offsets)))):
             column.append(value)
         usable = np.flatnonzero(valid & (sizes > 0))
@@ -264,16 +315,10 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_mem
             for column, value in zip(rows, (-1, blob(keys[own[:1]]), None, blob(ids[first[sets[own]]]), None, None, None, None)):
                 column.append(value)
         keys, sets, marks = keys[sent], sets[sent], marks[sent]
-        bucket = ((keys >> U64(32)) % U64(buckets)).astype(np.int64)
-        order, starts = by_key(bucket)
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            own = order[s:e]
-            used, ref = np.unique(sets[own], return_inverse=True)
-            who = first[used]
-            values = (int(bucket[own[0]]), blob(keys[own]), blob(ref.astype(np.uint32)), blob(ids[who]), blob(sizes[who]), blob(tag[who]), blob(tag2[who]), blob(marks[own]))
+        for values in _dealt(keys, first[sets], marks, _bucket_of(keys, buckets, coarse), ids, sizes, tag, tag2):
             for column, value in zip(rows, values):
                 column.append(value)
-        yield from _batch(schema, rows).to_batches()
+        yield from _batch(_SKETCH, rows).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches("jaccard")
@@ -291,7 +336,7 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_mem
         if parts:
             yield from emit(parts)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _SKETCH)
 
 
 _MEET = "kind int, id long, valid boolean, n long, tag long, tag2 long, point binary, cell long, members array<long>"
@@ -586,13 +631,16 @@ def _least(profile: DataFrame) -> DataFrame:
     return usable.groupBy(F.col("tag").alias("t"), F.col("tag2").alias("t2"), F.col("n").alias("size")).agg(F.min("id").alias("least"), F.count("*").alias("copies"))
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, block_members: int = BLOCK_MEMBERS, cell_members: int = CELL_MEMBERS, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, coarse: int = COARSE, block_members: int = BLOCK_MEMBERS, cell_members: int = CELL_MEMBERS, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
     """Per document: id, n_shingles and component_id (least id reachable by links). The
-    last three bound the slices that cells and neighbourhoods are cut into; the result
+    last four bound the buckets that a block sends to, and the slices that cells and neighbourhoods are cut into; the result
     doesn't depend on them."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(24, min(1 << 20, table_bytes(rows) >> 25))
-    met = _sketch(rows, k, num, den, buckets, block_members)
+    total = table_bytes(rows)
+    buckets = max(24, total >> 25)
+    met = _sketch(rows, k, num, den, buckets, coarse, block_members)
+    if buckets > coarse:
+        met = _split(met, buckets, coarse, max(coarse, total >> 30))
     # profiles are of all documents: they're dealt out by their own salt, not to one task
     salt = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("ids"), F.lit(buckets))).otherwise(F.col("bucket"))
 

@@ -24,7 +24,7 @@ def operators(spark, docs):
     bench = spark.createDataFrame([(1, "no id here at all"), (2, None), (3, ""), (4, "tie tie tie"), (4, "tie tie tie")], "item_id long, text string")
     return {
         "jaccard": lambda: jaccard.similar_groups(docs, k=4, num=85, den=100),
-        "jaccard_slices": lambda: jaccard.similar_groups(docs, k=4, num=85, den=100, block_members=2, cell_members=2, slice_shingles=1),
+        "jaccard_slices": lambda: jaccard.similar_groups(docs, k=4, num=85, den=100, coarse=2, block_members=2, cell_members=2, slice_shingles=1),
         "decontam": lambda: decontam.contaminated(docs, bench),
         "packing": lambda: packing.pack(docs, P.path("byte_bpe_50k.json"), with_ids=True),
         "substrings": lambda: substrings.dedup_substrings(docs, with_text=True),
