@@ -140,7 +140,12 @@ def test_failed_batches_and_chunks_are_left_out(spark):
     keywords = model.KeywordModel()
 
     def build():
-        return lambda prompt, text: keywords(prompt, text) if "bad" not in text else 1 / 0
+        def call(prompt, text):
+            if "bad" in text:
+                raise ValueError("bad text")
+            return keywords(prompt, text)
+
+        return call
 
     picky = model.CallableModel("picky", build)
     assert {r["ticket_id"] for r in jobs.classify_batches(df, picky, size=5).collect()} == {f"{i:02}" for i in range(5)}
