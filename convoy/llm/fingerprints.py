@@ -6,21 +6,33 @@ bucket, the sorted fingerprints of one or more batches of documents with the blo
 they are in; a window's fingerprint is its anchor (see spans). A new batch becomes a
 sorted run of its own, which is merge-joined, bucket by bucket, with the historical runs,
 none of which moves: matches mark the blocks, old and new, that hold a repeating fingerprint. When a level
-has `fan_in` runs, they're compacted into one run of the next level. Marked windows
+has `fan_in` runs, they're compacted into one run of the next level before the next batch. Marked windows
 are then compared word by word, and only windows that truly start twice count.
 
+`dedup_batch` adds a batch to an index that lives on: beside the runs it keeps each
+batch's texts by block and, for each document, which words went. A new batch reads the old
+texts of marked blocks alone, and its result names the old documents that lose words
+because of it. Every place of a fingerprint that the batch repeats is at hand, so all its
+windows are judged anew; what older batches decided on other fingerprints stands. A batch
+counts once its result is written: one that was cut off is done again from its start, and
+one that ended gives its result again. `dedup_windows` takes a whole table, in batches whose
+texts needn't be kept.
+
 Edge cases: null text has no words; texts shorter than a window lose nothing; a window
 that repeats inside one document is removed, both times; repeated ids are documents of
-their own; the order of batches doesn't change the result; extra columns are not read.
+their own; the order of batches doesn't change what is left in the end; an empty batch is
+a batch; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +51,10 @@ class FingerprintIndex:
     number, and counts once its write has ended. `buckets` must stay the same: choose it
     for the index at its largest, so that a bucket's keys (13 bytes each) fit a task.
 
-    Runs are external tables in the same number of files by bucket. A batch is dealt out
-    by bucket once, when its run is written; matching it with a historical run, and
-    merging runs, reads the files of a bucket side by side without moving them."""
+    Runs are tables in the same number of files by bucket, which the catalogue knows only
+    while a plan is made. A batch is dealt out by bucket once, when its run is written;
+    matching it with a historical run, and merging runs, reads the files of a bucket
+    side by side without moving them."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, fan_in: int = 3):
         self.spark, self.path, self.buckets, self.fan_in = spark, path.rstrip("/"), buckets, fan_in
@@ -49,49 +62,43 @@ class FingerprintIndex:
 
     def runs(self) -> list[tuple[int, int]]:
         """(level, number) of the finished runs."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        done = [n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs/{n}/_SUCCESS"))]
+        done = [n for n in folder_names(self.spark, f"{self.path}/runs") if "_SUCCESS" in folder_names(self.spark, f"{self.path}/runs/{n}")]
         return sorted(tuple(map(int, n.split("-")[1:])) for n in done)
 
-    def _table(self, folder: str) -> str:
-        return f"fingerprints_{hashlib.sha256(f'{self.path}/{folder}'.encode()).hexdigest()[:24]}"
-
     def _read(self, folder: str) -> DataFrame:
-        """A run's table; a session that doesn't know it yet is told of it."""
-        name = self._table(folder)
-        if not self.spark.catalog.tableExists(name):
-            self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (bucket) INTO {self.files} BUCKETS LOCATION '{self.path}/{folder}'")
-        return self.spark.table(name)
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (bucket) INTO {self.files} BUCKETS LOCATION '{self.path}/{folder}'")
+        table = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        return table
 
     def _write(self, rows: DataFrame, folder: str) -> DataFrame:
         self._drop(folder)
-        rows.write.format("parquet").option("path", f"{self.path}/{folder}").bucketBy(self.files, "bucket").saveAsTable(self._table(folder))
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        rows.write.format("parquet").option("path", f"{self.path}/{folder}").bucketBy(self.files, "bucket").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
         return self._read(folder)
 
     def _drop(self, folder: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(folder)}")
         remove_dir(self.spark, f"{self.path}/{folder}")
 
     def matches(self, new: DataFrame, old: DataFrame) -> DataFrame:
         """Keys that both runs hold, by block, of either run."""
         return new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge_join, KEYS)
 
-    def add(self, anchors: DataFrame) -> DataFrame:
-        """Add a batch's anchors as a run; returns the keys that repeat, by block: those
-        of the batch, and those of history that the batch repeats."""
+    def add(self, anchors: DataFrame, number: int) -> DataFrame:
+        """Add a batch's anchors as run `number`, in place of what a batch of this number left
+        that was cut off; returns the keys that repeat, by block: those of the batch, and
+        those of history that the batch repeats."""
+        self._drop(f"runs/run-0-{number}")
+        self.compact()
         before = self.runs()
-        number = max((n for _, n in before), default=-1) + 1
         dealt = anchors.repartition(self.files, "bucket")
         new = self._write(dealt.groupBy("bucket").applyInArrow(_sorted_run, RUN), f"runs/run-0-{number}")
         found = new.mapInArrow(_repeats, KEYS)
         for level, n in before:
             found = found.unionByName(self.matches(new, self._read(f"runs/run-{level}-{n}")))
         found.write.mode("overwrite").parquet(f"{self.path}/found-{number}")
-        self.compact()
         return self.spark.read.schema(KEYS).parquet(f"{self.path}/found-{number}")
 
     def compact(self) -> None:
@@ -209,46 +216,109 @@ def repeated_windows(units: Units, prefix: Prefix, first: np.ndarray, windows: n
     return value
 
 
-def dedup_windows(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, k: int = 8, batches: int = 3, folder: str | None = None, with_text: bool = False, hot_places: int = repeats.HOT_PLACES
-) -> DataFrame:
-    """Per document: id, n_words, n_removed and kept_sha256 of the words that stay,
-    joined by one space (and this text, if asked for). Windows around an anchor in more than
-    `hot_places` places are spread; the result doesn't depend on it."""
-    spark = docs.sparkSession
-    windows = Windows(True, length, k)
-    blocks = block_count(docs.select(id_col, text_col))
-    texts = in_blocks(docs, blocks, id_col, text_col)
-    index = FingerprintIndex(spark, folder or work_dir(spark, "fingerprints"), bucket_count(docs.select(id_col, text_col), blocks, 4))
-    keys = spark.createDataFrame([], KEYS)
-    for b in range(batches):
-        batch = texts.filter(F.col("block") % batches == b)
-        keys = keys.unionByName(index.add(repeats.anchors(batch, windows, index.buckets, across_docs=False)))
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, which may be missing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+_CUT = "block long, batch string, id long, place long, n_words long, n_removed long, kept_sha256 string, kept binary, gone binary, changed boolean"
+
+
+def _removed(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int, hot_places: int, with_text: bool, before: DataFrame | None = None) -> DataFrame:
+    """Each text with the words that go: those of windows that start twice, of the keys
+    given, and those that went `before` (block, place, gone)."""
+
+    length, stored = windows.length, before is not None
 
     def judge(*args):
         return repeated_windows(*args, length)
 
-    schema = "id long, n_words long, n_removed long, kept_sha256 string, kept binary"
-
     def cut(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         release_caches("repeats")
-        rows: list[list] = [[], [], [], [], []]
-        ids = table.column("id").to_pylist()
+        rows: list[list] = [[] for _ in _CUT.split(", ")]
+        ids, batch, places = (table.column(c).to_pylist() for c in ("id", "batch", "place"))
+        past: dict[int, list[bytes]] = {}
+        if stored:
+            for place, bits in zip(found.column("place").to_pylist(), found.column("gone").to_pylist()):
+                past.setdefault(place, []).append(bits)
+            found = found.filter(pc.is_valid(found.column("hash")))
         for start, end, units, gone in repeats.removed_symbols(table, found, windows, lambda value, own: value == 1):
+            new = gone.copy()
+            for r in range(start, end):
+                own = slice(units.offsets[r - start], units.offsets[r - start + 1])
+                for bits in past.get(places[r], ()):
+                    old = np.unpackbits(np.frombuffer(bits, np.uint8), count=own.stop - own.start).astype(bool)
+                    new[own] &= ~old
+                    gone[own] |= old
             stay = np.flatnonzero(~gone)
             size = units.ends[stay] - units.begins[stay] + 1
             kept = units.data[ragged(units.begins[stay], size)].tobytes()
             at = np.append(0, np.cumsum(size))[np.searchsorted(stay, units.offsets)].tolist()
-            removed = np.append(0, np.cumsum(gone))
-            rows[0] += ids[start:end]
-            rows[1] += np.diff(units.offsets).tolist()
-            rows[2] += np.diff(removed[units.offsets]).tolist()
+            count = lambda x: np.diff(np.append(0, np.cumsum(x))[units.offsets])  # noqa: E731, B023
             own = [kept[a : max(a, b - 1)] for a, b in zip(at[:-1], at[1:])]
-            rows[3] += [hashlib.sha256(x).hexdigest() for x in own]
-            rows[4] += own if with_text else [None] * len(own)
-        return _batch(schema, rows)
-
-    found = repeats.verdicts(repeats.segments(texts, _with_hot(keys, hot_places), windows, index.buckets), windows, index.buckets, judge)
-    out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_with_left_key(cut, schema), schema)
-    columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256"]
-    return out.select(*columns, *(["kept"] if with_text else []))
+            bits = [np.packbits(gone[a:b]).tobytes() if n else None for a, b, n in zip(units.offsets[:-1], units.offsets[1:], count(gone))]
+            values = [[key[0].as_py()] * (end - start), batch[start:end], ids[start:end], places[start:end], np.diff(units.offsets).tolist(), count(gone).tolist(), [hashlib.sha256(x).hexdigest() for x in own]]
+            values += [own if with_text else [None] * len(own), bits if stored else [None] * len(own), (count(new) > 0).tolist()]
+            for column, value in zip(rows, values):
+                column += value
+        return _batch(_CUT, rows)
+
+    found = repeats.verdicts(repeats.segments(texts, _with_hot(keys, hot_places), windows, buckets), windows, buckets, judge)
+    if before is not None:
+        found = found.unionByName(before, allowMissingColumns=True)
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_with_left_key(cut, _CUT), _CUT)
+
+
+def dedup_windows(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, k: int = 8, batches: int = 3, fan_in: int = 2, with_text: bool = False, hot_places: int = repeats.HOT_PLACES
+) -> DataFrame:
+    """Per document: id, n_words, n_removed and kept_sha256 of the words that stay,
+    joined by one space (and this text, if asked for). Windows around an anchor in more than
+    `hot_places` places are spread; the result doesn't depend on it."""
+    spark = docs.sparkSession
+    windows = Windows(True, length, k)
+    blocks = block_count(docs.select(id_col, text_col))
+    texts = in_blocks(docs, blocks, id_col, text_col).withColumns({"place": F.lit(0).cast("long"), "batch": F.lit("")})
+    index = FingerprintIndex(spark, work_dir(spark, "fingerprints"), bucket_count(docs.select(id_col, text_col), blocks, 4), fan_in)
+    keys = spark.createDataFrame([], KEYS)
+    for b in range(batches):
+        keys = keys.unionByName(index.add(repeats.anchors(texts.filter(F.col("block") % batches == b), windows, index.buckets, across_docs=False), b))
+    out = _removed(texts, keys, windows, index.buckets, hot_places, with_text)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))
+
+
+def dedup_batch(
+    docs: DataFrame, folder: str, batch: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, k: int = 8, buckets: int = 64, fan_in: int = 3, hot_places: int = repeats.HOT_PLACES
+) -> DataFrame:
+    """Add a batch to the index in `folder`. Per document of the batch, and per document of
+    an older batch that loses words because of it: batch, id, n_words, n_removed,
+    kept_sha256 and kept (the words that stay), counted over all batches so far. Windows and
+    `buckets` are those with which the index began."""
+    spark, windows, folder = docs.sparkSession, Windows(True, length, k), folder.rstrip("/")
+    known = [n for n in folder_names(spark, folder) if n.startswith(f"windows-{length}-{k}-")]
+    root = f"{folder}/{known[0] if known else f'windows-{length}-{k}-{buckets}'}"
+    index = FingerprintIndex(spark, root, int(root.rsplit("-", 1)[1]), fan_in)
+    name = hashlib.sha256(batch.encode()).hexdigest()[:16]
+    numbers = {n.split("-")[1]: int(n.split("-")[0]) for n in folder_names(spark, f"{root}/texts")}
+    ended = {n for n in numbers.values() if "_SUCCESS" in folder_names(spark, f"{root}/results/{n}")}
+    number = numbers.get(name, len(numbers))
+    if number not in ended:
+        for level, n in index.runs():
+            if level == 0 and n not in ended:  # of a batch that was cut off
+                index._drop(f"runs/run-0-{n}")
+        rows = in_blocks(docs, block_count(docs.select(id_col, text_col)), id_col, text_col).withColumn("block", F.col("block") + (number << 32))
+        rows = rows.withColumns({"place": F.monotonically_increasing_id(), "batch": F.lit(batch)})
+        paths = {n: f"{root}/texts/{n}-{x}" for x, n in numbers.items() if n in ended} | {number: f"{root}/texts/{number}-{name}"}
+        rows.repartition("block").write.mode("overwrite").partitionBy("block").parquet(paths[number])
+        texts_of = lambda n: spark.read.schema("id long, text string, place long, batch string, block long").parquet(paths[n])
+        texts, past = texts_of(number), spark.createDataFrame([], "block long, place long, gone binary")
+        keys = index.add(repeats.anchors(texts, windows, index.buckets, across_docs=False), number)
+        hit = F.broadcast(keys.filter(F.col("block") < number << 32).groupBy("block").agg(F.count("*").alias("n")).filter("n > 0").select("block"))  # a long for each block
+        for n in sorted(ended):
+            texts = texts.unionByName(texts_of(n).join(hit, "block", "left_semi"))
+            past = past.unionByName(spark.read.parquet(f"{root}/results/{n}").filter("gone is not null").select("block", "place", "gone").join(hit, "block", "left_semi"))
+        cut = _removed(texts, keys, windows, index.buckets, hot_places, True, past)
+        cut.filter((F.col("block") >= number << 32) | F.col("changed")).write.mode("overwrite").parquet(f"{root}/results/{number}")
+    return spark.read.parquet(f"{root}/results/{number}").select("batch", F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")

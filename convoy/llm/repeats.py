@@ -57,7 +57,7 @@ VERDICTS = "block long, hash binary, parts binary, sizes binary, values binary"
 
 
 def _batch(schema: str, columns: list[list]) -> pa.Table:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
     fields = [(n, kinds[t]) for n, t in (f.split() for f in schema.split(", "))]
     return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, fields)], schema=pa.schema(fields))
 

@@ -424,14 +424,12 @@ def test_op10_periodic_text_and_compaction(spark):
     index = fingerprints.FingerprintIndex(spark, work_dir(spark, "index"), 16)
     texts = in_blocks(df, 8, "doc_id", "text")
     for b in range(3):
-        index.add(repeats.anchors(texts.filter(f"block % 3 = {b}"), repeats.Windows(True, 35, 8), 16, False))
-    assert index.runs() == [(1, 2)]
-    new = index.add(repeats.anchors(texts, repeats.Windows(True, 35, 8), 16, False))
+        index.add(repeats.anchors(texts.filter(f"block % 3 = {b}"), repeats.Windows(True, 35, 8), 16, False), b)
+    assert index.runs() == [(0, 0), (0, 1), (0, 2)]
+    new = index.add(repeats.anchors(texts, repeats.Windows(True, 35, 8), 16, False), 3)
     assert index.runs() == [(0, 3), (1, 2)] and new.count() > 0
     # history is read where it lies: only the batch is dealt out
     again = fingerprints.FingerprintIndex(spark, index.path, 16)
-    for name in ("runs/run-0-3", "runs/run-1-2"):
-        spark.sql(f"DROP TABLE {index._table(name)}")  # as in another session
     plan = again.matches(again._read("runs/run-0-3"), again._read("runs/run-1-2"))
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() > 0
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from convoy.llm import exact, negatives, periods, queries
+from convoy.llm import exact, fingerprints, negatives, periods, queries
 from convoy.llm.spans import word_units
 
 
@@ -225,3 +225,70 @@ def test_op13_hard_rows(spark):
     want = [(50, 1, 1, 2, p, n), (50, 1, 2, 2, p, n)] + [(100, i, k, 2, 0, 0) for i in (1, 50) for k in (1, 2)]
     assert got == sorted(want)
     assert negatives.hard_negatives(df.filter("vec_id = -1"), F.col("id") % 50 == 0).count() == 0
+
+
+def plain_windows(docs, length):
+    """(n_words, n_removed, kept) of each document by its place."""
+    seen = {}
+    for n, (_, t) in enumerate(docs):
+        w = words_of(t)
+        for i in range(len(w) - length + 1):
+            seen.setdefault(tuple(w[i : i + length]), []).append((n, i))
+    gone = {(n, i + j) for places in seen.values() if len(places) > 1 for n, i in places for j in range(length)}
+    out = []
+    for n, (i, t) in enumerate(docs):
+        w = words_of(t)
+        out.append((i, len(w), sum((n, j) in gone for j in range(len(w))), " ".join(x for j, x in enumerate(w) if (n, j) not in gone)))
+    return out
+
+
+def test_op10_batches_over_several_sessions(spark, tmp_path):
+    """After every batch, each document's last row is what all batches so far leave of it."""
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xy")
+    shared = [[word() for _ in range(rng.randint(10, 30))] for _ in range(4)]
+    folder, every, last = f"file://{tmp_path}/index", [], {}
+    for b in range(6):
+        docs = []
+        for i in range(12 if b != 3 else 0):
+            parts = [[word() for _ in range(rng.randint(0, 40))], rng.choice([*shared, [], []]), [word() for _ in range(rng.randint(0, 9))]]
+            docs.append((b * 100 + i, " ".join(sum(parts, []))))
+        docs += [(900 + b, None), (950 + b, every[0][1] if every else "")]
+        every += docs
+        session = spark.newSession()
+        rows = session.createDataFrame([(i, t, "x", 5) for i, t in docs], "doc_id long, text string, batch string, block int")
+        if b == 2:  # a batch that was cut off after its run was written, and another that never comes back
+            with pytest.raises(ZeroDivisionError):
+                with pytest.MonkeyPatch.context() as patch:
+                    patch.setattr(fingerprints, "_removed", lambda *_: 1 / 0)
+                    fingerprints.dedup_batch(rows, folder, "lost", length=9, k=4, buckets=4)
+        got = [tuple(r) for r in fingerprints.dedup_batch(rows, folder, f"b{b}", length=9, k=4, buckets=4).collect()]
+        assert sum(r[0] == f"b{b}" for r in got) == len(docs)
+        for r in got:
+            assert r[0] == f"b{b}" or r[3] > last[r[1]][1]  # older documents only if they lose words
+            last[r[1]] = (r[2], r[3], bytes(r[5]).decode())
+            assert r[4] == hashlib.sha256(r[5]).hexdigest()
+        assert last == {i: (n, gone, kept) for i, n, gone, kept in plain_windows(every, 9)}
+        again = fingerprints.dedup_batch(rows, folder, f"b{b}", length=9, k=4, buckets=4).collect()
+        assert sorted(map(str, again)) == sorted(map(str, fingerprints.dedup_batch(rows, folder, f"b{b}", length=9, k=4, buckets=4).collect())) and len(again) == len(got)
+    index = fingerprints.FingerprintIndex(spark, f"{folder}/windows-9-4-4", 4)
+    assert any(level > 0 for level, _ in index.runs())  # runs were merged on the way
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints_")]
+
+
+def test_op10_reads_marked_blocks_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"{i}w{j}" for j in range(60))) for i in range(200)], "doc_id long, text string")
+    folder = f"file://{tmp_path}/index"
+    fingerprints.dedup_batch(docs, folder, "a")
+    copy = docs.filter("doc_id = 7").withColumn("doc_id", F.lit(1000).cast("long"))
+    plans, plain = [], fingerprints._removed
+
+    def spy(texts, *args):
+        plans.append(texts._jdf.queryExecution().executedPlan().toString())
+        return plain(texts, *args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fingerprints, "_removed", spy)
+        got = fingerprints.dedup_batch(copy, folder, "b").collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(7, 60), (1000, 60)]
+    assert "dynamicpruning" in plans[0]
