@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, release_caches, remove_dir, utf8, work_dir
 
-#: Bytes read from an archive, and inflated, at a time.
-CHUNK = 1 << 20
+#: Bytes read from an archive, and inflated, at a time; most bytes of a record's headers.
+CHUNK, MOST_HEADERS = 1 << 20, 1 << 22
 #: Rows of a digest and two ids that are broadcast at most (about 20 MB).
 BROADCAST_ROWS = 200_000
 MANIFEST = "archive string, index string, records long"
@@ -69,23 +69,37 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["content-length"])]
 
 
-def records_of(stream) -> Iterator[bytes]:
-    """The records of a gzip file of one or more members, inflated once and in chunks."""
-    inflate, held = zlib.decompressobj(31), bytearray()
-    need = -1  # bytes of the record at the front, once its headers are here
-    while True:
-        chunk = stream.read(CHUNK)
-        data = bytes(chunk)
-        while data:
-            held += inflate.decompress(data)
-            data = inflate.unused_data
+def inflated(stream) -> Iterator[bytes]:
+    """Pieces of at most CHUNK bytes of a gzip file of one or more members, however far it
+    inflates; an error if its last member has no end."""
+    inflate, begun = zlib.decompressobj(31), False
+    while chunk := bytes(stream.read(CHUNK)):
+        data, full = chunk, False
+        while data or full:
+            begun = True
+            piece = inflate.decompress(data, CHUNK)
+            data, full = inflate.unconsumed_tail, len(piece) == CHUNK  # more may be held back
             if inflate.eof:
+                data, full, begun = inflate.unused_data, False, False
                 inflate = zlib.decompressobj(31)
+            if piece:
+                yield piece
+    if begun:
+        raise ValueError("the archive ends inside a gzip member")
+
+
+def records_of(stream) -> Iterator[bytes]:
+    """The records of a gzip file, inflated once; one record and a piece are held at a time."""
+    held, need = bytearray(), -1  # bytes of the record at the front, once its headers are here
+    for piece in inflated(stream):
+        held += piece
         at = 0
         while True:
             if need < 0:
                 end = held.find(b"\r\n\r\n", at)
                 if end < 0:
+                    if len(held) - at > MOST_HEADERS:
+                        raise ValueError("the headers of a record have no end")
                     break
                 head = bytes(held[at:end]).lower()
                 need = end - at + 4 + int(head.rpartition(b"\r\ncontent-length:")[2].split(b"\r\n")[0]) + 4
@@ -94,10 +108,8 @@ def records_of(stream) -> Iterator[bytes]:
             yield bytes(held[at : at + need])
             at, need = at + need, -1
         del held[:at]
-        if not chunk:
-            if held:
-                raise ValueError("the archive ends inside a record")
-            return
+    if held:
+        raise ValueError("the archive ends inside a record")
 
 
 def with_revisits(pages: DataFrame, *, id_col: str, payload_col: str, url_col: str | None, least: int) -> DataFrame:
@@ -168,12 +180,14 @@ def _clean(url: str) -> str:
 
 def normalise(manifest: DataFrame, folder: str) -> DataFrame:
     """Every record as a gzip member of its own, and an index of offsets beside each
-    archive. A task for each archive; an archive is read once, from front to back."""
+    archive. A task for each archive; an archive is read once, from front to back. An archive
+    that is cut off, or that holds another number of records than the manifest says
+    (null: unknown), is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches("warc")
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, records in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 name = f"{folder}/warc/{uuid.uuid4().hex}.warc.gz"
                 at, n = 0, 0
                 with _open(path, "r") as source, _open(name, "w") as out, _open(f"{name}.idx", "w") as index:
@@ -185,6 +199,8 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                         out.write(member)
                         index.write((json.dumps([at, len(member), own]) + "\n").encode())
                         at, n = at + len(member), n + 1
+                if records not in (None, n):
+                    raise ValueError(f"{path} holds {n} records and should hold {records}")
                 yield pa.RecordBatch.from_pydict({"archive": [name], "index": [f"{name}.idx"], "records": [n]}, schema=_manifest_schema())
 
     files = max(1, manifest.count())
