@@ -56,6 +56,7 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | None:
         usage = spark.read.parquet(args.usage)
         return {"breakdown": lambda: cost.operation_breakdown(usage), "trends": lambda: cost.cost_trend(usage, args.hours), "sessions": lambda: cost.sessions(usage, args.session_key)}[args.what]()
     if args.command == "cache":
+        tables.restore_table(spark, args.table.rstrip("/"))
         stored = spark.read.parquet(args.table)
         if args.what == "status":
             return stored.agg(F.count("*").alias("entries"), F.count_distinct("key").alias("keys"))

@@ -1,6 +1,6 @@
-"""Reports of small tables: a text with sections, a JSON document, metric tables and the
-loads of what earlier runs left. A report's tables have a row for each category, phase,
-session or metric.
+"""Reports: a text with sections, a JSON document, metric tables and the loads of what
+earlier runs left. A report's tables have a row for each category, phase, session or
+metric, and all rows are written.
 """
 
 from __future__ import annotations
@@ -8,11 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import documents
+from .documents import read_array, write_array  # noqa: F401  loads and saves of sessions, runs and rules
 from .tables import read_messages
 
-#: Rows of a table that a section shows.
-SECTION_ROWS = 1000
-
 
 def report_lines(title: str, tables: dict[str, DataFrame]) -> DataFrame:
     """(section, nr, line): a title, then a heading and a line for each row of each table,
@@ -21,7 +20,7 @@ def report_lines(title: str, tables: dict[str, DataFrame]) -> DataFrame:
     out = spark.range(1).select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("nr"), F.lit(title).alias("line"))
     for n, (name, df) in enumerate(tables.items(), 1):
         cells = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))) for c in df.columns]
-        lines = df.limit(SECTION_ROWS).select(F.lit(n).alias("section"), (F.monotonically_increasing_id() + 1).alias("nr"), F.concat_ws(" | ", *cells).alias("line"))
+        lines = df.select(F.lit(n).alias("section"), (F.monotonically_increasing_id() + 1).alias("nr"), F.concat_ws(" | ", *cells).alias("line"))
         head = spark.range(1).select(F.lit(n).alias("section"), F.lit(0).cast("long").alias("nr"), F.lit(f"== {name} ==").alias("line"))
         out = out.unionByName(head).unionByName(lines)
     return out
@@ -33,17 +32,9 @@ def write_text_report(spark: SparkSession, title: str, tables: dict[str, DataFra
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
-def json_document(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row with a column of JSON rows for each table, and the time."""
-    out = None
-    for name, df in tables.items():
-        rows = df.limit(SECTION_ROWS).agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias(name))
-        out = rows if out is None else out.crossJoin(F.broadcast(rows))  # single rows
-    return out.withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
-
-
 def write_json_report(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:
-    json_document(tables).coalesce(1).write.mode("overwrite").json(path)
+    """One JSON document with all rows of each table, and the time."""
+    documents.write_document(tables, path)
 
 
 def sections_csv(tables: dict[str, DataFrame], path: str, sep: str = ",") -> None:
@@ -55,7 +46,7 @@ def sections_csv(tables: dict[str, DataFrame], path: str, sep: str = ",") -> Non
         values = [F.col(f"`{c}`").cast("string") for c in df.columns] + [F.lit(None).cast("string")] * (width - len(df.columns))
         names = [F.lit(c) for c in df.columns] + [F.lit(None).cast("string")] * (width - len(df.columns))
         head = spark.range(1).select(F.lit(n).alias("s"), F.lit(0).cast("long").alias("nr"), F.lit(name).alias("section"), *(v.alias(f"v{i}") for i, v in enumerate(names)))
-        body = df.limit(SECTION_ROWS).select(F.lit(n).alias("s"), (F.monotonically_increasing_id() + 1).alias("nr"), F.lit(name).alias("section"), *(v.alias(f"v{i}") for i, v in enumerate(values)))
+        body = df.select(F.lit(n).alias("s"), (F.monotonically_increasing_id() + 1).alias("nr"), F.lit(name).alias("section"), *(v.alias(f"v{i}") for i, v in enumerate(values)))
         part = head.unionByName(body)
         rows = part if rows is None else rows.unionByName(part)
     rows.orderBy("s", "nr").drop("s", "nr").coalesce(1).write.mode("overwrite").csv(path, sep=sep, header=False)
@@ -81,15 +72,9 @@ def error_context(c, at, around: int = 100):
 # --- what earlier runs left
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-
-
 def inputs_in(spark: SparkSession, folder: str) -> list[str]:
     """The message files of a folder, sorted."""
-    return [f"{folder.rstrip('/')}/{n}" for n in _names(spark, folder) if n.lower().endswith((".csv", ".xlsx"))]
+    return [f"{folder.rstrip('/')}/{n}" for n in documents.names_in(spark, folder) if n.lower().endswith((".csv", ".xlsx"))]
 
 
 def choose_input(spark: SparkSession, folder: str, path: str | None = None) -> str:
@@ -105,26 +90,13 @@ def choose_input(spark: SparkSession, folder: str, path: str | None = None) -> s
 def artefacts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """What a run left in its folder: `categorized` has to be there, `final` and `summarized`
     may be."""
-    held = _names(spark, folder)
+    held = documents.names_in(spark, folder)
     out = {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in ("categorized", "final", "summarized") if n in held}
     if "categorized" not in out:
         raise FileNotFoundError(f"no categorized tickets in {folder}")
     return out
 
 
-def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of records (sessions, runs, alert rules); no file, no rows."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path, multiLine=True)
-
-
-def write_array(df: DataFrame, path: str) -> None:
-    """Records as JSON, a line each; `read_array` reads files of either form."""
-    df.coalesce(1).write.mode("overwrite").json(path)
-
-
 SESSIONS = "session_id string, start_time double, end_time double, total_input_tokens long, total_output_tokens long, total_cost_usd double, operations_count long, dataset_size long, processing_mode string"
 RUNS = "run_id string, timestamp timestamp, dataset_size long, workers_used int, actual_duration_minutes double, throughput_tickets_per_minute double"
 ALERT_RULES = "alert_type string, alert_level string, threshold_value double, enabled boolean, cooldown_minutes int"

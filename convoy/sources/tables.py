@@ -12,16 +12,11 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import NA_VALUES
+from .documents import first_bytes
 
 REQUIRED = ("ticket_id", "category", "text", "sender")
 
 
-def _head(spark: SparkSession, path: str, n: int = 65536) -> bytes:
-    """The first bytes of the first file, through Spark's own file systems."""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("c")).limit(1).collect()
-    return bytes(rows[0]["c"]) if rows else b""
-
-
 def sniff(head: bytes) -> tuple[str, str, list[str]]:
     """Encoding, separator and header of a CSV file. The separator is the one whose
     header has the most of the required columns."""
@@ -52,7 +47,7 @@ def read_messages(spark: SparkSession, path: str, *, limit: int | None = None, n
     elif suffix == "parquet":
         out = spark.read.parquet(path)
     elif suffix == "csv":
-        encoding, found, names = sniff(_head(spark, path))
+        encoding, found, names = sniff(first_bytes(spark, path))
         fields = [T.StructField(n, T.StringType()) for n in names] + [T.StructField("_extra", T.StringType()), T.StructField("_corrupt", T.StringType())]
         raw = spark.read.csv(path, schema=T.StructType(fields), sep=sep or found, header=True, quote='"', escape="\\", encoding=encoding, mode="PERMISSIVE", multiLine=True, enforceSchema=True, columnNameOfCorruptRecord="_corrupt")
         out = raw.filter(F.col("_extra").isNull()).select(*names)  # a field beyond the header
@@ -156,17 +151,30 @@ def metric_rows(df: DataFrame) -> DataFrame:
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Put `df`, which may be made from the table at `path`, in that table's place: it is
-    written beside it first, then the folders change places."""
+    written beside it first, then the old one is moved aside, and deleted last. If a job died
+    between the moves, the old table is put back (`restore_table`)."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}-new")
-    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}-new", path))
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    new, now, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}-new", path, f"{path}-old"))
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(now):
+        fs.delete(old, True)
+        if not fs.rename(now, old):
+            raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(new, now):
         raise OSError(f"{path}-new could not take the place of {path}")
+    fs.delete(old, True)
     spark.catalog.refreshByPath(path)
 
 
+def restore_table(spark: SparkSession, path: str) -> None:
+    """After a crash inside `replace_table`: the old table, if none has its place."""
+    now, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}-old"))
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(now) and not fs.rename(old, now):
+        raise OSError(f"{path}-old could not take its place again")
+
+
 def write_spill(df: DataFrame, path: str) -> None:
     """Intermediate results, packed as small as Parquet gets."""
     df.write.mode("overwrite").option("compression", "gzip").parquet(path)
