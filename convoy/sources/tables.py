@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import NA_VALUES
+from .delimited import read_csv
 from .documents import first_bytes
 
 REQUIRED = ("ticket_id", "category", "text", "sender")
@@ -48,9 +49,7 @@ def read_messages(spark: SparkSession, path: str, *, limit: int | None = None, n
         out = spark.read.parquet(path)
     elif suffix == "csv":
         encoding, found, names = sniff(first_bytes(spark, path))
-        fields = [T.StructField(n, T.StringType()) for n in names] + [T.StructField("_extra", T.StringType()), T.StructField("_corrupt", T.StringType())]
-        raw = spark.read.csv(path, schema=T.StructType(fields), sep=sep or found, header=True, quote='"', escape="\\", encoding=encoding, mode="PERMISSIVE", multiLine=True, enforceSchema=True, columnNameOfCorruptRecord="_corrupt")
-        out = raw.filter(F.col("_extra").isNull()).select(*names)  # a field beyond the header
+        out = read_csv(spark, path, names, sep or found, encoding)
     else:
         raise ValueError(f"unknown kind of file: {suffix}")
     words = NA_VALUES if na_values is None else na_values
