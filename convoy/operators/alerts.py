@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordered import positions
+
 ALERT = "alert_type string, level string, ts timestamp_ntz, value double, threshold double"
 
 
@@ -51,8 +53,11 @@ def hourly_spikes(points: DataFrame, value: str, seconds: str, limit: float) ->
 def predictive(points: DataFrame, budget: float, group: str | None = None) -> DataFrame:
     """Points (progress, cost) whose cost at this progress leads over the budget; from a
     tenth of the work and the fifth point on. Without a group, the points are of one job."""
-    w = (W.partitionBy(group) if group else W.partitionBy()).orderBy("ts")
-    out = points.withColumn("n", F.row_number().over(w)).withColumn("projected", F.try_divide("cost", "progress"))
+    if group:
+        out = points.withColumn("n", F.row_number().over(W.partitionBy(group).orderBy("ts")))
+    else:
+        out = positions(points, "ts", name="n").withColumn("n", F.col("n") + 1)
+    out = out.withColumn("projected", F.try_divide("cost", "progress"))
     return out.filter((F.col("progress") > 0.1) & (F.col("n") >= 5) & (F.col("projected") > budget))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.numbers import PRICING, token_cost
-from .ordered import running_sum
+from .ordered import over_rows, running_sum
 
 # Factors and prices of the planning model, in USD.
 OPTION_FACTORS = {"discovery_only": 0.6, "application_only": 0.8, "parallel_discovery": 0.7, "optimized_application": 0.85, "discovery_application": 1.0}
@@ -74,8 +74,8 @@ def since(df: DataFrame, seconds_col: str, now: Column, hours: float) -> DataFra
 
 def session_events(events: DataFrame, order: str) -> DataFrame:
     """Sessions of start and end events (session_id, event, seconds): a start closes the
-    session that is still open, at its own time. The window runs over session events."""
-    starts = events.filter("event = 'start'").withColumn("next", F.lead("seconds").over(W.orderBy("seconds", order)))
+    session that is still open, at its own time."""
+    starts = over_rows(events.filter("event = 'start'"), ["seconds", order], lambda w: {"next": F.lead("seconds").over(w)}, after=1)
     ends = events.filter("event = 'end'").groupBy(F.col("session_id").alias("s")).agg(F.min("seconds").alias("ended"))
     out = starts.join(ends, F.col("session_id") == F.col("s"), "left")
     end = F.least(F.coalesce("ended", "next"), F.coalesce("next", "ended"))

@@ -153,15 +153,18 @@ def comparison_recommendations(projected: DataFrame) -> DataFrame:
 
 def history_context(sessions: DataFrame, order: str) -> DataFrame:
     """Of sessions (dataset_size, total_cost_usd): totals, whether the last three cost less
-    than those before, and how many costs the last five have. The window runs over sessions."""
-    back = F.row_number().over(W.orderBy(F.desc(order)))
-    rows = sessions.withColumn("r", back).withColumn("n", F.count("*").over(W.partitionBy()))
-    older = F.when(F.col("n") > 3, F.col("r") > 3).otherwise(F.col("r") == F.col("n"))
-    one = rows.agg(
-        F.sum(F.when(F.col("dataset_size") > 0, F.col("dataset_size")).otherwise(0)).alias("items"), F.sum("total_cost_usd").alias("cost"), F.count("*").alias("sessions"),
-        F.avg(F.when(F.col("r") <= 3, F.col("total_cost_usd"))).alias("recent"), F.avg(F.when(older, F.col("total_cost_usd"))).alias("older"),
-        F.count_distinct(F.when(F.col("r") <= 5, F.col("total_cost_usd"))).alias("last_costs"),
+    than those before (of three sessions or less: than the first), and how many costs the
+    last five have."""
+    c = F.col("total_cost_usd")
+    every = sessions.agg(
+        F.sum(F.when(F.col("dataset_size") > 0, F.col("dataset_size")).otherwise(0)).alias("items"), F.sum(c).alias("cost"), F.count("*").alias("sessions"),
+        F.count(c).alias("costs"), F.min_by(c, F.col(order)).alias("first"),
     )
+    last = sessions.orderBy(F.desc(order)).limit(5).select(c, F.row_number().over(W.orderBy(F.desc(order))).alias("r"))  # five rows
+    recent = F.when(F.col("r") <= 3, c)
+    ends = last.agg(F.avg(recent).alias("recent"), F.sum(recent).alias("s"), F.count(recent).alias("k"), F.count_distinct(c).alias("last_costs"))
+    older = F.when(F.col("sessions") > 3, F.try_divide(F.col("cost") - F.coalesce("s", F.lit(0)), F.col("costs") - F.col("k"))).otherwise(F.col("first"))
+    one = every.crossJoin(F.broadcast(ends)).withColumn("older", older)  # single rows
     trend = F.when(F.col("sessions") < 2, "insufficient_data").when(F.col("recent") < F.col("older"), "improving").otherwise("stable")
     return one.select("items", "cost", (F.col("cost") / F.greatest(F.col("items"), F.lit(1))).alias("cost_per_item"), "sessions", "recent", "older", trend.alias("trend"), F.when(F.col("last_costs") < 3, "stable").otherwise("variable").alias("stability"))
 

@@ -1,20 +1,29 @@
 """Trends, frames and anomalies over ordered series.
 
-Series that belong to something are partitioned by it; a series of its own is expected
-to be aggregated (by hour, run or size) before.
+Series that belong to something are partitioned by it; a series of its own is dealt out by
+ranges of its order, each with what its frames need of the ranges beside it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .ordered import positions, running_sum
+from .ordered import over_rows, over_time, positions, running_sum
+
+
+def _rows(df: DataFrame, order: str, group: str | None, columns: Callable, before: int = 0, after: int = 0) -> DataFrame:
+    """Columns over frames of a few rows, of each group or of the whole series."""
+    if group:
+        return df.withColumns(columns(W.partitionBy(group).orderBy(order)))
+    return over_rows(df, [order], columns, before, after)
 
 
-def _over(group: str | None):
-    return W.partitionBy(group) if group else W.partitionBy()
+def _time(df: DataFrame, time: str, group: str | None, columns: Callable, back: int) -> DataFrame:
+    return df.withColumns(columns(W.partitionBy(group).orderBy(time))) if group else over_time(df, time, columns, back)
 
 
 def half_split_trend(df: DataFrame, value: str, order: str, group: str | None = None, percent: float = 5.0, least: int = 3, floor: float | None = None) -> DataFrame:
@@ -44,19 +53,19 @@ def ends_trend(df: DataFrame, value: str, order: str, k: int = 3, margin: float
 
 def last_zscore(df: DataFrame, value: str, order: str, group: str | None = None, n: int = 10, sigmas: float = 2.0) -> DataFrame:
     """Each value against mean and population deviation of the last n."""
-    w = _over(group).orderBy(order).rowsBetween(-(n - 1), 0)
-    out = df.withColumn("mean", F.avg(value).over(w)).withColumn("std", F.stddev_pop(value).over(w)).withColumn("n", F.count(value).over(w))
+    frame = lambda w: w.rowsBetween(-(n - 1), 0)
+    out = _rows(df, order, group, lambda w: {"mean": F.avg(value).over(frame(w)), "std": F.stddev_pop(value).over(frame(w)), "n": F.count(value).over(frame(w))}, before=n - 1)
     return out.withColumn("z", F.when(F.col("std") > 0, (F.col(value) - F.col("mean")) / F.col("std"))).withColumn("anomaly", (F.col("n") >= n) & (F.col(value) > F.col("mean") + sigmas * F.col("std")))
 
 
 def trailing_range(df: DataFrame, value: str, seconds_col: str, group: str | None = None, seconds: int = 3600) -> DataFrame:
     """Greatest minus least value of the trailing time."""
-    w = _over(group).orderBy(seconds_col).rangeBetween(-seconds, 0)
-    return df.withColumn("spread", F.max(value).over(w) - F.min(value).over(w))
+    frame = lambda w: w.rangeBetween(-seconds, 0)
+    return _time(df, seconds_col, group, lambda w: {"spread": F.max(value).over(frame(w)) - F.min(value).over(frame(w))}, seconds)
 
 
 def trailing_mean(df: DataFrame, value: str, seconds_col: str, group: str | None = None, seconds: int = 600) -> DataFrame:
-    return df.withColumn("trailing", F.avg(value).over(_over(group).orderBy(seconds_col).rangeBetween(-seconds, 0)))
+    return _time(df, seconds_col, group, lambda w: {"trailing": F.avg(value).over(w.rangeBetween(-seconds, 0))}, seconds)
 
 
 def recent_trend(df: DataFrame, value: str, seconds_col: str, group: str, minutes: int = 10, last: int = 10) -> DataFrame:
@@ -71,9 +80,9 @@ def recent_trend(df: DataFrame, value: str, seconds_col: str, group: str, minute
     return trend.join(kept.groupBy(group).agg(F.avg(value).alias("mean")), group).select(group, "n", "mean", "trend")
 
 
-def slope(value: str, order: str, group: str | None = None, n: int = 5) -> Column:
+def slope(df: DataFrame, value: str, order: str, group: str | None = None, n: int = 5) -> DataFrame:
     """(last - first) / n over the last n values."""
-    return (F.col(value) - F.lag(value, n - 1).over(_over(group).orderBy(order))) / n
+    return _rows(df, order, group, lambda w: {"slope": (F.col(value) - F.lag(value, n - 1).over(w)) / n}, before=n - 1)
 
 
 def running_mean(df: DataFrame, value: str, order: str, group: str | None = None) -> DataFrame:
@@ -87,22 +96,20 @@ def running_mean(df: DataFrame, value: str, order: str, group: str | None = None
 
 def stability_points(df: DataFrame, value: str, order: str, n: int = 5, most: float = 100.0) -> DataFrame:
     """10 points for steady last values, 5 if their variance is over `most`."""
-    v = F.var_pop(value).over(W.orderBy(order).rowsBetween(-(n - 1), 0))
-    return df.withColumn("points", F.when(v > most, 5).otherwise(10))
+    out = _rows(df, order, None, lambda w: {"__v": F.var_pop(value).over(w.rowsBetween(-(n - 1), 0))}, before=n - 1)
+    return out.withColumn("points", F.when(F.col("__v") > most, 5).otherwise(10)).drop("__v")
 
 
 def diminishing_returns(df: DataFrame, x: str, y: str) -> DataFrame:
     """The least x after which y falls no further."""
-    step = (F.lead(y).over(W.orderBy(x)) - F.col(y)) / (F.lead(x).over(W.orderBy(x)) - F.col(x))
-    return df.withColumn("__s", step).filter(F.col("__s") > -1e-6).agg(F.min(x).alias("from_size"))
+    steps = _rows(df, x, None, lambda w: {"__s": (F.lead(y).over(w) - F.col(y)) / (F.lead(x).over(w) - F.col(x))}, after=1)
+    return steps.filter(F.col("__s") > -1e-6).agg(F.min(x).alias("from_size"))
 
 
 def best_neighbourhood(df: DataFrame, x: str, y: str) -> DataFrame:
     """The x of the least y, and the x before and after it."""
-    w = W.orderBy(x)
-    return df.withColumn("previous", F.lag(x).over(w)).withColumn("following", F.lead(x).over(w)).agg(
-        F.min_by(x, F.struct(y, x)).alias("optimal"), F.min_by("previous", F.struct(y, x)).alias("previous"), F.min_by("following", F.struct(y, x)).alias("following")
-    )
+    rows = _rows(df, x, None, lambda w: {"previous": F.lag(x).over(w), "following": F.lead(x).over(w)}, before=1, after=1)
+    return rows.agg(F.min_by(x, F.struct(y, x)).alias("optimal"), F.min_by("previous", F.struct(y, x)).alias("previous"), F.min_by("following", F.struct(y, x)).alias("following"))
 
 
 def outliers(df: DataFrame, value: str, sigmas: float = 2.0, high: float = 3.0, least: int = 3) -> DataFrame:

@@ -25,7 +25,7 @@ def ends_trend(spark, d):
 
 @query(f"WITH {_DAILY} SELECT CAST(day AS VARCHAR) AS day, round((n - lag(n, 4) OVER (ORDER BY day)) / 5.0, 6) AS slope FROM dd")
 def last5_slope(spark, d):
-    return _round(_daily(spark, d).select(F.col("day").cast("string").alias("day"), trend.slope("n", "day").alias("slope")), "slope")
+    return _round(trend.slope(_daily(spark, d), "n", "day").select(F.col("day").cast("string").alias("day"), "slope"), "slope")
 
 
 @query(f"WITH {_DAILY} SELECT CAST(day AS VARCHAR) AS day, round(avg(n) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 6) AS running FROM dd")
@@ -44,12 +44,12 @@ def best_neighbourhood(spark, d):
     return trend.best_neighbourhood(_daily(spark, d).withColumn("day", F.col("day").cast("string")), "day", "n")
 
 
-@query("""WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS k, CAST(l_quantity AS BIGINT) AS size, CAST(epoch(l_shipdate) AS BIGINT) * 100000 + l_orderkey * 10 + l_linenumber AS a FROM lineitem WHERE l_orderkey < 500), r AS (
+@query("""WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS k, CAST(l_quantity AS BIGINT) AS size, CAST(epoch(l_shipdate) AS BIGINT) * 100000 + l_orderkey * 10 + l_linenumber AS a FROM lineitem), r AS (
     SELECT *, coalesce(sum(size) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS t FROM e) SELECT k FROM r WHERE t > 1000 AND t - before > 800""")
 def lru_eviction(spark, d):
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     seconds = F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))
-    e = table(spark, d, "lineitem").filter("l_orderkey < 500").select(key.alias("k"), F.col("l_quantity").cast("long").alias("size"), (seconds * 100000 + key).alias("a"))
+    e = table(spark, d, "lineitem").select(key.alias("k"), F.col("l_quantity").cast("long").alias("size"), (seconds * 100000 + key).alias("a"))
     return trend.eviction_order(e, "size", "a", 1000.0).select("k")
 
 
@@ -159,12 +159,12 @@ def run_compliance(spark, d):
     return stats.run_metrics(r).select("o_orderkey", "compliant")
 
 
-@query("""WITH r AS (SELECT o_orderkey AS id, o_custkey % 40 / 100.0 AS c, o_custkey % 90 AS t, o_custkey % 100 / 100.0 AS h, o_custkey % 8 AS w FROM orders WHERE o_orderkey < 2000), x AS (
+@query("""WITH r AS (SELECT o_orderkey AS id, o_custkey % 40 / 100.0 AS c, o_custkey % 90 AS t, o_custkey % 100 / 100.0 AS h, o_custkey % 8 AS w FROM orders), x AS (
     SELECT id, 'reduce cost' AS name, 'critical' AS impact, 'moderate' AS complexity FROM r WHERE c > 0.20 UNION ALL SELECT id, 'review cost', 'high', 'easy' FROM r WHERE c BETWEEN 0.10 AND 0.20
     UNION ALL SELECT id, 'raise throughput', 'high', 'moderate' FROM r WHERE t < 50 UNION ALL SELECT id, 'improve cache', 'medium', 'easy' FROM r WHERE h < 0.75 UNION ALL SELECT id, 'add workers', 'medium', 'easy' FROM r WHERE w < 4) SELECT * FROM x""")
 def recommendations(spark, d):
     k = F.col("o_custkey")
-    m = table(spark, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), (k % 40 / 100).alias("cost_per_item"), (k % 90).cast("double").alias("tokens_per_second"), (k % 100 / 100).alias("hit_rate"), (k % 8).alias("workers"))
+    m = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (k % 40 / 100).alias("cost_per_item"), (k % 90).cast("double").alias("tokens_per_second"), (k % 100 / 100).alias("hit_rate"), (k % 8).alias("workers"))
     return cost.recommendations(m).select("id", "name", "impact", "complexity")
 
 

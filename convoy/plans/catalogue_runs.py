@@ -94,12 +94,12 @@ def comparison_recommendations(spark, d):
     return roi.comparison_recommendations(_projected(spark))
 
 
-@query("""WITH s AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS i FROM orders), h AS (SELECT o_orderkey AS id, o_custkey % 100 AS n, o_totalprice AS c FROM orders WHERE o_orderkey < 400),
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS i FROM orders), h AS (SELECT o_orderkey AS id, o_custkey % 100 AS n, o_totalprice AS c FROM orders),
     r AS (SELECT *, row_number() OVER (ORDER BY id DESC) AS i, count(*) OVER () AS k FROM h)
     SELECT CAST(sum(n) AS BIGINT) AS items, round(sum(c), 4) AS cost, round(sum(c) / greatest(sum(n), 1), 6) AS cost_per_item, count(*) AS sessions, CASE WHEN avg(c) FILTER (WHERE i <= 3) < avg(c) FILTER (WHERE i > 3) THEN 'improving' ELSE 'stable' END AS trend,
            CASE WHEN count(DISTINCT c) FILTER (WHERE i <= 5) < 3 THEN 'stable' ELSE 'variable' END AS stability FROM r""")
 def history_context(spark, d):
-    h = table(spark, d, "orders").filter("o_orderkey < 400").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("dataset_size"), F.col("o_totalprice").alias("total_cost_usd"))
+    h = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("dataset_size"), F.col("o_totalprice").alias("total_cost_usd"))
     return _round(_round(roi.history_context(h, "id").drop("recent", "older"), "cost_per_item"), "cost", places=4)
 
 
@@ -140,23 +140,23 @@ def flat_estimates(spark, d):
     return _round(o.select(F.col("o_orderkey").alias("id"), *(c.alias(n) for n, c in roi.flat_estimates(F.col("o_custkey"), F.col("o_custkey")).items())), "classification", "discovery", "application", places=9)
 
 
-@query("""WITH e AS (SELECT event_id, user_id, epoch(date_trunc('second', ts)) AS s, event_id % 3 <> 0 AS start FROM events WHERE user_id < 40), st AS (SELECT event_id, s, lead(s) OVER (ORDER BY s, event_id) AS nx FROM e WHERE start),
+@query("""WITH e AS (SELECT event_id, user_id, epoch(date_trunc('second', ts)) AS s, event_id % 3 <> 0 AS start FROM events), st AS (SELECT event_id, s, lead(s) OVER (ORDER BY s, event_id) AS nx FROM e WHERE start),
     en AS (SELECT event_id + 1 AS id, min(s) AS ended FROM e WHERE NOT start GROUP BY 1)
     SELECT event_id AS session_id, CAST(s AS BIGINT) AS start, CAST(least(coalesce(ended, nx), coalesce(nx, ended)) AS BIGINT) AS "end", nx IS NOT NULL AND (ended IS NULL OR nx < ended) AS auto_closed FROM st LEFT JOIN en ON event_id = id""")
 def session_events(spark, d):
     start = F.col("event_id") % 3 != 0
-    e = table(spark, d, "events").filter("user_id < 40").select(F.when(start, F.col("event_id")).otherwise(F.col("event_id") + 1).alias("session_id"), F.when(start, "start").otherwise("end").alias("event"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("seconds"))
+    e = table(spark, d, "events").select(F.when(start, F.col("event_id")).otherwise(F.col("event_id") + 1).alias("session_id"), F.when(start, "start").otherwise("end").alias("event"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("seconds"))
     return cost.session_events(e, "session_id")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey % 50 AS n, o_totalprice AS c, o_orderkey * 3 AS t, o_custkey % 900 AS sec FROM orders WHERE o_orderkey < 2000), x AS (
+@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey % 50 AS n, o_totalprice AS c, o_orderkey * 3 AS t, o_custkey % 900 AS sec FROM orders), x AS (
     SELECT id, CASE WHEN n > 0 THEN c / n END AS c, CASE WHEN n > 0 THEN t / CAST(n AS DOUBLE) END AS t, CASE WHEN sec > 0 THEN t / CAST(sec AS DOUBLE) END AS r FROM s), k AS (SELECT c, row_number() OVER (ORDER BY id) AS i, count(*) OVER () AS m FROM x WHERE c IS NOT NULL),
     h AS (SELECT avg(c) FILTER (WHERE i <= m // 2) AS a, avg(c) FILTER (WHERE i > m // 2) AS b FROM k), o AS (SELECT avg(c) AS mean, median(c) AS med, stddev_samp(c) AS std, avg(t) AS t, avg(r) AS r FROM x)
     SELECT round(mean, 4) AS mean_cost, round(med, 4) AS median_cost, CASE WHEN (b - a) / a * 100 > 5 THEN 'increasing' WHEN (b - a) / a * 100 < -5 THEN 'decreasing' ELSE 'stable' END AS trend, round(t, 4) AS tokens_per_item, round(r, 4) AS tokens_per_second,
            round(0.6 / (1 + 100 * mean) + 0.4 * least(r / 200, 1), 6) AS score, round(1 - std / mean, 6) AS consistency FROM o, h""")
 def efficiency_patterns(spark, d):
     k = F.col("o_custkey")
-    s = table(spark, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), (k % 50).alias("dataset_size"), F.col("o_totalprice").alias("total_cost_usd"), (F.col("o_orderkey") * 3).alias("tokens"), (k % 900).alias("seconds"))
+    s = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (k % 50).alias("dataset_size"), F.col("o_totalprice").alias("total_cost_usd"), (F.col("o_orderkey") * 3).alias("tokens"), (k % 900).alias("seconds"))
     return _round(_round(cost.efficiency_patterns(s, "id"), "score", "consistency"), "mean_cost", "median_cost", "tokens_per_item", "tokens_per_second", places=4)
 
 
