@@ -165,11 +165,15 @@ def processing_hours(n: Column, workers: Column, efficiency: Column) -> Column:
     return n / (1000 * efficiency * lanes / 4)
 
 
+def scenarios_of(sizes: DataFrame, options: list[str], workers: list[int]) -> DataFrame:
+    """Each size of a table (dataset_size) with all combinations of a few options and workers."""
+    rows = sizes.select("dataset_size", F.explode(F.array(*map(F.lit, options))).alias("option"))
+    return rows.select("dataset_size", "option", F.explode(F.array(*(F.lit(w).cast("int") for w in workers))).alias("workers"))
+
+
 def scenario_grid(spark: SparkSession, sizes: list[int], options: list[str], workers: list[int]) -> DataFrame:
     """All combinations of a few sizes, options and workers."""
-    row = spark.range(1).select(F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))).alias("dataset_size"))
-    row = row.select("dataset_size", F.explode(F.array(*map(F.lit, options))).alias("option"))
-    return row.select("dataset_size", "option", F.explode(F.array(*(F.lit(w).cast("int") for w in workers))).alias("workers"))
+    return scenarios_of(spark.range(1).select(F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))).alias("dataset_size")), options, workers)
 
 
 def project(grid: DataFrame, cost_per_ticket: float = COST_PER_TICKET, chunk: float = 1.0) -> DataFrame:
@@ -249,12 +253,12 @@ def sensitivity(base: DataFrame, cost_per_ticket: float = COST_PER_TICKET) -> Da
     """ROI with size, workers and tokens changed, and its distance to the unchanged one."""
     cases = [("base", 1.0, None, 1.0), ("size_half", 0.5, None, 1.0), ("size_more", 1.5, None, 1.0), ("workers_2", 1.0, 2, 1.0), ("workers_8", 1.0, 8, 1.0), ("tokens_less", 1.0, None, 0.7), ("tokens_more", 1.0, None, 1.3)]
     each = F.array(*(F.struct(F.lit(c).alias("case"), F.lit(s).alias("size"), F.lit(w).cast("int").alias("w"), F.lit(t).alias("tokens")) for c, s, w, t in cases))
-    grid = base.select("*", F.inline(each))
+    grid = base.withColumn("base_size", F.col("dataset_size")).select("*", F.inline(each))
     grid = grid.withColumn("dataset_size", (F.col("dataset_size") * F.col("size")).cast("long")).withColumn("workers", F.coalesce("w", "workers"))
     out = project(grid, cost_per_ticket).withColumn("cost", F.col("cost") * F.col("tokens")).withColumn("cost_per_ticket", F.col("cost_per_ticket") * F.col("tokens"))
     out = roi(out)
-    same = F.max(F.when(F.col("case") == "base", F.col("roi_percent"))).over(W.partitionBy("option"))
-    return out.withColumn("change", F.col("roi_percent") - same).select("option", "case", "dataset_size", "workers", "cost", "roi_percent", "change")
+    same = F.max(F.when(F.col("case") == "base", F.col("roi_percent"))).over(W.partitionBy("option", "base_size"))
+    return out.withColumn("change", F.col("roi_percent") - same).select("option", "base_size", "case", "dataset_size", "workers", "cost", "roi_percent", "change")
 
 
 def recommendations(metrics: DataFrame) -> DataFrame:

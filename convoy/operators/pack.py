@@ -5,64 +5,112 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import positions
+from ..sources.work import materialise
+from .joins import dimension
+from .ordered import over_rows, positions
 
 #: Tokens of the header of each batch.
 HEADER_TOKENS = len("Tickets:\n") // 4
+#: Rows of a block of the order in which batches are made.
+BLOCK_ROWS = 2048
 #: Most of the separators at which a text is split, the coarsest first.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
 def greedy_batches(df: DataFrame, id_col: str, tokens_col: str, limit: int = 50_000, most: int = 50, shard_col: str | None = None) -> DataFrame:
-    """Batch number of each row, in the order of ids: a batch ends before a row that would
-    reach the token limit or exceed `most` rows; a row over the limit is its own batch.
-    Rows are folded within shards (one if none is named), as the fold is sequential; at
-    scale name a column with many values."""
-
-    def step(state: tuple[int, int, int], t: int) -> tuple[tuple[int, int, int], int]:
-        batch, tokens, n = state
-        if n and (tokens + t >= limit or n >= most):
-            batch, tokens, n = batch + 1, HEADER_TOKENS, 0
-        return (batch, tokens + t, n + 1), batch
-
-    return _folded(df, id_col, tokens_col, shard_col, step)
-
-
-def _folded(df: DataFrame, id_col: str, tokens_col: str, shard_col: str | None, step: Callable) -> DataFrame:
-    """(shard, id, batch_id) by a fold over each shard in the order of ids. Rows stream
-    through it sorted, so that a shard of any size needs the memory of one batch."""
-    shard = F.col(shard_col) if shard_col else F.lit(0)
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), (0, 0, 0)
-        for pdf in parts:
-            out = []
-            for s, t in zip(pdf["shard"], pdf["tokens"]):
-                if s != current:
-                    current, state = s, (0, HEADER_TOKENS, 0)
-                state, batch = step(state, int(t))
-                out.append(batch)
-            yield pdf.assign(batch_id=out)[["shard", "id", "batch_id"]]
-
-    rows = df.select(F.coalesce(shard.cast("string"), F.lit("")).alias("shard"), F.col(id_col).alias("id"), F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)).alias("tokens"))
-    out = rows.repartition("shard").sortWithinPartitions("shard", "id").mapInPandas(fold, f"shard string, id {kind}, batch_id long")
-    return out.select("shard", F.col("id").alias(id_col), "batch_id")
+    """Batch number of each row, in the order of ids within a shard: a batch ends before a row
+    that would reach the token limit or exceed `most` rows; a row over the limit is its own
+    batch. Null tokens count 0; a null shard is the shard ''."""
+    full = lambda acc, x: (acc["tokens"] + x["tokens"] >= limit) | (acc["n"] >= most)
+    return _batches(df, id_col, tokens_col, shard_col, most, full, lambda x: F.lit(HEADER_TOKENS))
 
 
 def sequential_batches(df: DataFrame, id_col: str, tokens_col: str, limit: int = 50_000, most: int = 50, shard_col: str | None = None) -> DataFrame:
-    """Batch number of each row, in the order of ids: a batch ends after the row that reaches
-    the token limit or `most` rows; the header counts in the first batch only. Rows are
-    folded within shards, as in `greedy_batches`."""
-
-    def step(state: tuple[int, int, int], t: int) -> tuple[tuple[int, int, int], int]:
-        batch, tokens, n = state[0], state[1] + t, state[2] + 1
-        return ((batch + 1, 0, 0) if tokens >= limit or n >= most else (batch, tokens, n)), batch
-
-    return _folded(df, id_col, tokens_col, shard_col, step)
+    """Batch number of each row, in the order of ids within a shard: a batch ends after the row
+    that reaches the token limit or `most` rows; the header counts in a shard's first batch
+    only."""
+    full = lambda acc, x: (acc["tokens"] >= limit) | (acc["n"] >= most)
+    return _batches(df, id_col, tokens_col, shard_col, most, full, lambda x: F.when(x["head"], HEADER_TOKENS).otherwise(0))
+
+
+def _batches(df: DataFrame, id_col: str, tokens_col: str, shard_col: str | None, most: int, full: Callable, header: Callable) -> DataFrame:
+    """(shard, id, batch_id). The rows are cut into blocks in their order. A batch holds at most
+    `most` rows, so the first start in a block is one of its first `most` rows: each block
+    tells for each of these where the first start in the next block then is, and how many
+    batches begin. Composing these functions, in groups of blocks, gives every block's own
+    first start, from which its batches follow. No task holds more than a block or a group."""
+    shard = F.coalesce(F.col(shard_col).cast("string") if shard_col else F.lit("0"), F.lit(""))
+    rows = df.select(shard.alias("shard"), F.col(id_col).alias("id"), F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)).alias("tokens"))
+    head = lambda w: {"head": F.coalesce(F.lag("shard").over(w) != F.col("shard"), F.lit(True)), "place": F.col("__g")}
+    rows = over_rows(rows, ["shard", "id"], head, before=1)
+    size = max(BLOCK_ROWS, 2 * most)
+    block, i = F.floor(F.col("place") / size), F.col("place") % size
+    also = F.when((i < most) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))  # the first rows end the block before, too
+    row = F.struct("place", "shard", "id", "tokens", "head")
+    blocks = rows.withColumn("block", F.explode(also)).groupBy("block").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    blocks = materialise(blocks, "blocks")
+
+    def walk(first: Column, starts: Column, also: Callable) -> Column:
+        """From the start at row `first` to the first start behind the block: its place there (to),
+        and the starts, to which `also` adds one."""
+        begin = F.struct(first.cast("int").alias("i"), F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("n"), starts.alias("starts"), F.lit(-1).alias("to"))
+
+        def step(acc: Column, x: Column) -> Column:
+            new = (acc["n"] == 0) | x["head"] | full(acc, x)
+            begun = F.struct((acc["i"] + 1).alias("i"), (header(x) + x["tokens"]).cast("long").alias("tokens"), F.lit(1).alias("n"), also(acc["starts"], acc["i"]).alias("starts"), F.lit(-1).alias("to"))
+            went = F.struct((acc["i"] + 1).alias("i"), (acc["tokens"] + x["tokens"]).alias("tokens"), (acc["n"] + 1).alias("n"), acc["starts"].alias("starts"), F.lit(-1).alias("to"))
+            over = F.struct(acc["i"].alias("i"), acc["tokens"].alias("tokens"), acc["n"].alias("n"), acc["starts"].alias("starts"), (acc["i"] - size).alias("to"))
+            return F.when(acc["to"] >= 0, acc).when(~new, went).when(acc["i"] < size, begun).otherwise(over)
+
+        return F.aggregate(F.slice("rows", first + 1, F.lit(size + most)), begin, step)
+
+    counted = lambda e: walk(e, F.lit(0).cast("long"), lambda n, i: n + 1)
+    ends = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.when(e < F.size("rows"), counted(e)))
+    moves = blocks.select("block", ends.alias("f")).select("block", F.transform("f", lambda x: x["to"]).alias("to"), F.transform("f", lambda x: x["starts"]).alias("n"))
+    firsts = first_states(materialise(moves, "moves"), most)
+    listed = walk(F.col("e"), F.array().cast("array<int>"), lambda starts, i: F.concat(starts, F.array(i)))
+    own = blocks.join(firsts, "block").withColumn("starts", listed["starts"])
+    ends = F.concat(F.slice("starts", F.lit(2), F.lit(size)), F.array(F.least(F.lit(size), F.size("rows"))))
+    spans = F.transform(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b")), lambda x, k: F.struct(x["a"].alias("a"), x["b"].alias("b"), (F.col("n") + k).alias("batch")))
+    before = F.filter(F.array(F.struct(F.lit(0).alias("a"), F.least("e", F.size("rows")).alias("b"), (F.col("n") - 1).alias("batch"))), lambda x: x["b"] > 0)
+    spans = own.select("rows", F.explode(F.concat(before, spans)).alias("s")).filter("s.b > s.a")
+    found = spans.select(F.col("s.batch").alias("batch"), F.explode(F.slice("rows", F.col("s.a") + 1, F.col("s.b") - F.col("s.a"))).alias("r"))
+    found = found.select(F.col("r.shard").alias("shard"), F.col("r.id").alias("id"), "batch", F.col("r.head").alias("head"))
+    first = found.filter("head").select(F.col("shard").alias("s"), F.col("batch").alias("first"))  # a row for each shard
+    out = found.join(dimension(materialise(first, "shards")), F.col("shard") == F.col("s"))
+    return out.select("shard", F.col("id").alias(id_col), (F.col("batch") - F.col("first")).cast("long").alias("batch_id"))
+
+
+def first_states(moves: DataFrame, most: int, fan: int = 1024) -> DataFrame:
+    """(block, e, n): where the first start of each block is and how many came before it, if the
+    first block's is its first row. `moves` has, for each place of it, the place in the next
+    block and the number of starts. Groups of `fan` blocks are composed until one is left."""
+    group = F.array_sort(F.collect_list(F.struct("block", "to", "n"))).alias("parts")
+    groups = materialise(moves.groupBy(F.floor(F.col("block") / fan).alias("group")).agg(group), "groups")
+    state = lambda e, n: F.struct(e.cast("int").alias("e"), n.cast("long").alias("n"))
+
+    def step(acc: Column, part: Column) -> Column:
+        at = acc["e"] + 1
+        return F.when(acc["e"] < 0, acc).otherwise(state(F.coalesce(F.try_element_at(part["to"], at), F.lit(-1)), acc["n"] + F.coalesce(F.try_element_at(part["n"], at), F.lit(0))))
+
+    if groups.count() > 1:
+        ends = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.aggregate("parts", state(e, F.lit(0)), step))
+        above = groups.select(F.col("group").alias("block"), ends.alias("s")).select("block", F.transform("s", lambda x: x["e"]).alias("to"), F.transform("s", lambda x: x["n"]).alias("n"))
+        firsts = first_states(materialise(above, "moves"), most, fan).select(F.col("block").alias("group"), F.struct("e", "n").alias("first"))
+        groups = groups.join(firsts, "group")
+    else:
+        groups = groups.withColumn("first", state(F.lit(0), F.lit(0)))
+    # the states before each part: those of the parts so far
+    begin = F.struct(F.col("first.e").alias("e"), F.col("first.n").alias("n"), F.array().cast("array<struct<block:long,e:int,n:long>>").alias("out"))
+
+    def push(acc: Column, part: Column) -> Column:
+        went = step(F.struct(acc["e"].alias("e"), acc["n"].alias("n")), part)
+        return F.struct(went["e"].alias("e"), went["n"].alias("n"), F.concat(acc["out"], F.array(F.struct(part["block"].cast("long").alias("block"), acc["e"].alias("e"), acc["n"].alias("n")))).alias("out"))
+
+    return groups.select(F.inline(F.aggregate("parts", begin, push)["out"])).filter("e >= 0")
 
 
 def fixed_batches(df: DataFrame, order: str, size: int) -> DataFrame:

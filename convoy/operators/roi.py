@@ -70,10 +70,10 @@ def scaling_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.sum("savings").alias("total_savings"), F.avg("roi_percent").alias("mean_roi"), F.min_by("dataset_size", F.struct("cost_per_ticket", "dataset_size")).alias("best_size"))
 
 
-def scenarios(spark: SparkSession, size: int) -> DataFrame:
-    """The default scenarios with their hours, total and cost for each ticket."""
+def scenarios(sizes: DataFrame) -> DataFrame:
+    """The default scenarios of each size (dataset_size) with their hours, total and cost for each ticket."""
     rows = F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(w).alias("workers"), F.lit(m).alias("mode"), F.lit(i).alias("infrastructure")) for n, w, m, i in SCENARIOS)))
-    grid = spark.range(1).select(F.lit(size).cast("long").alias("dataset_size"), rows)
+    grid = sizes.select("dataset_size", rows)
     n, w = F.col("dataset_size"), F.col("workers")
     grid = grid.withColumn("hours", cost.duration_hours(n, w))
     total = F.when(F.col("infrastructure") == "cloud", cost.total_cost(n, w, F.col("hours"), "cloud")).otherwise(cost.total_cost(n, w, F.col("hours"), "local"))
@@ -99,7 +99,7 @@ def comprehensive(spark: SparkSession, size: int, budget: float | None = None, h
     sizes = [n for n in TEST_SIZES if n <= 5 * size] or [size]
     make = lambda values: spark.range(1).select(F.explode(F.array(*(F.lit(v).cast("long") for v in values))).alias("dataset_size"))
     projection = cost.linear_projection(make(sizes))
-    out = {"projection": projection, "scenarios": scenarios(spark, size), "recommendations": efficiency_recommendations(projection)}
+    out = {"projection": projection, "scenarios": scenarios(make([size])), "recommendations": efficiency_recommendations(projection)}
     auto = F.min_by("cost_per_ticket", "dataset_size").alias("automated_cost")
     base = projection.agg(auto).select(F.lit(size).cast("long").alias("dataset_size"), F.lit(MANUAL_COST).alias("manual_cost"), "automated_cost", F.lit(IMPLEMENTATION).alias("implementation"), F.lit(size * HOURS_SAVED).alias("hours_saved"))
     out["automation"] = automation_roi(base)

@@ -27,6 +27,10 @@ LABELS = """t AS (
 HOURLY = USAGE + """, h AS (
     SELECT date_trunc('hour', ts) AS hour, count(*) AS n, sum(cost_usd) AS cost FROM uc GROUP BY 1)"""
 
+#: Workload sizes: for each customer, what the orders sum up to, from hundreds to millions, in steps of 32
+#: (so that no figure lies between two roundings); and 1000.
+SIZES = """(SELECT DISTINCT greatest(96, s // CAST(power(10, k % 4) AS BIGINT) // 32 * 32) AS n FROM (SELECT o_custkey AS k, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS s FROM orders GROUP BY 1) UNION SELECT CAST(1000 AS BIGINT))"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,3 +79,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.cost import hourly_cost
 
     return hourly_cost(usage(spark, sf_dir)).select("hour", "n", F.col("cost_usd").alias("cost"))
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sum(F.floor("o_totalprice").cast("long")).alias("s"))
+    n = s.select(F.greatest(F.lit(96).cast("long"), F.expr("s div cast(power(10, k % 4) as bigint) div 32 * 32")).alias("dataset_size"))
+    return n.unionByName(spark.range(1).select(F.lit(1000).cast("long").alias("dataset_size"))).distinct()

@@ -10,12 +10,10 @@ from pyspark.sql.window import Window as W
 
 from ..functions import jsonx, text
 from ..operators import alerts, cost, joins, pack, planning, prepare, sample, stats, trend
-from .adapters import CATEGORISED, HOURLY, LABELS, MESSAGES, RESULTS, USAGE, categorised, hourly, messages, predictions, results, table, truth, usage
+from .adapters import CATEGORISED, HOURLY, LABELS, MESSAGES, RESULTS, SIZES, USAGE, categorised, hourly, messages, predictions, results, sizes, table, truth, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-SIZES = [500, 1000, 5000, 20000, 75000, 200000, 600000]
-VALUES = ", ".join(f"({n})" for n in SIZES)
 
 
 def query(sql: str | None = None):
@@ -34,10 +32,6 @@ def _round(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
-def _sizes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in SIZES], "dataset_size long")
-
-
 _IS_TEXT = "lower(trim(category)) = 'text'"
 _AI = ", ".join(f"'{s}'" for s in text.AI_SENDERS)
 _CLEAN = text.clean_text_sql("coalesce(text, '')")
@@ -401,68 +395,69 @@ def session_outliers(spark, d):
 # --- scenarios
 
 _FACTOR = "CASE o WHEN 'discovery_only' THEN 0.6 WHEN 'application_only' THEN 0.8 WHEN 'parallel_discovery' THEN 0.7 WHEN 'optimized_application' THEN 0.85 ELSE 1.0 END"
-_GRID = f"""g AS (SELECT n, o, w, CAST({_FACTOR} AS DOUBLE) AS f FROM (VALUES {VALUES}) a(n), (VALUES ('discovery_only'), ('application_only'), ('parallel_discovery'), ('optimized_application'), ('discovery_application')) b(o), (VALUES (1), (4), (8), (16)) c(w)), pr AS (
+_GRID = f"""g AS (SELECT n, o, w, CAST({_FACTOR} AS DOUBLE) AS f FROM {SIZES} a(n), (VALUES ('discovery_only'), ('application_only'), ('parallel_discovery'), ('optimized_application'), ('discovery_application')) b(o), (VALUES (1), (4), (8), (16)) c(w)), pr AS (
     SELECT n, o, w, 0.048 * f * CASE WHEN n <= 1000 THEN 1.1 WHEN n <= 10000 THEN 1.0 WHEN n <= 50000 THEN 0.95 WHEN n <= 100000 THEN 0.92 ELSE 0.90 END * CASE WHEN w <= 1 THEN 1.0 WHEN w <= 4 THEN 0.95 WHEN w <= 8 THEN 0.98 ELSE 1.05 END AS each,
            n / (1000 * f * CASE WHEN w > 1 THEN w * 0.8 ELSE 1.0 END / 4) AS hours FROM g), pc AS (SELECT *, each * n AS cost, CASE WHEN n < 1000 THEN 0.3 WHEN n < 10000 THEN 0.2 ELSE 0.15 END AS v FROM pr)"""
 
 
-def _grid(spark):
-    return cost.scenario_grid(spark, SIZES, list(cost.OPTION_FACTORS), [1, 4, 8, 16])
+def _grid(spark, d):
+    return cost.scenarios_of(sizes(spark, d), list(cost.OPTION_FACTORS), [1, 4, 8, 16])
 
 
 @query(f"WITH {_GRID} SELECT CAST(n AS BIGINT) AS dataset_size, o AS option, w AS workers, round(each, 6) AS cost_per_ticket, round(cost, 4) AS cost, round(hours, 4) AS hours, round(cost * (1 - v), 4) AS low, round(cost * (1 + v), 4) AS high FROM pc")
 def scenario_grid(spark, d):
-    return _round(_round(cost.project(_grid(spark)), "cost_per_ticket"), "cost", "hours", "low", "high", places=4)
+    return _round(_round(cost.project(_grid(spark, d)), "cost_per_ticket"), "cost", "hours", "low", "high", places=4)
 
 
 @query(f"""WITH {_GRID} SELECT CAST(n AS BIGINT) AS dataset_size, arg_min(o, cost) AS best, arg_max(o, cost) AS worst, round(min(cost), 4) AS least, round(max(cost), 4) AS most, round(avg(cost), 4) AS mean,
     round(max(cost) - min(cost), 4) AS savings, round((max(cost) - min(cost)) / max(cost) * 100, 4) AS savings_percent FROM pc GROUP BY n""")
 def scenario_compare(spark, d):
-    return _round(cost.compare(cost.project(_grid(spark))), "least", "most", "mean", "savings", "savings_percent", places=4)
+    return _round(cost.compare(cost.project(_grid(spark, d))), "least", "most", "mean", "savings", "savings_percent", places=4)
 
 
 @query(f"""WITH {_GRID} SELECT CAST(n AS BIGINT) AS dataset_size, o AS option, w AS workers, round(n * 50.0 - cost, 4) AS saved, round(n * 0.5 - hours, 4) AS hours_saved, round((n * 50.0 - cost) / cost * 100, 4) AS roi_percent,
     round((n * 50.0 - cost) / (cost + 1000), 4) AS payback, round(1000 / (50.0 - each), 6) AS break_even_items FROM pc""")
 def roi_grid(spark, d):
-    out = cost.roi(cost.project(_grid(spark))).select("dataset_size", "option", "workers", "saved", "hours_saved", "roi_percent", "payback", "break_even_items")
+    out = cost.roi(cost.project(_grid(spark, d))).select("dataset_size", "option", "workers", "saved", "hours_saved", "roi_percent", "payback", "break_even_items")
     return _round(_round(out, "saved", "hours_saved", "roi_percent", "payback", places=4), "break_even_items")
 
 
-@query("""WITH o AS (SELECT * FROM (VALUES ('discovery_only', 0.6), ('application_only', 0.8), ('parallel_discovery', 0.7), ('optimized_application', 0.85), ('discovery_application', 1.0)) a(option, f)),
+@query(f"""WITH o AS (SELECT * FROM (VALUES ('discovery_only', 0.6), ('application_only', 0.8), ('parallel_discovery', 0.7), ('optimized_application', 0.85), ('discovery_application', 1.0)) a(option, f)),
     c AS (SELECT * FROM (VALUES ('base', 1.0, 4, 1.0), ('size_half', 0.5, 4, 1.0), ('size_more', 1.5, 4, 1.0), ('workers_2', 1.0, 2, 1.0), ('workers_8', 1.0, 8, 1.0), ('tokens_less', 1.0, 4, 0.7), ('tokens_more', 1.0, 4, 1.3)) b(c, s, w, t)),
-    g AS (SELECT option, c, CAST(10000 * s AS BIGINT) AS n, w, CAST(t AS DOUBLE) * 0.048 * f * CASE WHEN 10000 * s <= 10000 THEN 1.0 ELSE 0.95 END * CASE WHEN w <= 4 THEN 0.95 ELSE 0.98 END AS each FROM o, c), r AS (SELECT *, n * each AS cost, (n * 50 - n * each) / (n * each) * 100 AS roi FROM g)
-    SELECT option, c AS "case", n AS dataset_size, w AS workers, round(cost, 4) AS cost, round(roi, 4) AS roi_percent, round(roi - max(CASE WHEN c = 'base' THEN roi END) OVER (PARTITION BY option), 4) AS change FROM r""")
+    g AS (SELECT option, c, z, CAST(floor(z * s) AS BIGINT) AS n, w, CAST(t AS DOUBLE) AS t, CAST(f AS DOUBLE) AS f FROM o, c, {SIZES} y(z)),
+    r AS (SELECT *, 0.048 * f * CASE WHEN n <= 1000 THEN 1.1 WHEN n <= 10000 THEN 1.0 WHEN n <= 50000 THEN 0.95 WHEN n <= 100000 THEN 0.92 ELSE 0.90 END * CASE WHEN w <= 4 THEN 0.95 ELSE 0.98 END * t AS each FROM g),
+    q AS (SELECT *, n * each AS cost, (n * 50 - n * each) / (n * each) * 100 AS roi FROM r)
+    SELECT option, z AS base_size, c AS "case", n AS dataset_size, w AS workers, round(cost, 4) AS cost, round(roi, 4) AS roi_percent, round(roi - max(CASE WHEN c = 'base' THEN roi END) OVER (PARTITION BY option, z), 4) + 0.0 AS change FROM q""")
 def roi_sensitivity(spark, d):
-    base = cost.scenario_grid(spark, [10000], list(cost.OPTION_FACTORS), [4])
-    return _round(cost.sensitivity(base), "cost", "roi_percent", "change", places=4)
+    return _round(cost.sensitivity(cost.scenarios_of(sizes(spark, d), list(cost.OPTION_FACTORS), [4])), "cost", "roi_percent", "change", places=4).withColumn("change", F.col("change") + 0.0)  # no negative zero
 
 
 _COST = "(n * 2000 / 1000.0 * (0.075 / 1000) + n * 200 / 1000.0 * (0.30 / 1000) + w * h * 0.001 + n * 0.5 / 1024 * 0.023 + 0.10)"
 _HOURS = "greatest(0.1, n / (w * (100 * greatest(0.5, 1.0 - (w - 1) * 0.02))))"
 
 
-@query(f"""WITH s AS (SELECT CAST(n AS DOUBLE) AS n, CASE WHEN n < 1000 THEN 2 WHEN n < 10000 THEN 4 WHEN n < 50000 THEN 8 WHEN n < 100000 THEN 16 WHEN n < 500000 THEN 32 ELSE 64 END AS w FROM (VALUES {VALUES}) t(n)), x AS (SELECT *, {_HOURS} AS h FROM s)
-    SELECT CAST(n AS BIGINT) AS dataset_size, w AS workers, round(h, 6) AS hours, round({_COST}, 6) AS total, round({_COST} / n, 9) AS cost_per_ticket FROM x""")
+@query(f"""WITH s AS (SELECT CAST(n AS DOUBLE) AS n, CASE WHEN n < 1000 THEN 2 WHEN n < 10000 THEN 4 WHEN n < 50000 THEN 8 WHEN n < 100000 THEN 16 WHEN n < 500000 THEN 32 ELSE 64 END AS w FROM {SIZES} t(n)), x AS (SELECT *, {_HOURS} AS h FROM s)
+    SELECT CAST(n AS BIGINT) AS dataset_size, w AS workers, round(h, 6) AS hours, round({_COST}, 9) AS total, round({_COST} / n, 9) AS cost_per_ticket FROM x""")
 def linear_projection(spark, d):
-    return _round(_round(cost.linear_projection(_sizes(spark)), "hours", "total"), "cost_per_ticket", places=9)
+    return _round(_round(cost.linear_projection(sizes(spark, d)), "hours"), "total", "cost_per_ticket", places=9)
 
 
-_SEARCH = f"s AS (SELECT CAST(n AS DOUBLE) AS n, w FROM (VALUES {VALUES}) t(n), (VALUES (2), (4), (8), (16), (32), (64)) u(w)), x AS (SELECT *, {_HOURS} AS h FROM s), y AS (SELECT *, {_COST} AS total, n / (h * w) AS e FROM x)"
+_SEARCH = f"s AS (SELECT CAST(n AS DOUBLE) AS n, w FROM {SIZES} t(n), (VALUES (2), (4), (8), (16), (32), (64)) u(w)), x AS (SELECT *, {_HOURS} AS h FROM s), y AS (SELECT *, {_COST} AS total, n / (h * w) AS e FROM x)"
 
 
 @query(f"""WITH {_SEARCH}, z AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY e DESC, w) AS r FROM y WHERE total <= 50 AND w <= greatest(2, floor(n / 100))) SELECT CAST(n AS BIGINT) AS dataset_size, w AS workers, round(h, 6) AS hours, round(total, 6) AS total FROM z WHERE r = 1""")
 def budget_search(spark, d):
-    return _round(cost.optimise_for_budget(_sizes(spark), 50.0), "hours", "total")
+    return _round(cost.optimise_for_budget(sizes(spark, d), 50.0), "hours", "total")
 
 
 @query(f"WITH {_SEARCH}, z AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY total, w) AS r FROM y WHERE h <= 24) SELECT CAST(n AS BIGINT) AS dataset_size, w AS workers, round(h, 6) AS hours, round(total, 6) AS total FROM z WHERE r = 1")
 def time_search(spark, d):
-    return _round(cost.optimise_for_time(_sizes(spark), 24.0), "hours", "total")
+    return _round(cost.optimise_for_time(sizes(spark, d), 24.0), "hours", "total")
 
 
-@query(f"""SELECT CAST(n AS BIGINT) AS dataset_size, w AS workers, round(n * c + w * 0.001, 6) AS cost FROM (VALUES {VALUES}) t(n), (VALUES (1, 1000, 2, 0.0003), (1001, 10000, 4, 0.00028), (10001, 50000, 8, 0.00026), (50001, 100000, 16, 0.00024), (100001, 500000, 32, 0.00023), (500001, 9223372036854775807, 64, 0.00022)) p(lo, hi, w, c) WHERE n BETWEEN lo AND hi""")
+@query(f"""SELECT CAST(n AS BIGINT) AS dataset_size, w AS workers, round(n * c + w * 0.001, 6) AS cost FROM {SIZES} t(n), (VALUES (1, 1000, 2, 0.0003), (1001, 10000, 4, 0.00028), (10001, 50000, 8, 0.00026), (50001, 100000, 16, 0.00024), (100001, 500000, 32, 0.00023), (500001, 9223372036854775807, 64, 0.00022)) p(lo, hi, w, c) WHERE n BETWEEN lo AND hi""")
 def profile_range_lookup(spark, d):
-    return _round(planning.profile_cost(_sizes(spark)).select("dataset_size", "workers", "cost"), "cost")
+    return _round(planning.profile_cost(sizes(spark, d)).select("dataset_size", "workers", "cost"), "cost")
 
 
 # --- trends, alerts, batches, samples

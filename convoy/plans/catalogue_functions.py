@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx, numbers, text
 from ..functions.text import DEFAULT_CATEGORY, KEYWORD_RULES
 from ..operators import cost, pack, prepare, sample, stats, trend
-from .adapters import MESSAGES, USAGE, messages, table, usage
+from .adapters import MESSAGES, SIZES, USAGE, messages, sizes, table, usage
 from .catalogue import _KEPT, _round, query
 
 
@@ -149,9 +149,11 @@ def rounded_even(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), numbers.round_even(F.col("o_custkey") / 8, 2).alias("rounded"))
 
 
-@query("SELECT n, CASE WHEN n < 5000 THEN greatest(100, n * 20 // 100) WHEN n < 20000 THEN greatest(500, n * 26 // 1000) ELSE greatest(1000, n * 2 // 100) END AS low FROM (VALUES (100), (4999), (5000), (19999), (20000), (1000000)) t(n)")
+@query(f"""SELECT n, CASE WHEN n < 5000 THEN greatest(100, n * 200 // 1000) WHEN n < 20000 THEN greatest(500, n * 26 // 1000) ELSE greatest(1000, n * 20 // 1000) END AS low,
+    greatest(low, CASE WHEN n < 5000 THEN greatest(500, n * 500 // 1000) WHEN n < 20000 THEN least(1000, n * 52 // 1000) ELSE least(2000, n * 40 // 1000) END) AS high FROM {SIZES} t(n)""")
 def sample_bounds(spark, d):
-    return spark.createDataFrame([(n, sample.adaptive_bounds(n)[0]) for n in (100, 4999, 5000, 19999, 20000, 1000000)], "n int, low int")
+    low, high = sample.bounds_of(F.col("dataset_size"))
+    return sizes(spark, d).select(F.col("dataset_size").alias("n"), low.cast("long").alias("low"), high.cast("long").alias("high"))
 
 
 @query("SELECT CAST(sum(length(text) // 4) // 50000 + 1 AS BIGINT) AS batches FROM documents")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alerts, cache, cost, planning, roi, runs, trend
-from .adapters import CATEGORISED, MESSAGES, RESULTS, USAGE, categorised, messages, results, table, usage
-from .catalogue import VALUES, _round, _sizes, query
+from .adapters import CATEGORISED, MESSAGES, RESULTS, SIZES, USAGE, categorised, messages, results, sizes, table, usage
+from .catalogue import _round, query
 
 #: The planning model's total for a size n with w workers and h hours, on local machines.
 _TOTAL = "n * 2000 / 1000.0 * 0.000075 + n * 200 / 1000.0 * 0.0003 + w * h * 0.001 + n * 0.5 / 1024 * 0.023 + 0.10"
@@ -34,31 +34,31 @@ def automation_roi(spark, d):
     return _round(out, "direct_savings", "total_savings", "roi_percent", "payback_tickets", "reduction_percent", "gain")
 
 
-_SCALING = f"""z AS (SELECT * FROM (VALUES {VALUES}) t(n)), {_LINEAR}, b AS (SELECT each FROM l WHERE n = 1000),
-    s AS (SELECT CAST(l.n AS BIGINT) AS dataset_size, l.n * b.each AS naive, total + 1000 / 7.0 AS optimized, l.each AS each FROM l, b)"""
+_SCALING = f"""z AS (SELECT * FROM {SIZES} t(n)), {_LINEAR}, b AS (SELECT each FROM l WHERE n = 1000),
+    s AS (SELECT CAST(l.n AS BIGINT) AS dataset_size, l.n * b.each AS naive, total + 1000 / CAST((SELECT count(*) FROM z) AS DOUBLE) AS optimized, l.each AS each FROM l, b)"""
 
 
 @query(f"""WITH {_SCALING} SELECT dataset_size, round(naive, 6) AS naive_cost, round(optimized, 6) AS optimized_cost, round(naive - optimized, 6) AS savings, round((naive - optimized) / optimized * 100, 6) AS roi_percent, round(each, 6) AS cost_per_ticket FROM s""")
 def scaling_roi(spark, d):
-    return _round(roi.scaling_roi(_sizes(spark), 1000), "naive_cost", "optimized_cost", "savings", "roi_percent", "cost_per_ticket")
+    return _round(roi.scaling_roi(sizes(spark, d), 1000), "naive_cost", "optimized_cost", "savings", "roi_percent", "cost_per_ticket")
 
 
-@query(f"""WITH {_SCALING} SELECT round(sum(naive - optimized), 5) AS total_savings, round(avg((naive - optimized) / optimized * 100), 6) AS mean_roi, arg_min(dataset_size, each) AS best_size FROM s""")
+@query(f"""WITH {_SCALING} SELECT round(sum(naive - optimized), 2) AS total_savings, round(avg((naive - optimized) / optimized * 100), 6) AS mean_roi, arg_min(dataset_size, each) AS best_size FROM s""")
 def scaling_summary(spark, d):
-    return _round(_round(roi.scaling_summary(roi.scaling_roi(_sizes(spark), 1000)), "mean_roi"), "total_savings", places=5)
+    return _round(_round(roi.scaling_summary(roi.scaling_roi(sizes(spark, d), 1000)), "mean_roi"), "total_savings", places=2)
 
 
-@query(f"""WITH z AS (SELECT 20000 AS n, name, w, cloud FROM (VALUES ('Conservative', 4, 0), ('Balanced', 8, 0), ('Aggressive', 16, 1)) t(name, w, cloud)), h AS (SELECT *, {_HOURS} AS h FROM z)
-    SELECT name, w AS workers, round(h, 6) AS hours, round({_TOTAL} + cloud * (w * h * 0.049 + h * 0.02), 6) AS total FROM h""")
+@query(f"""WITH z AS (SELECT n, name, w, cloud FROM {SIZES} y(n), (VALUES ('Conservative', 4, 0), ('Balanced', 8, 0), ('Aggressive', 16, 1)) t(name, w, cloud)), h AS (SELECT *, {_HOURS} AS h FROM z)
+    SELECT n AS dataset_size, name, w AS workers, round(h, 6) AS hours, round({_TOTAL} + cloud * (w * h * 0.049 + h * 0.02), 9) AS total FROM h""")
 def scaling_scenarios(spark, d):
-    return _round(roi.scenarios(spark, 20000).select("name", "workers", "hours", "total"), "hours", "total")
+    return _round(_round(roi.scenarios(sizes(spark, d)).select("dataset_size", "name", "workers", "hours", "total"), "hours"), "total", places=9)
 
 
-@query(f"""WITH z AS (SELECT * FROM (VALUES (1000), (5000), (10000), (50000), (100000)) t(n)), {_LINEAR}, x AS (SELECT arg_min(n, each) AS best, avg(w) AS w, arg_max(each, n) - arg_min(each, n) AS trend FROM l)
+@query(f"""WITH z AS (SELECT * FROM {SIZES} t(n)), {_LINEAR}, x AS (SELECT arg_min(n, each) AS best, avg(w) AS w, arg_max(each, n) - arg_min(each, n) AS trend FROM l)
     SELECT 0 AS nr, 'most efficient size: ' || CAST(best AS VARCHAR) AS recommendation FROM x UNION ALL SELECT 1, CASE WHEN trend < 0 THEN 'economies of scale' ELSE 'diseconomies of scale' END FROM x
     UNION ALL SELECT 2, CASE WHEN w > 16 THEN 'many workers: watch coordination' ELSE 'few workers: raise parallelism' END FROM x WHERE w > 16 OR w < 4""")
 def efficiency_recommendations(spark, d):
-    return roi.comprehensive(spark, 20000)["recommendations"]
+    return roi.efficiency_recommendations(cost.linear_projection(sizes(spark, d)))
 
 
 @query("""WITH s AS (SELECT o_orderkey AS id, o_custkey % 30 / 200.0 AS c, CAST(o_orderkey % 120 AS DOUBLE) AS b, CAST(o_custkey % 15 AS DOUBLE) AS day, CAST(o_custkey % 900 AS DOUBLE) AS s FROM orders)
@@ -72,26 +72,25 @@ def cost_indicators(spark, d):
 
 
 _FACTOR = "CASE option WHEN 'discovery_only' THEN 0.6 WHEN 'application_only' THEN 0.8 WHEN 'parallel_discovery' THEN 0.7 WHEN 'optimized_application' THEN 0.85 ELSE 1.0 END"
-_BEST = f"""g AS (SELECT n, option FROM (VALUES {VALUES}) z(n), (VALUES ('discovery_only'), ('application_only'), ('parallel_discovery'), ('optimized_application'), ('discovery_application')) o(option)), c AS (
-    SELECT CAST(n AS BIGINT) AS n, option, 0.048 * {_FACTOR} * CASE WHEN n <= 1000 THEN 1.1 WHEN n <= 10000 THEN 1.0 WHEN n <= 50000 THEN 0.95 WHEN n <= 100000 THEN 0.92 ELSE 0.90 END * 0.95 * n AS cost FROM g),
+_BEST = f"""g AS (SELECT n, option FROM {SIZES} z(n), (VALUES ('discovery_only'), ('application_only'), ('parallel_discovery'), ('optimized_application'), ('discovery_application')) o(option)), c AS (
+    SELECT CAST(n AS BIGINT) AS n, option, CAST(0.048 AS DOUBLE) * CAST({_FACTOR} AS DOUBLE) * CAST(CASE WHEN n <= 1000 THEN 1.1 WHEN n <= 10000 THEN 1.0 WHEN n <= 50000 THEN 0.95 WHEN n <= 100000 THEN 0.92 ELSE 0.90 END AS DOUBLE) * CAST(0.95 AS DOUBLE) * n AS cost FROM g),
     b AS (SELECT n, min(cost) / n AS each, arg_min(option, cost) AS best, max(cost) - min(cost) AS savings FROM c GROUP BY n)"""
 
 
-def _projected(spark):
-    sizes = [500, 1000, 5000, 20000, 75000, 200000, 600000]
-    return cost.project(cost.scenario_grid(spark, sizes, list(cost.OPTION_FACTORS), [4]))
+def _projected(spark, d):
+    return cost.project(cost.scenarios_of(sizes(spark, d), list(cost.OPTION_FACTORS), [4]))
 
 
 @query(f"""WITH {_BEST}, r AS (SELECT *, row_number() OVER (ORDER BY n) AS i, (lead(each) OVER (ORDER BY n) - each) / (lead(n) OVER (ORDER BY n) - n) AS step FROM b), m AS (SELECT arg_min(i, (each, n)) AS i FROM r)
     SELECT round((SELECT each FROM r ORDER BY n LIMIT 1) / (SELECT each FROM r ORDER BY n DESC LIMIT 1), 6) AS scale_efficiency, (SELECT n FROM r, m WHERE r.i = m.i) AS optimal_size, (SELECT n FROM r, m WHERE r.i = greatest(1, m.i - 1)) AS min_efficient,
-           (SELECT n FROM r, m WHERE r.i = least(7, m.i + 1)) AS max_efficient, (SELECT min(n) FROM r WHERE step > -1e-6) AS diminishing_from, 'discovery_only' AS option""")
+           (SELECT n FROM r, m WHERE r.i = least((SELECT max(i) FROM r), m.i + 1)) AS max_efficient, (SELECT min(n) FROM r WHERE step > -1e-6) AS diminishing_from, 'discovery_only' AS option""")
 def size_comparison(spark, d):
-    return _round(roi.size_comparison(_projected(spark)).drop("linear"), "scale_efficiency")
+    return _round(roi.size_comparison(_projected(spark, d)).drop("linear"), "scale_efficiency")
 
 
 @query(f"""WITH {_BEST} SELECT 'best option: discovery_only' AS recommendation UNION ALL SELECT 'size ' || CAST(n AS VARCHAR) || ': the best option saves more than 100 USD' FROM b WHERE savings > 100""")
 def comparison_recommendations(spark, d):
-    return roi.comparison_recommendations(_projected(spark))
+    return roi.comparison_recommendations(_projected(spark, d))
 
 
 @query("""WITH s AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS i FROM orders), h AS (SELECT o_orderkey AS id, o_custkey % 100 AS n, o_totalprice AS c FROM orders),
