@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.numbers import PRICING, token_cost
 from .ordered import over_rows, running_sum
+from .quantiles import with_medians
 
 # Factors and prices of the planning model, in USD.
 OPTION_FACTORS = {"discovery_only": 0.6, "application_only": 0.8, "parallel_discovery": 0.7, "optimized_application": 0.85, "discovery_application": 1.0}
@@ -91,19 +92,19 @@ def efficiency_patterns(sessions: DataFrame, order: str) -> DataFrame:
     rows = sessions.withColumns(
         {"c": F.when(F.col("dataset_size") > 0, F.col("total_cost_usd") / F.col("dataset_size")), "t": F.when(F.col("dataset_size") > 0, F.col("tokens") / F.col("dataset_size")), "r": F.when(F.col("seconds") > 0, F.col("tokens") / F.col("seconds"))}
     )
-    one = rows.agg(F.avg("c").alias("mean_cost"), F.median("c").alias("median_cost"), F.stddev_samp("c").alias("std"), F.avg("t").alias("tokens_per_item"), F.coalesce(F.avg("r"), F.lit(0.0)).alias("tokens_per_second"))
+    one = rows.agg(F.avg("c").alias("mean_cost"), F.stddev_samp("c").alias("std"), F.avg("t").alias("tokens_per_item"), F.coalesce(F.avg("r"), F.lit(0.0)).alias("tokens_per_second"))
     trend = half_split_trend(rows.filter("c is not null").select(order, "c"), "c", order).select("trend")
-    out = one.crossJoin(trend)  # single rows
+    out = with_medians(one, rows, {"median_cost": F.col("c")}).crossJoin(trend)  # single rows
     steady = F.when(F.col("mean_cost") > 0, 1 - F.col("std") / F.col("mean_cost")).otherwise(0.0)
     return out.select("mean_cost", "median_cost", "trend", "tokens_per_item", "tokens_per_second", efficiency_score(F.col("mean_cost"), F.col("tokens_per_second")).alias("score"), F.coalesce(steady, F.lit(0.0)).alias("consistency"))
 
 
 def temporal_patterns(s: DataFrame) -> DataFrame:
     v = F.col("seconds")
-    return s.filter("seconds > 0").agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.var_samp(v).alias("variance"),
-        F.greatest(F.lit(0.0), 1 - F.try_divide(F.stddev_samp(v), F.avg(v))).alias("consistency"),
-    )
+    rows = s.filter("seconds > 0")
+    consistency = F.greatest(F.lit(0.0), 1 - F.try_divide(F.stddev_samp(v), F.avg(v)))
+    one = rows.agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"), consistency.alias("consistency"))
+    return with_medians(one, rows, {"median": v}).select("n", "mean", "median", "variance", "consistency")
 
 
 def operation_shares(usage: DataFrame) -> DataFrame:
@@ -130,7 +131,8 @@ def budget_crossings(usage: DataFrame, budget: float, order: str, group: str | N
 def calibration(history: DataFrame) -> DataFrame:
     """Median cost and tokens for each item of earlier sessions, their deviation, and how many."""
     h = history.filter("dataset_size > 0").select((F.col("total_cost_usd") / F.col("dataset_size")).alias("c"), (F.col("total_tokens") / F.col("dataset_size")).alias("t"))
-    return h.agg(F.median("c").alias("cost_per_item"), F.median("t").alias("tokens_per_item"), F.stddev_samp("c").alias("std"), F.count("*").alias("n"))
+    one = h.agg(F.stddev_samp("c").alias("std"), F.count("*").alias("n"))
+    return with_medians(one, h, {"cost_per_item": F.col("c"), "tokens_per_item": F.col("t")}).select("cost_per_item", "tokens_per_item", "std", "n")
 
 
 # --- scenarios

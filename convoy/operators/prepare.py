@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.text import AI_SENDERS, clean_text, message_totals, strip, word_count
+from .quantiles import quantiles, with_medians
 
 AGENTS = ["AGENT", "HELPDESK_INTEGRATION"]
 TICKET_COLUMNS = ["ticket_id", "text", "ticket_created_at", "sender"]
@@ -119,14 +120,18 @@ def filtering_report(messages: DataFrame) -> DataFrame:
 def messages_per_ticket(messages: DataFrame) -> DataFrame:
     """Mean, median and most messages of users and of agents in a ticket."""
     counts = messages.groupBy("ticket_id").agg(F.count_if(F.col("sender") == "USER").alias("user"), F.count_if(F.col("sender").isin(AGENTS)).alias("agent"))
-    return counts.agg(*(f(c).alias(f"{n}_{c}") for c in ("user", "agent") for n, f in (("mean", F.avg), ("median", F.median), ("max", F.max))))
+    one = counts.agg(*(f(c).alias(f"{n}_{c}") for c in ("user", "agent") for n, f in (("mean", F.avg), ("max", F.max))))
+    one = with_medians(one, counts, {f"median_{c}": F.col(c) for c in ("user", "agent")})
+    return one.select(*(f"{n}_{c}" for c in ("user", "agent") for n in ("mean", "median", "max")))
 
 
 def length_stats(df: DataFrame, column: str = "text") -> DataFrame:
     """Mean, median, least, greatest and deviation of characters and words."""
     n = df.select(F.length(column).cast("long").alias("chars"), word_count(F.col(column)).alias("words"))
-    parts = (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max), ("std", F.stddev_samp))
-    return n.agg(*(f(c).alias(f"{name}_{c}") for c in ("chars", "words") for name, f in parts))
+    parts = (("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp))
+    one = n.agg(*(f(c).alias(f"{name}_{c}") for c in ("chars", "words") for name, f in parts))
+    one = with_medians(one, n, {f"median_{c}": F.col(c) for c in ("chars", "words")})
+    return one.select(*(f"{name}_{c}" for c in ("chars", "words") for name in ("mean", "median", "min", "max", "std")))
 
 
 def date_range(df: DataFrame, column: str = "ticket_created_at") -> DataFrame:
@@ -139,24 +144,23 @@ def date_range(df: DataFrame, column: str = "ticket_created_at") -> DataFrame:
 def message_distribution(tickets: DataFrame) -> DataFrame:
     """Statistics and quartiles of the totals in the tickets' sender histograms."""
     n = tickets.select(message_totals(F.col("sender"))[0].alias("n")).filter("n is not null")
-    q = F.percentile("n", F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75))))
-    out = n.agg(F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), F.stddev_samp("n").alias("std"), q.alias("q"))
-    return out.select("mean", "least", "most", "std", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
+    out = n.agg(F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), F.stddev_samp("n").alias("std"))
+    return out.crossJoin(F.broadcast(quantiles(n, "n", {"q25": 0.25, "q50": 0.5, "q75": 0.75})))  # single rows
 
 
 def quality_assessment(df: DataFrame, id_col: str = "ticket_id", text_col: str = "text") -> DataFrame:
     """Completeness and uniqueness in percent, texts over ten characters, and counts
     beyond the 95th and under the 5th percentile of lengths."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.length(text_col).alias("n"))
-    bounds = rows.agg(F.percentile("n", F.array(F.lit(0.05), F.lit(0.95))).alias("b"))
+    bounds = quantiles(rows, "n", {"short": 0.05, "long": 0.95})
     return (
         rows.crossJoin(F.broadcast(bounds))  # a single row
         .agg(
             (F.count_if(F.col("t").isNotNull() & (F.col("t") != "")) * 100.0 / F.count("*")).alias("completeness"),
             (F.count_distinct("id") * 100.0 / F.count("*")).alias("uniqueness"),
             (F.count_if(F.col("n") > 10) * 100.0 / F.count("*")).alias("over_ten"),
-            F.count_if(F.col("n") > F.col("b")[1]).alias("very_long"),
-            F.count_if(F.col("n") < F.col("b")[0]).alias("very_short"),
+            F.count_if(F.col("n") > F.col("long")).alias("very_long"),
+            F.count_if(F.col("n") < F.col("short")).alias("very_short"),
         )
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.numbers import effect_label
+from .quantiles import quantiles, with_medians
 
 
 def split_ids(c: Column) -> Column:
@@ -154,14 +155,14 @@ def multilabel_accuracy(pred: DataFrame, truth: DataFrame, key: str, column: str
 def classification_stats(df: DataFrame, high: float = 0.85) -> DataFrame:
     """Of rows with category_ids and confidence: classified, rates and confidences."""
     done = F.coalesce(F.col("category_ids"), F.lit("")) != ""
-    return df.agg(
+    one = df.agg(
         F.count("*").alias("total"),
         F.count_if(done).alias("classified"),
         (F.count_if(done) / F.count("*")).alias("rate"),
         F.avg("confidence").alias("mean_confidence"),
-        F.median("confidence").alias("median_confidence"),
         F.count_if(F.col("confidence") >= high).alias("high_confidence"),
     )
+    return with_medians(one, df, {"median_confidence": F.col("confidence")})
 
 
 def id_distribution(df: DataFrame) -> DataFrame:
@@ -181,15 +182,16 @@ def accuracy_metrics(df: DataFrame, n_categories: int, high: float = 0.85) -> Da
 
 def ab_metrics(df: DataFrame, method: str, high: float = 0.85) -> DataFrame:
     done = F.coalesce(F.col("category_ids"), F.lit("")) != ""
-    return df.groupBy(method).agg(
+    rows = df.groupBy(method).agg(
         F.count("*").alias("n"),
         F.avg("confidence").alias("mean"),
-        F.median("confidence").alias("median"),
         F.stddev_samp("confidence").alias("std"),
         F.avg((F.col("confidence") >= high).cast("int")).alias("high_share"),
         F.avg(done.cast("int")).alias("rate"),
         F.count_distinct("category_ids").alias("n_ids"),
     )
+    medians = quantiles(df, "confidence", {"median": 0.5}, by=(method,)).withColumnRenamed(method, "__m")
+    return rows.join(medians, F.col(method).eqNullSafe(F.col("__m")), "left").drop("__m")
 
 
 def pooled_t_test(df: DataFrame, group: str, value: str, a: object, b: object) -> DataFrame:
