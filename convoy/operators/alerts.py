@@ -11,6 +11,8 @@ from pyspark.sql.window import Window as W
 
 from .ordered import positions
 
+#: What `check` finds.
+FOUND = "alert_id string, alert_type string, level string, ts timestamp, value double, threshold double, acknowledged boolean, suspends boolean"
 ALERT = "alert_type string, level string, ts timestamp_ntz, value double, threshold double"
 
 

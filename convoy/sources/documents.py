@@ -33,6 +33,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file; one that is there already stays."""
+    fs, at = _at(spark, path)
+    fs.create(at, True).close()
+
+
 def first_bytes(spark: SparkSession, path: str, n: int = 65536) -> bytes:
     """The first bytes of the first file that has any, of a file, a folder or a pattern; no more is read."""
     fs, at = _at(spark, path)
