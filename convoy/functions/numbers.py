@@ -66,6 +66,11 @@ def retry_delay(attempt: int, base: float = 1.0, most: float = 60.0, jitter: flo
     return max(0.1, delay + delay * 0.25 * (min(max(jitter, 0.0), 1.0) - 0.5) if jitter else delay)
 
 
+def retry_delays(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
+    """As `retry_delay` without jitter, for a column of attempts."""
+    return F.greatest(F.lit(0.1), F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most)))
+
+
 def error_kind(message: Column, kind: Column | None = None) -> Column:
     """The class of an error by its message, the first rule that fits; `kind` is the
     name of its type, if known."""

@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import convoy.plans.catalogue_files  # noqa: F401
 import convoy.plans.catalogue_functions  # noqa: F401
 import convoy.plans.catalogue_more  # noqa: F401
 import convoy.plans.catalogue_runs  # noqa: F401
