@@ -16,6 +16,8 @@ from .ordered import over_rows, positions
 HEADER_TOKENS = len("Tickets:\n") // 4
 #: Rows of a block of the order in which batches are made.
 BLOCK_ROWS = 2048
+#: Rows of a batch up to which every possible first row of a block is followed (so many for each).
+COMPOSED_ROWS = 256
 #: Most of the separators at which a text is split, the coarsest first.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -23,7 +25,18 @@ SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 def greedy_batches(df: DataFrame, id_col: str, tokens_col: str, limit: int = 50_000, most: int = 50, shard_col: str | None = None) -> DataFrame:
     """Batch number of each row, in the order of ids within a shard: a batch ends before a row
     that would reach the token limit or exceed `most` rows; a row over the limit is its own
-    batch. Null tokens count 0; a null shard is the shard ''."""
+    batch. Null tokens count 0; a null shard is the shard ''. Batches of up to `COMPOSED_ROWS`
+    rows are made from blocks of one global order; larger ones by a fold over each shard,
+    whose rows stream through it: name a column with many values."""
+
+    def step(state: tuple[int, int, int], t: int) -> tuple[tuple[int, int, int], int]:
+        batch, tokens, n = state
+        if n and (tokens + t >= limit or n >= most):
+            batch, tokens, n = batch + 1, HEADER_TOKENS, 0
+        return (batch, tokens + t, n + 1), batch
+
+    if most > COMPOSED_ROWS:
+        return _folded(df, id_col, tokens_col, shard_col, step)
     full = lambda acc, x: (acc["tokens"] + x["tokens"] >= limit) | (acc["n"] >= most)
     return _batches(df, id_col, tokens_col, shard_col, most, full, lambda x: F.lit(HEADER_TOKENS))
 
@@ -31,11 +44,40 @@ def greedy_batches(df: DataFrame, id_col: str, tokens_col: str, limit: int = 50_
 def sequential_batches(df: DataFrame, id_col: str, tokens_col: str, limit: int = 50_000, most: int = 50, shard_col: str | None = None) -> DataFrame:
     """Batch number of each row, in the order of ids within a shard: a batch ends after the row
     that reaches the token limit or `most` rows; the header counts in a shard's first batch
-    only."""
+    only. Large batches are folded, as in `greedy_batches`."""
+
+    def step(state: tuple[int, int, int], t: int) -> tuple[tuple[int, int, int], int]:
+        batch, tokens, n = state[0], state[1] + t, state[2] + 1
+        return ((batch + 1, 0, 0) if tokens >= limit or n >= most else (batch, tokens, n)), batch
+
+    if most > COMPOSED_ROWS:
+        return _folded(df, id_col, tokens_col, shard_col, step)
     full = lambda acc, x: (acc["tokens"] >= limit) | (acc["n"] >= most)
     return _batches(df, id_col, tokens_col, shard_col, most, full, lambda x: F.when(x["head"], HEADER_TOKENS).otherwise(0))
 
 
+def _folded(df: DataFrame, id_col: str, tokens_col: str, shard_col: str | None, step: Callable) -> DataFrame:
+    """(shard, id, batch_id) by a fold over each shard in the order of ids. Rows stream
+    through it sorted, so that a shard of any size needs the memory of one batch."""
+    shard = F.col(shard_col) if shard_col else F.lit(0)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), (0, 0, 0)
+        for pdf in parts:
+            out = []
+            for s, t in zip(pdf["shard"], pdf["tokens"]):
+                if s != current:
+                    current, state = s, (0, HEADER_TOKENS, 0)
+                state, batch = step(state, int(t))
+                out.append(batch)
+            yield pdf.assign(batch_id=out)[["shard", "id", "batch_id"]]
+
+    rows = df.select(F.coalesce(shard.cast("string"), F.lit("")).alias("shard"), F.col(id_col).alias("id"), F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)).alias("tokens"))
+    out = rows.repartition("shard").sortWithinPartitions("shard", "id").mapInPandas(fold, f"shard string, id {kind}, batch_id long")
+    return out.select("shard", F.col("id").alias(id_col), "batch_id")
+
+
 def _batches(df: DataFrame, id_col: str, tokens_col: str, shard_col: str | None, most: int, full: Callable, header: Callable) -> DataFrame:
     """(shard, id, batch_id). The rows are cut into blocks in their order. A batch holds at most
     `most` rows, so the first start in a block is one of its first `most` rows: each block

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import retry_delay
 from ..functions.text import DEFAULT_CATEGORY, KEYWORD_RULES
 from ..operators.cache import cache_key
+from ..sources.store import ResultStore
 
 PROMPTS = {
     "map": "Describe the recurring subjects of these tickets.",
@@ -121,17 +122,16 @@ def apply_model(df: DataFrame, model: Model, prompt: str, key: str, text_col: st
     return rows.mapInPandas(run, f"key {kind}, result string, error string, tokens_in long, tokens_out long").withColumnRenamed("key", key)
 
 
+STORED = "key string, result string, tokens_in long, tokens_out long"
+
+
 def apply_cached(df: DataFrame, model: Model, prompt: str, text_col: str, cache_path: str) -> DataFrame:
-    """Results by the hash of text, model and prompt: what the cache table holds is read,
-    the rest is computed once for each text, appended, and read back, so that a repeated
-    task never calls the model for a stored text."""
-    spark = df.sparkSession
-    schema = "key string, result string, error string, tokens_in long, tokens_out long"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-    exists = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    stored = spark.read.schema(schema).parquet(cache_path) if exists else spark.createDataFrame([], schema)
+    """Results by the hash of text, model and prompt: what the store at `cache_path` holds is read,
+    the rest is computed once for each text and stored, and results are read back, so that
+    a repeated task never calls the model for a stored text. Failed calls aren't stored."""
+    store = ResultStore(df.sparkSession, cache_path, STORED)
+    store.compact()
     keyed = df.withColumn("key", cache_key(F.coalesce(F.col(text_col), F.lit("")), f"{model.name}:{prompt}"))
-    misses = keyed.select("key", text_col).dropDuplicates(["key"]).join(stored.filter("error is null").select("key"), "key", "left_anti")
-    apply_model(misses, model, prompt, "key", text_col).write.mode("append").parquet(cache_path)
-    every = spark.read.schema(schema).parquet(cache_path).filter("error is null").select("key", "result").dropDuplicates(["key"])
-    return keyed.join(every, "key", "left")
+    misses = keyed.select("key", text_col).dropDuplicates(["key"]).join(store.get(keyed).select("key"), "key", "left_anti")
+    store.put(apply_model(misses, model, prompt, "key", text_col).filter("error is null").drop("error"))
+    return keyed.join(store.get(keyed).select("key", "result"), "key", "left")

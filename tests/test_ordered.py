@@ -85,5 +85,7 @@ def test_batches_equal_the_fold(spark, monkeypatch, n, limit, most, shards, fan)
     for sequential, make in ((False, pack.greedy_batches), (True, pack.sequential_batches)):
         out = make(df, "i", "t", limit, most, "s")
         assert {(r["shard"], r["i"]): r["batch_id"] for r in out.collect()} == plain_batches(rows, limit, most, sequential)
+        many = make(df, "i", "t", limit, 10**9, "s")
+        assert {(r["shard"], r["i"]): r["batch_id"] for r in many.collect()} == plain_batches(rows, limit, 10**9, sequential)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "SinglePartition" not in plan

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from convoy import cli
 from convoy.operators import runs
 from convoy.plans import jobs
+from convoy.plans.model import STORED
 from convoy.sources import reports, tables
+from convoy.sources.store import ResultStore
 
 
 @pytest.fixture
@@ -179,4 +181,4 @@ def test_cached_classification(spark, tmp_path):
     for _ in range(2):
         got = {r["ticket_id"]: r["category_ids"] for r in jobs.classify_cached(tickets, taxonomy, f"file://{tmp_path}/cache").collect()}
         assert got == {"1": "2", "2": "2", "3": "1"}
-    assert spark.read.parquet(f"{tmp_path}/cache").count() == 2
+    assert ResultStore(spark, f"file://{tmp_path}/cache", STORED).read().count() == 2
