@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.work import materialise
 from .joins import dimension
-from .ordered import over_rows, positions
+from .ordered import over_rows, positions, running_sum
 
 #: Tokens of the header of each batch.
 HEADER_TOKENS = len("Tickets:\n") // 4
@@ -160,6 +160,23 @@ def fixed_batches(df: DataFrame, order: str, size: int) -> DataFrame:
     return positions(df, order, name="__n").withColumn("batch_id", F.floor(F.col("__n") / size)).drop("__n")
 
 
+def overlapping_chunks(df: DataFrame, id_col: str, tokens_col: str, size: int, overlap: int) -> DataFrame:
+    """(chunk_id, id, position): rows in the order of ids lie on a line of their tokens, which windows
+    of `size` tokens cover, each `size - overlap` on from the one before. A row belongs to
+    every window that holds it whole, or else to the first one that holds its start. Rows
+    without tokens belong to where they lie; null tokens count 0."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be less than the size")
+    step = size - overlap
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)).alias("t"))
+    rows = running_sum(rows, "t", "id", name="e").withColumn("s", F.col("e") - F.col("t"))
+    last = F.floor(F.col("s") / step)  # the last window that begins at the start or before
+    first = F.greatest(F.lit(0), F.ceil((F.col("e") - size) / step))  # the first one that ends at the end or behind
+    holds = F.greatest(F.lit(0), F.floor((F.col("s") - size) / step) + 1)  # the first one that holds the start
+    chunks = F.when(first <= last, F.sequence(first, last)).otherwise(F.array(F.least(holds, last)))
+    return rows.select(F.explode(chunks).alias("chunk_id"), F.col("id").alias(id_col), F.col("s").alias("position"))
+
+
 def batch_estimate(df: DataFrame, text_col: str, limit: int) -> DataFrame:
     return df.agg((F.floor(F.sum(F.floor(F.length(text_col) / 4)) / limit) + 1).cast("long").alias("batches"))
 

@@ -144,3 +144,21 @@ def sample_size(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"))
     drawn = sample.stratified(o, sample.target_size(o.count(), 0.15), "o_orderkey", "t")
     return drawn.agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("ids"))
+
+
+@query("""WITH t AS (SELECT doc_id, length(text) // 4 AS t FROM documents), p AS (SELECT doc_id, t, CAST(sum(t) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM t), x AS (SELECT doc_id, e - t AS s, e FROM p),
+    w AS (SELECT unnest(range(0, (SELECT CAST(max(s) // 4000 + 1 AS BIGINT) FROM x))) AS c), h AS (SELECT doc_id, s, c FROM x JOIN w ON c * 4000 <= s AND e <= c * 4000 + 5000)
+    SELECT c AS chunk_id, doc_id, s AS position FROM h UNION ALL
+    SELECT min(c), doc_id, s FROM x JOIN w ON c * 4000 <= s AND s < c * 4000 + 5000 WHERE doc_id NOT IN (SELECT doc_id FROM h) GROUP BY doc_id, s""")
+def overlapping_chunks(spark, d):
+    docs = table(spark, d, "documents").withColumn("tokens", text.estimate_tokens(F.col("text")))
+    return pack.overlapping_chunks(docs, "doc_id", "tokens", 5000, 1000)
+
+
+@query(f"""WITH {MESSAGES}, n AS (SELECT count(DISTINCT ticket_id) AS n FROM (SELECT ticket_id FROM m GROUP BY 1)) SELECT n AS tickets, true AS same FROM n""")
+def discover_with_overlap(spark, d):
+    """Discovery over overlapping chunks finds the categories of discovery over single ones."""
+    t = messages(spark, d).groupBy("ticket_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
+    named = lambda found: found.select(F.transform("categories", lambda c: c["technical_name"]).alias("names"), "discovery_stats.unique_tickets")
+    one, other = named(jobs.discover(t, tokens=2000)), named(jobs.discover(t, tokens=2000, overlap=400)).withColumnsRenamed({"names": "names2", "unique_tickets": "tickets"})
+    return one.crossJoin(F.broadcast(other)).select("tickets", (F.array_sort("names") == F.array_sort("names2")).alias("same"))  # single rows

@@ -46,7 +46,8 @@ SHARD_TICKETS = 20_000
 
 def ticket_chunks(tickets: DataFrame, tokens: int = 100_000, shards: int | None = None) -> DataFrame:
     """Tickets as blocks, put together into chunks of at most so many tokens; folds run
-    within shards, as many as the tickets need."""
+    within shards, one for `SHARD_TICKETS` tickets unless their number is given, so that chunk
+    boundaries depend on it."""
     shards = shards or max(1, tickets.count() // SHARD_TICKETS)
     blocks = tickets.select("ticket_id", ticket_block(F.col("ticket_id"), F.col("text")).alias("text"))
     blocks = blocks.withColumn("tokens", estimate_tokens(F.col("text"))).withColumn("shard", F.pmod(F.xxhash64("ticket_id"), F.lit(shards)))
@@ -55,6 +56,16 @@ def ticket_chunks(tickets: DataFrame, tokens: int = 100_000, shards: int | None
     return grouped.withColumn("chunk_id", F.concat_ws("-", F.lpad("shard", 6, "0"), F.lpad(F.col("batch_id").cast("string"), 12, "0")))
 
 
+def overlapping_ticket_chunks(tickets: DataFrame, tokens: int, overlap: int) -> DataFrame:
+    """Tickets as blocks in windows of so many tokens that overlap, over the whole corpus in the
+    order of ids: no fold, and the same windows however many tickets there are."""
+    blocks = tickets.select("ticket_id", ticket_block(F.col("ticket_id"), F.col("text")).alias("text"))
+    blocks = blocks.withColumn("tokens", estimate_tokens(F.col("text")))
+    held = pack.overlapping_chunks(blocks, "ticket_id", "tokens", tokens, overlap)
+    parts = F.array_sort(F.collect_list(F.struct("position", "ticket_id", "text")))
+    return blocks.select("ticket_id", "text").join(held, "ticket_id").groupBy("chunk_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
+
+
 def classify(tickets: DataFrame, model: Model | None = None, most: int = 3, prompt: str = PROMPTS["classify"]) -> DataFrame:
     """ticket_id, category_ids, confidence, tokens_used: a failed call gives none at 0."""
     model = model or KeywordModel()
@@ -97,11 +108,13 @@ def compress(analysis: DataFrame, model: Model | None = None) -> DataFrame:
     return apply_model(rows, model or KeywordModel(), PROMPTS["compress"], "id", "text").select("result", "tokens_in", "tokens_out")
 
 
-def discover(tickets: DataFrame, model: Model | None = None, tokens: int = 100_000) -> DataFrame:
-    """A taxonomy: MAP over chunks of tickets, COMBINE, then EXTRACT as JSON; the document
-    with its statistics, in one row. A response that holds no JSON leaves no row."""
+def discover(tickets: DataFrame, model: Model | None = None, tokens: int = 100_000, overlap: int | None = None) -> DataFrame:
+    """A taxonomy: MAP over chunks of tickets (which share tickets of `overlap` tokens, if it's
+    given), COMBINE, then EXTRACT as JSON; the document with its statistics, in one row. A
+    response that holds no JSON leaves no row."""
     model = model or KeywordModel()
-    combined = map_reduce(ticket_chunks(tickets, tokens), model, separator=ANALYSES)
+    chunks = ticket_chunks(tickets, tokens) if overlap is None else overlapping_ticket_chunks(tickets, tokens, overlap)
+    combined = map_reduce(chunks, model, separator=ANALYSES)
     called = apply_model(combined.select(F.lit(0).alias("id"), F.col("result").alias("text")), model, PROMPTS["extract"], "id", "text")
     whole = F.from_json("result", TAXONOMY)
     parsed = called.select(F.when(whole["categories"].isNotNull(), whole).otherwise(F.from_json(extract_json(F.col("result")), TAXONOMY)).alias("t")).select("t.*").filter("categories is not null")
