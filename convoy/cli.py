@@ -1,6 +1,7 @@
 """`python -m convoy.cli`: the jobs from a command line.
 
     categorize | summarize | merge | analyze | all    over a message file
+    discover | classify                                a taxonomy from a message file, and with one
     cost breakdown | trends | sessions | project       over a usage table
     cache status | cleanup | clear                     over a result table
 """
@@ -27,6 +28,12 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--output", required=True)
         c.add_argument("--nrows", type=int)
         c.add_argument("--no-export", action="store_true")
+    for mode in ("discover", "classify"):
+        c = sub.add_parser(mode)
+        c.add_argument("--input-file", required=True)
+        c.add_argument("--output", required=True)
+        c.add_argument("--taxonomy", required=mode == "classify")
+        c.add_argument("--nrows", type=int)
     c = sub.add_parser("cost")
     c.add_argument("what", choices=["breakdown", "trends", "sessions", "project"])
     c.add_argument("--usage")
@@ -64,14 +71,21 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | None:
         tables.replace_table(kept, args.table.rstrip("/"))
         return spark.read.parquet(args.table)
     out = args.output.rstrip("/")
+    if args.command == "discover":
+        reports.write_taxonomy(jobs.discover(_tickets(spark, args)), out)
+        return reports.read_taxonomy(spark, out, jobs.TAXONOMY)
+    if args.command == "classify":
+        return jobs.classify_file(spark, args.taxonomy, args.input_file, out)
     names = {i + 1: n for i, (n, _) in enumerate(KEYWORD_RULES)}
     if args.command in ("categorize", "all"):
         jobs.categorise(_tickets(spark, args), names).write.mode("overwrite").parquet(f"{out}/categorized")
         reports.write_categorised(spark.read.parquet(f"{out}/categorized"), f"{out}/categorized_tickets.csv")
     if args.command in ("summarize", "all"):
         jobs.summarise(_tickets(spark, args)).write.mode("overwrite").parquet(f"{out}/summarized")
+        reports.write_summary(spark.read.parquet(f"{out}/summarized"), f"{out}/summary")
     if args.command in ("merge", "all"):
         joins.merge_results(spark.read.parquet(f"{out}/categorized"), spark.read.parquet(f"{out}/summarized")).write.mode("overwrite").parquet(f"{out}/final")
+        reports.write_merged(spark.read.parquet(f"{out}/final"), f"{out}/final_tickets.csv")
     if args.command in ("analyze", "all") and not args.no_export:
         jobs.report(spark, spark.read.parquet(f"{out}/categorized"), f"{out}/reports")
     return spark.read.parquet(f"{out}/categorized") if args.command != "summarize" else spark.read.parquet(f"{out}/summarized")

@@ -173,6 +173,16 @@ def classify_cached(tickets: DataFrame, taxonomy: DataFrame, cache_path: str, mo
     return got.select("ticket_id", F.coalesce(F.array_join(F.slice(ids, 1, most).cast("array<string>"), ","), F.lit("")).alias("category_ids"))
 
 
+def classify_file(spark: SparkSession, taxonomy_path: str, tickets_path: str, output: str, model: Model | None = None) -> DataFrame:
+    """Classify the tickets of a message file with a stored taxonomy and save them as CSV."""
+    taxonomy = reports.read_taxonomy(spark, taxonomy_path, TAXONOMY)
+    messages = tables.numbered(tables.read_messages(spark, tickets_path))
+    tickets = messages.groupBy("ticket_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    out = work.materialise(classify_with(tickets, taxonomy, model), "classified")
+    reports.write_classified(out, output)
+    return out
+
+
 def orchestrate(spark: SparkSession, messages: DataFrame, folder: str, fraction: float = 0.15, force: bool = False, model: Model | None = None) -> DataFrame:
     """Discovery on a sample, then application to all tickets; a phase whose table exists
     is not run again unless forced."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import documents
 from .documents import read_array, write_array  # noqa: F401  loads and saves of sessions, runs and rules
-from .tables import read_messages
+from .tables import read_messages, write_csv
 
 
 def report_lines(title: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -59,6 +59,38 @@ def write_categorised(df: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").csv(path, sep=";", header=True)
 
 
+def write_classified(df: DataFrame, path: str) -> None:
+    """Classified tickets as one CSV, by ticket_id."""
+    write_csv(df, path, sep=",", order=["ticket_id"], one_file=True)
+
+
+def write_merged(df: DataFrame, path: str) -> None:
+    """Categories and summaries of tickets as one CSV: `;`, by ticket_id, nested columns as JSON."""
+    write_csv(df, path, order=["ticket_id"] if "ticket_id" in df.columns else None, one_file=True)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A summary (bullets, resumo) as `bullets.csv` (nr, bullet) and `summary.txt` in a folder each."""
+    spark = summary.sparkSession
+    bullets = summary.select(F.posexplode("bullets").alias("nr", "bullet")).select(F.concat_ws(";", (F.col("nr") + 1).cast("string"), F.concat(F.lit('"'), F.replace("bullet", F.lit('"'), F.lit('\\"')), F.lit('"'))).alias("value"))
+    documents.write_lines([documents.line(spark, "nr;bullet"), bullets], f"{path}/bullets", "bullets.csv")
+    documents.write_lines([summary.select(F.coalesce("resumo", F.lit("")).alias("value"))], f"{path}/summary", "summary.txt")
+
+
+def write_taxonomy(taxonomy: DataFrame, path: str) -> None:
+    """A taxonomy document (one row) as indented JSON, `taxonomy.json` in a folder."""
+    whole = taxonomy.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in taxonomy.columns)), {"pretty": "true"}).alias("value"))
+    documents.write_lines([whole], path, "taxonomy.json")
+
+
+def read_taxonomy(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A taxonomy document from its JSON file; one without categories is an error."""
+    found = spark.read.schema(schema).json(path, multiLine=True)
+    if found.filter("categories is not null and size(categories) > 0").isEmpty():
+        raise ValueError(f"no categories in {path}")
+    return found
+
+
 def write_quarantine(failed: DataFrame, path: str, text_col: str = "text") -> None:
     """Rows whose call failed, with the first 1,000 characters of their text."""
     failed.select("error", F.substring(text_col, 1, 1000).alias("text"), F.current_timestamp().alias("at")).write.mode("append").json(path)
