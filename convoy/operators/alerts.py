@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -69,22 +70,37 @@ def efficiency_drops(sessions: DataFrame, limit: float = 0.10) -> DataFrame:
 
 def cooldown(alerts: DataFrame, key: str, seconds_col: str, seconds: int = 3600) -> DataFrame:
     """Alerts that pass the cooldown of their key: the first, and each at least so long
-    after the last one that passed. Keys fold apart from each other; rows stream through
-    the fold sorted, so that a hot key needs no more memory than a batch."""
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    after the last one that passed; of those at one time, one. Alerts without a time don't
+    pass. A key's different times are found in parallel, so that its task folds at
+    most a row for each second that has alerts, however many there are, from one passing time
+    to the next by binary search."""
+    if seconds <= 0:
+        return alerts
+    rows = alerts.filter(F.col(seconds_col).isNotNull())
+    times = rows.select(F.col(key).alias("__k"), F.col(seconds_col).cast("long").alias("__t")).distinct()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, last = object(), None
-        for pdf in parts:
+        for b in batches:
+            if not len(b):
+                continue
+            keys, t = b.column(0).to_pylist(), b.column(1).to_numpy()
+            new = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
             keep = []
-            for k, t in zip(pdf[key], pdf[seconds_col]):
-                if k != current:
-                    current, last = k, None
-                passes = last is None or t - last >= seconds
-                last = t if passes else last
-                keep.append(passes)
-            yield pdf[keep]
-
-    return alerts.repartition(key).sortWithinPartitions(key, seconds_col).mapInPandas(fold, alerts.schema)
+            for begin, end in zip([0, *new], [*new, len(keys)]):
+                if keys[begin] != current:
+                    current, last = keys[begin], None
+                i = begin if last is None else begin + int(np.searchsorted(t[begin:end], last + seconds))
+                while i < end:
+                    keep.append(i)
+                    last = int(t[i])
+                    i += int(np.searchsorted(t[i:end], last + seconds))
+            yield b.take(pa.array(keep, pa.int64()))
+
+    kind = alerts.schema[key].dataType.simpleString()
+    passing = times.repartition("__k").sortWithinPartitions("__k", "__t").mapInArrow(fold, f"__k {kind}, __t long")
+    found = rows.join(passing, F.col(key).eqNullSafe(F.col("__k")) & (F.col(seconds_col).cast("long") == F.col("__t")), "left_semi")
+    return found.dropDuplicates([key, seconds_col])
 
 
 def statistics(alerts: DataFrame) -> DataFrame:

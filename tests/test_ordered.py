@@ -89,3 +89,24 @@ def test_batches_equal_the_fold(spark, monkeypatch, n, limit, most, shards, fan)
         assert {(r["shard"], r["i"]): r["batch_id"] for r in many.collect()} == plain_batches(rows, limit, 10**9, sequential)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("n,span,seconds", [(0, 10, 5), (500, 3000, 60), (3000, 200, 7), (500, 100_000, 3600), (50, 40, 0)])
+def test_cooldown_equals_the_fold(spark, monkeypatch, n, span, seconds):
+    """Over small Arrow batches, with ties, null keys and null times."""
+    rng = random.Random(n)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(span), rng.randrange(span)]), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, seconds long, value long").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    got = alerts.cooldown(df, "k", "seconds", seconds).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, last = [], {}
+    for k, t, _ in sorted((r for r in rows if r[1] is not None), key=lambda r: (str(r[0]), r[1])):
+        if k not in last or t - last[k] >= seconds:
+            last[k] = t
+            want.append((k, t))
+    if not seconds:
+        want = [(k, t) for k, t, _ in rows]
+    assert sorted(((r["k"], r["seconds"]) for r in got), key=str) == sorted(want, key=str)
+    assert set(map(tuple, got)) <= set(rows)
