@@ -27,7 +27,7 @@ def extract_json(c: Column) -> Column:
 
 def first_object(c: Column) -> Column:
     """The first balanced object (two levels deep) that parses; null without one."""
-    found = F.regexp_extract_all(c, F.lit(r"(?s)(\{(?:[^{}]|\{[^{}]*\})*\})"), 1)
+    found = F.regexp_extract_all(c, F.lit(r"(\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\})"), 1)  # possessive: texts of any length need no stack
     return F.get(F.filter(found, lambda x: F.try_parse_json(x).isNotNull()), 0)
 
 

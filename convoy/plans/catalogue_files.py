@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import jsonx, text
 from ..operators import cache, cost, pack, runs, sample, stats
 from ..sources import documents, reports, tables
 from ..sources.work import work_dir
@@ -162,3 +162,52 @@ def discover_with_overlap(spark, d):
     named = lambda found: found.select(F.transform("categories", lambda c: c["technical_name"]).alias("names"), "discovery_stats.unique_tickets")
     one, other = named(jobs.discover(t, tokens=2000)), named(jobs.discover(t, tokens=2000, overlap=400)).withColumnsRenamed({"names": "names2", "unique_tickets": "tickets"})
     return one.crossJoin(F.broadcast(other)).select("tickets", (F.array_sort("names") == F.array_sort("names2")).alias("same"))  # single rows
+
+
+# --- responses built from the texts, so that what is escaped, nested and how long it is varies
+
+
+def _responses(spark, d, c, before: str, after: str) -> DataFrame:
+    """doc_id, the text (null: empty) and a response that holds a JSON document made of it."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.withColumn("response", F.concat(F.lit(before), F.to_json(c), F.lit(after)))
+
+
+_T = "coalesce(text, '') AS t"
+
+
+@query(f"WITH d AS (SELECT doc_id, {_T} FROM documents) SELECT doc_id, sha256(t) AS digest, length(t) AS n FROM d")
+def fenced_texts(spark, d):
+    """The text comes out of a fenced response as it went in."""
+    rows = _responses(spark, d, F.struct(F.struct("text").alias("d")), "Here you are, {as asked}:\n```json\n", "\n```\nThat is all }")
+    found = F.from_json(jsonx.extract_json(F.col("response")), "d struct<text:string>")["d"]["text"]
+    return rows.select("doc_id", F.sha2(F.coalesce(found, F.lit("lost")), 256).alias("digest"), F.length(found).alias("n"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_T} FROM documents) SELECT doc_id, CAST(doc_id AS VARCHAR) || '=' || sha256(trim(t, ' ')) || ',' || CAST(length(t) AS VARCHAR) || ',b' AS items, 'more than three categories' AS issues FROM d")
+def text_items(spark, d):
+    """Items whose categories are texts: the first three are kept, and a fourth is named as an issue."""
+    item = F.struct(F.col("doc_id").cast("string").alias("id"), F.array("text", F.length("text").cast("string"), F.lit(" b "), F.lit("c")).alias("cat"))
+    rows = _responses(spark, d, F.struct(F.array(item).alias("cat")), "ok ", " end")
+    shown = lambda x: F.concat(x["id"], F.lit("="), F.sha2(x["cat"][0], 256), F.lit(","), F.array_join(F.slice(x["cat"], 2, 3), ","))
+    items = F.transform(jsonx.items_of(F.col("response")), shown)
+    return rows.select("doc_id", F.array_join(items, ";").alias("items"), F.array_join(jsonx.response_issues(F.col("response"), "json"), ";").alias("issues"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_T} FROM documents) SELECT doc_id, CASE WHEN t <> '' THEN CAST(doc_id AS VARCHAR) || ':' || sha256(t) ELSE '' END AS items FROM d")
+def text_batch_items(spark, d):
+    """Items of a batch: those whose summary, the text, isn't empty."""
+    item = F.struct(F.col("doc_id").cast("string").alias("ticket_id"), F.array(F.lit("a")).alias("categorias"), F.col("text").alias("resumo"))
+    rows = _responses(spark, d, F.array(item), "see ", " (end)")
+    items = F.transform(jsonx.batch_items(F.col("response")), lambda x: F.concat(x["ticket_id"], F.lit(":"), F.sha2(x["resumo"], 256)))
+    return rows.select("doc_id", F.array_join(items, ";").alias("items"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_T} FROM documents) SELECT doc_id, CAST((trim(t, ' ') <> '') AS INTEGER) + 1 AS bullets, sha256(trim(t, ' ')) AS digest FROM d WHERE NOT regexp_matches(t, '[{{}}]')")
+def text_bullets(spark, d):
+    """Bullets that are texts (without braces, as an object is told by them), blank ones gone."""
+    bullet = lambda c: F.struct(c.alias("bullet"))
+    whole = F.struct(F.array(bullet(F.col("text")), bullet(F.lit(" last "))).alias("bullets"), F.col("text").alias("resumo"))
+    rows = _responses(spark, d, whole, "{bad} then ", " and {more}").filter(~F.col("text").rlike("[{}]"))
+    b = jsonx.bullets_of(F.col("response"), 2)
+    return rows.select("doc_id", F.size(b["bullets"]).alias("bullets"), F.sha2(b["resumo"], 256).alias("digest"))

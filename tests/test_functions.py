@@ -77,3 +77,16 @@ def test_numbers(spark):
     assert one(spark, "Rate limit reached", numbers.error_kind) == "RATE_LIMIT_EXCEEDED"
     df = spark.createDataFrame([(40.0,), (50.0,), (80.0,), (96.0,)], "p double").select(numbers.budget_status(F.col("p")).alias("s"))
     assert [r["s"] for r in df.collect()] == ["healthy", "caution", "warning", "critical"]
+
+
+def test_long_responses_need_no_stack(spark):
+    """Objects with long texts and with many inner objects."""
+    from pyspark.sql import functions as F
+
+    from convoy.functions import jsonx
+
+    long = '{"a": "' + "x" * 1_000_000 + '"}'
+    many = '{"l": [' + ", ".join('{"k": 1}' for _ in range(50_000)) + "]}"
+    rows = spark.createDataFrame([(1, f"{{bad}} then {long} end"), (2, many), (3, "{" * 100_000), (4, "{a" + "}" * 100_000)], "id int, c string")
+    got = {r["id"]: r["o"] for r in rows.select("id", jsonx.first_object(F.col("c")).alias("o")).collect()}
+    assert got[1] == long and got[2] == many and got[3] is None and got[4] is None
