@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx, text
 from ..operators import cache, cost, pack, runs, sample, stats
-from ..sources import documents, reports, tables
+from ..sources import documents, reports, tables, workbook
 from ..sources.work import work_dir
 from ..streaming import jobs as streams
 from . import jobs
@@ -75,6 +75,15 @@ def session_array(spark, d):
     return _round(documents.read_array(spark, path, reports.SESSIONS).select("session_id", "operations_count", "total_input_tokens", "total_cost_usd"), "total_cost_usd", places=9)
 
 
+@query(f"WITH {CATEGORISED}, d AS (SELECT categoria, count(*) AS n FROM c GROUP BY 1) SELECT 'tickets' AS sheet, CAST(ticket_id AS VARCHAR) AS a, categoria AS b FROM c UNION ALL SELECT 'counts', categoria, CAST(n AS VARCHAR) FROM d")
+def workbook_sheets(spark, d):
+    """Two sheets of a workbook, read again by their names."""
+    c, path = categorised(spark, d), f"{work_dir(spark, 'book')}/report.xlsx"
+    workbook.write_workbook({"tickets": c, "counts": stats.value_counts(c, "categoria")}, path)
+    sheet = lambda name: tables.read_sheet(spark, path, name).toDF("a", "b").select(F.lit(name).alias("sheet"), "a", "b")
+    return sheet("tickets").unionByName(sheet("counts"))
+
+
 @query(f"WITH {CATEGORISED} SELECT section, count(*) AS lines FROM (SELECT 'distribution' AS section FROM c GROUP BY categoria UNION ALL SELECT 'tickets' FROM c) GROUP BY 1")
 def report_rows(spark, d):
     """Rows of each section of a report's CSV: all of them."""

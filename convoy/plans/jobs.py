@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.jsonx import bullets_of, extract_json, items_of, parse_classification
 from ..functions.text import estimate_tokens, ticket_block
 from ..operators import joins, pack, prepare, runs, sample, stats
-from ..sources import reports, tables, work
+from ..sources import reports, tables, work, workbook
 from .model import PROMPTS, KeywordModel, Model, apply_cached, apply_model
 
 TAXONOMY = (
@@ -225,17 +225,19 @@ def report_tables(categorised: DataFrame, column: str = "categoria", key: str =
     return out
 
 
-def report(spark: SparkSession, categorised: DataFrame, folder: str, column: str = "categoria", key: str | None = None, formats: tuple[str, ...] = ("csv", "text", "json"), **others: DataFrame) -> None:
-    """The report: a CSV folder for each table, a text with a section for each, and a JSON
-    document. Samples of the ten largest categories are a table of their own."""
+def report(spark: SparkSession, categorised: DataFrame, folder: str, column: str = "categoria", key: str | None = None, formats: tuple[str, ...] = ("csv", "text", "json", "xlsx"), **others: DataFrame) -> None:
+    """The report: a CSV folder for each table, a text with a section for each, a JSON
+    document, and a workbook with a sheet for each. Samples of the ten largest categories are
+    a table of their own."""
     key = key or next(c for c in categorised.columns if c != column)
     parts = report_tables(categorised, column, key, **others)
+    top = parts["top_categories"].select(column)
+    samples = stats.first_rows(categorised.join(top, column, "left_semi"), column, key, 5)
     if "csv" in formats:
-        for name, df in parts.items():
+        for name, df in [*parts.items(), ("samples", samples)]:
             tables.write_csv(df, f"{folder}/{name}")
-        top = parts["top_categories"].select(column)
-        samples = stats.first_rows(categorised.join(top, column, "left_semi"), column, key, 5)
-        tables.write_csv(samples, f"{folder}/samples")
+    if "xlsx" in formats:
+        workbook.write_workbook({**parts, "samples": samples}, f"{folder}/report.xlsx")
     if "text" in formats:
         reports.write_text_report(spark, "Ticket report", parts, f"{folder}/report_text")
     if "json" in formats:

@@ -41,8 +41,7 @@ def read_messages(spark: SparkSession, path: str, *, limit: int | None = None, n
     if suffix == "xls":
         raise ValueError("old workbooks (.xls) can't be read: save the file as .xlsx")
     if suffix == "xlsx":
-        spark.dataSource.register(XlsxSource)
-        out = spark.read.format("xlsx").load(path)
+        out = read_sheet(spark, path)
     elif suffix == "json":
         out = spark.read.json(path, multiLine=True, primitivesAsString=True)
     elif suffix == "parquet":
@@ -70,34 +69,54 @@ class _Whole(InputPartition):
 
 
 class XlsxSource(DataSource):
-    """The first sheet of a workbook, all text, by reading its XML. A workbook is one task."""
+    """A sheet of a workbook (the option `sheet`, its name; else the first one), all text, by
+    reading its XML. A sheet is one task, as it is one compressed stream."""
 
     @classmethod
     def name(cls) -> str:
         return "xlsx"
 
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(str(c), T.StringType()) for c in next(sheet_rows(self.options["path"]), [])])
+        return T.StructType([T.StructField(str(c), T.StringType()) for c in next(sheet_rows(self.options["path"], self.options.get("sheet")), [])])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _XlsxReader(self.options["path"], len(schema))
+        return _XlsxReader(self.options["path"], len(schema), self.options.get("sheet"))
 
 
 class _XlsxReader(DataSourceReader):
-    def __init__(self, path: str, width: int):
-        self.path, self.width = path, width
+    def __init__(self, path: str, width: int, sheet: str | None = None):
+        self.path, self.width, self.sheet = path, width, sheet
 
     def partitions(self):
         return [_Whole(self.path)]
 
     def read(self, partition):
-        rows = sheet_rows(partition.path)
+        rows = sheet_rows(partition.path, self.sheet)
         next(rows, None)
         for row in rows:
             yield tuple((row + [None] * self.width)[: self.width])
 
 
-def sheet_rows(path: str) -> Iterator[list[str | None]]:
+def _sheet_file(z: zipfile.ZipFile, sheet: str | None) -> str:
+    """The part that holds the named sheet, or the first one."""
+    if sheet is None:
+        return min((n for n in z.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))  # sheet2 before sheet10
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.parse(z.open("xl/_rels/workbook.xml.rels")).iter() if r.get("Target")}
+    for found in ElementTree.parse(z.open("xl/workbook.xml")).iter():
+        if found.tag.endswith("}sheet") and found.get("name") == sheet:
+            target = links[next(v for k, v in found.attrib.items() if k.endswith("}id"))]
+            return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    raise ValueError(f"no sheet {sheet!r}")
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A sheet by its name, or the first one, all text."""
+    spark.dataSource.register(XlsxSource)
+    reader = spark.read.format("xlsx")
+    return (reader.option("sheet", sheet) if sheet else reader).load(path)
+
+
+def sheet_rows(path: str, name: str | None = None) -> Iterator[list[str | None]]:
     import pyarrow.fs
 
     fs, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path)
@@ -106,7 +125,7 @@ def sheet_rows(path: str) -> Iterator[list[str | None]]:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.parse(z.open("xl/sharedStrings.xml")).iter(f"{ns}si")]
-        sheet = min((n for n in z.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))  # sheet2 before sheet10
+        sheet = _sheet_file(z, name)
         for _, row in ElementTree.iterparse(z.open(sheet)):
             if row.tag == f"{ns}row":
                 out: list[str | None] = []
