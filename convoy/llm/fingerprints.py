@@ -194,19 +194,16 @@ def _merge_join(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
     return _keys_table(_by_block(key[0].as_py(), np.concatenate([keys[here], past[there]]), np.concatenate([owners[here], past_owners[there]]), np.concatenate([counts[here], past_counts[there]])))
 
 
-def repeated_windows(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarray, group: np.ndarray, low: np.ndarray, count: np.ndarray, mine: np.ndarray, length: int) -> np.ndarray:
-    """1 for each window whose words start at two places or more; of those that aren't
-    `mine`, if its segment does."""
+def repeated_windows(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarray, group: np.ndarray, low: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """1 for each window whose words start at two places or more."""
     ends = np.cumsum(windows)
     value = np.repeat((count > 1).astype(np.int64), windows)
-    open_ = ~((np.bincount(group)[group] == 1) & (count > 1))
-    own = np.flatnonzero(open_)
+    own = np.flatnonzero(~((np.bincount(group)[group] == 1) & (count > 1)))
     if not len(own):
         return value
     starts = ragged(first[own], windows[own])
     slots = ragged(ends[own] - windows[own], windows[own])
-    weight, groups = np.repeat(count[own], windows[own])[mine[slots]], np.repeat(group[own], windows[own])[mine[slots]]
-    starts, slots = starts[mine[slots]], slots[mine[slots]]
+    weight, groups = np.repeat(count[own], windows[own]), np.repeat(group[own], windows[own])
     if not len(slots):
         return value
     hashes = mix(prefix.of(starts, length)) ^ mix(groups.astype(np.uint64) + np.uint64(1))
@@ -244,7 +241,7 @@ def _removed(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int,
             for place, bits in zip(found.column("place").to_pylist(), found.column("gone").to_pylist()):
                 past.setdefault(place, []).append(bits)
             found = found.filter(pc.is_valid(found.column("hash")))
-        for start, end, units, gone in repeats.removed_symbols(table, found, windows, lambda value, own: value == 1):
+        for start, end, units, gone in repeats.removed_symbols(table, found, windows, buckets, lambda value, own: value == 1):
             new = gone.copy()
             for r in range(start, end):
                 own = slice(units.offsets[r - start], units.offsets[r - start + 1])

@@ -4,8 +4,9 @@
    holds, once each (4 bytes a key). An operator finds the keys that repeat.
 2. `segments`: each block sends the segments of its runs with repeating keys, each
    distinct segment once, with its least and greatest id and its count.
-   The segments of a hot key (in more than `HOT_PLACES` places) go to the buckets of the
-   half hashes of their windows, and not all to one.
+   Of a hot key (in more than `HOT_PLACES` places) the windows are sent instead, each by its own
+   hash and once a block, so that neither a hot anchor nor a hot window with ever different
+   neighbours gathers in a task.
 3. An operator judges the windows of a bucket's segments.
 4. `verdicts` come back by block, where runs find them by their segment's hash.
 
@@ -48,12 +49,12 @@ from .spans import (
     word_units,
 )
 
-#: Places of an anchor beyond which the windows around it are dealt out over all buckets.
+#: Places of an anchor beyond which the windows around it are sent one by one, over all buckets.
 HOT_PLACES = 200_000
 ANCHORS = "bucket long, block long, once binary, more binary, counts binary"
 KEYS = "block long, bucket long, keys binary, counts binary, hot binary"
 SEGMENTS = "bucket long, block long, hash binary, anchor binary, low binary, high binary, count binary, windows binary, hot binary, sizes binary, data binary"
-VERDICTS = "block long, hash binary, parts binary, sizes binary, values binary"
+VERDICTS = "block long, hash binary, parts binary, sizes binary, values binary, hot binary"
 
 
 def _batch(schema: str, columns: list[list]) -> pa.Table:
@@ -73,10 +74,6 @@ class Windows:
     def units(self, data: np.ndarray, offsets: np.ndarray) -> Units:
         return (word_units if self.words else byte_units)(data, offsets)
 
-    def halves(self, prefix: Prefix, starts: np.ndarray, buckets: int) -> np.ndarray:
-        """The bucket of each window by the hash of its first half."""
-        return ((mix(prefix.of(starts, self.length // 2)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-
     def hashes(self, runs: Runs, prefix: Prefix) -> np.ndarray:
         """A hash for the segment of each run."""
         return segment_hashes(runs, prefix, self.length)
@@ -139,6 +136,15 @@ def hot_keys(keys: list[np.ndarray], counts: list[np.ndarray], most: int) -> np.
     return every[np.bincount(which.ravel(), weights=np.concatenate(counts), minlength=len(every)) > most]
 
 
+def _window_by_window(runs: Runs, whole: np.ndarray, apart: np.ndarray) -> Runs:
+    """The runs `whole`, then each window of the runs `apart` as a run of its own."""
+    n = runs.windows[apart]
+    return Runs(
+        np.concatenate([runs.anchor[whole], np.repeat(runs.anchor[apart], n)]), np.concatenate([runs.start[whole], ragged(runs.start[apart], n)]),
+        np.concatenate([runs.windows[whole], np.ones(int(n.sum()), np.int64)]), np.concatenate([runs.doc[whole], np.repeat(runs.doc[apart], n)]), runs.anchors_at,
+    )
+
+
 def segments(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int) -> DataFrame:
     """Distinct segments of each block's runs with repeating keys, by bucket."""
 
@@ -146,28 +152,22 @@ def segments(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int)
         release_caches("repeats")
         rows: list[list] = [[] for _ in SEGMENTS.split(", ")]
         wanted, hot, ids, parts = known_keys(known), known_keys(known, "hot"), ids_of(table), []
-        segment, target = [np.empty(0, np.int64)], [np.empty(0, np.int64)]  # hot segments and the buckets that they go to
-        n = 0
         if not len(wanted):
             return _batch(SEGMENTS, rows)
         for start, _, units, prefix, runs in windows.scan(table):
             bucket, own = bucket_of(runs.anchor, buckets)
-            at = np.flatnonzero(contains(wanted, bucket << 32 | own.astype(np.int64)))
-            kept = Runs(runs.anchor[at], runs.start[at], runs.windows[at], runs.doc[at], runs.anchors_at)
+            code = bucket << 32 | own.astype(np.int64)
+            sent, apart = contains(wanted, code), contains(hot, code)
+            whole = np.flatnonzero(sent & ~apart)
+            kept = _window_by_window(runs, whole, np.flatnonzero(sent & apart))
+            hashes = windows.hashes(kept, prefix)
+            to = np.append(bucket[whole], ((mix(hashes[len(whole) :]) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
             first, size = units.stretch(kept.start, kept.windows + windows.length - 1)
             own_ids = ids[kept.doc + start]
-            one = _distinct(windows.hashes(kept, prefix), units.data, first, size, own_ids, own_ids, np.ones(len(at), np.int64))
+            one = _distinct(hashes, units.data, first, size, own_ids, own_ids, np.ones(len(own_ids), np.int64))
             rep = one.pop("rep")
             one.pop("which")
-            is_hot = contains(hot, (bucket << 32 | own.astype(np.int64))[at][rep])
-            parts.append(one | {"anchor": kept.anchor[rep], "windows": kept.windows[rep], "bucket": bucket[at][rep], "hot": is_hot, "sizes": size[rep], "data": units.data[ragged(first[rep], size[rep])]})
-            if is_hot.any():
-                count = kept.windows[rep][is_hot]
-                to = windows.halves(prefix, ragged(kept.start[rep][is_hot], count), buckets)
-                pairs = np.unique(np.stack([np.repeat(np.flatnonzero(is_hot) + n, count), to]), axis=1)
-                segment.append(pairs[0])
-                target.append(pairs[1])
-            n += len(rep)
+            parts.append(one | {"anchor": kept.anchor[rep], "windows": kept.windows[rep], "bucket": to[rep], "sizes": size[rep], "data": units.data[ragged(first[rep], size[rep])]})
         got = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else None
         if got is None or not len(got["hash"]):
             return _batch(SEGMENTS, rows)
@@ -175,20 +175,15 @@ def segments(texts: DataFrame, keys: DataFrame, windows: Windows, buckets: int)
         one = _distinct(got["hash"], got["data"], first, got["sizes"], got["low"], got["high"], got["count"])
         rep = one.pop("rep")
         one.pop("which")
-        one |= {c: got[c][rep] for c in ("anchor", "windows", "bucket", "hot", "sizes")}
+        one |= {c: got[c][rep] for c in ("anchor", "windows", "bucket", "sizes")}
         first = first[rep]
-        number = np.full(len(got["hash"]), -1)
-        number[rep] = np.arange(len(rep))
-        segment, target = number[np.concatenate(segment)], np.concatenate(target)
-        cold = np.flatnonzero(~one["hot"])
-        sent, to = np.append(cold, segment[segment >= 0]), np.append(one["bucket"][cold], target[segment >= 0])
-        order, starts = by_key(to)
+        order, starts = by_key(one["bucket"])
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            own = sent[order[s:e]]
+            own = order[s:e]
             data = got["data"][ragged(first[own], one["sizes"][own])]
-            values = [int(to[order[s]]), key[0].as_py()]
-            values += [blob(one[c][own]) for c in ("hash", "anchor", "low", "high", "count", "windows", "hot", "sizes")]
-            for column, value in zip(rows, [*values, squeeze(data)]):
+            values = [int(one["bucket"][own[0]]), key[0].as_py()]
+            values += [blob(one[c][own]) for c in ("hash", "anchor", "low", "high", "count", "windows")]
+            for column, value in zip(rows, [*values, blob(hot) if not s else b"", blob(one["sizes"][own]), squeeze(data)]):  # the block gets its hot keys back
                 column.append(value)
         return _batch(SEGMENTS, rows)
 
@@ -222,15 +217,14 @@ def _distinct(hashes, data, first, sizes, low, high, count) -> dict[str, np.ndar
 
 def verdicts(sent: DataFrame, windows: Windows, buckets: int, judge: Callable) -> DataFrame:
     """Judge the windows of each bucket. `judge` gets the distinct segments (units,
-    prefix, first symbol, windows, group by anchor, low, count) and which windows are this
-    bucket's, and returns a value for each window (for others, that of the segment alone);
-    values return to each block that sent a segment, in stretches, by its
-    hash. A hash that different segments have, or that came to many buckets, returns
-    without stretches, and each of these segments by its digest."""
+    prefix, first symbol, windows, group by anchor, low, count) and returns a value for each
+    window; values return to each block that sent a segment, in stretches, by its
+    hash. A hash that different segments have returns without stretches, and each of these
+    segments by its digest."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         release_caches("repeats")
-        cols = {c: unblob(table.column(c), t) for c, t in (("hash", np.uint64), ("anchor", np.uint64), ("low", np.int64), ("high", np.int64), ("count", np.int64), ("windows", np.int64), ("hot", np.bool_), ("sizes", np.int64))}
+        cols = {c: unblob(table.column(c), t) for c, t in (("hash", np.uint64), ("anchor", np.uint64), ("low", np.int64), ("high", np.int64), ("count", np.int64), ("windows", np.int64), ("sizes", np.int64))}
         rows_of = np.repeat(np.arange(table.num_rows), [len(x) for x in cols["hash"]])
         got = {c: np.concatenate(v) for c, v in cols.items()}
         data = np.concatenate(unsqueeze(table.column("data")))
@@ -241,12 +235,8 @@ def verdicts(sent: DataFrame, windows: Windows, buckets: int, judge: Callable) -
         data = data[ragged(first[rep], sizes)]
         units = windows.units(data, np.append(0, np.cumsum(sizes)))
         _, group = np.unique(got["anchor"][rep], return_inverse=True)
-        prefix, hot = Prefix(units.codes), got["hot"][rep]
-        mine = np.repeat(~hot, n_windows)
-        if hot.any():
-            some = np.flatnonzero(np.repeat(hot, n_windows))
-            mine[some] = windows.halves(prefix, ragged(units.offsets[:-1], n_windows)[some], buckets) == key[0].as_py()
-        values = judge(units, prefix, units.offsets[:-1], n_windows, group, one["low"], one["count"], mine)
+        prefix = Prefix(units.codes)
+        values = judge(units, prefix, units.offsets[:-1], n_windows, group, one["low"], one["count"])
         # stretches of windows with one value
         ends = np.cumsum(n_windows)
         new = np.ones(len(values), bool)
@@ -257,18 +247,18 @@ def verdicts(sent: DataFrame, windows: Windows, buckets: int, judge: Callable) -
         parts_end = np.searchsorted(begin, ends)
         parts = np.diff(np.append(0, parts_end))
         at = one["which"]
-        shared = hot | np.isin(one["hash"], one["hash"][1:][one["hash"][1:] == one["hash"][:-1]])
+        shared = np.isin(one["hash"], one["hash"][1:][one["hash"][1:] == one["hash"][:-1]])
         name = one["hash"].copy()
         name[shared] = digests(data, (np.cumsum(sizes) - sizes)[shared], sizes[shared])
-        blocks = table.column("block").to_pylist()
-        rows: list[list] = [[], [], [], [], []]
+        blocks, hot = table.column("block").to_pylist(), table.column("hot").to_pylist()
+        rows: list[list] = [[] for _ in VERDICTS.split(", ")]
         for r in range(table.num_rows):
             own = at[rows_of == r] if table.num_rows < 8 else at[np.searchsorted(rows_of, r) : np.searchsorted(rows_of, r + 1)]
             n = parts[own]
             inner = ragged(parts_end[own] - n, n)
             ask = np.unique(one["hash"][own[shared[own]]])
             names, counts = np.append(name[own], ask), np.append(n, np.zeros(len(ask), np.int64)).astype(np.int32)
-            for column, value in zip(rows, (blocks[r], blob(names), blob(counts), blob(length[inner].astype(np.int32)), blob(values[begin[inner]]))):
+            for column, value in zip(rows, (blocks[r], blob(names), blob(counts), blob(length[inner].astype(np.int32)), blob(values[begin[inner]]), hot[r])):
                 column.append(value)
         return _batch(VERDICTS, rows)
 
@@ -276,7 +266,7 @@ def verdicts(sent: DataFrame, windows: Windows, buckets: int, judge: Callable) -
 
 
 def removed_symbols(
-    table: pa.Table, found: pa.Table, windows: Windows, removes: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    table: pa.Table, found: pa.Table, windows: Windows, buckets: int, removes: Callable[[np.ndarray, np.ndarray], np.ndarray]
 ) -> Iterator[tuple[int, int, Units, np.ndarray]]:
     """Steps through a block's texts: rows, units and which symbols go. `removes` gets
     the value of a stretch of windows and the id of the document."""
@@ -286,19 +276,24 @@ def removed_symbols(
     hashes, parts, sizes, values = cat("hash", np.uint64), cat("parts", np.int32).astype(np.int64), cat("sizes", np.int32).astype(np.int64), cat("values", np.int64)
     part_end = np.cumsum(parts)
     before = np.cumsum(sizes) - sizes
+    hot = np.unique(cat("hot", np.int64))
     order = np.argsort(hashes, kind="stable")
     hashes = hashes[order]
     asked = np.unique(hashes[parts[order] == 0])
     for start, end, units, prefix, runs in windows.scan(table):
         gone = np.zeros(len(units.codes), bool)
         if len(hashes) and len(runs.start):
+            if len(hot):
+                bucket, key = bucket_of(runs.anchor, buckets)
+                apart = contains(hot, bucket << 32 | key.astype(np.int64))
+                runs = _window_by_window(runs, np.flatnonzero(~apart), np.flatnonzero(apart))
             own = windows.hashes(runs, prefix)
             ask = np.flatnonzero(np.isin(own, asked))
             if len(ask):
                 own[ask] = digests(units.data, *units.stretch(runs.start[ask], runs.windows[ask] + windows.length - 1))
             low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, side="right")
             cover = np.zeros(len(gone) + 1, np.int32)
-            for k in range(int((high - low).max())):  # a segment that came to many buckets has a verdict of each
+            for k in range(int((high - low).max())):
                 hit = np.flatnonzero(high - low > k)
                 which = order[low[hit] + k]
                 n = parts[which]

@@ -75,9 +75,8 @@ def sort_suffixes(data: np.ndarray, prefix: Prefix, starts: np.ndarray, sizes: n
     return perm
 
 
-def least_ids(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarray, group: np.ndarray, low: np.ndarray, count: np.ndarray, mine: np.ndarray, length: int) -> np.ndarray:
-    """For each window of each segment, the least id of a document that it starts in; for
-    those that aren't `mine`, of one that holds the segment."""
+def least_ids(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarray, group: np.ndarray, low: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """For each window of each segment, the least id of a document that it starts in."""
     ends = np.cumsum(windows)
     value = np.repeat(low, windows)
     alone = np.bincount(group)[group] == 1  # one segment has this anchor: all its windows are in the same documents
@@ -92,8 +91,7 @@ def least_ids(units: Units, prefix: Prefix, first: np.ndarray, windows: np.ndarr
         own = order[k:e]
         starts = ragged(first[own], windows[own])
         slots = ragged(ends[own] - windows[own], windows[own])
-        groups = np.repeat(group[own], windows[own])[mine[slots]]
-        starts, slots = starts[mine[slots]], slots[mine[slots]]
+        groups = np.repeat(group[own], windows[own])
         # suffixes are dealt by the hash of their first half; what is alone there has no equal
         half = mix(prefix.of(starts, length // 2) + mix(groups.astype(np.uint64)))
         dealt, bounds = by_key(half)
@@ -151,7 +149,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def cut(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         rows: list[list] = [[], [], [], [], [], []]
         ids = table.column("id").to_pylist()
-        for start, end, units, gone in repeats.removed_symbols(table, found, windows, lambda least, own: least < own):
+        for start, end, units, gone in repeats.removed_symbols(table, found, windows, buckets, lambda least, own: least < own):
             edges = np.zeros(len(gone), np.int64)
             if len(gone):
                 edges[:] = gone

@@ -1,6 +1,7 @@
 """Periodic runs, exact deduplication with its index, and hard negatives, against plain
 versions, on hard rows, on empty tables and over several batches."""
 
+import collections
 import hashlib
 import random
 import re
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from convoy.llm import exact, fingerprints, negatives, periods, queries
+from convoy.llm import exact, fingerprints, negatives, periods, queries, repeats, substrings
 from convoy.llm.spans import word_units
 
 
@@ -292,3 +293,34 @@ def test_op10_reads_marked_blocks_alone(spark, tmp_path):
         got = fingerprints.dedup_batch(copy, folder, "b").collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(7, 60), (1000, 60)]
     assert "dynamicpruning" in plans[0]
+
+
+@pytest.mark.parametrize("operator", ["words", "bytes"])
+def test_a_hot_window_is_sent_once_a_block(spark, monkeypatch, operator):
+    """One passage in many documents, each time between other words: each window of it is sent
+    once for each block that holds it, and no bucket gathers what lies around it."""
+    rng = random.Random(4)
+    core = " ".join(f"core{i}" for i in range(40))
+    docs = [(i, " ".join(str(rng.random()) for _ in range(9)) + f" {core} " + " ".join(str(rng.random()) for _ in range(9))) for i in range(300)]
+    docs += [(900, None), (901, core), (902, "alone " * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    module, run = (fingerprints, lambda **k: fingerprints.dedup_windows(df, **k)) if operator == "words" else (substrings, lambda **k: substrings.dedup_substrings(df, **k))
+    sent, plain = {}, repeats.verdicts
+
+    def spy(segments, *args):
+        sent[len(sent)] = [(r["bucket"], x, w) for r in segments.collect() for x, w in zip(np.frombuffer(r["hash"], np.uint64).tolist(), np.frombuffer(r["windows"], np.int64).tolist())]
+        return plain(segments, *args)
+
+    with monkeypatch.context() as m:
+        m.setattr(repeats, "verdicts", spy)
+        m.setattr(module, "block_count", lambda docs: 3)
+        rows = [sorted(map(str, run(hot_places=n).collect())) for n in (1 << 40, 20)]
+    assert rows[0] == rows[1]
+    if operator == "words":
+        want = {i: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in plain_windows(docs, 35)}
+        assert {r["doc_id"]: tuple(r)[1:] for r in run(hot_places=20).collect()} == want
+    cold, hot = sent[0], sent[1]
+    gathered = lambda rows: max(collections.Counter(b for b, _, _ in rows).values())
+    assert max(collections.Counter(x for _, x, _ in hot).values()) <= 3  # blocks
+    assert operator == "bytes" or {w for _, _, w in hot} == {1}  # digits have anchors that repeat a few times, too
+    assert gathered(cold) >= 300 and gathered(hot) < len(hot) / 4
