@@ -37,7 +37,7 @@ from pyspark.sql.window import Window as W
 from .common import discard, materialise, release_caches
 
 #: Pivots at most, vectors for a pivot at least, and what blocks, groups of queries and tiles hold.
-MOST_PIVOTS, PER_PIVOT, BLOCK, GROUP, BLOCK_BYTES, TILE = 512, 2048, 4096, 1024, 4 << 20, 8
+MOST_PIVOTS, PER_PIVOT, PIVOT_BYTES, BLOCK, GROUP, BLOCK_BYTES, TILE = 512, 2048, 64 << 20, 4096, 1024, 4 << 20, 8
 #: Queries scored at a time; squared norms below EXACT are exact in doubles, with a block's place beside.
 STEP, EXACT, MOST_NORM = 256, 1 << 40, 1 << 62
 #: What rounding may add to a distance, as a part of it, and a score below all.
@@ -110,9 +110,10 @@ class Index:
 
     def __init__(self, vectors: DataFrame, most_pivots: int = MOST_PIVOTS, per_pivot: int = PER_PIVOT, block: int = BLOCK, group: int = GROUP):
         """`vectors` is a table that gives the same rows whenever it's read."""
-        stats = vectors.agg(F.max("norm").alias("norm"), F.count("*").alias("n")).first()
+        stats = vectors.agg(F.max("norm").alias("norm"), F.count("*").alias("n"), F.max("d").alias("d")).first()
+        most_pivots = max(1, min(most_pivots, stats["n"] // per_pivot, PIVOT_BYTES // (8 * (stats["d"] or 1))))
         self.norm, self.group, self.pivots = int(stats["norm"] or 0), group, {}
-        chosen = vectors.select("d", "norm", "codes").orderBy(F.xxhash64("codes"), "codes").limit(max(1, min(most_pivots, stats["n"] // per_pivot))).collect()  # a bounded number
+        chosen = vectors.select("d", "norm", "codes").orderBy(F.xxhash64("codes"), "codes").limit(most_pivots).collect()  # bounded in number and bytes
         for d in {p["d"] for p in chosen}:
             own = [p for p in chosen if p["d"] == d]
             x = np.frombuffer(b"".join(bytes(p["codes"]) for p in own), np.int64).reshape(len(own), d)
@@ -141,6 +142,7 @@ class Index:
         others. A query has query (a number of its own), self (the row that it is, which
         doesn't count), label, d, norm, codes, and low and high: the scores it asks for."""
         pending, best, ended, norm = self._placed(queries), None, [], self.norm
+        held = [pending]  # the tables of the round before
         while not pending.isEmpty():
             groups = materialise(self._groups(pending), "groups")
             spans = groups.select("grp", "d", F.inline("intervals"))
@@ -165,8 +167,9 @@ class Index:
             state = materialise(state.withColumn("was", F.col("radius")).withColumn("radius", F.least("outer", F.coalesce(reach, self._wider()))), "queries")
             ended.append(materialise(best.join(state.filter("ends").select("query"), "query", "left_semi"), "ended"))
             pending = state.filter("not ends").withColumn("kth", F.when(F.col("full"), F.col("least"))).drop("n", "least", "full", "ends")
-            best = best.join(pending.select("query"), "query", "left_semi")
-            discard(groups, tiles)
+            discard(groups, tiles, *held)
+            held, best = [state, best], best.join(pending.select("query"), "query", "left_semi")
+        discard(*held)
         none = queries.sparkSession.createDataFrame([], f"{_FOUND}, rank int")
         return functools.reduce(DataFrame.unionByName, ended, none)
 
