@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.jsonx import bullets_of, extract_json, items_of, parse_classification
 from ..functions.text import estimate_tokens, ticket_block
 from ..operators import joins, pack, prepare, runs, sample, stats
-from ..sources import reports, tables, work, workbook
+from ..sources import documents, reports, tables, work, workbook
 from .model import PROMPTS, KeywordModel, Model, apply_cached, apply_model
 
 TAXONOMY = (
@@ -23,23 +23,66 @@ FAN_IN = 50
 ANALYSES = "\n\n---ANÁLISE---\n\n"
 
 
-def map_reduce(chunks: DataFrame, model: Model, order: str = "chunk_id", separator: str = "\n\n", fan_in: int = FAN_IN) -> DataFrame:
+def map_reduce(chunks: DataFrame, model: Model, order: str = "chunk_id", separator: str = "\n\n", fan_in: int = FAN_IN, folder: str | None = None) -> DataFrame:
     """MAP over chunks, then COMBINE in the order of the chunks, at most `fan_in` results a
-    call, in as many rounds as that takes; chunks whose call failed are left out."""
-    done = apply_model(chunks, model, PROMPTS["map"], order, "text")
-    parts = done.filter("error is null").select(F.col(order).alias("nr"), F.col("result").alias("text"), "tokens_in", "tokens_out")
+    call, in as many rounds as that takes; chunks whose call failed are left out. With a
+    folder, the first round is kept there as it goes on (see `merged_as_it_goes`), so that a job
+    that died goes on where it was."""
+    if folder:
+        parts = merged_as_it_goes(chunks, model, folder, order, separator, fan_in)
+        if parts.count() == 1:
+            return parts.select(F.col("text").alias("result"), "tokens_in", "tokens_out")
+    else:
+        done = apply_model(chunks, model, PROMPTS["map"], order, "text")
+        parts = done.filter("error is null").select(F.col(order).alias("nr"), F.col("result").alias("text"), "tokens_in", "tokens_out")
     while True:
         parts = work.materialise(parts, "partials")
         n = parts.count()
         grouped = parts.withColumn("batch_id", F.lit(0).cast("long")) if n <= fan_in else pack.fixed_batches(parts, "nr", fan_in)
-        joined = grouped.groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "text"))), lambda x: x["text"]), separator).alias("text"), F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"))
-        called = apply_model(joined, model, PROMPTS["combine"], "batch_id", "text").join(joined.select("batch_id", "i", "o"), "batch_id")
-        called = called.select("batch_id", "result", (F.col("tokens_in") + F.col("i")).alias("tokens_in"), (F.col("tokens_out") + F.col("o")).alias("tokens_out"))
+        called = _combined(grouped, model, separator)
         if n <= fan_in:
             return called.select("result", "tokens_in", "tokens_out")
         parts = called.select(F.col("batch_id").alias("nr"), F.col("result").alias("text"), "tokens_in", "tokens_out")
 
 
+def _combined(parts: DataFrame, model: Model, separator: str) -> DataFrame:
+    """One call for the parts (nr, text) of each batch_id, in their order; tokens are summed up."""
+    joined = parts.groupBy("batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "text"))), lambda x: x["text"]), separator).alias("text"), F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"))
+    called = apply_model(joined, model, PROMPTS["combine"], "batch_id", "text").join(joined.select("batch_id", "i", "o"), "batch_id")
+    return called.select("batch_id", "result", (F.col("tokens_in") + F.col("i")).alias("tokens_in"), (F.col("tokens_out") + F.col("o")).alias("tokens_out"))
+
+
+_PARTIAL = "nr long, text string, tokens_in long, tokens_out long"
+
+
+def merged_as_it_goes(chunks: DataFrame, model: Model, folder: str, order: str = "chunk_id", separator: str = "\n\n", every: int = FAN_IN, at_once: int = 16) -> DataFrame:
+    """(nr, text, tokens_in, tokens_out): results of every so many chunks in their order, combined.
+    The chunks lie in `folder` as a file for each group; a stream takes `at_once` files a
+    micro-batch, whose partial results are a part of their own and count once they're written.
+    Called again with the folder, it goes on: chunks whose partial is there aren't called
+    again. Groups of which all calls failed are left out."""
+    spark = chunks.sparkSession
+    if not documents.exists(spark, f"{folder}/chunks/_SUCCESS"):
+        grouped = pack.fixed_batches(chunks.select(F.col(order).alias("nr"), "text"), "nr", every)
+        grouped.repartition("batch_id").sortWithinPartitions("batch_id", "nr").write.mode("overwrite").partitionBy("batch_id").parquet(f"{folder}/chunks")
+    kind = chunks.schema[order].dataType.simpleString()
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = work.materialise(batch, "batch")  # the calls below are made once
+        done = apply_model(rows, model, PROMPTS["map"], "nr", "text").filter("error is null")
+        named = done.select("nr", F.col("result").alias("text"), "tokens_in", "tokens_out").join(rows.select(F.col("nr").alias("own"), "batch_id"), F.col("nr") == F.col("own"))
+        parts = work.materialise(named.drop("own"), "mapped")
+        out = _combined(parts, model, separator).select(F.col("batch_id").alias("nr"), F.col("result").alias("text"), "tokens_in", "tokens_out")
+        out.write.mode("overwrite").parquet(f"{folder}/partials/batch={number}")
+        work.discard(rows, parts)
+
+    stream = spark.readStream.schema(f"nr {kind}, text string, batch_id long").option("maxFilesPerTrigger", at_once).parquet(f"{folder}/chunks")
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not documents.exists(spark, f"{folder}/partials"):
+        return spark.createDataFrame([], _PARTIAL)
+    return spark.read.schema(_PARTIAL).parquet(f"{folder}/partials").select("nr", "text", "tokens_in", "tokens_out")
+
+
 #: Tickets that one fold puts into chunks, at scale.
 SHARD_TICKETS = 20_000
 
@@ -108,13 +151,13 @@ def compress(analysis: DataFrame, model: Model | None = None) -> DataFrame:
     return apply_model(rows, model or KeywordModel(), PROMPTS["compress"], "id", "text").select("result", "tokens_in", "tokens_out")
 
 
-def discover(tickets: DataFrame, model: Model | None = None, tokens: int = 100_000, overlap: int | None = None) -> DataFrame:
+def discover(tickets: DataFrame, model: Model | None = None, tokens: int = 100_000, overlap: int | None = None, folder: str | None = None) -> DataFrame:
     """A taxonomy: MAP over chunks of tickets (which share tickets of `overlap` tokens, if it's
     given), COMBINE, then EXTRACT as JSON; the document with its statistics, in one row. A
-    response that holds no JSON leaves no row."""
+    response that holds no JSON leaves no row. With a folder, partial results are kept there."""
     model = model or KeywordModel()
     chunks = ticket_chunks(tickets, tokens) if overlap is None else overlapping_ticket_chunks(tickets, tokens, overlap)
-    combined = map_reduce(chunks, model, separator=ANALYSES)
+    combined = map_reduce(chunks, model, separator=ANALYSES, folder=folder)
     called = apply_model(combined.select(F.lit(0).alias("id"), F.col("result").alias("text")), model, PROMPTS["extract"], "id", "text")
     whole = F.from_json("result", TAXONOMY)
     parsed = called.select(F.when(whole["categories"].isNotNull(), whole).otherwise(F.from_json(extract_json(F.col("result")), TAXONOMY)).alias("t")).select("t.*").filter("categories is not null")
