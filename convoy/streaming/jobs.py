@@ -38,23 +38,33 @@ def user_sessions(usage: DataFrame, gap: str = "30 minutes", late: str = "10 min
     return w.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "cost_usd")
 
 
-def cooled_alerts(alerts: DataFrame, seconds: int = 3600) -> DataFrame:
+def cooled_alerts(alerts: DataFrame, seconds: int = 3600, forget: int | None = None) -> DataFrame:
     """Of alerts (alert_type, seconds, value): those that pass their type's cooldown; the
-    state is the time of the last alert that passed. Late alerts don't pass."""
+    state is the time of the last alert that passed. Late alerts don't pass. A type of
+    which nothing came for `forget` seconds of the clock loses its state (None: never); choose
+    more than the cooldown and the greatest delay."""
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("seconds", kind="stable")
-        last, keep = (state.get[0] if state.exists else None), []
-        for t in rows["seconds"]:
-            passes = last is None or t - last >= seconds
-            last = int(t) if passes else last
-            keep.append(passes)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, passed = (state.get[0] if state.exists else None), []
+        rows = pd.concat([p.sort_values("seconds", kind="stable") for p in parts]).sort_values("seconds", kind="stable")
+        at = rows["seconds"].to_numpy()
+        i = 0 if last is None else int(at.searchsorted(last + seconds))
+        while i < len(at):  # from one passing time to the next
+            passed.append(i)
+            last = int(at[i])
+            i += int(at[i:].searchsorted(last + seconds)) if seconds > 0 else 1
         if last is not None:
             state.update((last,))
-        yield rows[keep]
+        if forget is not None:
+            state.setTimeoutDuration(forget * 1000)
+        yield rows.iloc[passed]
 
     schema = "alert_type string, seconds long, value double"
-    return alerts.select("alert_type", "seconds", "value").groupBy("alert_type").applyInPandasWithState(fold, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
+    return alerts.select("alert_type", "seconds", "value").groupBy("alert_type").applyInPandasWithState(fold, schema, "last long", "append", timeout)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -54,3 +54,29 @@ def test_stop_doesnt_wait_for_the_next_try(spark, values, tmp_path):
     began = time.time()
     m.stop()
     assert m.errors == 1 and time.time() - began < 30
+
+
+def test_state_of_quiet_types_is_forgotten(spark, tmp_path):
+    from convoy.streaming import jobs
+
+    schema = "alert_type string, seconds long, value double"
+    write = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/a")
+    write(("x", 0, 1.0), ("x", 10, 2.0), ("x", 4000, 3.0), ("y", 5, 1.0))
+    cooled = jobs.cooled_alerts(jobs.file_stream(spark, f"{tmp_path}/a", schema), forget=1)
+    query = cooled.writeStream.format("memory").queryName("forgotten").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="200 milliseconds").start()
+    held = lambda: [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    try:
+        for _ in range(300):
+            if 2 in held() and held()[-1] == 0:
+                break
+            time.sleep(0.1)
+        assert 2 in held() and held()[-1] == 0
+        write(("x", 4001, 9.0))  # begins anew
+        for _ in range(300):
+            if spark.table("forgotten").count() == 4:
+                break
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    rows = sorted((r["alert_type"], r["seconds"]) for r in spark.table("forgotten").collect())
+    assert rows == [("x", 0), ("x", 4000), ("x", 4001), ("y", 5)]
