@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -195,14 +196,15 @@ def ab_metrics(df: DataFrame, method: str, high: float = 0.85) -> DataFrame:
 
 
 def pooled_t_test(df: DataFrame, group: str, value: str, a: object, b: object) -> DataFrame:
-    """Pooled two-sample t, degrees of freedom, Cohen's d and its label."""
+    """Pooled two-sample t, degrees of freedom, its two-sided p, Cohen's d and its label, in one row."""
     s = lambda g: (F.count(F.when(F.col(group) == g, F.col(value))), F.avg(F.when(F.col(group) == g, F.col(value))), F.var_samp(F.when(F.col(group) == g, F.col(value))))
     (n1, m1, v1), (n2, m2, v2) = s(a), s(b)
     out = df.agg(n1.alias("n1"), m1.alias("m1"), v1.alias("v1"), n2.alias("n2"), m2.alias("m2"), v2.alias("v2"))
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
     out = out.withColumn("diff", F.col("m1") - F.col("m2")).withColumn("pooled", pooled).withColumn("df", F.col("n1") + F.col("n2") - 2)
     out = out.withColumn("t", F.try_divide(F.col("diff"), F.sqrt(F.col("pooled") * (1 / F.col("n1") + 1 / F.col("n2"))))).withColumn("d", F.try_divide(F.col("diff"), F.sqrt("pooled")))
-    return out.select("n1", "n2", "df", "t", "d", effect_label(F.col("d")).alias("effect"))
+    p_of = F.pandas_udf(lambda t, df: pd.Series([None if pd.isna(a) or not b > 0 else t_p_value(a, b) for a, b in zip(t, df)], dtype="float64"), "double")  # of one row
+    return out.select("n1", "n2", "df", "t", "d", effect_label(F.col("d")).alias("effect"), p_of("t", F.col("df").cast("double")).alias("p"))
 
 
 def t_p_value(t: float, df: float) -> float:

@@ -323,7 +323,16 @@ def ab_metrics(spark, d):
     SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS pooled FROM a, b), y AS (SELECT *, (m1 - m2) / sqrt(pooled * (1.0 / n1 + 1.0 / n2)) AS t, (m1 - m2) / sqrt(pooled) AS d FROM x)
     SELECT n1, n2, n1 + n2 - 2 AS df, round(t, 6) AS t, round(d, 6) AS d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM y""")
 def ab_ttest(spark, d):
-    return _round(stats.pooled_t_test(results(spark, d), "arm", "confidence", 0, 1), "t", "d")
+    return _round(stats.pooled_t_test(results(spark, d), "arm", "confidence", 0, 1).drop("p"), "t", "d")
+
+
+@query(f"""WITH {RESULTS}, a AS (SELECT count(*) AS n1, avg(confidence) AS m1, var_samp(confidence) AS v1 FROM r WHERE arm = 0), b AS (SELECT count(*) AS n2, avg(confidence) AS m2, var_samp(confidence) AS v2 FROM r WHERE arm = 1), x AS (
+    SELECT *, CAST(n1 + n2 - 2 AS DOUBLE) AS df, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS pooled FROM a, b), y AS (SELECT df, abs((m1 - m2) / sqrt(pooled * (1.0 / n1 + 1.0 / n2))) AS t FROM x),
+    z AS (SELECT df, t, i, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + pow(t * i / 20000, 2) / df, -(df + 1) / 2) AS f FROM y, range(20001) s(i))
+    SELECT round(1 - 2 * sum(f) * any_value(t) / 60000, 6) AS p FROM z""")
+def ab_pvalue(spark, d):
+    """The t-test's p; in SQL, the density's integral."""
+    return _round(stats.pooled_t_test(results(spark, d), "arm", "confidence", 0, 1).select("p"), "p")
 
 
 # --- usage and cost
