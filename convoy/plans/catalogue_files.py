@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import jsonx, text
 from ..operators import cache, cost, pack, runs, sample, stats
 from ..sources import documents, reports, tables, workbook
-from ..sources.work import work_dir
+from ..sources.work import materialise, work_dir
 from ..streaming import jobs as streams
 from . import jobs
 from .adapters import CATEGORISED, MESSAGES, USAGE, categorised, messages, table, usage
-from .catalogue import _round, query
+from . import catalogue_functions  # noqa: F401  the SQL of the model jobs is there
+from .catalogue import ORACLE_SQL, _round, query
 
 #: The messages with line breaks, separators and quotes in their texts.
 _HARD = "ticket_id, seq, CASE seq % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || '; \"quoted\" ' || ticket_id ELSE 'a \"b\" ' || text END AS text, sender"
@@ -220,3 +221,27 @@ def text_bullets(spark, d):
     rows = _responses(spark, d, whole, "{bad} then ", " and {more}").filter(~F.col("text").rlike("[{}]"))
     b = jsonx.bullets_of(F.col("response"), 2)
     return rows.select("doc_id", F.size(b["bullets"]).alias("bullets"), F.sha2(b["resumo"], 256).alias("digest"))
+
+
+# --- model jobs that keep what they have
+
+
+@query(f"SELECT ticket_id, category_ids FROM ({ORACLE_SQL['classify_with_taxonomy']})")
+def classify_twice(spark, d):
+    """Classification with stored results; the second run reads them all."""
+    from ..operators.prepare import prepare_tickets
+
+    tickets, path = materialise(prepare_tickets(messages(spark, d)), "tickets"), work_dir(spark, "results")
+    taxonomy = materialise(jobs.discover(tickets), "taxonomy")
+    jobs.classify_cached(tickets, taxonomy, path).write.format("noop").mode("overwrite").save()
+    return jobs.classify_cached(tickets, taxonomy, path)
+
+
+@query(f"SELECT replace(resumo, '; ', chr(10)) AS result FROM ({ORACLE_SQL['summarise_tickets']})")
+def compressed_analysis(spark, d):
+    """The reduced analysis of all tickets, from partial results that are kept, and a call that shortens it."""
+    from ..operators.prepare import prepare_tickets
+
+    chunks = jobs.ticket_chunks(prepare_tickets(messages(spark, d)), 2000, shards=1)
+    reduced = jobs.map_reduce(chunks, jobs.KeywordModel(), folder=work_dir(spark, "reduced"))
+    return jobs.compress(reduced).select("result")
