@@ -233,8 +233,8 @@ def classify_twice(spark, d):
 
     tickets, path = materialise(prepare_tickets(messages(spark, d)), "tickets"), work_dir(spark, "results")
     taxonomy = materialise(jobs.discover(tickets), "taxonomy")
-    jobs.classify_cached(tickets, taxonomy, path).write.format("noop").mode("overwrite").save()
-    return jobs.classify_cached(tickets, taxonomy, path)
+    jobs.classify_cached(tickets, taxonomy, path, buckets=4).write.format("noop").mode("overwrite").save()
+    return jobs.classify_cached(tickets, taxonomy, path, buckets=4)
 
 
 @query(f"SELECT replace(resumo, '; ', chr(10)) AS result FROM ({ORACLE_SQL['summarise_tickets']})")

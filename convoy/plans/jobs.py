@@ -204,14 +204,14 @@ def valid_taxonomy(c: str = "categories") -> "F.Column":
     return F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x["id"].isNotNull() & x["technical_name"].isNotNull() & x["display_name"].isNotNull() & x["description"].isNotNull())
 
 
-def classify_cached(tickets: DataFrame, taxonomy: DataFrame, cache_path: str, model: Model | None = None, most: int = 3) -> DataFrame:
+def classify_cached(tickets: DataFrame, taxonomy: DataFrame, cache_path: str, model: Model | None = None, most: int = 3, buckets: int = 64) -> DataFrame:
     """ticket_id and category_ids, with responses stored by text, model and prompt: a
     ticket whose text was classified with this taxonomy before needs no call."""
     from ..functions.text import category_line
 
     model = model or KeywordModel()
     rows = categories_of(taxonomy).select(category_line(F.col("id"), F.col("display_name"), F.col("description"), F.col("examples")).alias("line")).orderBy("line").collect()  # tens of rows
-    got = apply_cached(tickets, model, "\n".join([PROMPTS["classify"], *(r["line"] for r in rows)]), "text", cache_path)
+    got = apply_cached(tickets, model, "\n".join([PROMPTS["classify"], *(r["line"] for r in rows)]), "text", cache_path, buckets)
     ids = parse_classification(F.col("result"))["categories"]
     return got.select("ticket_id", F.coalesce(F.array_join(F.slice(ids, 1, most).cast("array<string>"), ","), F.lit("")).alias("category_ids"))
 

@@ -125,11 +125,12 @@ def apply_model(df: DataFrame, model: Model, prompt: str, key: str, text_col: st
 STORED = "key string, result string, tokens_in long, tokens_out long"
 
 
-def apply_cached(df: DataFrame, model: Model, prompt: str, text_col: str, cache_path: str) -> DataFrame:
-    """Results by the hash of text, model and prompt: what the store at `cache_path` holds is read,
+def apply_cached(df: DataFrame, model: Model, prompt: str, text_col: str, cache_path: str, buckets: int = 64) -> DataFrame:
+    """Results by the hash of text, model and prompt: what the store at `cache_path` (which
+    begins with so many buckets) holds is read,
     the rest is computed once for each text and stored, and results are read back, so that
     a repeated task never calls the model for a stored text. Failed calls aren't stored."""
-    store = ResultStore(df.sparkSession, cache_path, STORED)
+    store = ResultStore(df.sparkSession, cache_path, STORED, buckets)
     store.compact()
     keyed = df.withColumn("key", cache_key(F.coalesce(F.col(text_col), F.lit("")), f"{model.name}:{prompt}"))
     misses = keyed.select("key", text_col).dropDuplicates(["key"]).join(store.get(keyed).select("key"), "key", "left_anti")
