@@ -59,7 +59,7 @@ def categorised_file(spark, d):
     path = work_dir(spark, "categorised")
     reports.write_categorised(categorised(spark, d).select(F.col("ticket_id").cast("string").alias("ticket_id"), "categoria"), path)
     part = next(n for n in documents.names_in(spark, path) if n.endswith(".csv"))
-    rows = tables.numbered(tables.read_messages(spark, f"{path}/{part}", na_values=[]), "nr")
+    rows = tables.read_messages(spark, f"{path}/{part}", na_values=[], position="nr")
     return rows.select("ticket_id", "categoria", (F.col("nr") + 1).alias("nr"))
 
 

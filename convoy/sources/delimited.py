@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators.ordered import positions
 from .documents import first_bytes
 from .work import materialise
 
@@ -190,11 +191,15 @@ def records(spark: SparkSession, path: str, sep: str, encoding: str = "utf-8") -
     return whole.select("file", "block", "nth", F.coalesce("all", "record").alias("record"))
 
 
-def read_csv(spark: SparkSession, path: str, names: list[str], sep: str, encoding: str = "utf-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, names: list[str], sep: str, encoding: str = "utf-8", position: str | None = None) -> DataFrame:
     """The rows below the headers, all text: missing fields are null, rows with a field too
-    many are skipped."""
+    many are skipped. `position` names a column for each row's number in the order of the
+    file, from 0 and without gaps (several files: one after the other)."""
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, "_extra", "_corrupt"])
     found = records(spark, path, sep, encoding).filter("not (block = 0 and nth = 0)")
     options = {"sep": sep, "quote": '"', "escape": "\\", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "maxCharsPerColumn": "-1"}
-    rows = found.select(F.from_csv("record", schema, options).alias("r"))
-    return rows.filter(F.col("r._extra").isNull()).select(*(F.col(f"r.`{n}`").alias(n) for n in names))
+    rows = found.withColumn("r", F.from_csv("record", schema, options)).filter(F.col("r._extra").isNull())
+    columns = [F.col(f"r.`{n}`").alias(n) for n in names]
+    if position is None:
+        return rows.select(*columns)
+    return positions(rows.select(*_BLOCK, "nth", "r"), *_BLOCK, "nth", name="at").select(*columns, F.col("at").alias(position))

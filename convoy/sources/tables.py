@@ -33,11 +33,14 @@ def sniff(head: bytes) -> tuple[str, str, list[str]]:
     return encoding, sep, names[sep]
 
 
-def read_messages(spark: SparkSession, path: str, *, limit: int | None = None, na_values: list[str] | None = None, sep: str | None = None) -> DataFrame:
+def read_messages(spark: SparkSession, path: str, *, limit: int | None = None, na_values: list[str] | None = None, sep: str | None = None, position: str | None = None) -> DataFrame:
     """A message file: CSV (encoding and separator found out), JSON, Parquet or .xlsx; all
     columns are text. Rows with too many fields are skipped, short ones filled with nulls;
-    the words for missing values are null."""
+    the words for missing values are null. `position` (of CSV only) names a column for the
+    rows' numbers in the file, from 0."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if position and suffix != "csv":
+        raise ValueError(f"rows have no position in a file of kind {suffix}")
     if suffix == "xls":
         raise ValueError("old workbooks (.xls) can't be read: save the file as .xlsx")
     if suffix == "xlsx":
@@ -48,7 +51,7 @@ def read_messages(spark: SparkSession, path: str, *, limit: int | None = None, n
         out = spark.read.parquet(path)
     elif suffix == "csv":
         encoding, found, names = sniff(first_bytes(spark, path))
-        out = read_csv(spark, path, names, sep or found, encoding)
+        out = read_csv(spark, path, names, sep or found, encoding, position)
     else:
         raise ValueError(f"unknown kind of file: {suffix}")
     words = NA_VALUES if na_values is None else na_values
@@ -58,7 +61,7 @@ def read_messages(spark: SparkSession, path: str, *, limit: int | None = None, n
 
 
 def numbered(df: DataFrame, name: str = "seq") -> DataFrame:
-    """With the order of arrival, for all aggregates that depend on it."""
+    """With the order of arrival, for all aggregates that depend on it; numbers have gaps."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -67,3 +67,23 @@ def test_states_of_lines():
     open_ = delimited.stays_open
     assert [open_(x, False, ";") for x in ('a;b', 'a;"b', '"a";b', '"a;b";', '"a"b;c', 'a"b', '', '"', '""', '"";"', '"\\"', '"\\";x"')] == [False, True, False, False, True, False, False, True, False, True, True, False]
     assert [open_(x, True, ";") for x in ('a', 'a"', 'a";b', 'a";"b', '', '"', '";"', 'a\\"')] == [True, False, False, True, True, False, True, True]
+
+
+def test_position_has_no_gaps_over_many_blocks(spark, tmp_path, small_blocks):
+    skipped = lambda i: ";x;y" if i % 50 == 7 else ""  # noqa: E731  rows with fields too many
+    rows = [f"{i};TEXT;" + (f'"a\n{i}"' if i % 5 == 0 else "b") + f";USER{skipped(i)}" for i in range(400)]
+    (tmp_path / "m.csv").write_text("\n".join([";".join(NAMES), *rows]) + "\n")
+    small_blocks(600)
+    got = tables.read_messages(spark, f"{tmp_path}/m.csv", na_values=[], position="nr").orderBy("nr").collect()
+    kept = [str(i) for i in range(400) if not skipped(i)]
+    assert [(r["ticket_id"], r["nr"]) for r in got] == [(t, n) for n, t in enumerate(kept)]
+    with pytest.raises(ValueError, match="position"):
+        tables.read_messages(spark, f"{tmp_path}/m.parquet", position="nr")
+
+
+def test_categorised_file_numbers_over_many_blocks(spark, small, small_blocks):
+    from convoy.plans import catalogue_files
+
+    small_blocks(600)
+    got = catalogue_files.categorised_file(spark, small).orderBy("ticket_id").collect()
+    assert len(got) > 100 and [r["nr"] for r in got] == list(range(1, len(got) + 1))
