@@ -560,3 +560,23 @@ def test_verdicts_judge_a_bucket_in_steps():
     assert values.tolist() == low.tolist() and parts.sum() == n and (names[parts == 0] == 7).sum() == 2
     shared = repeats.digests(data.ravel(), np.array([7, n - 7]) * size, np.array([size, size]))
     assert names[parts > 0].tolist() == [int(shared[(7, n - 7).index(i)]) if i in (7, n - 7) else i for i in range(n)]
+
+
+def test_components_by_bounded_tasks(spark, monkeypatch):
+    """Edges of one task need no rounds; those of several get the same components by rounds."""
+    rng = random.Random(2)
+    chain = rng.sample(range(3000), 3000)
+    edges = [*zip(chain, chain[1:])][::2] + [*zip(chain, chain[1:])][1:1500:2] + [(10_000, i) for i in range(9000, 9400)]
+    find = components(edges)
+    want = {v: find(v) for e in edges for v in e}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    tables, plain = [], components_of.materialise
+    monkeypatch.setattr(components_of, "materialise", lambda table, what: tables.append(what) or plain(table, what))
+    assert {r["vertex"]: r["component"] for r in components_of.connected_components(df, "a", "b").collect()} == want
+    assert len(tables) == 2
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(components_of, "BROADCAST_VERTICES", limit)
+        assert {r["vertex"]: r["component"] for r in components_of.connected_components(df, "a", "b", task_edges=300).collect()} == want
+    assert "between" in tables
+    u, v = np.array([[a, b] for a, b in edges]).T
+    assert dict(zip(*(x.tolist() for x in components_of.stars(u, v)))) == {k: c for k, c in want.items() if k != c}
